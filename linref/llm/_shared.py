@@ -86,6 +86,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation, for words without what sticks to them.
+IS_MARK = IS_SPACE.copy()
+IS_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LETTER = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,11 +111,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for n rows the n + 1 numbers of their first words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for n rows the n + 1 numbers of their first words. between: the bytes that are in no word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~IS_SPACE[data]
+    word = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     edge[0] = edge[-1] = True
@@ -131,9 +134,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word and the n + 1 numbers of the rows' first words."""
-    starts, ends, rows = word_spans(data, offsets)
+    starts, ends, rows = word_spans(data, offsets, between)
     return span_hashes(data, starts, ends, fold), rows
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import gram_hashes, mix, slices, word_hashes
+from linref.llm._shared import IS_MARK, gram_hashes, mix, slices, word_hashes
 
 BITS = 20
 #: At most so many labelled rows of each class are fitted on; the classes' true shares, over all labelled rows, set the intercept.
@@ -43,7 +43,7 @@ def features(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in slices(batches, "text"):
-        index, row = features(*word_hashes(data, offsets, fold=True))
+        index, row = features(*word_hashes(data, offsets, fold=True, between=IS_MARK))
         lists = [np.unique(index[row == i]) for i in range(part.num_rows)] if part.num_rows < 8 else _split(index, row, part.num_rows)
         yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["label", "x"])
 
@@ -53,7 +53,7 @@ def _split(index: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split((pairs & 0xFFFFFFFF).astype(np.int32), np.searchsorted(pairs >> 32, np.arange(1, n)))
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 4, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, seed: int = 7) -> Model:
+def fit(x: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 12, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, seed: int = 7) -> Model:
     """FTRL-proximal: each coordinate has its own learning rate, and stays at zero until its sum of gradients exceeds l1."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     z0 = n0 = 0.0
@@ -104,7 +104,7 @@ def _scores(shared):
         weights[model.index] = model.weight
         live = weights != 0
         for part, data, offsets in slices(batches, "text"):
-            index, row = features(*word_hashes(data, offsets, fold=True))
+            index, row = features(*word_hashes(data, offsets, fold=True, between=IS_MARK))
             keep = live[index]
             pairs = np.unique(row[keep].astype(np.int64) << 32 | index[keep])
             sums = np.bincount(pairs >> 32, weights[pairs & 0xFFFFFFFF], minlength=part.num_rows) + model.intercept
