@@ -1,8 +1,10 @@
-"""Pieces that several operators use: checkpoints, batches of texts, word hashes in numpy."""
+"""Pieces that several operators use: tables that cut lineage, batches of texts, word hashes in numpy."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -29,22 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared checkpoint folder, its lineage cut.
+    """df, computed once into a Parquet table in the shared folder and read from there, its lineage cut.
 
-    The shuffle files behind it are of no more use; the collection lets Spark's cleaner remove them now,
-    as it only learns of them when the driver collects its garbage."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
-def table(df: DataFrame) -> DataFrame:
-    """As cut, but as a compressed Parquet table: for wide rows."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    The shuffle files behind it are then of no more use, but Spark's cleaner only learns of that when the driver collects its garbage,
+    which a driver with little to do hardly does; so it is asked to, once the last reference to the finished plan is gone."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    time.sleep(0.1)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def lower_ascii(col: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import gram_hashes, slices, table, text_buffers, word_hashes
+from linref.llm._shared import gram_hashes, slices, text_buffers, word_hashes
 
 K1, B = 1.2, 0.75
 #: A passage is a candidate when it reaches this share of the item's own score, a leak when it holds these shares of the item's shingles.
@@ -193,7 +193,7 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
     counts = terms.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     total, mean = terms.where("term is null").agg(F.count("*"), F.avg("words")).first()
     blocks = max(1, -(-(total or 0) // block))
-    tests = table(tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))) if blocks > 1 else tests.withColumn("block", F.lit(0))
+    tests = cut(tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))) if blocks > 1 else tests.withColumn("block", F.lit(0))
     out = None
     for b in range(blocks):
         mine = tests.where(F.col("block") == b)
@@ -225,5 +225,5 @@ def leak_report(df: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the rows that hold an item."""
-    found = table(leaks(df, items, key, text).select(F.col("rid").alias("__rid")).distinct())
+    found = cut(leaks(df, items, key, text).select(F.col("rid").alias("__rid")).distinct())
     return df.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(found, "__rid", "left_anti").select(*df.columns)

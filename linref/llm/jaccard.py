@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, gram_hashes, mix, signed, slices, starts_of_grams, table, word_hashes
+from linref.llm._shared import cut, gram_hashes, mix, signed, slices, starts_of_grams, word_hashes
 from linref.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -133,7 +133,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     postings = cut(postings)
 
     wanted = postings.select("k").distinct().join(nodes.select("k", "rid"), "k").select("rid", "k")
-    sets = table(docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
+    sets = cut(docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
 
     fits = F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
     links, comp = None, postings.select("k").distinct().select("k", F.col("k").alias("c"))

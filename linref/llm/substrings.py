@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, gram_hashes, signed, slices, sliding_min, starts_of_grams, table, word_hashes, word_spans
+from linref.llm._shared import cut, gram_hashes, signed, slices, sliding_min, starts_of_grams, word_hashes, word_spans
 
 #: Words of a window, and of the seeds from which windows are extended.
 WINDOW = 13
@@ -104,7 +104,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     ends = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     repeated = cut(ends.where("a < b").select("h"))
     own = cut(seeds.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")))
-    texts = table(docs.join(own, "doc_id"))
+    texts = cut(docs.join(own, "doc_id"))
     # Level 2: only windows over repeated seeds are extended to the whole length.
     assert window <= 2 * short
     whole = texts.select("doc_id", "rid", "text", "seeds").mapInArrow(_windows(window), "g long, doc_id long, rid long, pos int")

@@ -133,7 +133,7 @@ def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the rows whose score is 0.5 or more."""
-    from linref.llm._shared import table
+    from linref.llm._shared import cut
 
-    bad = table(score(df, labels, key=key, text=text).where("predicted = 1").select(F.col("rid").alias("__rid")).distinct())
+    bad = cut(score(df, labels, key=key, text=text).where("predicted = 1").select(F.col("rid").alias("__rid")).distinct())
     return df.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(bad, "__rid", "left_anti").select(*df.columns)
