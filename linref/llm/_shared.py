@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     which a driver with little to do hardly does; so it is asked to, once the last reference to the finished plan is gone."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     gc.collect()
     time.sleep(0.1)

@@ -13,8 +13,8 @@ from linref.llm._shared import cut, gram_hashes, mix, signed, slices, starts_of_
 from linref.llm.components import components
 
 WORDS, PERCENT = 5, 75
-#: Prefixes are built for up to so many required matches; a token with more documents than HOT is paired with representatives first.
-MOST_MATCHES, HOT = 4, 48
+#: Prefixes are built for up to so many required matches.
+MOST_MATCHES = 16
 #: At most so many frequent shingles are ordered by their frequency, and so broadcast (16 bytes each); the rest is ordered by hash.
 ORDERED = 500_000
 
@@ -128,34 +128,41 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     # Estimated candidate cost of each node at one match: where it is high, more matches are asked of a longer prefix.
     costs = shared.join(df_of, "token")
     matches = costs.where("need = 1").groupBy("k").agg(F.sum(F.col("df") - 1).alias("cost"))
-    level = F.when(F.col("cost") < 8, 1).when(F.col("cost") < 64, 2).when(F.col("cost") < 512, 3).otherwise(MOST_MATCHES)
+    level = F.when(F.col("cost") < 2, 1).when(F.col("cost") < 16, 4).when(F.col("cost") < 128, 8).otherwise(MOST_MATCHES)
     postings = costs.join(matches.select("k", level.alias("l")), "k", "left").withColumn("l", F.coalesce("l", F.lit(1))).where("need <= l").select("token", "k", "n", "l")
     postings = cut(postings)
 
-    wanted = postings.select("k").distinct().join(nodes.select("k", "rid"), "k").select("rid", "k")
-    sets = cut(docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "rid"), "k").select("rid", "k")
+        sets = cut(docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
+        return _verify(pairs, sets, percent)
+
+    def asked(l1: str, l2: str):
+        """Shared prefix tokens that a pair needs: what the less demanding of the two asks; small sets may have no more to share."""
+        return F.least(F.col(l1), F.col(l2), F.ceil(F.greatest("n1", "n2") * percent / 100).cast("int"))
 
     fits = F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
     links, comp = None, postings.select("k").distinct().select("k", F.col("k").alias("c"))
-    for turn in range(3):
-        # Pair each node of a token with the token's two representatives only; what is linked need not be paired again.
+    for turn in range(2):
+        # Each node of a token is paired with the token's two representatives only: what is linked by them need not be paired again.
+        # Tokens are counted where one is the other's representative, so some pairs wait for the last step.
         at = postings.join(comp, "k").withColumn("r", F.xxhash64("k", F.lit(turn)))
-        row = F.struct("r", "k", "n", "c")
+        row = F.struct("r", "k", "n", "l", "c")
         ends = at.groupBy("token").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token", F.array("lo", "hi").alias("rep"))
-        pairs = at.select("token", "k", "n", "c").join(ends, "token").select("k", F.col("n").alias("n1"), "c", F.explode("rep").alias("p"))
-        pairs = pairs.where("c != p.c").withColumn("n2", F.col("p.n")).where(fits).select(F.col("k").alias("a"), F.col("p.k").alias("b")).distinct()
-        found = _verify(pairs, sets, percent)
+        pairs = at.select("token", "k", "n", "l", "c").join(ends, "token").select(F.col("k").alias("a"), F.col("n").alias("n1"), "l", "c", F.explode("rep").alias("p"))
+        pairs = pairs.where("c != p.c").withColumn("n2", F.col("p.n")).where(fits).select("a", F.col("p.k").alias("b"), asked("l", "p.l").alias("need"))
+        found = verified(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("a", "b"))
         links = cut(found if links is None else links.unionByName(found).distinct())
         comp = _labels(postings, links)
-    # What is left: pairs of different components, with as many shared prefix tokens as the less demanding of the two asks
-    # (small sets may have no more to share than their least overlap).
-    at = cut(postings.join(comp, "k"))
+    # What is left: all pairs of different components that share as many prefix tokens as they need.
+    at = postings.join(comp, "k")
     open_tokens = at.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
-    at = at.join(open_tokens, "token").select("token", "k", "n", "l", "c")
+    at = cut(at.join(open_tokens, "token").select("token", "k", "n", "l", "c"))
     one, two = at.toDF("token", "a", "n1", "l1", "ca"), at.toDF("token", "b", "n2", "l2", "cb")
-    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.first(F.least(F.col("l1"), F.col("l2"), F.ceil(F.greatest("n1", "n2") * percent / 100).cast("int"))).alias("l")).where("m >= l").select("a", "b")
-    links = cut(links.unionByName(_verify(pairs, sets, percent)).distinct())
+    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b", asked("l1", "l2").alias("need"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("a", "b")
+    links = cut(links.unionByName(verified(pairs)).distinct())
     comp = components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
 
     named = nodes.select("k", "label").join(comp, "k", "left").withColumn("c", F.coalesce("c", "k"))
