@@ -1,4 +1,582 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL: each operator on the network derived from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linref.functions import geometry as g
+from linref.operators import assets, importing, order, quality, references, segments, sessions, topology
+from linref.sources import network as io
+from linref.sources.derived import EDGES_SQL, LOG_SQL, MARKS_SQL, POINTS_SQL, Network
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+# Common table expressions of the SQL side: edges with their gaps, markers, points, and each point's references.
+E = f"e AS ({EDGES_SQL})"
+M = f"m AS ({MARKS_SQL})"
+P = f"p AS ({POINTS_SQL})"
+S = """s AS (SELECT road_code, id AS edge_id, edge_order, 0 AS gap, x1, y1, x2, y2, mg2-mg1 AS len, mg1, mg2, mn1, mn2 FROM e
+ UNION ALL SELECT road_code, id, edge_order, 1, x1-ux*gap, y1-uy*gap, x1, y1, 5.0*gap, mg1-5*gap, mg1, mn1, mn1 FROM e WHERE gap > 0)"""
+LOCATED = """t0 AS (SELECT p.pid, p.road_code AS own, p.x, p.y, s.*, ((p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS raw FROM p JOIN s ON p.road_code = s.road_code),
+t1 AS (SELECT *, greatest(0.0, least(1.0, raw)) AS t, (x2-x1)*(y-y1)-(y2-y1)*(x-x1) > 0 AND raw >= 0 AND raw <= 1 AS lf FROM t0),
+t2 AS (SELECT *, sqrt((x1+t*(x2-x1)-x)*(x1+t*(x2-x1)-x)+(y1+t*(y2-y1)-y)*(y1+t*(y2-y1)-y)) AS d FROM t1),
+t3 AS (SELECT * FROM t2 WHERE d <= 50),
+ed AS (SELECT * FROM (SELECT pid, edge_id, d, lf, row_number() OVER (PARTITION BY pid ORDER BY d, edge_order, edge_id) AS k FROM t3 WHERE gap = 0) WHERE k = 1),
+li AS (SELECT * FROM (SELECT pid, mg1+t*len AS mg, mn1+t*(mn2-mn1) AS mn, row_number() OVER (PARTITION BY pid ORDER BY d, edge_order, edge_id, gap) AS k FROM t3) WHERE k = 1),
+pm AS (SELECT * FROM (SELECT p.pid, m.code, li.mn - m.mn AS a, row_number() OVER (PARTITION BY p.pid ORDER BY m.mg DESC, m.code DESC) AS k FROM p JOIN li ON li.pid = p.pid JOIN ed ON ed.pid = p.pid JOIN m ON m.road_code = p.road_code AND m.mg <= li.mg) WHERE k = 1),
+r AS (SELECT p.pid, p.road_code, p.x, p.y, pm.code AS marker_code, round(pm.a, 2) AS abscissa, round(CASE WHEN ed.pid IS NULL THEN NULL ELSE li.mn END, 2) AS cumulative, round(ed.d, 2) AS "offset",
+ CASE WHEN ed.pid IS NULL THEN NULL WHEN ed.lf THEN 'left' ELSE 'right' END AS side FROM p LEFT JOIN ed ON ed.pid = p.pid LEFT JOIN li ON li.pid = p.pid LEFT JOIN pm ON pm.pid = p.pid)"""
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of a Network; sql: its ANSI equivalent."""
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Network(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def wkt_sql(*points: str) -> str:
+    return "concat('LINESTRING(', " + ", ',', ".join(f"CAST(CAST({p.split(',')[0]} AS BIGINT) AS VARCHAR), ' ', CAST(CAST({p.split(',')[1]} AS BIGINT) AS VARCHAR)" for p in points) + ", ')')"
+
+
+# Import
+
+
+@query("src_edges", f"WITH {E} SELECT road_code, edge_order, x1, y1, x2, y2, 'road' AS road_type, has_marker AS is_active FROM e")
+def src_edges(n):
+    raw = n.flat.select("edge_order", "road_code", F.lit("D").alias("road_class"), F.lit("road").alias("road_type"), F.lit("1").alias("road_class_code"), F.col("has_marker").cast("string").alias("is_active"), F.lit("car").alias("road_topic"), F.lit("false").alias("is_access_road"), g.wkt(g.line(g.point("x1", "y1"), g.point("x2", "y2"))).alias("geom"))
+    e = io.source_edges(raw, "wkt")
+    s, t = g.start_point(F.col("geom")), g.end_point(F.col("geom"))
+    return e.select("road_code", "edge_order", s["x"].alias("x1"), s["y"].alias("y1"), t["x"].alias("x2"), t["y"].alias("y2"), "road_type", "is_active")
+
+
+@query("src_markers", f"WITH {E}, {M} SELECT road_code, code, abscissa, code % 3 = 0 AS is_virtual, x, y FROM m")
+def src_markers(n):
+    raw = n.markers.select("road_code", F.col("code").cast("string").alias("code"), F.col("abscissa").cast("string").alias("abscissa"), F.when(F.col("code") % 3 == 0, "PRV").otherwise("PR").alias("type"), "geom")
+    return io.source_markers(raw).select("road_code", "code", "abscissa", "is_virtual", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
+@query("import_bad_values", """SELECT 'road_type' AS field, count(*) AS n, coalesce(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand), '') AS bad FROM part WHERE p_size % 7 = 0
+ UNION ALL SELECT 'road_class', count(*), coalesce(string_agg(DISTINCT substr(p_type, 1, 5), ',' ORDER BY substr(p_type, 1, 5)), '') FROM part WHERE substr(p_type, 1, 5) NOT IN ('STAND', 'SMALL', 'ECONO')""")
+def import_bad_values(n):
+    p = n.table("part").select(F.when(F.col("p_size") % 7 == 0, F.col("p_brand")).otherwise("road").alias("road_type"), F.substring("p_type", 1, 5).alias("road_class"))
+    return importing.bad_values(p, n.spark.createDataFrame([("STAND",), ("SMALL",), ("ECONO",)], "code string"))
+
+
+@query("import_neighbours", f"WITH {E} SELECT id, road_code, edge_order, lag(id) OVER w AS previous_edge_id, lead(id) OVER w AS next_edge_id FROM e WINDOW w AS (PARTITION BY road_code ORDER BY edge_order)")
+def import_neighbours(n):
+    return order.neighbours(n.edges).select("id", "road_code", "edge_order", "previous_edge_id", "next_edge_id")
+
+
+NODES = "nd AS (SELECT x, y, string_agg(CASE WHEN s = 1 THEN CAST(id AS VARCHAR) END, ',' ORDER BY id) AS starts, string_agg(CASE WHEN s = 0 THEN CAST(id AS VARCHAR) END, ',' ORDER BY id) AS ends FROM (SELECT x1 AS x, y1 AS y, id, 1 AS s FROM e UNION ALL SELECT x2, y2, id, 0 FROM e) GROUP BY x, y)"
+
+
+@query("import_nodes", f"WITH {E}, {NODES} SELECT x, y, coalesce(starts, '') AS starts, coalesce(ends, '') AS ends FROM nd")
+def import_nodes(n):
+    return importing.nodes(n.edges).select("x", "y", F.array_join("starts", ",").alias("starts"), F.array_join("ends", ",").alias("ends"))
+
+
+@query("import_edges", f"WITH {E}, {NODES}, i AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS id FROM nd) SELECT e.id, a.id AS start_node, b.id AS end_node FROM e JOIN i a ON a.x = x1 AND a.y = y1 JOIN i b ON b.x = x2 AND b.y = y2")
+def import_edges(n):
+    return importing.with_nodes(n.edges, importing.numbered(importing.nodes(n.edges).select("x", "y"), ["x", "y"])).select("id", "start_node", "end_node")
+
+
+@query("import_roads", f"WITH {E} SELECT DISTINCT road_code FROM e WHERE okey % 3 <> 0")
+def import_roads(n):
+    return importing.insert_absent(n.edges.select("road_code"), n.flat.where("okey % 3 = 0").select("road_code"), ["road_code"])
+
+
+@query("import_markers", f"WITH {E}, {M} SELECT road_code, code, abscissa FROM m WHERE code % 2 = 1")
+def import_markers(n):
+    m = n.markers.select("road_code", "code", "abscissa")
+    return importing.insert_absent(m.unionByName(m), m.where("code % 2 = 0"), ["road_code", "code", "abscissa"])
+
+
+@query("import_marker_zero", f"WITH {E} SELECT road_code, 0 AS code, x1 AS x, y1 AS y FROM e WHERE edge_order = 1 AND okey % 4 <> 0")
+def import_marker_zero(n):
+    some = n.flat.where("edge_order = 1 and okey % 4 = 0").select("road_code", g.point(F.col("x1") + 0.5, "y1").alias("geom"))
+    return importing.marker_zero(n.edges, some).select("road_code", "code", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
+@query("import_summary", f"WITH {E}, {M}, {NODES} SELECT (SELECT count(DISTINCT road_code) FROM e) AS roads, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM m) AS markers")
+def import_summary(n):
+    e = n.edges.select("*", F.lit("D").alias("road_class"), F.lit("road").alias("road_type"), F.lit("1").alias("road_class_code"), F.lit(True).alias("is_active"), F.lit("car").alias("road_topic"), F.lit(False).alias("is_access_road"))
+    out = importing.import_network(e, n.markers.withColumn("is_virtual", F.lit(False)), n.spark.createDataFrame([("D",)], "code string"))
+    rows = None
+    for name in ("roads", "edges", "nodes", "markers"):
+        c = out[name].agg(F.count("*").alias(name))
+        rows = c if rows is None else rows.crossJoin(c)  # four rows of one number
+    return rows
+
+
+@query("classify_roads", """SELECT p_partkey, CASE WHEN upper(p_type) LIKE 'GIR%' THEN 'roundabout' ELSE 'road' END AS road_type, CASE WHEN p_name LIKE 'A%' THEN 'A' WHEN p_name LIKE 'D%' THEN 'D' ELSE 'C' END AS road_class,
+ regexp_replace(p_name, '^[A-Z]+', '') AS road_class_code, NOT upper(p_type) LIKE '%OLD%' AS is_active, CASE WHEN upper(p_type) LIKE '%BIKE%' THEN 'bike' ELSE 'car' END AS road_topic, upper(p_type) LIKE 'BRET%' AS is_access_road
+ FROM (SELECT p_partkey, concat(CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'VC' END, CAST(p_size AS VARCHAR)) AS p_name, concat(CASE p_size % 5 WHEN 0 THEN 'gir ' WHEN 1 THEN 'bret ' WHEN 2 THEN 'bike ' ELSE 'old ' END, p_type) AS p_type FROM part)""")
+def classify_roads(n):
+    p = n.table("part").select("p_partkey", F.expr("concat(CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'VC' END, p_size)").alias("c"), F.expr("concat(CASE p_size % 5 WHEN 0 THEN 'gir ' WHEN 1 THEN 'bret ' WHEN 2 THEN 'bike ' ELSE 'old ' END, p_type)").alias("t"))
+    return importing.classify_roads(p, "c", "t").drop("c", "t")
+
+
+@query("reduce_precision", f"WITH {E} SELECT id, round((x1+id%7*0.01)*10)/10 AS x1, round((y1+id%9*0.01)*10)/10 AS y1 FROM e")
+def reduce_precision(n):
+    e = n.flat.select("id", g.line(g.point(F.expr("x1+id%7*0.01"), F.expr("y1+id%9*0.01")), g.point("x2", "y2")).alias("geom"))
+    p = importing.reduce_precision(e).select("id", g.start_point(F.col("geom")).alias("p"))
+    return p.select("id", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"))
+
+
+@query("stamped")
+def stamped(n):
+    return importing.stamp(n.edges.select("id", "road_code"), n.flat.where("id % 2 = 0").select("id", F.to_timestamp(F.lit("2020-01-01")).alias("created_at"))).select("id", F.year("created_at").alias("year"))
+
+
+@query("wkt_out", f"WITH {E} SELECT id, {wkt_sql('x1,y1', 'x2,y2')} AS wkt FROM e")
+def wkt_out(n):
+    return n.edges.select("id", g.wkt(F.col("geom")).alias("wkt"))
+
+
+# Linear referencing
+
+
+@query("ordered_edges", f"WITH {E} SELECT road_code, id, edge_order FROM e")
+def ordered_edges(n):
+    return order.ordered_edges(order.neighbours(n.edges).drop("edge_order"))
+
+
+@query("road_segments", f"WITH {E}, {S} SELECT road_code, edge_id, edge_order, CASE gap WHEN 1 THEN 'gap' ELSE 'edge' END AS kind, x1, y1, x2, y2, len, mg1, mg2, mn1, mn2 FROM s")
+def road_segments(n):
+    return n.segments.drop("seg_idx")
+
+
+@query("spatial_road", f"WITH {E} SELECT road_code, CAST(count(*) + 1 AS INT) AS n_points, max(mn2) AS length FROM e GROUP BY road_code")
+def spatial_road(n):
+    return segments.spatial_road(n.segments).select("road_code", F.size("points").alias("n_points"), F.element_at("points", -1)["m"].alias("length"))
+
+
+@query("previous_marker", f"WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid, marker_code, abscissa FROM r WHERE side IS NOT NULL")
+def previous_marker(n):
+    at = segments.locate(n.points, n.segments)
+    return references.previous_marker(at, references.marker_measures(n.markers, n.segments)).select("pid", "marker_code", F.round("abscissa", 2).alias("abscissa"))
+
+
+@query("reference_from_point", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid, road_code, marker_code, abscissa, cumulative, "offset", side FROM r')
+def reference_from_point(n):
+    return references.reference_from_point(n.points, n.segments, n.markers)
+
+
+@query("reference_any_road", f"WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid, CASE WHEN side IS NULL THEN NULL ELSE road_code END AS road_code, marker_code, abscissa, cumulative, \"offset\", side FROM r")
+def reference_any_road(n):
+    return references.reference_from_point(n.points.drop("road_code"), n.segments, n.markers, any_road=True)
+
+
+REFS = """ee AS (SELECT e.id, e.road_code, e.mg1 AS g1, e.mg2 AS g2, e.mn1 AS n1, e.mn2 AS n2 FROM e), pr AS (SELECT id, k, code, n - mn AS a, n FROM (SELECT x.id, x.k, x.n, m.code, m.mn, row_number() OVER (PARTITION BY x.id, x.k ORDER BY m.mg DESC, m.code DESC) AS z
+ FROM (SELECT id, road_code, 0 AS k, g1 AS gg, n1 AS n FROM ee UNION ALL SELECT id, road_code, 1, g2, n2 FROM ee) x JOIN m ON m.road_code = x.road_code AND m.mg <= x.gg) WHERE z = 1),
+er AS (SELECT e.id, e.road_code, e.okey, a.code AS start_marker, round(a.a, 2) AS start_abscissa, round(e.mn1, 2) AS start_cumulative, b.code AS end_marker, round(b.a, 2) AS end_abscissa, round(e.mn2, 2) AS end_cumulative FROM e LEFT JOIN pr a ON a.id = e.id AND a.k = 0 LEFT JOIN pr b ON b.id = e.id AND b.k = 1)"""
+REF_COLS = "start_marker, start_abscissa, start_cumulative, end_marker, end_abscissa, end_cumulative"
+
+
+@query("edge_references", f"WITH {E}, {M}, {REFS} SELECT id, road_code, {REF_COLS} FROM er")
+def edge_references(n):
+    return references.edge_references(n.edges, n.segments, n.markers)
+
+
+@query("update_edge_references", f"WITH {E}, {M}, {REFS} SELECT id, " + ", ".join(f"CASE WHEN okey % 10 = 0 THEN {c} END AS {c}" for c in REF_COLS.split(", ")) + " FROM er")
+def update_edge_references(n):
+    out = references.update_edge_references(n.edges.select("id", "road_code", "edge_order"), n.segments, n.markers, n.flat.where("okey % 10 = 0").select("road_code"))
+    return out.select("id", *REF_COLS.split(", "))
+
+
+REQUESTS = "q AS (SELECT o_orderkey AS rid, concat('D', CAST(o_orderkey AS VARCHAR(20))) AS road_code, CAST(0 AS INT) AS marker_code, CAST(o_custkey % 200 AS DOUBLE) AS abscissa, CAST(o_custkey % 11 AS DOUBLE) AS off, CASE WHEN o_custkey % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM orders)"
+
+
+def requests(n):
+    return n.sql(f"WITH {REQUESTS} SELECT * FROM q", "orders")
+
+
+AT = "at AS (SELECT q.*, least(t.total, q.abscissa) AS mn FROM q JOIN (SELECT road_code, max(mn2) AS total FROM e GROUP BY road_code) t ON t.road_code = q.road_code)"
+
+
+@query("point_from_reference", f"""WITH {E}, {REQUESTS}, {AT}, h AS (SELECT * FROM (SELECT at.rid, at.off * CASE at.side WHEN 'left' THEN 1.0 ELSE -1.0 END AS mv, (at.mn - e.mn1) / (e.mn2 - e.mn1) AS t, e.mn2-e.mn1 AS len, e.x1, e.y1, e.x2, e.y2, row_number() OVER (PARTITION BY at.rid ORDER BY e.edge_order) AS k
+ FROM at JOIN e ON e.road_code = at.road_code AND e.mn1 <= at.mn AND at.mn <= e.mn2) WHERE k = 1) SELECT q.rid, round(x1 + t*(x2-x1) - mv*(y2-y1)/len, 2) AS x, round(y1 + t*(y2-y1) + mv*(x2-x1)/len, 2) AS y FROM q LEFT JOIN h ON h.rid = q.rid""")
+def point_from_reference(n):
+    return references.point_from_reference(requests(n).withColumnRenamed("off", "offset"), n.segments, n.markers)
+
+
+@query("downstream_line", f"WITH {E}, {REQUESTS} SELECT q.rid, CAST(count(*) FILTER (WHERE e.gap > 0) + 1 AS INT) AS n_parts, max(e.mn2) AS length FROM q JOIN e ON e.road_code = q.road_code GROUP BY q.rid")
+def downstream_line(n):
+    lines = references.downstream_line(requests(n), n.segments, n.markers)
+    return lines.select("rid", F.size("parts").alias("n_parts"), F.round(F.aggregate(F.transform("parts", g.length), F.lit(0.0), lambda a, b: a + b), 2).alias("length"))
+
+
+@query("line_from_references", f"WITH {E}, {REQUESTS}, z AS (SELECT q.rid, t.total, least(t.total, abscissa) AS lo, least(t.total, abscissa + off * 10 - 20) AS hi, abscissa + off * 10 - 20 AS b FROM q LEFT JOIN (SELECT road_code, max(mn2) AS total FROM e GROUP BY road_code) t ON t.road_code = q.road_code) SELECT rid, CASE WHEN total IS NULL THEN 'unknown road' WHEN b < 0 THEN 'unknown end' WHEN lo > hi THEN 'start after end' END AS error, CASE WHEN total IS NOT NULL AND b >= 0 AND lo < hi THEN round(hi - lo, 2) END AS length FROM z")
+def line_from_references(n):
+    q = requests(n).select("rid", "road_code", F.col("marker_code").alias("start_marker_code"), F.col("abscissa").alias("start_abscissa"), F.col("marker_code").alias("end_marker_code"), (F.col("abscissa") + F.col("off") * 10 - 20).alias("end_abscissa"))
+    return references.line_from_references(q, n.segments, n.markers).select("rid", "error", "length")
+
+
+@query("line_with_offset")
+def line_with_offset(n):
+    q = requests(n).select("rid", "road_code", F.col("marker_code").alias("start_marker_code"), F.lit(0.0).alias("start_abscissa"), F.col("marker_code").alias("end_marker_code"), F.col("abscissa").alias("end_abscissa"), F.col("off").alias("offset"), "side")
+    return references.line_from_references(q, n.segments, n.markers).select("rid", "error", "length", F.size("parts").alias("n_parts"))
+
+
+@query("reorder_parts", f"WITH {E} SELECT road_code AS pid, string_agg(CAST(k AS VARCHAR), ',' ORDER BY edge_order) AS part_order FROM (SELECT road_code, edge_order, row_number() OVER (PARTITION BY road_code ORDER BY edge_order DESC) - 1 AS k FROM e) GROUP BY road_code")
+def reorder_parts(n):
+    lines = n.edges.groupBy("road_code").agg(F.sort_array(F.collect_list(F.struct("edge_order", "geom")), False).alias("s")).select(F.col("road_code").alias("pid"), "road_code", F.transform("s", lambda p: p["geom"]).alias("parts"))
+    return references.reorder_parts(lines, n.segments, n.markers).select("pid", F.array_join(F.transform("order", lambda i: i.cast("string")), ",").alias("part_order"))
+
+
+@query("ring_neighbours", "SELECT s_suppkey * 10 + k AS id, CASE WHEN k > 0 THEN s_suppkey * 10 + k - 1 END AS previous_edge_id, CASE WHEN k < 3 THEN s_suppkey * 10 + k + 1 END AS next_edge_id FROM supplier, (VALUES (0), (1), (2), (3)) v(k)")
+def ring_neighbours(n):
+    return order_rings(n).select("id", "previous_edge_id", "next_edge_id")
+
+
+def rings(n, clockwise: bool = False):
+    """A square of four edges per supplier, 100 m apart."""
+    s = n.table("supplier").select("s_suppkey", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    cx, cy = F.col("s_suppkey") % 100 * 100, F.floor(F.col("s_suppkey") / 100) * 100
+    at = lambda k: g.point(cx + F.element_at(F.array(*[F.lit(v) for v in (0, 10, 20, 10)]), k), cy + F.element_at(F.array(*[F.lit(v) for v in (10, 0, 10, 20)]), k))
+    node = lambda k: F.col("s_suppkey") * 10 + k
+    e = s.select((F.col("s_suppkey") * 10 + F.col("k")).alias("id"), F.concat(F.lit("G"), F.col("s_suppkey")).alias("road_code"), node(F.col("k")).alias("start_node"), node((F.col("k") + 1) % 4).alias("end_node"), g.line(at(F.col("k") + 1), at((F.col("k") + 1) % 4 + 1)).alias("geom"))
+    return e.withColumn("next_edge_id", F.lit(None).cast("long"))
+
+
+def order_rings(n):
+    return topology.ring_neighbours(rings(n))
+
+
+@query("layer_references", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid AS id, marker_code, abscissa, "offset", side, side IS NOT NULL AS changed FROM r')
+def layer_references(n):
+    a = n.points.select(F.col("pid").alias("id"), "road_code", "x", "y", F.lit(None).cast("int").alias("marker_code"), F.lit(None).cast("double").alias("abscissa"), F.lit(None).cast("double").alias("offset"), F.lit(None).cast("string").alias("side"))
+    return assets.references_from_geometries(a, n.segments, n.markers).select("id", "marker_code", "abscissa", "offset", "side", "changed")
+
+
+@query("parse_reference", "SELECT event_id, concat('D', CAST(user_id AS VARCHAR)) AS road_code, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 7 END AS INT) AS marker_code, CAST(CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN 0 ELSE event_id % 100 END AS DOUBLE) AS abscissa, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 4 END AS DOUBLE) AS \"offset\", CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM events")
+def parse_reference(n):
+    text = F.expr("CASE WHEN event_id % 3 = 0 THEN concat('D', user_id) ELSE concat_ws(' ', concat(' D', user_id), event_id % 7, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE cast(event_id % 100 as string) END, event_id % 4, CASE WHEN event_id % 2 = 0 THEN 'LEFT' ELSE 'right' END) END")
+    return references.parse_reference(n.table("events").select("event_id", text.alias("query"))).drop("query")
+
+
+@query("search_roads", f"WITH {E}, qs AS (SELECT DISTINCT concat('d', CAST(n_nationkey AS VARCHAR)) AS query FROM nation), rd AS (SELECT DISTINCT road_code FROM e), h AS (SELECT query, road_code, CASE WHEN lower(road_code) = query THEN 1 WHEN starts_with(lower(road_code), query) THEN 2 ELSE 3 END AS priority FROM qs JOIN rd ON contains(lower(road_code), query)) SELECT * FROM (SELECT query, road_code, priority, CAST(row_number() OVER (PARTITION BY query ORDER BY priority, length(road_code), road_code) AS INT) AS place FROM h) WHERE place <= 5")
+def search_roads(n):
+    return references.search_roads(n.table("nation").select(F.concat(F.lit("d"), F.col("n_nationkey")).alias("query")), n.edges).select("query", "road_code", "priority", "place")
+
+
+# Topology
+
+
+@query("snap_ends", f"WITH {E} SELECT id, x1, y1, x2, y2 FROM e")
+def snap_ends(n):
+    off = n.flat.select("id", "road_code", g.line(g.point(F.expr("x1 + (id % 5 - 2) * 0.1"), "y1"), g.point("x2", F.expr("y2 - (id % 3) * 0.1"))).alias("geom"))
+    e, _ = topology.snap_ends(off, n.nodes)
+    s, t = g.start_point(F.col("geom")), g.end_point(F.col("geom"))
+    return e.select("id", s["x"].alias("x1"), s["y"].alias("y1"), t["x"].alias("x2"), t["y"].alias("y2"))
+
+
+@query("infer_neighbours", f"WITH {E} SELECT id, CASE WHEN gap = 0 THEN lag(id) OVER w END AS previous_edge_id, CASE WHEN lead(gap) OVER w = 0 THEN lead(id) OVER w END AS next_edge_id FROM e WINDOW w AS (PARTITION BY road_code ORDER BY edge_order)")
+def infer_neighbours(n):
+    bare = n.linked.withColumn("previous_edge_id", F.lit(None).cast("long")).withColumn("next_edge_id", F.lit(None).cast("long"))
+    return topology.infer_neighbours(bare).select("id", "previous_edge_id", "next_edge_id")
+
+
+@query("bridge_deleted", f"WITH {E} SELECT id, lag(id) OVER w AS previous_edge_id, lead(id) OVER w AS next_edge_id FROM e WHERE q % 3 <> 0 WINDOW w AS (PARTITION BY road_code ORDER BY edge_order)")
+def bridge_deleted(n):
+    return topology.bridge_deleted(n.linked, n.flat.where("q % 3 = 0").select("id")).select("id", "previous_edge_id", "next_edge_id")
+
+
+@query("move_edge_road", f"WITH {E}, k AS (SELECT id, lag(id) OVER w AS p, lead(id) OVER w AS x FROM e WHERE NOT (edge_order = 2 AND okey % 5 = 0) WINDOW w AS (PARTITION BY road_code ORDER BY edge_order)), m2 AS (SELECT id FROM e WHERE edge_order = 2 AND okey % 5 = 0) SELECT e.id, CASE WHEN m2.id IS NOT NULL THEN 'NEW' ELSE e.road_code END AS road_code, k.p AS previous_edge_id, k.x AS next_edge_id FROM e LEFT JOIN k ON k.id = e.id LEFT JOIN m2 ON m2.id = e.id")
+def move_edge_road(n):
+    moves = n.flat.where("edge_order = 2 and okey % 5 = 0").select("id", F.lit("NEW").alias("new_road"))
+    return topology.move_edge_road(n.linked, moves).select("id", "road_code", "previous_edge_id", "next_edge_id")
+
+
+CROSS = "cr AS (SELECT e.id AS a, e.id + 90 AS b, (x1+x2)/2 AS x, (y1+y2)/2 AS y FROM e WHERE edge_order = 1 AND q > 2)"
+
+
+def crossed(n):
+    """Each road's first edge with another edge across its middle."""
+    c = n.flat.where("edge_order = 1 and q > 2")
+    mx, my = F.expr("(x1+x2)/2"), F.expr("(y1+y2)/2")
+    across = c.select((F.col("id") + 90).alias("id"), F.concat(F.lit("X"), "road_code").alias("road_code"), g.line(g.point(mx - F.col("uy"), my + F.col("ux")), g.point(mx + F.col("uy"), my - F.col("ux"))).alias("geom"))
+    return n.edges.where("edge_order = 1").select("id", "road_code", "geom").unionByName(across)
+
+
+@query("edge_intersections", f"WITH {E}, {CROSS} SELECT a, b, x, y FROM cr")
+def edge_intersections(n):
+    return topology.intersections(crossed(n), n.nodes)
+
+
+@query("touching_nodes", f"WITH {E}, {CROSS} SELECT a AS edge_id, a AS node_id, q*2.5 AS m FROM cr JOIN e ON e.id = cr.a")
+def touching_nodes(n):
+    c = n.flat.where("edge_order = 1 and q > 2").select("id", F.expr("(x1+x2)/2").alias("x"), F.expr("(y1+y2)/2").alias("y"))
+    return topology.touching_nodes(n.linked, c)
+
+
+@query("split_edges", f"WITH {E} SELECT id AS edge_id, k AS piece, CASE k WHEN 0 THEN 0.0 ELSE q*2.5 END AS start_m, CASE WHEN edge_order = 1 AND q > 2 AND k = 0 THEN q*2.5 ELSE q*5.0 END AS end_m FROM e, (VALUES (0), (1)) v(k) WHERE k = 0 OR (edge_order = 1 AND q > 2)")
+def split_edges(n):
+    return topology.split_edges(n.linked, touching_nodes(n)).select("edge_id", "piece", "start_m", "end_m")
+
+
+@query("merge_pass_through", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 OR edge_order = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS run FROM e) SELECT min(id) AS id, road_code, count(*) AS merged, CAST(count(*) + 1 AS INT) AS n_points FROM z GROUP BY road_code, run")
+def merge_pass_through(n):
+    return topology.merge_pass_through(n.linked).select("id", "road_code", "merged", F.size("geom").alias("n_points"))
+
+
+@query("node_degree", f"WITH {E} SELECT x, y, count(DISTINCT id) AS edges, count(DISTINCT road_code) AS roads, count(DISTINCT id) = 2 AND count(DISTINCT road_code) = 1 AS pass_through FROM (SELECT id, road_code, x1 AS x, y1 AS y FROM e UNION ALL SELECT id, road_code, x2, y2 FROM e) GROUP BY x, y")
+def node_degree(n):
+    return topology.node_degree(n.linked).join(n.nodes.withColumnRenamed("id", "node"), "node").select("x", "y", "edges", "roads", "pass_through")
+
+
+@query("orphan_nodes", f"WITH {E} SELECT DISTINCT x1 AS x, y1 AS y FROM e WHERE edge_order = 1 AND okey % 6 = 0")
+def orphan_nodes(n):
+    return topology.orphan_nodes(n.nodes, n.linked.join(n.flat.where("edge_order = 1 and okey % 6 = 0").select("id"), "id", "left_anti")).join(n.flat.where("edge_order = 1").select(F.col("x1").alias("x"), F.col("y1").alias("y")), ["x", "y"], "left_semi").select("x", "y")
+
+
+@query("propagate_node_moves", f"WITH {E} SELECT id, CASE WHEN x1 % 2 = 0 THEN x1 + 1 ELSE x1 END AS x1, CASE WHEN x2 % 2 = 0 THEN x2 + 1 ELSE x2 END AS x2 FROM e")
+def propagate_node_moves(n):
+    moved = n.nodes.where("x % 2 = 0").select("id", (F.col("x") + 1).alias("x"), "y")
+    e = topology.propagate_node_moves(n.linked, moved)
+    return e.select("id", g.start_point(F.col("geom"))["x"].alias("x1"), g.end_point(F.col("geom"))["x"].alias("x2"))
+
+
+@query("marker_zero_upkeep", f"WITH {E}, {M} SELECT road_code, code, x, y FROM m WHERE code > 0 UNION ALL SELECT road_code, 0, x1, y1 FROM e WHERE edge_order = 1")
+def marker_zero_upkeep(n):
+    off = n.markers.where("not (code = 0 and length(road_code) % 2 = 0)").withColumn("geom", F.when(F.col("code") == 0, g.point(F.col("geom.x") + 3, F.col("geom.y"))).otherwise(F.col("geom")))
+    return topology.marker_zero_upkeep(n.edges, off).select("road_code", "code", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
+@query("marker_change_refs", f"WITH {E}, {M} SELECT DISTINCT road_code FROM m WHERE code = 2")
+def marker_change_refs(n):
+    new = n.markers.withColumn("geom", F.when(F.col("code") == 2, g.point(F.col("geom.x") + 1, F.col("geom.y"))).otherwise(F.col("geom")))
+    return topology.changed_marker_roads(n.markers, new)
+
+
+@query("ring_marker_check", "SELECT concat('G', CAST(s_suppkey AS VARCHAR)) AS road_code, CAST(s_suppkey % 3 AS INT) AS code, 'not marker 0' AS problem FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT concat('G', CAST(s_suppkey AS VARCHAR)), CAST(s_suppkey % 3 AS INT), 'away from ring nodes' FROM supplier WHERE s_suppkey % 2 = 0")
+def ring_marker_check(n):
+    r = rings(n)
+    m = n.table("supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("road_code"), (F.col("s_suppkey") % 3).cast("int").alias("code"), g.point(F.expr("s_suppkey % 100 * 100 + if(s_suppkey % 2 = 0, 5, 0)"), F.expr("floor(s_suppkey / 100) * 100 + 10")).alias("geom"))
+    return topology.ring_marker_check(m, r, r.select("road_code").distinct().withColumn("road_type", F.lit("roundabout")))
+
+
+@query("orient_rings", "SELECT s_suppkey AS id, CAST(s_suppkey % 100 * 100 AS DOUBLE) AS x, CAST(floor(s_suppkey / 100) * 100 AS DOUBLE) + 20 AS y FROM supplier")
+def orient_rings(n):
+    x, y = F.expr("s_suppkey % 100 * 100"), F.expr("floor(s_suppkey / 100) * 100")
+    cw = g.line(g.point(x, y), g.point(x, y + 20), g.point(x + 20, y), g.point(x, y))
+    geom = F.when(F.col("s_suppkey") % 2 == 0, cw).otherwise(F.reverse(cw))
+    out = topology.orient_rings(n.table("supplier").select(F.col("s_suppkey").alias("id"), geom.alias("geom")))
+    return out.select("id", F.element_at("geom", 3)["x"].alias("x"), F.element_at("geom", 3)["y"].alias("y"))
+
+
+@query("clean_roundabouts", "SELECT s_suppkey AS id, 'C' AS road_code, concat('G', CAST(s_suppkey AS VARCHAR)) AS ring_road FROM supplier WHERE s_suppkey % 2 = 0")
+def clean_roundabouts(n):
+    x, y = F.expr("s_suppkey % 100 * 100"), F.expr("floor(s_suppkey / 100) * 100")
+    far = F.when(F.col("s_suppkey") % 2 == 0, 12).otherwise(40)
+    other = n.table("supplier").select(F.col("s_suppkey").alias("id"), F.lit("C").alias("road_code"), g.line(g.point(x + 9, y + 9), g.point(x + far, y + 11)).alias("geom"))
+    return topology.clean_roundabouts(rings(n), other)
+
+
+@query("ring_top_node", "SELECT concat('G', CAST(s_suppkey AS VARCHAR)) AS road_code, s_suppkey * 10 + 3 AS node FROM supplier WHERE s_suppkey % 2 = 1")
+def ring_top_node(n):
+    used = n.table("supplier").where("s_suppkey % 2 = 0").select((F.col("s_suppkey") * 10 + 3).alias("start_node"), F.lit(-1).cast("long").alias("end_node"))
+    # Of an even supplier's ring another road uses the top node; its next highest nodes have a higher neighbour.
+    return topology.ring_top_node(rings(n), used)
+
+
+# Change sets
+
+AREA = [(-0.5, -0.5), (900_999.5, -0.5), (900_999.5, 90_999.5), (-0.5, 90_999.5), (-0.5, -0.5)]
+
+
+def area():
+    return F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in AREA])
+
+
+INSIDE = "x1 < 900999.5 AND y1 < 90999.5"
+
+
+@query("clone_area", f"WITH {E}, {M}, rd AS (SELECT DISTINCT road_code FROM e WHERE ({INSIDE}) OR (x2 < 900999.5 AND y2 < 90999.5)), oe AS (SELECT e.* FROM e JOIN rd ON rd.road_code = e.road_code) SELECT (SELECT count(*) FROM rd) AS roads, (SELECT count(*) FROM oe) AS edges, (SELECT count(*) FROM (SELECT x1, y1 FROM oe UNION SELECT x2, y2 FROM oe)) AS nodes, (SELECT count(*) FROM m JOIN rd ON rd.road_code = m.road_code) AS markers")
+def clone_area(n):
+    out = sessions.clone_area(n.linked, n.nodes, n.markers, area())
+    rows = None
+    for name in ("roads", "edges", "nodes", "markers"):
+        c = out[name].agg(F.count("*").alias(name))
+        rows = c if rows is None else rows.crossJoin(c)  # four rows of one number
+    return rows
+
+
+COMPACT = f"""lg AS ({LOG_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY table_name, id ORDER BY seq DESC) AS k FROM lg WHERE op <> 'U'), co AS (SELECT o.table_name, o.id, CASE WHEN x.op IS NULL THEN 'U' WHEN x.op = 'I' THEN 'I' WHEN o.us > x.seq THEN 'U' WHEN y.op = 'I' THEN NULL ELSE 'D' END AS op
+ FROM (SELECT table_name, id, max(CASE WHEN op = 'U' THEN seq END) AS us FROM lg GROUP BY table_name, id) o LEFT JOIN f x ON x.table_name = o.table_name AND x.id = o.id AND x.k = 1 LEFT JOIN f y ON y.table_name = o.table_name AND y.id = o.id AND y.k = 2)"""
+
+
+@query("compact_log", f"WITH {COMPACT} SELECT * FROM co WHERE op IS NOT NULL")
+def compact_log(n):
+    return sessions.compact_log(n.log)
+
+
+@query("stream_compact_log", f"WITH {COMPACT} SELECT * FROM co WHERE op IS NOT NULL")
+def stream_compact_log(n):
+    """The stateful operator on the events as one stream, read to its end."""
+    import tempfile
+
+    from linref.streaming.streams import stream_compact_log as op
+
+    base = n.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    from uuid import uuid4
+
+    at = f"{base}/stream-{uuid4().hex}"
+    src = n.spark.readStream.schema(n.table("events").schema).parquet(f"{n.sf_dir}/events.parquet*")
+    src.createOrReplaceTempView("event_stream")
+    log = n.spark.sql(LOG_SQL.replace("FROM events", "FROM event_stream"))
+    out = op(log)
+
+    def batch(df, k):
+        df.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
+
+    n.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    done = n.spark.read.parquet(f"{at}/out")
+    last = done.groupBy("table_name", "id").agg(F.max_by("op", "batch").alias("op"))
+    return last.where("op is not null")
+
+
+@query("drop_noop_changes", "SELECT o_orderkey AS id, 'U' AS op FROM orders WHERE o_orderkey % 3 = 0")
+def drop_noop_changes(n):
+    base = n.table("orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
+    changes = base.withColumn("o_totalprice", F.when(F.col("id") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).withColumn("op", F.lit("U"))
+    return sessions.drop_noop_changes(changes, base).select("id", "op")
+
+
+@query("area_violations", f"WITH {E} SELECT id FROM e WHERE NOT (({INSIDE}) OR (x2 < 900999.5 AND y2 < 90999.5))")
+def area_violations(n):
+    return sessions.area_violations(n.edges, area()).select("id")
+
+
+@query("change_set", f"WITH {COMPACT} SELECT co.table_name, co.id, co.op, c.c_custkey IS NOT NULL AS has_row FROM co LEFT JOIN customer c ON c.c_custkey = co.id WHERE op IS NOT NULL")
+def change_set(n):
+    out = sessions.change_set(n.log, {"edges": n.table("customer").withColumnRenamed("c_custkey", "id")})
+    return out.select("table_name", "id", "op", F.col("row").isNotNull().alias("has_row"))
+
+
+@query("apply_changes", f"WITH {COMPACT} SELECT coalesce(c.c_custkey, co.id) AS id, CASE WHEN co.op = 'U' OR c.c_custkey IS NULL THEN -1.0 ELSE c_acctbal END AS c_acctbal FROM customer c FULL JOIN (SELECT * FROM co WHERE op IS NOT NULL) co ON c.c_custkey = co.id WHERE coalesce(co.op, '') <> 'D' AND (c.c_custkey IS NOT NULL OR co.op = 'I')")
+def apply_changes(n):
+    base = n.table("customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    return sessions.apply_changes(base, sessions.compact_log(n.log).select("id", "op", F.lit(-1.0).alias("c_acctbal")))
+
+
+@query("touched_roads", f"WITH {E}, {M} SELECT DISTINCT road_code FROM e WHERE q = 7 UNION SELECT DISTINCT road_code FROM m WHERE code = 5")
+def touched_roads(n):
+    marks = n.markers.withColumn("id", F.xxhash64("road_code", "code"))
+    return sessions.touched_roads(n.flat.where("q = 7").select("id"), marks.where("code = 5").select("id"), [n.edges.where("edge_order > 2"), n.edges], [marks])
+
+
+@query("drop_session", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT LIKE '1%'")
+def drop_session(n):
+    o = n.table("orders").select("o_orderkey", F.col("o_orderpriority").alias("session_id"))
+    return sessions.drop_session(o, o.where("session_id like '1%'")).select("o_orderkey")
+
+
+@query("latest_session", "SELECT status, id, label FROM (SELECT o_orderstatus AS status, o_orderkey AS id, o_orderpriority AS label, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def latest_session(n):
+    return sessions.latest_session(n.table("orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), F.col("o_orderdate").alias("created_at"))).drop("created_at")
+
+
+STATUS = "CASE o_orderkey % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'cloned' WHEN 2 THEN 'edited' ELSE 'merged' END"
+
+
+@query("session_violations", "SELECT o_orderkey AS id, 'geometry is frozen' AS problem FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'cannot be cloned' FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'cannot be merged' FROM orders WHERE o_orderkey % 4 <> 2 AND o_orderkey % 7 = 0")
+def session_violations(n):
+    old = n.table("orders").select(F.col("o_orderkey").alias("id"), F.expr(STATUS).alias("status"), F.array(g.point(F.lit(0), F.lit(0))).alias("geom"))
+    new = old.withColumn("geom", F.when(F.col("id") % 3 == 0, F.array(g.point(F.lit(1), F.lit(0)))).otherwise(F.col("geom")))
+    return sessions.session_violations(old, new, old.where("id % 5 = 0").select("id"), old.where("id % 7 = 0").select("id"))
+
+
+@query("compare_tables", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'only A' WHEN o_orderkey % 4 = 1 THEN 'only B' ELSE 'differs' END AS status, CAST(CASE WHEN o_orderkey % 4 < 2 THEN 2 ELSE 1 END AS INT) AS n_values FROM orders WHERE o_orderkey % 4 < 3")
+def compare_tables(n):
+    o = n.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority", "o_custkey")
+    a, b = o.where("id % 4 != 1"), o.where("id % 4 != 0").withColumn("o_orderstatus", F.when(F.col("id") % 4 == 2, "?").otherwise(F.col("o_orderstatus")))
+    out = sessions.compare_tables(a, b, "id", ("o_custkey",))
+    return out.select("id", "status", F.size(F.coalesce("a_values", "b_values")).alias("n_values"))
+
+
+# Assets
+
+
+@query("assets_references", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid AS id, marker_code, abscissa, "offset", side FROM r')
+def assets_references(n):
+    return layer_references(n).drop("changed")
+
+
+@query("assets_geometry", f"WITH {E}, {REQUESTS}, {AT}, h AS (SELECT * FROM (SELECT at.rid, at.off * CASE at.side WHEN 'left' THEN 1.0 ELSE -1.0 END AS mv, (at.mn - e.mn1) / (e.mn2 - e.mn1) AS t, e.mn2-e.mn1 AS len, e.x1, e.y1, e.x2, e.y2, row_number() OVER (PARTITION BY at.rid ORDER BY e.edge_order) AS k FROM at JOIN e ON e.road_code = at.road_code AND e.mn1 <= at.mn AND at.mn <= e.mn2) WHERE k = 1) SELECT q.rid AS id, round(x1 + t*(x2-x1) - mv*(y2-y1)/len, 2) AS x, round(y1 + t*(y2-y1) + mv*(x2-x1)/len, 2) AS y, h.rid IS NOT NULL AS changed FROM q LEFT JOIN h ON h.rid = q.rid")
+def assets_geometry(n):
+    a = requests(n).select(F.col("rid").alias("id"), "road_code", "marker_code", "abscissa", F.col("off").alias("offset"), "side", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    return assets.geometries_from_references(a, n.segments, n.markers).select("id", "x", "y", "changed")
+
+
+@query("assets_on_change", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid AS id, marker_code, abscissa, TRUE AS changed FROM r')
+def assets_on_change(n):
+    a = n.points.select(F.col("pid").alias("id"), "road_code", "x", "y", F.lit(None).cast("int").alias("marker_code"), F.lit(None).cast("double").alias("abscissa"), F.lit(0.0).alias("offset"), F.lit("right").alias("side"))
+    return assets.on_graph_change(a, n.segments, n.markers, "references").select("id", "marker_code", "abscissa", "changed")
+
+
+@query("changed_area", f"WITH {E}, {P} SELECT 'points' AS table_name, count(*) AS n, min(x) - 10 AS x1, min(y) - 10 AS y1, max(x) + 10 AS x2, max(y) + 10 AS y2, count(DISTINCT floor(x / 10) * 1000000 + floor(y / 10)) AS cells FROM p UNION ALL SELECT '', 0, NULL, NULL, NULL, NULL, 0")
+def changed_area(n):
+    return assets.changed_area("points", n.points)
+
+
+@query("update_all_assets")
+def update_all_assets(n):
+    a = n.points.select(F.col("pid").alias("id"), "road_code", "x", "y", F.lit(None).cast("int").alias("marker_code"), F.lit(None).cast("double").alias("abscissa"))
+    _, report = assets.update_all([("trees", "references"), ("lamps", "references")], {"trees": a.where("id % 2 = 0"), "lamps": a.where("id % 2 = 1")}, n.segments, n.markers, n.edges.select("road_code"))
+    return report.select("table_name", "changed")
+
+
+# Quality
+
+
+@query("roads_without_zero", f"WITH {E}, {M} SELECT DISTINCT road_code FROM e WHERE okey % 9 = 0")
+def roads_without_zero(n):
+    bare = n.flat.where("okey % 9 = 0").select("road_code").distinct()
+    keep = n.markers.join(bare, "road_code", "left_anti").unionByName(n.markers.where("code > 0").join(bare, "road_code", "left_semi"))
+    return quality.roads_without_zero(n.edges, keep)
+
+
+@query("broken_chains", f"WITH {E}, z AS (SELECT *, lag(id) OVER w AS p, lead(id) OVER w AS x FROM e WINDOW w AS (PARTITION BY road_code ORDER BY edge_order)) SELECT * FROM (SELECT road_code, count(*) AS edges, count(p) AS previous, count(x) AS \"next\" FROM z WHERE q % 13 <> 0 GROUP BY road_code) t WHERE previous + 1 <> edges OR \"next\" + 1 <> edges")
+def broken_chains(n):
+    return quality.broken_chains(n.linked.join(n.flat.where("q % 13 != 0").select("id"), "id", "left_semi"))
+
+
+@query("unknown_roads", f"WITH {E}, {M} SELECT road_code, 'edges' AS table_name, count(*) AS n FROM e WHERE okey % 8 = 0 GROUP BY road_code UNION ALL SELECT m.road_code, 'markers', count(*) FROM m JOIN (SELECT DISTINCT road_code FROM e WHERE okey % 8 = 0) b ON b.road_code = m.road_code GROUP BY m.road_code")
+def unknown_roads(n):
+    return quality.unknown_roads(n.edges, n.markers, n.flat.where("okey % 8 != 0").select("road_code").distinct())
+
+
+@query("constraint_report", f"WITH {E}, {M} SELECT 'edges.id is unique' AS rule, count(*) AS n FROM e WHERE q = 3 UNION ALL SELECT 'markers are not negative', count(*) FROM m WHERE code = 4")
+def constraint_report(n):
+    e = n.linked.unionByName(n.linked.join(n.flat.where("q = 3").select("id"), "id", "left_semi"))
+    m = n.markers.withColumn("abscissa", F.when(F.col("code") == 4, F.lit(-1.0)).otherwise(F.col("abscissa")))
+    return quality.constraint_report(e, n.nodes, m, n.edges.select("road_code").distinct().withColumn("road_type", F.lit("road")))
+
+
+@query("duplicate_edges", f"WITH {E} SELECT CAST(2 AS BIGINT) AS n, id AS least, id + 50 AS most FROM e WHERE q = 5")
+def duplicate_edges(n):
+    again = n.flat.where("q = 5").select((F.col("id") + 50).alias("id"), g.line(g.point(F.col("x1") + 0.01, "y1"), g.point("x2", "y2")).alias("geom"))
+    return quality.duplicate_edges(n.edges.select("id", "geom").unionByName(again))
+
+
+@query("stream_references", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid, road_code, marker_code, abscissa, cumulative, "offset", side FROM r')
+def stream_references(n):
+    """Positions as a stream read to its end; the result is the union of its batches."""
+    import tempfile
+    from uuid import uuid4
+
+    from linref.streaming.streams import stream_references as op
+
+    at = f"{n.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-checkpoint-')}/stream-{uuid4().hex}"
+    n.points.write.parquet(f"{at}/in")
+    src = n.spark.readStream.schema(n.points.schema).parquet(f"{at}/in")
+    op(src, n.segments, n.markers, f"{at}/out", f"{at}/state").awaitTermination()
+    return n.spark.read.parquet(f"{at}/out").drop("batch")
