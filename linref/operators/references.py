@@ -72,7 +72,7 @@ def measures_of_references(refs: DataFrame, segments: DataFrame, markers: DataFr
     best = refs.join(m, ["road_code", "marker_code"]).where("m_abscissa <= abscissa").groupBy("rid").agg(F.max(F.struct("m_abscissa", "m_mn")).alias("b"))
     total = segments.groupBy("road_code").agg(F.max("mn2").alias("total"))
     out = refs.join(best, "rid", "left").join(total, "road_code", "left")
-    return out.withColumn("mn", F.least(F.col("total"), F.col("b.m_mn") + F.col("abscissa") - F.col("b.m_abscissa"))).drop("b", "total")
+    return out.withColumn("mn", F.when(F.col("b").isNotNull(), F.least(F.col("total"), F.col("b.m_mn") + F.col("abscissa") - F.col("b.m_abscissa")))).drop("b", "total")
 
 
 def point_from_reference(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:

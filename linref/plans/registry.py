@@ -197,11 +197,11 @@ def requests(n):
     return n.sql(f"WITH {REQUESTS} SELECT * FROM q", "orders")
 
 
-AT = "at AS (SELECT q.*, least(t.total, q.abscissa) AS mn FROM q JOIN (SELECT road_code, max(mn2) AS total FROM e GROUP BY road_code) t ON t.road_code = q.road_code)"
+AT = "aq AS (SELECT q.*, least(t.total, q.abscissa) AS mn FROM q JOIN (SELECT road_code, max(mn2) AS total FROM e GROUP BY road_code) t ON t.road_code = q.road_code)"
 
 
-@query("point_from_reference", f"""WITH {E}, {REQUESTS}, {AT}, h AS (SELECT * FROM (SELECT at.rid, at.off * CASE at.side WHEN 'left' THEN 1.0 ELSE -1.0 END AS mv, (at.mn - e.mn1) / (e.mn2 - e.mn1) AS t, e.mn2-e.mn1 AS len, e.x1, e.y1, e.x2, e.y2, row_number() OVER (PARTITION BY at.rid ORDER BY e.edge_order) AS k
- FROM at JOIN e ON e.road_code = at.road_code AND e.mn1 <= at.mn AND at.mn <= e.mn2) WHERE k = 1) SELECT q.rid, round(x1 + t*(x2-x1) - mv*(y2-y1)/len, 2) AS x, round(y1 + t*(y2-y1) + mv*(x2-x1)/len, 2) AS y FROM q LEFT JOIN h ON h.rid = q.rid""")
+@query("point_from_reference", f"""WITH {E}, {REQUESTS}, {AT}, h AS (SELECT * FROM (SELECT aq.rid, aq.off * CASE aq.side WHEN 'left' THEN 1.0 ELSE -1.0 END AS mv, (aq.mn - e.mn1) / (e.mn2 - e.mn1) AS t, e.mn2-e.mn1 AS len, e.x1, e.y1, e.x2, e.y2, row_number() OVER (PARTITION BY aq.rid ORDER BY e.edge_order) AS k
+ FROM aq JOIN e ON e.road_code = aq.road_code AND e.mn1 <= aq.mn AND aq.mn <= e.mn2) WHERE k = 1) SELECT q.rid, round(x1 + t*(x2-x1) - mv*(y2-y1)/len, 2) AS x, round(y1 + t*(y2-y1) + mv*(x2-x1)/len, 2) AS y FROM q LEFT JOIN h ON h.rid = q.rid""")
 def point_from_reference(n):
     return references.point_from_reference(requests(n).withColumnRenamed("off", "offset"), n.segments, n.markers)
 
@@ -510,7 +510,7 @@ def assets_references(n):
     return layer_references(n).drop("changed")
 
 
-@query("assets_geometry", f"WITH {E}, {REQUESTS}, {AT}, h AS (SELECT * FROM (SELECT at.rid, at.off * CASE at.side WHEN 'left' THEN 1.0 ELSE -1.0 END AS mv, (at.mn - e.mn1) / (e.mn2 - e.mn1) AS t, e.mn2-e.mn1 AS len, e.x1, e.y1, e.x2, e.y2, row_number() OVER (PARTITION BY at.rid ORDER BY e.edge_order) AS k FROM at JOIN e ON e.road_code = at.road_code AND e.mn1 <= at.mn AND at.mn <= e.mn2) WHERE k = 1) SELECT q.rid AS id, round(x1 + t*(x2-x1) - mv*(y2-y1)/len, 2) AS x, round(y1 + t*(y2-y1) + mv*(x2-x1)/len, 2) AS y, h.rid IS NOT NULL AS changed FROM q LEFT JOIN h ON h.rid = q.rid")
+@query("assets_geometry", f"WITH {E}, {REQUESTS}, {AT}, h AS (SELECT * FROM (SELECT aq.rid, aq.off * CASE aq.side WHEN 'left' THEN 1.0 ELSE -1.0 END AS mv, (aq.mn - e.mn1) / (e.mn2 - e.mn1) AS t, e.mn2-e.mn1 AS len, e.x1, e.y1, e.x2, e.y2, row_number() OVER (PARTITION BY aq.rid ORDER BY e.edge_order) AS k FROM aq JOIN e ON e.road_code = aq.road_code AND e.mn1 <= aq.mn AND aq.mn <= e.mn2) WHERE k = 1) SELECT q.rid AS id, round(x1 + t*(x2-x1) - mv*(y2-y1)/len, 2) AS x, round(y1 + t*(y2-y1) + mv*(x2-x1)/len, 2) AS y, h.rid IS NOT NULL AS changed FROM q LEFT JOIN h ON h.rid = q.rid")
 def assets_geometry(n):
     a = requests(n).select(F.col("rid").alias("id"), "road_code", "marker_code", "abscissa", F.col("off").alias("offset"), "side", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
     return assets.geometries_from_references(a, n.segments, n.markers).select("id", "x", "y", "changed")
