@@ -100,8 +100,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     lent = one.select(F.col("doc_id").alias("previous_id"), (F.floor(F.col("most_chars") / 2)).cast("int").alias("lend"))
     lend = order.join(lent, "previous_id").join(one.select("doc_id", "lead_h"), "doc_id").select("doc_id", "previous_id", "lead_h", "lend")
     keyed = docs.withColumn("h", F.xxhash64("text"))
-    # Both uses of the texts are dealt out by doc_id alone, so that Spark shuffles them once.
-    heads = keyed.join(lend, "doc_id").where(F.col("h") == F.col("lead_h")).select(F.col("previous_id").alias("doc_id"), F.expr("left(text, lend)").alias("head"))
+    # Both uses of the texts are dealt out by doc_id alone, so that Spark shuffles them once: an equality would become a key of the join.
+    heads = keyed.join(lend, "doc_id").where(F.col("h").bitwiseXOR(F.col("lead_h")) == 0).select(F.col("previous_id").alias("doc_id"), F.expr("left(text, lend)").alias("head"))
     if light.where("copies > 1").limit(1).count():
         heads, keyed = heads.dropDuplicates(["doc_id"]), keyed.dropDuplicates(["doc_id", "h"])
     n = F.char_length("text")
