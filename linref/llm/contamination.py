@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import gram_hashes, slices, text_buffers, word_hashes
+from linref.llm._shared import cut, gram_hashes, slices, text_buffers, word_hashes
 
 K1, B = 1.2, 0.75
 #: A passage is a candidate when it reaches this share of the item's own score, a leak when it holds these shares of the item's shingles.
@@ -35,6 +35,8 @@ class Index:
     answer: list[np.ndarray]
     passage: int
     short: dict[tuple[int, bool], int]
+    rare: np.ndarray
+    common: np.ndarray
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -74,7 +76,10 @@ def build_index(ids: list, texts: list[str], counts: dict[int, int], total: int,
     first = np.append(first, len(term)).astype(np.int64)
     block_most = [np.array([weight[a:b][j : j + POSTINGS].max() for j in range(0, b - a, POSTINGS)]) for a, b in zip(first[:-1], first[1:], strict=True)]
     most = np.array([m.max() for m in block_most])
-    return Index(distinct, first, item, weight, most, block_most, ids, [p[0] for p in parts], [p[1] for p in parts], max(PASSAGE, 2 * longest), short)
+    # Terms in more than a twentieth of the items are common; an item's common terms together weigh so much at most.
+    rare = np.diff(first) <= max(1, len(ids) // 20)
+    common = np.bincount(item, np.where(np.repeat(rare, np.diff(first)), 0.0, weight), minlength=len(ids))
+    return Index(distinct, first, item, weight, most, block_most, ids, [p[0] for p in parts], [p[1] for p in parts], max(PASSAGE, 2 * longest), short, rare, common)
 
 
 def _hashed(text: str) -> np.ndarray:
@@ -133,6 +138,27 @@ def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, f
     return found
 
 
+def promising(index: Index, term: np.ndarray, known: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The passages that may reach the threshold for some item: their rare terms' weights and all of the item's common ones do."""
+    place = np.flatnonzero(known)
+    place = place[index.rare[term[place]]] if len(place) else place
+    lo, hi = np.searchsorted(place, start), np.searchsorted(place, end)
+    size = hi - lo
+    passage = np.repeat(np.arange(len(start)), size)
+    at = place[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(len(passage))]
+    pair = np.unique(passage * len(index.terms) + term[at])
+    passage, t = pair // max(len(index.terms), 1), pair % max(len(index.terms), 1)
+    n = index.first[t + 1] - index.first[t]
+    posting = np.repeat(index.first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    code, where = np.unique(np.repeat(passage, n) * len(index.ids) + index.items[posting], return_inverse=True)
+    score = np.bincount(where, index.weights[posting], minlength=len(code))
+    met = score + index.common[code % max(len(index.ids), 1)] >= SCORE - 1e-6 if len(code) else np.zeros(0, bool)
+    found = np.unique(code[met] // max(len(index.ids), 1))
+    if (index.common >= SCORE - 1e-6).any():  # an item of common terms alone can be met anywhere
+        found = np.arange(len(start))
+    return found
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -142,15 +168,14 @@ def _search(shared):
             term = np.searchsorted(index.terms, words) if len(index.terms) else np.zeros(len(words), np.int64)
             term[term == len(index.terms)] = 0
             known = index.terms[term] == words if len(index.terms) else np.zeros(len(words), bool)
-            bounds = np.concatenate([[0.0], np.cumsum(np.where(known, index.most[term] if len(index.terms) else 0.0, 0.0))])
-            # Passages of all rows: where each starts and ends. Those whose terms' greatest weights stay below the threshold match nothing.
+            # Passages of all rows: where each starts and ends.
             n = np.diff(rows)
             number = np.where(n > 0, np.maximum(1, -(-(n - stride) // stride)), 0)
             row = np.repeat(np.arange(len(n)), number)
             start = rows[row] + (np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)) * stride
             end = np.minimum(start + index.passage, rows[1:][row])
             hits: dict[tuple[int, int], tuple] = {}
-            for p in np.flatnonzero(bounds[end] - bounds[start] >= SCORE - 1e-9):
+            for p in promising(index, term, known, start, end):
                 own = slice(start[p], end[p])
                 terms = np.unique(term[own][known[own]])
                 if index.most[terms].sum() < SCORE - 1e-9:
