@@ -17,6 +17,8 @@ WORDS, PERCENT = 5, 75
 MOST_MATCHES = 16
 #: At most so many frequent shingles are ordered by their frequency, and so broadcast (16 bytes each); the rest is ordered by hash.
 ORDERED = 500_000
+#: What the first pass over the texts gives: of each row its key and set (df null), and the counts of shingles that are frequent in a batch.
+NAMES = ["doc_id", "rid", "n_shingles", "k", "token", "df"]
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,8 +31,11 @@ def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np
     if len(few):  # fewer words: the whole sequence is the one shingle
         values = np.concatenate([values, np.array([gram_hashes(words[rows[i] : rows[i + 1]], rows[i + 1] - rows[i])[0] ^ np.uint64(rows[i + 1] - rows[i]) for i in few], np.uint64)])
         row = np.concatenate([row, few])
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
+        order = np.argsort(row, kind="stable")
+        values, row = values[order], row[order]
+    ends = np.searchsorted(row, np.arange(len(rows)))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        values[a:b].sort()
     new = np.ones(len(row), bool)
     new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     return values[new], row[new]
@@ -46,20 +51,19 @@ def _keys(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 def _summaries(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "text"):
-            size, key = _keys(*_sets(data, offsets, n), part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(size.astype(np.int64)), signed(key)], ["doc_id", "rid", "n_shingles", "k"])
-
-    return run
-
-
-def _frequent(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # whole batches: a frequent shingle is in several documents of most of them
-            found = [_sets(data, offsets, n)[0] for _, data, offsets in slices([batch], "text")]
+        for batch in batches:
+            found = []
+            for part, data, offsets in slices([batch], "text"):
+                values, row = _sets(data, offsets, n)
+                found.append(values)
+                size, key = _keys(values, row, part.num_rows)
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(size.astype(np.int64)), signed(key), none, none], NAMES)
+            # Counts of whole batches: a frequent shingle is in several documents of most of them.
             values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             keep = counts >= 4
-            yield pa.RecordBatch.from_arrays([signed(values[keep]), pa.array(counts[keep].astype(np.int64))], ["token", "df"])
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, signed(values[keep]), pa.array(counts[keep].astype(np.int64))], NAMES)
 
     return run
 
@@ -67,15 +71,23 @@ def _frequent(n: int):
 def _prefixes(n: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = frequent.value
+        seen = np.zeros(1 << 23, bool)  # whether any frequent shingle starts with these 23 bits
+        seen[tokens >> np.uint64(41)] = True
         for part, data, offsets in slices(batches, "text"):
             values, row = _sets(data, offsets, n)
             size, key = _keys(values, row, part.num_rows)
-            order = np.zeros(len(values), np.uint32)
-            if len(tokens) and len(values):
-                at = np.searchsorted(tokens, values)
+            order = np.zeros(len(values), np.int64)
+            maybe = np.flatnonzero(seen[values >> np.uint64(41)])
+            if len(maybe):
+                at = np.searchsorted(tokens, values[maybe])
                 at[at == len(tokens)] = 0
-                order = np.where(tokens[at] == values, rank[at], 0).astype(np.uint32)
-            sort = np.lexsort((values, order, row))  # rare shingles first, then by frequency
+                order[maybe] = np.where(tokens[at] == values[maybe], rank[at], 0)
+            # Rare shingles first, by hash, then the others by frequency.
+            often = np.flatnonzero(order)
+            often = often[np.argsort(row[often] * np.int64(1 << 32) + order[often], kind="stable")]
+            rare = np.flatnonzero(order == 0)
+            sort = np.concatenate([rare, often])
+            sort = sort[np.argsort(row[sort], kind="stable")]
             values, row = values[sort], row[sort]
             place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
             # A partner holds at least percent of this set, so with l matches wanted the prefix is l - 1 longer.
@@ -111,10 +123,11 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
-    light = cut(docs.mapInArrow(_summaries(words), "doc_id long, rid long, n_shingles long, k long"))
+    first = cut(docs.mapInArrow(_summaries(words), ", ".join(f"{c} long" for c in NAMES)))
+    light = first.where("df is null").select(*NAMES[:4])
     # Equal sets are one node; its copies are never paired.
     nodes = light.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("label"), F.min("rid").alias("rid"))
-    top = docs.select("text").mapInArrow(_frequent(words), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(ORDERED).toPandas()
+    top = first.where("df is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(ORDERED).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     by_value = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[by_value], (len(tokens) - by_value).astype(np.uint32)))
