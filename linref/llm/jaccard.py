@@ -156,18 +156,15 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         return F.least(F.col(l1), F.col(l2), F.ceil(F.greatest("n1", "n2") * percent / 100).cast("int"))
 
     fits = F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    links, comp = None, postings.select("k").distinct().select("k", F.col("k").alias("c"))
-    for turn in range(2):
-        # Each node of a token is paired with the token's two representatives only: what is linked by them need not be paired again.
-        # Tokens are counted where one is the other's representative, so some pairs wait for the last step.
-        at = postings.join(comp, "k").withColumn("r", F.xxhash64("k", F.lit(turn)))
-        row = F.struct("r", "k", "n", "l", "c")
-        ends = at.groupBy("token").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token", F.array("lo", "hi").alias("rep"))
-        pairs = at.select("token", "k", "n", "l", "c").join(ends, "token").select(F.col("k").alias("a"), F.col("n").alias("n1"), "l", "c", F.explode("rep").alias("p"))
-        pairs = pairs.where("c != p.c").withColumn("n2", F.col("p.n")).where(fits).select("a", F.col("p.k").alias("b"), asked("l", "p.l").alias("need"))
-        found = verified(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("a", "b"))
-        links = cut(found if links is None else links.unionByName(found).distinct())
-        comp = _labels(postings, links)
+    # Each node of a token is paired with the token's two representatives only: what is linked by them need not be paired again.
+    # Tokens are counted where one is the other's representative, so some pairs wait for the last step.
+    row = F.struct("r", "k", "n", "l")
+    at = postings.withColumn("r", F.xxhash64("k", F.lit(0)))
+    ends = at.groupBy("token").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo.k != hi.k").select("token", F.array("lo", "hi").alias("rep"))
+    pairs = at.select("token", "k", "n", "l").join(ends, "token").select(F.col("k").alias("a"), F.col("n").alias("n1"), "l", F.explode("rep").alias("p"))
+    pairs = pairs.where("a != p.k").withColumn("n2", F.col("p.n")).where(fits).select("a", F.col("p.k").alias("b"), asked("l", "p.l").alias("need"))
+    links = cut(verified(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("a", "b")))
+    comp = _labels(postings, links)
     # What is left: all pairs of different components that share as many prefix tokens as they need.
     at = postings.join(comp, "k")
     open_tokens = at.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
