@@ -10,16 +10,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, gram_hashes, slices, text_buffers, word_hashes
+from linref.llm._shared import IS_MARK, cut, gram_hashes, slices, text_buffers, word_hashes
 
 K1, B = 1.2, 0.75
 #: A passage is a candidate when it reaches this share of the item's own score, a leak when it holds these shares of the item's shingles.
 SCORE, OVERLAP, SHINGLE = 0.6, 0.75, 5
+#: A part of fewer words has too few shingles of its own for a share of them; its words are looked for in the item's shingles that reach into it.
+SHORT = 8
 PASSAGE, POSTINGS = 128, 16
 #: Items of one index; more items are searched in blocks, each over all rows. It bounds what is broadcast.
 ITEMS = 20_000
 
 
+@dataclass
+class Part:
+    """Question or answer: the hashes of its shingles of `size` words. A short part has those of the item that reach into it, where they start in it, and its length."""
+
+    grams: np.ndarray
+    size: int
+    starts: np.ndarray | None
+    words: int
+
+    def share(self, held: np.ndarray) -> float:
+        """Of the shingles, or of a short part's words, those that are in the held shingles."""
+        if not self.words:
+            return 1.0
+        found = np.isin(self.grams, held)
+        if self.starts is None:
+            return float(found.mean())
+        mark = np.zeros(self.words, bool)
+        for at in self.starts[found]:
+            mark[max(at, 0) : at + self.size] = True
+        return float(mark.mean())
+
+
 @dataclass
 class Index:
     """An inverted index: postings by term and item, with the greatest weight of each term and of each POSTINGS postings."""
@@ -31,16 +55,20 @@ class Index:
     most: np.ndarray
     block_most: list[np.ndarray]
     ids: list
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    question: list[Part]
+    answer: list[Part]
+    folded: list[bytes]
     passage: int
-    short: dict[tuple[int, bool], int]
     rare: np.ndarray
     common: np.ndarray
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    return np.unique(gram_hashes(words, min(SHINGLE, len(words)))) if len(words) else np.zeros(0, np.uint64)
+def _part(words: np.ndarray, a: int, b: int) -> Part:
+    if b - a >= SHORT:
+        return Part(np.unique(gram_hashes(words[a:b], SHINGLE)), SHINGLE, None, b - a)
+    size = min(SHINGLE, len(words))
+    first, last = max(0, a - size + 1), min(b, len(words) - size + 1)
+    return Part(gram_hashes(words, size)[first:last] if size else np.zeros(0, np.uint64), size, np.arange(first, last) - a, b - a)
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -49,14 +77,14 @@ def split_item(text: str) -> tuple[str, str]:
     for mark in ("\n", ". ", "? ", "! "):
         head, found, tail = text.rpartition(mark)
         if found and head.strip() and len(tail.split()) >= 1:
-            return head, tail
+            return head + mark.strip(), tail
     return text, ""
 
 
 def build_index(ids: list, texts: list[str], counts: dict[int, int], total: int, mean: float) -> Index:
     """counts: of how many items of the whole benchmark a term is in; total and mean: number and mean length of its items."""
     terms, items, weights, parts = [], [], [], []
-    longest, short = 1, {}
+    longest = 1
     for i, text in enumerate(texts):
         words = _hashed(text)
         longest = max(longest, len(words))
@@ -66,9 +94,8 @@ def build_index(ids: list, texts: list[str], counts: dict[int, int], total: int,
         terms.append(term)
         items.append(np.full(len(term), i))
         weights.append(w / w.sum() if len(w) else w)
-        halves = [_hashed(p) for p in split_item(text)]
-        parts.append(tuple(_grams(h) for h in halves))
-        short |= {(i, k == 1): len(h) for k, h in enumerate(halves) if len(h) < SHINGLE}
+        middle = len(_hashed(split_item(text)[0]))
+        parts.append((_part(words, 0, middle), _part(words, middle, len(words))))
     term, item, weight = (np.concatenate(x) if x else np.zeros(0) for x in (terms, items, weights))
     order = np.lexsort((item, term))
     term, item, weight = term[order].astype(np.uint64), item[order].astype(np.int64), weight[order]
@@ -79,12 +106,12 @@ def build_index(ids: list, texts: list[str], counts: dict[int, int], total: int,
     # Terms in more than a twentieth of the items are common; an item's common terms together weigh so much at most.
     rare = np.diff(first) <= max(1, len(ids) // 20)
     common = np.bincount(item, np.where(np.repeat(rare, np.diff(first)), 0.0, weight), minlength=len(ids))
-    return Index(distinct, first, item, weight, most, block_most, ids, [p[0] for p in parts], [p[1] for p in parts], max(PASSAGE, 2 * longest), short, rare, common)
+    return Index(distinct, first, item, weight, most, block_most, ids, [p[0] for p in parts], [p[1] for p in parts], [t.strip().encode().lower() for t in texts], max(PASSAGE, 2 * longest), rare, common)
 
 
 def _hashed(text: str) -> np.ndarray:
     data, offsets = text_buffers(pa.array([text]))
-    return word_hashes(data, offsets, fold=True)[0]
+    return word_hashes(data, offsets, True, IS_MARK)[0]
 
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -164,7 +191,7 @@ def _search(shared):
         index: Index = shared.value
         stride = index.passage // 2
         for part, data, offsets in slices(batches, "text"):
-            words, rows = word_hashes(data, offsets, fold=True)
+            words, rows = word_hashes(data, offsets, True, IS_MARK)
             term = np.searchsorted(index.terms, words) if len(index.terms) else np.zeros(len(words), np.int64)
             term[term == len(index.terms)] = 0
             known = index.terms[term] == words if len(index.terms) else np.zeros(len(words), bool)
@@ -181,10 +208,9 @@ def _search(shared):
                 if index.most[terms].sum() < SCORE - 1e-9:
                     continue
                 for item, score in wand(index, terms, SCORE - 1e-9):
-                    shares = []
-                    for grams in (index.question[item], index.answer[item]):
-                        k = min(SHINGLE, _length(index, item, grams))
-                        shares.append(float(np.isin(grams, gram_hashes(words[own], k)).mean()) if len(grams) else 1.0)
+                    shares = [p.share(gram_hashes(words[own], p.size)) for p in (index.question[item], index.answer[item])]
+                    if min(shares) < OVERLAP and index.folded[item] in data[offsets[row[p]] : offsets[row[p] + 1]].tobytes().lower():
+                        shares = [1.0, 1.0]  # a copy whose edge words go on as longer words of the document
                     if min(shares) >= OVERLAP and (score, *shares) > hits.get((row[p], item), (0.0,))[:3]:
                         hits[row[p], item] = (score, *shares, int(start[p] - rows[row[p]]))
             who = pa.array([r for r, _ in hits], pa.int64())
@@ -196,17 +222,13 @@ def _search(shared):
     return run
 
 
-def _length(index: Index, item: int, grams: np.ndarray) -> int:
-    """Words of the shingles of a part: five, or all words of a part that has fewer."""
-    return index.short.get((item, grams is index.answer[item]), SHINGLE)
-
-
 def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
     """(doc_id, rid, item_id, score, question_overlap, answer_overlap, passage_start) of each document and item that it holds.
 
     A document is cut into passages of 128 words, or twice the longest item, that overlap by half, so an item lies whole in one. Every
     passage is a query; all items that reach SCORE of their own BM25 score are found, and stay when OVERLAP of the five-word shingles of
-    both their question and their answer occur in the passage. The best passage of each document and item is given. Items without words
+    both their question and their answer occur in the passage (of a part of fewer than SHORT words: OVERLAP of its words, in shingles of the
+    item that reach into it), or when the document holds the item's very text. ASCII punctuation is in no word. The best passage of each document and item is given. Items without words
     match nothing; null or empty texts hold nothing. Repeated items or rows each give their own results. rid hashes key and text. Null
     keys are kept. Empty tables: no rows. Other columns are ignored. Items are indexed in blocks of `block` items."""
     spark = df.sparkSession
@@ -237,7 +259,7 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct terms of each item, and one row without a term with its number of words."""
     for part, data, offsets in slices(batches, "text"):
-        words, rows = word_hashes(data, offsets, fold=True)
+        words, rows = word_hashes(data, offsets, True, IS_MARK)
         found = [np.unique(words[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
         flat = np.concatenate(found).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(flat), pa.nulls(part.num_rows, pa.int64())]), pa.concat_arrays([pa.nulls(len(flat), pa.int64()), pa.array(np.diff(rows).astype(np.int64))])], ["term", "words"])

@@ -225,3 +225,21 @@ def test_model_table_is_normalised():
 def test_longest_repeats(spark):
     rows = [(r["words"], r["windows"]) for r in substrings.longest_repeats(spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(60))), (2, "x " + " ".join(f"a{i}" for i in range(30)))], "doc_id long, text string")).collect()]
     assert sorted(rows) == [(13, 18), (26, 5), (52, 0)]
+
+
+@pytest.mark.parametrize("filler", ["", "%%% ", "«x» "])
+def test_verbatim_items_are_leaks(spark, filler):
+    words = [f"wort{i}" for i in range(60)]
+    items = [(0, " ".join(words[:30]) + ". Eins zwei drei."), (1, "Wie heißt die Stadt? Sie heißt chbeheitä."), (2, "Wer? Er."), (3, "Frage " + " ".join(words[30:50]) + "!\nJa."), (4, "Ganz ohne Antwort")]
+    lead = " ".join(f"vor{i}" for i in range(150))
+    texts = [(i, f"{lead} {filler}{t}{filler.strip()} {lead}") for i, t in items] + [(9, lead), (10, f"{lead} Wie heißt die Stadt? Das sagt niemand."), (11, f"{lead} xWie heißt die Stadt? Sie heißt chbeheitä.y")]
+    got = contamination.leak_report(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (11, 1)]
+
+
+def test_every_exact_copy_of_an_item_is_a_leak(spark):
+    d = "/root/testdata/sf0.1"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    every = items.collect()
+    want = {(k, r["item_id"]) for k, t in pairs(docs) for r in every if t and r["text"] and r["text"] in t}
+    assert len(want) == 244 and want <= {(r["doc_id"], r["item_id"]) for r in contamination.leak_report(docs, items).collect()}
