@@ -1,4 +1,4 @@
-"""Main text of web pages: structure first, and a suffix array of each host's remaining blocks for text repeated across its pages."""
+"""Main text of web pages: runs of words repeated across the pages of a host, found host-wide and covered by suffix arrays, with structure as a signal."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut
+from linref.llm._shared import cut, gram_hashes, mix, signed, slices, sliding_min, starts_of_grams, word_hashes
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp"}
@@ -132,8 +132,10 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def covered(streams: list[list[str]], least: int) -> list[np.ndarray]:
-    """For each page's tokens, whether a run of at least `least` tokens that another page has too covers it."""
+def covered(streams: list[list[str]], least: int, known: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each page's tokens, whether a run of at least `least` tokens that another page has too covers it.
+
+    known: for each page the places of tokens at which a run starts that a page outside of these streams has."""
     names: dict[str, int] = {}
     x, page = [], []
     for i, tokens in enumerate(streams):
@@ -151,7 +153,16 @@ def covered(streams: list[list[str]], least: int) -> list[np.ndarray]:
     low, high = np.full(len(order), len(streams)), np.full(len(order), -1)
     np.minimum.at(low, group, owner)
     np.maximum.at(high, group, owner)
-    repeated = order[low[group] != high[group]]
+    again = low[group] != high[group]
+    if known is not None:
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in streams])])
+        outside = np.zeros(len(x), bool)
+        for first, places in zip(starts, known):
+            outside[first + places] = True
+        some = np.zeros(len(order), bool)
+        np.logical_or.at(some, group, outside[order])
+        again |= some[group]
+    repeated = order[again]
     steps = np.zeros(len(x) + 1, np.int64)
     np.add.at(steps, repeated, 1)
     np.add.at(steps, np.minimum(repeated + least, len(x)), -1)
@@ -160,20 +171,122 @@ def covered(streams: list[list[str]], least: int) -> list[np.ndarray]:
     return [mark[e - len(t) - 1 : e - 1] for e, t in zip(ends, streams, strict=True)]
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))
+def _kept(found: list[tuple[int, str]]) -> int:
+    """Which blocks are the text: those of the articles if there are any, else what no structure decides."""
+    return KEEP if any(k == KEEP for k, _ in found) else NEUTRAL
+
+
+def _sieve(rids: DataFrame):
+    """A bitmap in which each of the rids has its bit, broadcast; others seldom have theirs, and a join tells them apart."""
+    own = rids.select("rid").distinct().toPandas()["rid"].to_numpy(np.int64)
+    bits = 1 << min(27, max(10, int(len(own) * 16).bit_length()))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    np.bitwise_or.at(bitmap, (own & (bits - 1)) >> 3, (1 << (own & 7)).astype(np.uint8))
+    return rids.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _some(batches: Iterator[pa.RecordBatch], sieve, inside: bool, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The pages in the sieve or those outside it, so many at a time; all pages without one."""
     for batch in batches:
-        texts, open_, parts = [], [], []
-        for page in batch.column("html"):
-            found = blocks(page.as_py())
-            neutral = any(k == NEUTRAL for k, _ in found)
-            # A page with an article has its main text there; what lies outside it without a mark is no part of it.
-            whole = any(k == KEEP for k, _ in found)
-            open_.append(neutral and not whole)
-            texts.append("\n".join(t for k, t in found if k == KEEP))
-            parts.append([{"kind": k, "text": t} for k, t in found if k == NEUTRAL] if open_[-1] else [])
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("rid"), pa.array(texts, pa.string()), pa.array(open_, pa.bool_()), pa.array(parts, kind)],
-                                         ["page_id", "url", "rid", "text", "open", "parts"])
+        if sieve is not None:
+            rid, bitmap = batch.column("rid").to_numpy(), sieve.value
+            at = rid & (len(bitmap) * 8 - 1)
+            batch = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1) == inside))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _texts(sieve, inside: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _some(batches, sieve, inside):
+            texts = []
+            for page in batch.column("html"):
+                found = blocks(page.as_py())
+                kept = _kept(found)
+                texts.append("\n".join(t for k, t in found if k == kept))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "rid")], pa.array(texts, pa.string())], ["page_id", "url", "rid", "text"])
+
+    return run
+
+
+def _bodies(sieve=None):
+    """All blocks that are in no menu and the like, one a line, and their kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _some(batches, sieve, True):
+            found = [[x for x in blocks(page.as_py()) if x[0] != DROP] for page in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("host"), pa.array(["\n".join(t for _, t in f) for f in found], pa.string()), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32()))],
+                                             ["rid", "host", "body", "kinds"])
+
+    return run
+
+
+def _windows(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each `least` words in a row of one page: the first word's number, the row, the seed and the run; the host is part of both.
+
+    The seed is the least hash of some fewer words in them, so equal runs have equal seeds and neighbours mostly share theirs."""
+    words, rows = word_hashes(data, offsets)
+    at, row = starts_of_grams(rows, least)
+    n = max(1, least - 3)
+    host = mix(part.column("host").to_numpy().view(np.uint64))[row]
+    seed = sliding_min(gram_hashes(words, n), least - n + 1)[at] if len(at) else np.zeros(0, np.uint64)
+    return at - rows[:-1][row], row, mix(seed ^ host), mix(gram_hashes(words, least)[at] ^ host) if len(at) else seed
+
+
+def _short(seed: np.ndarray) -> np.ndarray:
+    """The upper 40 bits; the lower ones choose the bucket."""
+    return seed >> np.uint64(24)
+
+
+def _seeds(least: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches, "body", 1 << 20):
+            _, row, seed, _ = _windows(part, data, offsets, least)
+            new = np.ones(len(row), bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+            seed, rid = seed[new], part.column("rid").to_numpy()[row[new]]
+            bucket = ((seed & np.uint64((1 << 24) - 1)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.empty((len(order), 13), np.uint8)
+            packed[:, :5] = _short(seed[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+            packed[:, 5:] = rid[order].view(np.uint8).reshape(-1, 8)
+            own, first = np.unique(bucket[order], return_index=True)
+            ends = np.append(first, len(order))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["b", "packed"])
+
+    return run
+
+
+def _shared_seeds(group: pd.DataFrame) -> pd.DataFrame:
+    """The seeds of a bucket that two distinct pages have, with each of their pages."""
+    packed = np.frombuffer(b"".join(group["packed"]), np.uint8).reshape(-1, 13)
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, :5] = packed[:, :5]
+    seed, rid = wide.view(np.int64)[:, 0], np.ascontiguousarray(packed[:, 5:]).view(np.int64)[:, 0]
+    order = np.lexsort((rid, seed))
+    seed, rid = seed[order], rid[order]
+    first = np.concatenate([[True], (seed[1:] != seed[:-1])])
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(seed)) - 1
+    many = (rid[starts] != rid[ends])[np.cumsum(first) - 1]
+    many[1:] &= first[1:] | (rid[1:] != rid[:-1])
+    return pd.DataFrame({"rid": rid[many], "seed": seed[many]})
+
+
+def _runs(least: int):
+    """The runs of each page that one of its shared seeds is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches, "body", 1 << 20):
+            at, row, seed, value = _windows(part, data, offsets, least)
+            seeds = part.column("seeds")
+            own = np.repeat(np.arange(part.num_rows), seeds.value_lengths().to_numpy())
+            # Seeds of 40 bits and rows: a pair is one number.
+            pair = mix(np.concatenate([own, row]).astype(np.uint64)) ^ np.concatenate([seeds.flatten().to_numpy().view(np.uint64), _short(seed)])
+            keep = np.isin(pair[len(own) :], pair[: len(own)])
+            yield pa.RecordBatch.from_arrays([part.column("rid").take(pa.array(row[keep])), signed(value[keep]), pa.array(at[keep])], ["rid", "run", "place"])
+
+    return run
 
 
 def _long_or_whole(mark: np.ndarray, least: int) -> np.ndarray:
@@ -189,42 +302,62 @@ def _long_or_whole(mark: np.ndarray, least: int) -> np.ndarray:
 def _unique_runs(least: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rid")
-        streams = [[w for p in parts for w in p["text"].split()] for parts in group["parts"]]
+        pages = [list(zip(kinds, body.split("\n"), strict=True)) for kinds, body in zip(group["kinds"], group["body"], strict=True)]
+        streams = [[w for _, t in found for w in t.split()] for found in pages]
         out = []
-        for parts, mark in zip(group["parts"], covered(streams, least), strict=True):
-            at, kept = 0, []
-            for p in parts:
-                words = p["text"].split()
-                own = mark[at : at + len(words)]
+        for found, mark in zip(pages, covered(streams, least, [np.asarray(p, np.int64) for p in group["places"]]), strict=True):
+            at, kept, lines, gone, total = 0, _kept(found), [], 0, 0
+            for k, t in found:
+                words = t.split()
+                own = _long_or_whole(mark[at : at + len(words)], least)
                 at += len(words)
-                left = " ".join(w for w, m in zip(words, _long_or_whole(own, least), strict=True) if not m)
-                if left:
-                    kept.append(left)
-            out.append("\n".join(kept))
+                if k == kept:
+                    left = [w for w, m in zip(words, own, strict=True) if not m]
+                    gone, total = gone + len(words) - len(left), total + len(words)
+                    lines += [" ".join(left)] if left else []
+            # Articles, and pages of which nothing is left, keep their text.
+            copy = gone == total or kept == KEEP
+            out.append(None if copy or not gone else "\n".join(lines))
         return pd.DataFrame({"rid": group["rid"], "cleaned": out})
 
     return run
 
 
+def repeated_runs(pages: DataFrame, least: int = 8) -> DataFrame:
+    """(rid, host, body, kinds, places) of the pages (rid, host, html) that have a run of `least` words which another page of their host has too.
+
+    Whether a run is repeated is a fact of the whole host: seeds of runs are dealt into buckets by hash, those on two distinct pages give
+    candidates, and of these each run of `least` words is compared by the least and the greatest page that has it."""
+    size = pages.agg(F.coalesce(F.sum(F.length("html")), F.lit(0))).first()[0]
+    buckets = max(64, size // 20_000_000)
+    kind = "rid long, host long, body string, kinds array<int>"
+    shared = pages.mapInArrow(_bodies(), kind).mapInArrow(_seeds(least, buckets), "b int, packed binary").groupBy("b").applyInPandas(_shared_seeds, "rid long, seed long")
+    shared = cut(shared)
+    left = cut(pages.mapInArrow(_bodies(_sieve(shared)), kind).join(shared.groupBy("rid").agg(F.collect_list("seed").alias("seeds")), "rid").dropDuplicates(["rid"]))
+    runs = cut(left.mapInArrow(_runs(least), "rid long, run long, place long"))
+    many = runs.groupBy("run").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select("run")
+    places = runs.join(many, "run").groupBy("rid").agg(F.collect_list("place").alias("places"))
+    return left.drop("seeds").join(places, "rid")
+
+
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", least: int = 8, pages_per_block: int = 200) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
-    Blocks inside an article or main element, less the menus, forms, notices and so on in it, are the text. Repetition alone does not remove
-    them: copies of an article on one host would take each other away. A page without such an element keeps its blocks that are in no menu
-    and the like, less the runs of at least `least` words that a suffix array over the host's such pages finds on two distinct pages; of a block,
-    whole or at least `least` words in a row. A host's pages are dealt
-    into blocks of about pages_per_block for that, so a large host is no single group. References are decoded, white space in a block (br too) is
+    Blocks inside an article or main element, less the menus, forms, notices and so on in it, are the text; a page without such an element has
+    its blocks that are in no menu and the like. Of both, runs of at least `least` words that two distinct pages of the host have are removed; of
+    a block, whole or at least `least` words in a row. An article stays as
+    it is, as does any page of which nothing would be left. Repetition is found over all pages of a host (`repeated_runs`); the suffix arrays that
+    cover the runs are built over blocks of about pages_per_block of its pages, which does not change the result. References are decoded, white space in a block (br too) is
     one space, blocks are joined by a line feed. Null or empty html: empty text, 0 characters. Repeated rows: one result each, from one shared
     page, so they don't remove each other. Null url: a host of its own. Empty table: no rows. Other columns are ignored."""
     spark_type = df.schema[key].dataType.simpleString()
     pages = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
-    pages = pages.withColumn("rid", F.xxhash64("page_id", "url", "html"))
-    parsed = pages.mapInArrow(_parse, f"page_id {spark_type}, url string, rid long, text string, open boolean, parts array<struct<kind:int,text:string>>")
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1), F.lit(""))
-    left = cut(parsed.where("open").select("page_id", "url", "rid", "parts", F.lower(host).alias("host")))
-    one = left.select("host", "rid", "parts").dropDuplicates(["rid"])
-    dealt = one.join(one.groupBy("host").agg(F.ceil(F.count("*") / pages_per_block).alias("n")), "host").withColumn("b", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("n")))
-    cleaned = dealt.groupBy("host", "b").applyInPandas(_unique_runs(least), "rid long, cleaned string")
-    rest = left.select("page_id", "url", "rid").join(cleaned, "rid", "left").select("page_id", "url", F.coalesce("cleaned", F.lit("")).alias("text"))
-    out = parsed.where("not open").select("page_id", "url", "text").unionByName(rest)
+    pages = pages.withColumn("rid", F.xxhash64("page_id", "url", "html")).withColumn("host", F.xxhash64(F.lower(host)))
+    one = cut(repeated_runs(pages.select("rid", "host", "html"), least))
+    dealt = one.join(one.groupBy("host").agg(F.ceil(F.count("*") / pages_per_block).alias("n")), "host").withColumn("b", F.xxhash64("host", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("n"))))
+    cleaned = cut(dealt.groupBy("b").applyInPandas(_unique_runs(least), "rid long, cleaned string").where("cleaned is not null"))
+    sieve = _sieve(cleaned)
+    inside, outside = [pages.select("page_id", "url", "rid", "html").mapInArrow(_texts(sieve, k), f"page_id {spark_type}, url string, rid long, text string") for k in (True, False)]
+    out = inside.join(cleaned, "rid", "left").select("page_id", "url", F.coalesce("cleaned", "text").alias("text")).unionByName(outside.select("page_id", "url", "text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

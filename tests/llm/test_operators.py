@@ -243,3 +243,27 @@ def test_every_exact_copy_of_an_item_is_a_leak(spark):
     every = items.collect()
     want = {(k, r["item_id"]) for k, t in pairs(docs) for r in every if t and r["text"] and r["text"] in t}
     assert len(want) == 244 and want <= {(r["doc_id"], r["item_id"]) for r in contamination.leak_report(docs, items).collect()}
+
+
+@pytest.mark.parametrize("tag", ["div"])
+def test_runs_are_repeated_over_the_whole_host(spark, tag):
+    notice, ad, copy = "Please note that our offices are closed on all Mondays", "Buy two pairs of shoes and get the third one free", " ".join(f"copied{j}" for j in range(40))
+    own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(450)]
+    rows = [(i, f"http://h.example/{i}", f"<{tag}><p>{own[i]}</p>" + (f"<p>{notice}</p>" if i in (3, 400) else "") + (f"<p>{ad}</p>" if i % 50 == 0 else "") + f"</{tag}>") for i in range(450)]
+    rows += [(450 + i, f"http://h.example/{450 + i}", f"<{tag}><p>{copy}</p></{tag}>") for i in range(2)] + [(460, "http://other.example/", f"<{tag}><p>{own[0]}</p><p>{notice}</p></{tag}>")]
+    got = {r["page_id"]: r["text"] for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), pages_per_block=20).collect()}
+    assert got == {i: own[i] for i in range(450)} | {450: copy, 451: copy, 460: f"{own[0]}\n{notice}"}
+
+
+def test_repeated_runs_of_given_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    host = {r["page_id"]: (r["url"] or "").split("/")[2].lower() for r in rows}
+    words = {r["page_id"]: [w for k, t in main_text.blocks(r["html"] or "") if k != main_text.DROP for w in t.split()] for r in rows}
+    pages = defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - 7):
+            pages[host[i], tuple(w[j : j + 8])].add(i)
+    want = sorted((j, len(w)) for i, w in words.items() for j in range(len(w) - 7) if len(pages[host[i], tuple(w[j : j + 8])]) > 1)
+    frame = spark.createDataFrame([(r["page_id"], hash(host[r["page_id"]]), r["html"] or "") for r in rows], "rid long, host long, html string")
+    got = main_text.repeated_runs(frame).collect()
+    assert want and sorted((p, len(r["body"].split())) for r in got for p in r["places"]) == want
