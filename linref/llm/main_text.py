@@ -315,8 +315,8 @@ def _unique_runs(least: int):
                     left = [w for w, m in zip(words, own, strict=True) if not m]
                     gone, total = gone + len(words) - len(left), total + len(words)
                     lines += [" ".join(left)] if left else []
-            # Articles, and pages of which nothing is left, keep their text.
-            copy = gone == total or kept == KEEP
+            # An article that is mostly repeated is a copy of another page's, and so is a page of which nothing is left: they keep their text.
+            copy = gone == total or kept == KEEP and 2 * gone > total
             out.append(None if copy or not gone else "\n".join(lines))
         return pd.DataFrame({"rid": group["rid"], "cleaned": out})
 
@@ -345,7 +345,7 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str =
 
     Blocks inside an article or main element, less the menus, forms, notices and so on in it, are the text; a page without such an element has
     its blocks that are in no menu and the like. Of both, runs of at least `least` words that two distinct pages of the host have are removed; of
-    a block, whole or at least `least` words in a row. An article stays as
+    a block, whole or at least `least` words in a row. An article of which more than half would go is a copy of another page's and stays as
     it is, as does any page of which nothing would be left. Repetition is found over all pages of a host (`repeated_runs`); the suffix arrays that
     cover the runs are built over blocks of about pages_per_block of its pages, which does not change the result. References are decoded, white space in a block (br too) is
     one space, blocks are joined by a line feed. Null or empty html: empty text, 0 characters. Repeated rows: one result each, from one shared

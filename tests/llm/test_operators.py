@@ -245,7 +245,7 @@ def test_every_exact_copy_of_an_item_is_a_leak(spark):
     assert len(want) == 244 and want <= {(r["doc_id"], r["item_id"]) for r in contamination.leak_report(docs, items).collect()}
 
 
-@pytest.mark.parametrize("tag", ["div"])
+@pytest.mark.parametrize("tag", ["div", "article"])
 def test_runs_are_repeated_over_the_whole_host(spark, tag):
     notice, ad, copy = "Please note that our offices are closed on all Mondays", "Buy two pairs of shoes and get the third one free", " ".join(f"copied{j}" for j in range(40))
     own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(450)]
