@@ -119,7 +119,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, rid, n_shingles, component_id) of every row; see component_digest. rid hashes key and text."""
+    """(doc_id, rid, n_shingles, component_id, c) of every row; see component_digest. rid hashes key and text.
+
+    c is the component's own key, null for rows without words; component_id is a label that unlinked components may share."""
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
@@ -177,9 +179,9 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
     named = nodes.select("k", "label").join(comp, "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = named.groupBy("c").agg(F.min("label").alias("component_id"))
-    of_key = named.join(least, "c").select("k", "component_id")
+    of_key = named.join(least, "c").select("k", "component_id", F.col("c").alias("own"))
     out = light.join(of_key, "k", "left")
-    return out.select("doc_id", "rid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "rid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("own")).alias("c"))
 
 
 def _labels(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def component_digest(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each component: the one of the least key, by its hash if that is repeated. Rows without words all stay."""
     found = similar_components(df, key, text).withColumn("alone", F.when(F.col("n_shingles") == 0, F.col("rid")))
-    best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("rid", F.struct("doc_id", "rid")).alias("__rid")).select("__rid")
+    best = found.where("n_shingles > 0").groupBy("c").agg(F.min_by("rid", F.struct("doc_id", "rid")).alias("__rid")).select("__rid")
     bare = found.where("n_shingles = 0").select(F.col("rid").alias("__rid")).distinct()
     out = df.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))))
     kept = out.join(best.withColumn("__one", F.lit(True)).unionByName(bare.withColumn("__one", F.lit(False))), "__rid")

@@ -7,6 +7,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linref.llm import contamination, fingerprint, jaccard, language_model, main_text, packing, queries, sharding, substrings, token_counts, toxicity
 
@@ -267,3 +268,63 @@ def test_repeated_runs_of_given_pages(spark):
     frame = spark.createDataFrame([(r["page_id"], hash(host[r["page_id"]]), r["html"] or "") for r in rows], "rid long, host long, html string")
     got = main_text.repeated_runs(frame).collect()
     assert want and sorted((p, len(r["body"].split())) for r in got for p in r["places"]) == want
+
+
+UNLIKE = [" ".join(f"{c}{i}" for i in range(30)) for c in "pqrst"]
+#: Null and repeated keys whose rows are not linked, a copy and a near copy, and texts without words.
+LOOSE = [(None, UNLIKE[0]), (None, UNLIKE[1]), (None, UNLIKE[1]), (1020, UNLIKE[2]), (1020, UNLIKE[3]), (1021, UNLIKE[3] + " end"), (None, None), (None, " ")]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [*ROWS, *LOOSE]
+    component = [c for _, _, c in brute.op7(list(enumerate(t for _, t in rows)))]
+    least = lambda ids: min(ids, key=lambda d: (d is not None, d))
+    groups = defaultdict(list)
+    for i, c in enumerate(component):
+        groups[c].append(i)
+    kept = sorted(pairs(jaccard.keep_one(frame(spark, rows))), key=repr)
+    bare = [i for i, (_, t) in enumerate(rows) if not brute.words(t)]
+    want = [least([rows[i][0] for i in g]) for g in groups.values()]
+    assert sorted((d for d, _ in kept), key=repr) == sorted(want, key=repr)
+    component_of = {r: component[i] for i, r in enumerate(rows)}
+    assert len({component_of[r] for r in kept if brute.words(r[1])}) == len(kept) - len(bare)
+
+
+def test_toxic_rows_are_dropped(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id < 1000").unionByName(spark.createDataFrame([*LOOSE, *LOOSE[:3]], "doc_id long, text string"))
+    kept = pairs(toxicity.drop_toxic(df, labels))
+    toxic = [r["doc_id"] for r in toxicity.toxicity(df, labels).collect() if r["predicted"]]
+    assert toxic and sorted([*toxic, *(d for d, _ in kept)], key=repr) == sorted((d for d, _ in pairs(df)), key=repr) and not set(toxic) & {d for d, _ in kept}
+
+
+def test_repeats_are_removed_from_texts(spark):
+    rows = [*ROWS, *[r for r in LOOSE if r[0] is not None]]
+    digests = sorted((d, x) for d, _, _, x in brute.op2(rows))
+    import hashlib
+    got = sorted((d, hashlib.sha256(" ".join(brute.words(t)).encode()).hexdigest()) for d, t in pairs(substrings.remove_repeats(frame(spark, rows))))
+    assert got == digests
+    loose = pairs(substrings.remove_repeats(frame(spark, LOOSE)).where("doc_id is null"))
+    assert sorted(loose, key=repr) == sorted((r for r in LOOSE if r[0] is None), key=repr)
+
+
+def test_leaking_rows_are_dropped(spark):
+    item = "What do the many words of this question ask? An answer of some words"
+    rows = [*LOOSE, (None, f"{UNLIKE[0]} {item} {UNLIKE[1]}"), (1020, item)]
+    kept = pairs(contamination.drop_leaks(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")))
+    assert sorted(kept, key=repr) == sorted(LOOSE, key=repr)
+
+
+def test_pipeline_keeps_unlinked_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    more = spark.createDataFrame([(k, t, None, "src0", None) for k, t in LOOSE], "doc_id long, text string, lang string, source string, n_chars long")
+    names = [c for c in docs.columns if c in more.columns]
+    docs.select(names).unionByName(more.select([F.col(c).cast(docs.schema[c].dataType).alias(c) for c in names])).write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{d}/benchmark.parquet")
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, d).where("start = 0").collect()]
+    # Two texts of the null key, two of 1020 and both rows without words; 1021 is a near copy.
+    assert got.count(1020) == 2 and got.count(None) == 4 and 1021 not in got
