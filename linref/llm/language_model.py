@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ from linref.llm._shared import cut, mix, signed, slices, span_hashes, word_spans
 
 #: Outputs of the model: the two ends of a text, the most frequent words, and classes of all other words by their last two bytes.
 CLASSES, SUFFIXES, BEGIN, STOP = 256, 96, 0, 1
-#: Bounds of the sample that the model is fitted on, and of the counts that are broadcast (16 bytes each); all counts are exact.
-SAMPLE_DOCS, SAMPLE_TOKENS, BROADCAST_WORDS = 2000, 800_000, 150_000
+#: Bounds the counts that are broadcast (16 bytes each); all counts are exact.
+BROADCAST_WORDS = 150_000
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 
 
 #: The normalised table of the model that this worker last used, by the model's name.
@@ -46,7 +49,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data, offsets in slices(batches, "text"):
+    for _, data, offsets in slices(batches, "text", SLICE):
         hashes, suffix, _ = _words(data, offsets)
         distinct, where, counts = np.unique(hashes, return_index=True, return_counts=True)
         yield pa.RecordBatch.from_arrays([signed(distinct), pa.array(suffix[where].astype(np.int32)), pa.array(counts.astype(np.int64))], ["h", "suffix", "c"])
@@ -61,62 +64,96 @@ def classes(hashes: np.ndarray, suffix: np.ndarray, words: np.ndarray) -> np.nda
     return np.where(words[at] == hashes, at + 2, suffix)
 
 
-def _sequences(words: np.ndarray):
+def contexts(kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of all words and ends of texts, the classes before them and before those, and their rows."""
+    n, count = len(rows) - 1, np.diff(rows)
+    place = rows[:-1] + np.arange(n)
+    full = np.full(len(kinds) + n, STOP)
+    seen = np.ones(len(full), bool)
+    seen[rows[1:] + np.arange(n)] = False
+    full[seen] = kinds
+    one, two = np.full(len(full), BEGIN), np.full(len(full), BEGIN)
+    one[1:], two[2:] = full[:-1], full[:-2]
+    one[place] = BEGIN
+    two[place] = BEGIN
+    two[place[count > 0] + 1] = BEGIN
+    return full, one, two, np.repeat(np.arange(n), count + 1)
+
+
+def _triples(words: np.ndarray):
+    """How often each class comes after two others, over a partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "text"):
+        total = np.zeros(CLASSES**3, np.uint32)
+        for _, data, offsets in slices(batches, "text", SLICE):
             hashes, suffix, rows = _words(data, offsets)
-            kinds = classes(hashes, suffix, words).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(kinds))], ["rid", "x"])
+            full, one, two, _ = contexts(classes(hashes, suffix, words), rows)
+            code, counts = np.unique((one * CLASSES + two) * CLASSES + full, return_counts=True)
+            total[code] += counts.astype(np.uint32)
+        code = np.flatnonzero(total)
+        for at in range(0, len(code), 1 << 18):
+            own = code[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array((own // CLASSES**2).astype(np.int32)), pa.array((own % CLASSES**2).astype(np.int32)), pa.array(total[own].astype(np.int64))], ["one", "rest", "n"])
 
     return run
 
 
-def train(sequences: list[np.ndarray], size: int = 24, noise: int = 12, epochs: int = 3, batch: int = 4096, rate: float = 0.15, seed: int = 5) -> list[np.ndarray]:
-    """The model's parameters R, Q, C and b after noise-contrastive estimation.
+def _dense(group: pd.DataFrame) -> pd.DataFrame:
+    counts = np.zeros(CLASSES**2, np.float32)
+    counts[group["rest"].to_numpy()] = group["n"].to_numpy()
+    return pd.DataFrame({"one": group["one"].iloc[:1], "counts": [counts.tobytes()]})
 
-    Score of class w after u, v: (R[u] * C1 + R[v] * C2) . Q[w] + b[w]. Each seen class is told from `noise` classes drawn from the
-    unigram distribution. Training needs no normalising sums; the table is normalised by batched matrix products afterwards."""
-    random = np.random.default_rng(seed)
-    u, v, w = [], [], []
+
+def triples(texts: DataFrame, words: np.ndarray) -> np.ndarray:
+    """counts[class before * CLASSES + the one before that, class] over all texts; 67 MB for any number of them."""
+    summed = texts.mapInArrow(_triples(words), "one int, rest int, n long").groupBy("one", "rest").agg(F.sum("n").alias("n"))
+    counts = np.zeros((CLASSES, CLASSES**2), np.float32)
+    for row in summed.groupBy("one").applyInPandas(_dense, "one int, counts binary").toLocalIterator():
+        counts[row["one"]] = np.frombuffer(row["counts"], np.float32)
+    return counts.reshape(CLASSES**2, CLASSES)
+
+
+def train(sequences: list[np.ndarray], **settings) -> list[np.ndarray]:
+    """fit() to sequences of classes."""
+    counts = np.zeros((CLASSES**2, CLASSES), np.float32)
     for x in sequences:
-        full = np.concatenate([[BEGIN, BEGIN], x.astype(np.int64), [STOP]])
-        w.append(full[2:])
-        u.append(full[1:-1])
-        v.append(full[:-2])
-    u, v, w = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (u, v, w))
-    share = np.bincount(w, minlength=CLASSES) + 0.5
+        full, one, two, _ = contexts(x.astype(np.int64), np.array([0, len(x)]))
+        np.add.at(counts, (one * CLASSES + two, full), 1)
+    return fit(counts, **settings)
+
+
+def fit(counts: np.ndarray, size: int = 24, noise: int = 12, epochs: int = 20, steps: int = 32, rate: float = 0.15, seed: int = 5) -> list[np.ndarray]:
+    """The model's parameters R, Q, C and b after noise-contrastive estimation over all that is counted (see triples).
+
+    Score of class w after u, v: (R[u] * C1 + R[v] * C2) . Q[w] + b[w]. Each seen class is told from `noise` classes of the unigram
+    distribution, by their expectation instead of drawn ones. The counts are all that the objective needs of the texts. Training needs no
+    normalising sums; the table is normalised by batched matrix products afterwards."""
+    random = np.random.default_rng(seed)
+    share = counts.sum(axis=0, dtype=float) + 0.5
     share[BEGIN] = 1e-3
     share /= share.sum()
-    log_noise = np.log(share * noise)
+    log_noise = np.log(share * noise).astype(np.float32)
     params = [random.normal(0, 0.1, (CLASSES, size)), random.normal(0, 0.1, (CLASSES, size)), np.ones((2, size)), np.log(share)]
     squares = [np.full(p.shape, 1e-2) for p in params]
-    cumulative = np.cumsum(share)
-
-    def step(k: int, grad: np.ndarray) -> None:
-        squares[k] += grad * grad
-        params[k] -= rate * grad / np.sqrt(squares[k])
-
+    tokens = counts.sum(axis=1, dtype=float)
+    active = np.flatnonzero(tokens)
+    # As large as the summed gradients of 4096 tokens over the root of their number.
+    scale = 4096**0.5 * steps / max(tokens.sum(), 1.0)
     for _ in range(epochs):
-        order = random.permutation(len(w))
-        for lo in range(0, len(w), batch):
-            i = order[lo : lo + batch]
-            r, q, c, b = params
-            ctx = r[u[i]] * c[0] + r[v[i]] * c[1]
-            drawn = np.minimum(np.searchsorted(cumulative, random.random((len(i), noise))), CLASSES - 1)
-            target = np.concatenate([w[i][:, None], drawn], axis=1)
-            delta = np.einsum("bd,bkd->bk", ctx, q[target]) + b[target] - log_noise[target]
-            g = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-            g[:, 0] -= 1
-            g /= len(i) ** 0.5
-            # Gradients per class by one sparse product each: occurrences of a class times the other side's vectors.
-            weight = np.zeros((len(i), CLASSES))
-            np.add.at(weight, (np.arange(len(i))[:, None], target), g)
-            gq, gb = weight.T @ ctx, weight.sum(axis=0)
-            gctx = weight @ q
-            gr = _sum_by(u[i], gctx * c[0]) + _sum_by(v[i], gctx * c[1])
-            gc = np.stack([(gctx * r[u[i]]).sum(axis=0), (gctx * r[v[i]]).sum(axis=0)])
-            for k, grad in enumerate((gr, gq, gc, gb)):
-                step(k, grad)
+        for i in np.array_split(random.permutation(active), steps):
+            if not len(i):
+                continue
+            r, q, c, b = (p.astype(np.float32) for p in params)
+            u, v = i // CLASSES, i % CLASSES
+            ctx, seen = r[u] * c[0] + r[v] * c[1], counts[i]
+            g = 1 / (1 + np.exp(-np.clip(ctx @ q.T + b - log_noise, -30, 30)))
+            g = ((seen + (tokens[i, None] * (share * noise)).astype(np.float32)) * g - seen) * np.float32(scale)
+            gctx = g @ q
+            gr = _sum_by(u, gctx * c[0]) + _sum_by(v, gctx * c[1])
+            gc = np.stack([(gctx * r[u]).sum(axis=0), (gctx * r[v]).sum(axis=0)])
+            for k, grad in enumerate((gr, g.T @ ctx, gc, g.sum(axis=0))):
+                squares[k] += grad.astype(float) ** 2
+                params[k] -= rate * grad / np.sqrt(squares[k])
     return params
 
 
@@ -133,7 +170,7 @@ def normalised(params: list[np.ndarray]) -> np.ndarray:
 
 
 def _sum_by(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    one = np.zeros((CLASSES, len(index)))
+    one = np.zeros((CLASSES, len(index)), rows.dtype)
     one[index, np.arange(len(index))] = 1
     return one @ rows
 
@@ -142,7 +179,7 @@ def _summaries(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, name, params, hashes, logs, offset = shared.value
         table = _table(name, params)
-        for part, data, offsets in slices(batches, "text"):
+        for part, data, offsets in slices(batches, "text", SLICE):
             h, suffix, rows = _words(data, offsets)
             kinds = classes(h, suffix, words)
             n, count = part.num_rows, np.diff(rows)
@@ -151,20 +188,7 @@ def _summaries(shared):
             at[at == len(hashes)] = 0
             found = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
             log_c = np.where(found, logs[at] if len(logs) else 0.0, 0.0)
-            # Classes before each word and before the end of its text.
-            place = rows[:-1] + np.arange(n)
-            full = np.full(len(h) + n, STOP)
-            seen = np.ones(len(full), bool)
-            ends = rows[1:] + np.arange(n)
-            seen[ends] = False
-            full[seen] = kinds
-            owner = np.repeat(np.arange(n), count + 1)
-            one, two = np.full(len(full), BEGIN), np.full(len(full), BEGIN)
-            one[1:], two[2:] = full[:-1], full[:-2]
-            one[place] = BEGIN
-            two[place] = BEGIN
-            second = place[count > 0] + 1
-            two[second] = BEGIN
+            full, one, two, owner = contexts(kinds, rows)
             lm = np.bincount(owner, table[one, two, full].astype(float), minlength=n)
             in_suffix = kinds >= CLASSES - SUFFIXES
             lm += np.bincount(row, np.where(in_suffix, log_c + offset[kinds], 0.0), minlength=n)
@@ -177,7 +201,7 @@ def _summaries(shared):
 def _rare(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = shared.value[3]
-        for part, data, offsets in slices(batches, "text"):
+        for part, data, offsets in slices(batches, "text", SLICE):
             h, _, rows = _words(data, offsets)
             row = np.repeat(np.arange(part.num_rows), np.diff(rows))
             at = np.searchsorted(hashes, h)
@@ -202,7 +226,8 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: base_score by unigram counts with add-one smoothing, and score by the model; both log10 of the whole text's probability.
 
-    Counts are learnt from all rows whose crc32(key as text) mod 7 is not 2. Tokens are words, A-Z lower-cased, and one end. The model
+    Counts are learnt from all rows whose crc32(key as text) mod 7 is not 2. Tokens are words, A-Z lower-cased, and one end. The model,
+    fitted to the counts of all class triples of these rows,
     gives a class after the two classes before it; a frequent word is a class of its own, another word has its smoothed share of its suffix
     class, with one share more for all unseen words, so the probabilities of all words and the end sum to one. The counts of the
     BROADCAST_WORDS most frequent words are broadcast; all other words get theirs by a join. Null or empty text: the end alone. Repeated rows:
@@ -222,15 +247,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
 
-    sample = learnt.orderBy(F.xxhash64("rid"), "rid").select("rid").limit(SAMPLE_DOCS)
-    rows = learnt.join(F.broadcast(sample), "rid", "left_semi").select("rid", "text").mapInArrow(_sequences(words), "rid long, x array<short>").toPandas()
-    rows = rows.sort_values("rid")
-    fitted, used = [], 0
-    for x in rows["x"]:
-        if used < SAMPLE_TOKENS:
-            fitted.append(np.asarray(x)[: SAMPLE_TOKENS - used])
-            used += len(fitted[-1])
-    params = train(fitted)
+    params = fit(triples(learnt.select("text"), words))
 
     order = np.argsort(h := top["h"].to_numpy(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast((words, uuid4().hex, params, h[order], np.log10(top["c"].to_numpy(float)[order] + 1), -np.log10(n + v + 1)))

@@ -328,3 +328,17 @@ def test_pipeline_keeps_unlinked_rows(spark, tmp_path):
     got = [r["doc_id"] for r in corpus_pipeline.run(spark, d).where("start = 0").collect()]
     # Two texts of the null key, two of 1020 and both rows without words; 1021 is a near copy.
     assert got.count(1020) == 2 and got.count(None) == 4 and 1021 not in got
+
+
+def test_model_is_fitted_to_all_learnt_rows(spark):
+    rows = [(i, " ".join(["left right"] * 20 if i < 6 else ["right left left"] * 20)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    words = np.unique(contamination._hashed("left right"))
+    counts = language_model.triples(df, words)
+    want = np.zeros_like(counts)
+    kind = {w: int(language_model.classes(contamination._hashed(w), np.zeros(1, int), words)[0]) for w in ("left", "right")}
+    for _, t in rows:
+        x = [language_model.BEGIN] * 2 + [kind[w] for w in t.split()] + [language_model.STOP]
+        for v, u, w in zip(x, x[1:], x[2:]):
+            want[u * language_model.CLASSES + v, w] += 1
+    assert (counts == want).all() and counts.sum() == sum(len(t.split()) + 1 for _, t in rows)
