@@ -355,7 +355,9 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str =
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1), F.lit(""))
     pages = pages.withColumn("rid", F.xxhash64("page_id", "url", "html")).withColumn("host", F.xxhash64(F.lower(host)))
     one = cut(repeated_runs(pages.select("rid", "host", "html"), least))
-    dealt = one.join(one.groupBy("host").agg(F.ceil(F.count("*") / pages_per_block).alias("n")), "host").withColumn("b", F.xxhash64("host", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("n"))))
+    # Only hosts of several blocks are broadcast, at most one in pages_per_block pages.
+    large = one.groupBy("host").agg(F.ceil(F.count("*") / pages_per_block).alias("n")).where("n > 1")
+    dealt = one.join(F.broadcast(large), "host", "left").withColumn("b", F.xxhash64("host", F.pmod(F.xxhash64("rid", F.lit(1)), F.coalesce("n", F.lit(1)))))
     cleaned = cut(dealt.groupBy("b").applyInPandas(_unique_runs(least), "rid long, cleaned string").where("cleaned is not null"))
     sieve = _sieve(cleaned)
     inside, outside = [pages.select("page_id", "url", "rid", "html").mapInArrow(_texts(sieve, k), f"page_id {spark_type}, url string, rid long, text string") for k in (True, False)]
