@@ -42,7 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     time.sleep(0.1)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the tables of cut() once all that is made from them has been cut itself."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def lower_ascii(col: Column) -> Column:

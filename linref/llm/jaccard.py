@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, gram_hashes, mix, signed, slices, starts_of_grams, word_hashes
+from linref.llm._shared import cut, gram_hashes, mix, release, signed, slices, starts_of_grams, word_hashes
 from linref.llm.components import components
 
 WORDS, PERCENT = 5, 75
-#: Prefixes are built for up to so many required matches.
-MOST_MATCHES = 16
+#: Prefixes are built for up to so many required matches: 1, 2 or 4, as a node's estimated candidates exceed these numbers.
+MOST_MATCHES, COSTS = 4, (64, 512)
+#: A token of more nodes than this is split by the sizes of the sets that may meet at it, into bands that are so much wider each.
+HOT, BAND = 32, 1.1
 #: At most so many frequent shingles are ordered by their frequency, and so broadcast (16 bytes each); the rest is ordered by hash.
 ORDERED = 500_000
 #: What the first pass over the texts gives: of each row its key and set (df null), and the counts of shingles that are frequent in a batch.
@@ -92,10 +95,10 @@ def _prefixes(n: int, percent: int, frequent):
             place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
             # A partner holds at least percent of this set, so with l matches wanted the prefix is l - 1 longer.
             least = -(-size * percent // 100)
-            prefix = size - least + MOST_MATCHES
-            keep = place < prefix[row]
-            need = np.maximum(1, place - (size - least)[row] + 1)  # the smallest l whose prefix has this place
-            yield pa.RecordBatch.from_arrays([signed(values[keep]), signed(key[row[keep]]), pa.array(size[row[keep]].astype(np.int32)), pa.array(need[keep].astype(np.int8))], ["token", "k", "n", "need"])
+            keep = place < (size - least + MOST_MATCHES)[row]
+            own = np.bincount(row, order[sort] == 0, minlength=part.num_rows) / np.maximum(size, 1)  # a set of few rare shingles is in the middle of its copies
+            yield pa.RecordBatch.from_arrays([signed(values[keep]), signed(key[row[keep]]), pa.array(size[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array((own[row[keep]] * 1000).astype(np.int16))],
+                                             ["token", "k", "n", "place", "rare"])
 
     return run
 
@@ -134,56 +137,88 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     by_value = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[by_value], (len(tokens) - by_value).astype(np.uint32)))
 
-    prefix = docs.select("text").mapInArrow(_prefixes(words, percent, frequent), "token long, k long, n int, need byte")
+    prefix = docs.select("text").mapInArrow(_prefixes(words, percent, frequent), "token long, k long, n int, place int, rare short")
     counted = prefix.select("token").groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     many = cut(counted)
-    shared = prefix.join(many, "token", "left_semi").distinct()
-    shared = cut(shared)
-    df_of = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # Estimated candidate cost of each node at one match: where it is high, more matches are asked of a longer prefix.
-    costs = shared.join(df_of, "token")
-    matches = costs.where("need = 1").groupBy("k").agg(F.sum(F.col("df") - 1).alias("cost"))
-    level = F.when(F.col("cost") < 2, 1).when(F.col("cost") < 16, 4).when(F.col("cost") < 128, 8).otherwise(MOST_MATCHES)
-    postings = costs.join(matches.select("k", level.alias("l")), "k", "left").withColumn("l", F.coalesce("l", F.lit(1))).where("need <= l").select("token", "k", "n", "l")
-    postings = cut(postings)
+    shared = cut(prefix.join(many, "token", "left_semi").distinct())
+    release(many)
+    postings = cut(shared.join(shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"))
+    release(shared)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "rid"), "k").select("rid", "k")
         sets = cut(docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
-        return _verify(pairs, sets, percent)
-
-    def asked(l1: str, l2: str):
-        """Shared prefix tokens that a pair needs: what the less demanding of the two asks; small sets may have no more to share."""
-        return F.least(F.col(l1), F.col(l2), F.ceil(F.greatest("n1", "n2") * percent / 100).cast("int"))
+        found = cut(_verify(pairs, sets, percent))
+        release(pairs, sets)
+        return found
 
+    # Each node of a token is paired with the token's hub alone, the set with the smallest share of rare shingles: copies that were each
+    # changed a little are mostly linked to the least changed one. What is linked by a hub need not be paired again.
     fits = F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    # Each node of a token is paired with the token's two representatives only: what is linked by them need not be paired again.
-    # Tokens are counted where one is the other's representative, so some pairs wait for the last step.
-    row = F.struct("r", "k", "n", "l")
-    at = postings.withColumn("r", F.xxhash64("k", F.lit(0)))
-    ends = at.groupBy("token").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo.k != hi.k").select("token", F.array("lo", "hi").alias("rep"))
-    pairs = at.select("token", "k", "n", "l").join(ends, "token").select(F.col("k").alias("a"), F.col("n").alias("n1"), "l", F.explode("rep").alias("p"))
-    pairs = pairs.where("a != p.k").withColumn("n2", F.col("p.n")).where(fits).select("a", F.col("p.k").alias("b"), asked("l", "p.l").alias("need"))
-    links = cut(verified(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("a", "b")))
+    hubs = postings.groupBy("token").agg(F.min(F.struct("rare", F.xxhash64("k").alias("r"), "k", "n")).alias("hub"))
+    near = postings.join(hubs, "token").select(F.col("k").alias("a"), F.col("n").alias("n1"), F.col("hub.k").alias("b"), F.col("hub.n").alias("n2"))
+    near = near.where(F.col("a") != F.col("b")).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(near)
     comp = _labels(postings, links)
-    # What is left: all pairs of different components that share as many prefix tokens as they need.
-    at = postings.join(comp, "k")
-    open_tokens = at.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
-    at = cut(at.join(open_tokens, "token").select("token", "k", "n", "l", "c"))
-    one, two = at.toDF("token", "a", "n1", "l1", "ca"), at.toDF("token", "b", "n2", "l2", "cb")
-    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b", asked("l1", "l2").alias("need"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("a", "b")
-    links = cut(links.unionByName(verified(pairs)).distinct())
+    links = cut(links.unionByName(verified(_open_pairs(postings, comp, percent))).distinct())
+    release(postings, comp)
     comp = components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
 
     named = nodes.select("k", "label").join(comp, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    least = named.groupBy("c").agg(F.min("label").alias("component_id"))
+    least = cut(named.groupBy("c").agg(F.min("label").alias("component_id")))
     of_key = named.join(least, "c").select("k", "component_id", F.col("c").alias("own"))
     out = light.join(of_key, "k", "left")
     return out.select("doc_id", "rid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("own")).alias("c"))
 
 
+def _slack(n1, n2, percent: int):
+    """How many shingles of a set of n1 may be missing in a linked set of n2: with l matches wanted, places up to this plus l - 1 count."""
+    return n1 - F.ceil((n1 + n2) * percent / (100 + percent)).cast("int")
+
+
+def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of nodes of different components that share as many prefix tokens as the pair needs.
+
+    A place p in a's prefix can only meet sets up to a size at which the pair's own prefix still reaches p. At a hot token a node is
+    therefore dealt to the bands of partner sizes that its place allows, and does not occur where all its partners would have to be
+    smaller than linked sets are: what shares nothing but the common core of a group of copies is never paired there. Within a token and
+    its bands, nodes of the component that most of them are in are paired with the others only."""
+    at = postings.join(comp, "k")
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+
+    def dealt(rows: DataFrame, matches) -> DataFrame:
+        """Rows with the bands they meet others in; only places that count with so many matches."""
+        most = F.floor((F.col("n") + matches - 1 - F.col("place")) * (100 + percent) / percent).cast("int") - F.col("n")
+        top = F.least(most, F.floor(F.col("n") * 100 / percent).cast("int"))
+        rows = rows.withColumn("most", top).where(F.col("most") >= least)
+        meets = F.when(F.col("df") > HOT, F.sequence(band(least), band(F.col("most")))).otherwise(F.array(F.lit(-1)))
+        rows = rows.withColumn("other", F.explode(meets)).withColumn("own", F.when(F.col("df") > HOT, band(F.col("n"))).otherwise(-1))
+        return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    key = ["token", "lo", "hi"]
+    # Only keys where nodes of different components meet are left.
+    one = dealt(at, F.lit(1))
+    mixed = one.groupBy(*key).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("rows")).where("c1 != c2")
+    # Estimated candidate cost of each node at one match: where it is high, more matches are asked of a longer prefix.
+    costs = one.join(mixed.select(*key, "rows"), key).groupBy("k").agg(F.sum(F.col("rows") - 1).alias("cost"))
+    level = F.when(F.col("cost") < COSTS[0], 1).when(F.col("cost") < COSTS[1], 2).otherwise(MOST_MATCHES)
+    at = cut(dealt(at.join(costs.select("k", level.alias("l")), "k"), F.col("l")).select(*key, "own", "k", "n", "place", "l", "c"))
+    of_component = at.groupBy(*key, "c").agg(F.count("*").alias("rows"))
+    major = of_component.groupBy(*key).agg(F.max_by("c", F.struct("rows", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select(*key, "major")
+    at = cut(at.join(major, key).withColumn("rest", F.col("c") != F.col("major")).drop("major"))
+    names = ["k", "n", "place", "l", "c", "own"]
+    rest = at.where("rest").select(*key, *[F.col(x).alias(f"{x}1") for x in names])
+    others = at.select(*key, "rest", *[F.col(x).alias(f"{x}2") for x in names])
+    need = F.least("l1", "l2", F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent)).cast("int"))  # small sets share no more than that
+    met = rest.join(others, key).where((F.col("c1") != F.col("c2")) & (~F.col("rest") | (F.col("k1") < F.col("k2"))) & (F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+                                       & (F.least("own1", "own2") == F.col("lo")) & (F.greatest("own1", "own2") == F.col("hi"))
+                                       & (F.col("place1") < _slack(F.col("n1"), F.col("n2"), percent) + need) & (F.col("place2") < _slack(F.col("n2"), F.col("n1"), percent) + need))
+    found = met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need"))
+    return found.where("m >= need").select("a", "b")
+
+
 def _labels(postings: DataFrame, links: DataFrame) -> DataFrame:
     comp = components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
     return cut(postings.select("k").distinct().join(comp, "k", "left").select("k", F.coalesce("c", "k").alias("c")))

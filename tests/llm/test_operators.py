@@ -342,3 +342,17 @@ def test_model_is_fitted_to_all_learnt_rows(spark):
         for v, u, w in zip(x, x[1:], x[2:]):
             want[u * language_model.CLASSES + v, w] += 1
     assert (counts == want).all() and counts.sum() == sum(len(t.split()) + 1 for _, t in rows)
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies that were each changed a little in places of their own: all near the original, few near each other, sizes that differ, and small sets."""
+    random = np.random.default_rng(4)
+    base, rows = [f"b{i}" for i in range(90)], []
+    for i in range(220):
+        w = list(base[: 60 + i % 31] if i % 4 == 0 else base)
+        for at in random.choice(len(w), random.integers(1, 6), replace=False):
+            w[at] = f"e{random.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"s{j}" for j in range(i % 3, 6 + i % 5))) for i in range(30)] + [(2000 + i, f"t{i % 4} u") for i in range(9)]
+    df = frame(spark, rows)
+    same(jaccard.component_digest(df), ["doc_id", "n_shingles", "component_id"], brute.op7(rows))
