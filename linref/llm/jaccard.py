@@ -142,7 +142,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     many = cut(counted)
     shared = cut(prefix.join(many, "token", "left_semi").distinct())
     release(many)
-    postings = cut(shared.join(shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"))
+    postings = cut(shared.join(shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "token"))
     release(shared)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -154,11 +154,11 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         return found
 
     # Each node of a token is paired with the token's hub alone, the set with the smallest share of rare shingles: copies that were each
-    # changed a little are mostly linked to the least changed one. What is linked by a hub need not be paired again.
-    fits = F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    hubs = postings.groupBy("token").agg(F.min(F.struct("rare", F.xxhash64("k").alias("r"), "k", "n")).alias("hub"))
-    near = postings.join(hubs, "token").select(F.col("k").alias("a"), F.col("n").alias("n1"), F.col("hub.k").alias("b"), F.col("hub.n").alias("n2"))
-    near = near.where(F.col("a") != F.col("b")).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # changed a little are mostly linked to the least changed one. What is linked by a hub need not be paired again. A pair that shares
+    # tokens of other hubs too may be missed here; it waits for the last step.
+    hubs = postings.groupBy("token").agg(F.min(F.struct("rare", F.xxhash64("k").alias("r"), "k", "n", "place")).alias("hub"))
+    near = postings.join(hubs, "token").select(F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("place").alias("place1"), F.col("hub.k").alias("k2"), F.col("hub.n").alias("n2"), F.col("hub.place").alias("place2"))
+    near = _enough(near.where("k1 != k2"), F.lit(MOST_MATCHES), percent)
     links = verified(near)
     comp = _labels(postings, links)
     links = cut(links.unionByName(verified(_open_pairs(postings, comp, percent))).distinct())
@@ -211,10 +211,16 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
     names = ["k", "n", "place", "l", "c", "own"]
     rest = at.where("rest").select(*key, *[F.col(x).alias(f"{x}1") for x in names])
     others = at.select(*key, "rest", *[F.col(x).alias(f"{x}2") for x in names])
-    need = F.least("l1", "l2", F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent)).cast("int"))  # small sets share no more than that
-    met = rest.join(others, key).where((F.col("c1") != F.col("c2")) & (~F.col("rest") | (F.col("k1") < F.col("k2"))) & (F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-                                       & (F.least("own1", "own2") == F.col("lo")) & (F.greatest("own1", "own2") == F.col("hi"))
-                                       & (F.col("place1") < _slack(F.col("n1"), F.col("n2"), percent) + need) & (F.col("place2") < _slack(F.col("n2"), F.col("n1"), percent) + need))
+    met = rest.join(others, key).where((F.col("c1") != F.col("c2")) & (~F.col("rest") | (F.col("k1") < F.col("k2"))) & (F.least("own1", "own2") == F.col("lo")) & (F.greatest("own1", "own2") == F.col("hi")))
+    return _enough(met, F.least("l1", "l2"), percent)
+
+
+def _enough(met: DataFrame, matches, percent: int) -> DataFrame:
+    """The pairs (a, b), a < b, that share as many tokens as wanted, or all that a link needs, in the prefixes that count for that number.
+
+    met: (k1, n1, place1, k2, n2, place2) of each token that a pair shares."""
+    need = F.least(matches, F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent)).cast("int"))
+    met = met.where((F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("place1") < _slack(F.col("n1"), F.col("n2"), percent) + need) & (F.col("place2") < _slack(F.col("n2"), F.col("n1"), percent) + need))
     found = met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need"))
     return found.where("m >= need").select("a", "b")
 
