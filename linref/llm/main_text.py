@@ -1,4 +1,4 @@
-"""Main text of web pages: runs of words repeated across the pages of a host, found host-wide and covered by suffix arrays, with structure as a signal."""
+"""Main text of web pages: suffix arrays over the token streams of a host's pages find its boilerplate, with structure as a signal."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from linref.llm._shared import cut, gram_hashes, mix, signed, slices, sliding_min, starts_of_grams, word_hashes
+from linref.llm._shared import cut, gram_hashes, mix, signed, span_hashes, starts_of_grams, text_buffers, word_spans
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp"}
@@ -20,13 +21,17 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILER = {"nav", "menu", "header", "footer", "aside", "form", "button", "select", "dialog", "head", "fieldset", "datalist", *RAW}
 MAIN = {"article", "main"}
+MAIN_TAG = re.compile(r"<(?:article|main)\b", re.I)
 #: Words of class, id and role that name a part of a page which isn't its article.
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright
  disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pagination pager popup promo promotion recommended related
  replies reply reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget complementary contentinfo alert""".split())
 OWN_CLOSE = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-KEEP, NEUTRAL, DROP = 0, 1, 2
+#: FIRM is DROP by the element itself, which no article in it lifts.
+KEEP, NEUTRAL, DROP, FIRM = 0, 1, 2, 3
+#: At most so many hosts are broadcast as hosts of several blocks of pages.
+LARGE_HOSTS = 1_000_000
 
 
 def _marked(attributes: str) -> bool:
@@ -40,7 +45,18 @@ def _marked(attributes: str) -> bool:
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """The blocks of text of a page in order: KEEP inside an article or main element, DROP inside menus and the like, else NEUTRAL."""
+    """The blocks of text of a page in order: KEEP inside an article or main element, DROP inside menus and the like, else NEUTRAL.
+
+    Where class words leave no article with text, an article or main element counts whatever it and what encloses it are called."""
+    found = _blocks(page, False)
+    if not any(k == KEEP for k, _ in found) and MAIN_TAG.search(page):
+        trusted = _blocks(page, True)
+        if any(k == KEEP for k, _ in trusted):
+            return trusted
+    return found
+
+
+def _blocks(page: str, trust: bool) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
     text: list[str] = []
@@ -50,7 +66,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         found = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if found:
-            out.append((state, found))
+            out.append((min(state, DROP), found))
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -82,7 +98,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if name == "br":
                 text.append(" ")
             elif name not in VOID:
-                if _marked(m[3]) and state != DROP:
+                if _marked(m[3]) and state < DROP:
                     close()
                     stack.append((name, state))
                     state = DROP
@@ -106,187 +122,122 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if name in VOID:
             continue
+        lifted = trust and name in MAIN and state != FIRM and not any(n in MAIN for n, _ in stack)
         stack.append((name, state))
-        if name in BOILER or _marked(m[3]):
-            state = DROP
-        elif name in MAIN and state != DROP:
+        if name in BOILER:
+            state = FIRM
+        elif lifted:
+            state = KEEP
+        elif _marked(m[3]):
+            state = max(state, DROP)
+        elif name in MAIN and state < DROP:
             state = KEEP
     close()
     return out
 
 
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Places of the suffixes of a sequence of numbers in ascending order, by prefix doubling."""
+def suffix_array(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the suffixes of x in the order of their first `depth` numbers, and the class of each place's first `depth` numbers.
+
+    By prefix doubling; the last two steps overlap where depth is no power of two. Suffixes are told apart no further than runs need."""
     n = len(x)
     rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        ahead = np.full(n, -1, np.int64)
-        ahead[: n - step] = rank[step:] if step < n else []
-        order = np.lexsort((ahead, rank))
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (ahead[order[1:]] != ahead[order[:-1]]))
-        rank = new
-        if n == 0 or rank[order[-1]] == n - 1 or step >= n:
-            return order
-        step *= 2
-
-
-def covered(streams: list[list[str]], least: int, known: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each page's tokens, whether a run of at least `least` tokens that another page has too covers it.
-
-    known: for each page the places of tokens at which a run starts that a page outside of these streams has."""
-    names: dict[str, int] = {}
-    x, page = [], []
-    for i, tokens in enumerate(streams):
-        x += [names.setdefault(t, len(names)) for t in tokens]
-        x.append(-1 - i)  # ends a page; equal to no other token
-        page += [i] * (len(tokens) + 1)
-    x, page = np.array(x, np.int64), np.array(page, np.int64)
-    order = suffix_array(x)
-    # Suffixes that share their first `least` tokens are neighbours; a group of them from two pages is repeated text.
-    ahead = np.arange(least)
-    at = np.minimum(order[:, None] + ahead, len(x) - 1)
-    heads = np.where(order[:, None] + ahead < len(x), x[at], np.iinfo(np.int64).min)
-    group = np.concatenate([[0], np.cumsum((heads[1:] != heads[:-1]).any(axis=1))]) if len(order) else order
-    owner = page[order]
-    low, high = np.full(len(order), len(streams)), np.full(len(order), -1)
-    np.minimum.at(low, group, owner)
-    np.maximum.at(high, group, owner)
-    again = low[group] != high[group]
-    if known is not None:
-        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in streams])])
-        outside = np.zeros(len(x), bool)
-        for first, places in zip(starts, known):
-            outside[first + places] = True
-        some = np.zeros(len(order), bool)
-        np.logical_or.at(some, group, outside[order])
-        again |= some[group]
-    repeated = order[again]
-    steps = np.zeros(len(x) + 1, np.int64)
-    np.add.at(steps, repeated, 1)
-    np.add.at(steps, np.minimum(repeated + least, len(x)), -1)
-    mark = np.cumsum(steps[:-1]) > 0
-    ends = np.cumsum([len(t) + 1 for t in streams])
-    return [mark[e - len(t) - 1 : e - 1] for e, t in zip(ends, streams, strict=True)]
-
-
-def _kept(found: list[tuple[int, str]]) -> int:
+    order, length = np.argsort(rank, kind="stable"), 1
+    while length < depth:
+        step = min(length, depth - length)
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(n - step, 0)] = rank[step:] + 1
+        pair = rank * (n + 1) + ahead
+        order = np.argsort(pair, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.diff(pair[order], prepend=pair[order[:1]]) != 0)
+        length += step
+    return order, rank
+
+
+def boilerplate(words: np.ndarray, rows: np.ndarray, inside: np.ndarray, least: int) -> np.ndarray:
+    """The words at which a run of `least` words starts that two distinct pages have, outside of articles.
+
+    words: hashes of all pages' words, rows: the n + 1 numbers of the pages' first ones, inside: whether a word is in an article. One suffix
+    array over all pages' streams, an end after each, brings equal runs together."""
+    n = np.diff(rows)
+    x = np.zeros(len(words) + len(n), np.int64)
+    word = np.arange(len(words)) + np.repeat(np.arange(len(n)), n)
+    x[word] = np.unique(words, return_inverse=True)[1] + len(n)
+    x[rows[1:] + np.arange(len(n))] = np.arange(len(n))  # ends of pages, equal to no other token
+    at, page = starts_of_grams(rows, least)
+    group = suffix_array(x, least)[1][word[at]]
+    told = np.concatenate([[0], np.cumsum(inside)])
+    outside = told[at + least] == told[at]
+    at, page, group = at[outside], page[outside], group[outside]
+    low, high = np.full(len(x), len(n)), np.full(len(x), -1)
+    np.minimum.at(low, group, page)
+    np.maximum.at(high, group, page)
+    return at[(low < high)[group]]
+
+
+def covered(starts: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Of `size` words, those in a run of `least` words from one of the starts."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, np.minimum(starts + least, size), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _kept(kinds: list[int]) -> int:
     """Which blocks are the text: those of the articles if there are any, else what no structure decides."""
-    return KEEP if any(k == KEEP for k, _ in found) else NEUTRAL
-
-
-def _sieve(rids: DataFrame):
-    """A bitmap in which each of the rids has its bit, broadcast; others seldom have theirs, and a join tells them apart."""
-    own = rids.select("rid").distinct().toPandas()["rid"].to_numpy(np.int64)
-    bits = 1 << min(27, max(10, int(len(own) * 16).bit_length()))
-    bitmap = np.zeros(bits // 8, np.uint8)
-    np.bitwise_or.at(bitmap, (own & (bits - 1)) >> 3, (1 << (own & 7)).astype(np.uint8))
-    return rids.sparkSession.sparkContext.broadcast(bitmap)
+    return KEEP if KEEP in kinds else NEUTRAL
 
 
-def _some(batches: Iterator[pa.RecordBatch], sieve, inside: bool, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The pages in the sieve or those outside it, so many at a time; all pages without one."""
+def _streams(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
+    """So many pages at a time, with all their blocks, one a line, and the blocks' kinds."""
     for batch in batches:
-        if sieve is not None:
-            rid, bitmap = batch.column("rid").to_numpy(), sieve.value
-            at = rid & (len(bitmap) * 8 - 1)
-            batch = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1) == inside))
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            part = batch.slice(at, rows)
+            found = [blocks(page.as_py()) for page in part.column("html")]
+            yield part, pa.array(["\n".join(t for _, t in f) for f in found], pa.string()), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int8()))
 
 
-def _texts(sieve, inside: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _some(batches, sieve, inside):
-            texts = []
-            for page in batch.column("html"):
-                found = blocks(page.as_py())
-                kept = _kept(found)
-                texts.append("\n".join(t for k, t in found if k == kept))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "rid")], pa.array(texts, pa.string())], ["page_id", "url", "rid", "text"])
-
-    return run
+def _words(body: pa.Array, kinds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pages' words: hashes, the pages' first words, the block that each is in, counted over all pages, and whether that is in an article."""
+    data, offsets = text_buffers(body)
+    starts, ends, rows = word_spans(data, offsets)
+    lines = np.cumsum(data == 10)
+    first = np.concatenate([[0], np.cumsum(kinds.value_lengths().to_numpy())])
+    page = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    before = np.concatenate([[0], lines])[offsets[:-1]]
+    block = (lines[starts] if len(starts) else starts) - before[page] + first[page]
+    return span_hashes(data, starts, ends), rows, block, kinds.flatten().to_numpy()[block] == KEEP
 
 
-def _bodies(sieve=None):
-    """All blocks that are in no menu and the like, one a line, and their kinds."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, body, kinds in _streams(batches):
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("page_id", "url", "rid", "host", "b")], body, kinds, pa.nulls(part.num_rows, pa.list_(pa.int32()))], ["page_id", "url", "rid", "host", "b", "body", "kinds", "places"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _some(batches, sieve, True):
-            found = [[x for x in blocks(page.as_py()) if x[0] != DROP] for page in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("host"), pa.array(["\n".join(t for _, t in f) for f in found], pa.string()), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32()))],
-                                             ["rid", "host", "body", "kinds"])
-
-    return run
 
+def _outside(least: int):
+    """Of the runs of `least` words outside of articles: the hash with the host's, the page, and the place of the first word in it."""
 
-def _windows(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each `least` words in a row of one page: the first word's number, the row, the seed and the run; the host is part of both.
-
-    The seed is the least hash of some fewer words in them, so equal runs have equal seeds and neighbours mostly share theirs."""
-    words, rows = word_hashes(data, offsets)
-    at, row = starts_of_grams(rows, least)
-    n = max(1, least - 3)
-    host = mix(part.column("host").to_numpy().view(np.uint64))[row]
-    seed = sliding_min(gram_hashes(words, n), least - n + 1)[at] if len(at) else np.zeros(0, np.uint64)
-    return at - rows[:-1][row], row, mix(seed ^ host), mix(gram_hashes(words, least)[at] ^ host) if len(at) else seed
-
-
-def _short(seed: np.ndarray) -> np.ndarray:
-    """The upper 40 bits; the lower ones choose the bucket."""
-    return seed >> np.uint64(24)
-
-
-def _seeds(least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "body", 1 << 20):
-            _, row, seed, _ = _windows(part, data, offsets, least)
-            new = np.ones(len(row), bool)
-            new[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
-            seed, rid = seed[new], part.column("rid").to_numpy()[row[new]]
-            bucket = ((seed & np.uint64((1 << 24) - 1)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            packed = np.empty((len(order), 13), np.uint8)
-            packed[:, :5] = _short(seed[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-            packed[:, 5:] = rid[order].view(np.uint8).reshape(-1, 8)
-            own, first = np.unique(bucket[order], return_index=True)
-            ends = np.append(first, len(order))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["b", "packed"])
+        for part, body, kinds in _streams(batches):
+            words, rows, _, inside = _words(body, kinds)
+            at, row = starts_of_grams(rows, least)
+            told = np.concatenate([[0], np.cumsum(inside)])
+            mine = told[at + least] == told[at]
+            at, row = at[mine], row[mine]
+            host = mix(part.column("host").to_numpy().view(np.uint64))[row]
+            value = mix(gram_hashes(words, least)[at] ^ host) if len(at) else np.zeros(0, np.uint64)
+            owner = pa.array(row)
+            yield pa.RecordBatch.from_arrays([signed(value), part.column("rid").take(owner), part.column("host").take(owner), pa.array((at - rows[:-1][row]).astype(np.int32))], ["run", "rid", "host", "place"])
 
     return run
 
 
-def _shared_seeds(group: pd.DataFrame) -> pd.DataFrame:
-    """The seeds of a bucket that two distinct pages have, with each of their pages."""
-    packed = np.frombuffer(b"".join(group["packed"]), np.uint8).reshape(-1, 13)
-    wide = np.zeros((len(packed), 8), np.uint8)
-    wide[:, :5] = packed[:, :5]
-    seed, rid = wide.view(np.int64)[:, 0], np.ascontiguousarray(packed[:, 5:]).view(np.int64)[:, 0]
-    order = np.lexsort((rid, seed))
-    seed, rid = seed[order], rid[order]
-    first = np.concatenate([[True], (seed[1:] != seed[:-1])])
-    starts = np.flatnonzero(first)
-    ends = np.append(starts[1:], len(seed)) - 1
-    many = (rid[starts] != rid[ends])[np.cumsum(first) - 1]
-    many[1:] &= first[1:] | (rid[1:] != rid[:-1])
-    return pd.DataFrame({"rid": rid[many], "seed": seed[many]})
-
-
-def _runs(least: int):
-    """The runs of each page that one of its shared seeds is in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "body", 1 << 20):
-            at, row, seed, value = _windows(part, data, offsets, least)
-            seeds = part.column("seeds")
-            own = np.repeat(np.arange(part.num_rows), seeds.value_lengths().to_numpy())
-            # Seeds of 40 bits and rows: a pair is one number.
-            pair = mix(np.concatenate([own, row]).astype(np.uint64)) ^ np.concatenate([seeds.flatten().to_numpy().view(np.uint64), _short(seed)])
-            keep = np.isin(pair[len(own) :], pair[: len(own)])
-            yield pa.RecordBatch.from_arrays([part.column("rid").take(pa.array(row[keep])), signed(value[keep]), pa.array(at[keep])], ["rid", "run", "place"])
-
-    return run
+def host_wide(pages: DataFrame, least: int) -> DataFrame:
+    """(rid, host, places) of the runs that boilerplate() would find in the pages (rid, host, html) of each whole host."""
+    outside = cut(pages.mapInArrow(_outside(least), "run long, rid long, host long, place int"))
+    many = outside.groupBy("run").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select("run")
+    return outside.join(many, "run").groupBy("rid", "host").agg(F.collect_set("place").alias("places"))
 
 
 def _long_or_whole(mark: np.ndarray, least: int) -> np.ndarray:
@@ -299,67 +250,76 @@ def _long_or_whole(mark: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def _unique_runs(least: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rid")
-        pages = [list(zip(kinds, body.split("\n"), strict=True)) for kinds, body in zip(group["kinds"], group["body"], strict=True)]
-        streams = [[w for _, t in found for w in t.split()] for found in pages]
-        out = []
-        for found, mark in zip(pages, covered(streams, least, [np.asarray(p, np.int64) for p in group["places"]]), strict=True):
-            at, kept, lines, gone, total = 0, _kept(found), [], 0, 0
-            for k, t in found:
-                words = t.split()
-                own = _long_or_whole(mark[at : at + len(words)], least)
-                at += len(words)
-                if k == kept:
-                    left = [w for w, m in zip(words, own, strict=True) if not m]
-                    gone, total = gone + len(words) - len(left), total + len(words)
-                    lines += [" ".join(left)] if left else []
-            # An article that is mostly repeated is a copy of another page's, and so is a page of which nothing is left: they keep their text.
-            copy = gone == total or kept == KEEP and 2 * gone > total
-            out.append(None if copy or not gone else "\n".join(lines))
-        return pd.DataFrame({"rid": group["rid"], "cleaned": out})
+def _text(body: str, kinds: list[int], mark: np.ndarray | None, least: int) -> str:
+    """The text of a page: its kept blocks less the marked words."""
+    kept, lines = _kept(kinds), body.split("\n") if kinds else []
+    whole = "\n".join(t for k, t in zip(kinds, lines, strict=True) if k == kept)
+    if mark is None or kept == KEEP:
+        return whole
+    at, out = 0, []
+    for k, t in zip(kinds, lines, strict=True):
+        words = t.split(" ")
+        own = mark[at : at + len(words)]
+        at += len(words)
+        if k == kept:
+            left = [w for w, m in zip(words, _long_or_whole(own, least), strict=True) if not m]
+            out += [" ".join(left)] if left else []
+    return "\n".join(out) or whole  # a page of which nothing is left is a copy of another one
+
+
+def _unique_runs(least: int, kind: pa.DataType):
+    def run(group: pa.Table) -> pa.Table:
+        hits = group.filter(pc.is_valid(group["places"]))
+        group = group.filter(pc.is_null(group["places"]))
+        rid = group["rid"].to_numpy()
+        distinct, where = np.unique(rid, return_index=True)  # repeated rows are one page
+        one = group.take(pa.array(where)).combine_chunks()
+        body, kinds = _array(one["body"]), _array(one["kinds"])
+        words, rows, _, inside = _words(body, kinds)
+        starts = [boilerplate(words, rows, inside, least)] if len(words) else []
+        for r, places in zip(hits["rid"].to_numpy(), hits["places"]):
+            starts.append(rows[np.searchsorted(distinct, r)] + np.asarray(places.values.to_numpy(), np.int64))
+        mark = covered(np.concatenate(starts), len(words), least) if starts else np.zeros(0, bool)
+        told = np.concatenate([[0], np.cumsum(mark)])
+        some = told[rows[1:]] > told[rows[:-1]]
+        texts = [_text(b.as_py(), k.as_py(), mark[rows[i] : rows[i + 1]] if some[i] else None, least) for i, (b, k) in enumerate(zip(body, kinds))]
+        back = pa.array(np.searchsorted(distinct, rid))
+        return pa.table([group["page_id"], group["url"], pa.array(texts, pa.string()).take(back)], schema=pa.schema([("page_id", kind), ("url", pa.string()), ("text", pa.string())]))
 
     return run
 
 
-def repeated_runs(pages: DataFrame, least: int = 8) -> DataFrame:
-    """(rid, host, body, kinds, places) of the pages (rid, host, html) that have a run of `least` words which another page of their host has too.
-
-    Whether a run is repeated is a fact of the whole host: seeds of runs are dealt into buckets by hash, those on two distinct pages give
-    candidates, and of these each run of `least` words is compared by the least and the greatest page that has it."""
-    size = pages.agg(F.coalesce(F.sum(F.length("html")), F.lit(0))).first()[0]
-    buckets = max(64, size // 20_000_000)
-    kind = "rid long, host long, body string, kinds array<int>"
-    shared = pages.mapInArrow(_bodies(), kind).mapInArrow(_seeds(least, buckets), "b int, packed binary").groupBy("b").applyInPandas(_shared_seeds, "rid long, seed long")
-    shared = cut(shared)
-    left = cut(pages.mapInArrow(_bodies(_sieve(shared)), kind).join(shared.groupBy("rid").agg(F.collect_list("seed").alias("seeds")), "rid").dropDuplicates(["rid"]))
-    runs = cut(left.mapInArrow(_runs(least), "rid long, run long, place long"))
-    many = runs.groupBy("run").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select("run")
-    places = runs.join(many, "run").groupBy("rid").agg(F.collect_list("place").alias("places"))
-    return left.drop("seeds").join(places, "rid")
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", least: int = 8, pages_per_block: int = 200) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     Blocks inside an article or main element, less the menus, forms, notices and so on in it, are the text; a page without such an element has
-    its blocks that are in no menu and the like. Of both, runs of at least `least` words that two distinct pages of the host have are removed; of
-    a block, whole or at least `least` words in a row. An article of which more than half would go is a copy of another page's and stays as
-    it is, as does any page of which nothing would be left. Repetition is found over all pages of a host (`repeated_runs`); the suffix arrays that
-    cover the runs are built over blocks of about pages_per_block of its pages, which does not change the result. References are decoded, white space in a block (br too) is
-    one space, blocks are joined by a line feed. Null or empty html: empty text, 0 characters. Repeated rows: one result each, from one shared
-    page, so they don't remove each other. Null url: a host of its own. Empty table: no rows. Other columns are ignored."""
-    spark_type = df.schema[key].dataType.simpleString()
+    its blocks that are in no menu and the like. The streams of all blocks of a host's pages, menus and articles alike, go into a suffix array,
+    and of what is text outside of articles the runs of at least `least` words that another page of the host has outside of articles are
+    removed (see boilerplate); of a block, whole or at least `least` words in a row. What is in an article stays: quotations, copies and
+    common phrases are repeated in many. A page of which nothing would be left keeps its text. A host of more than pages_per_block pages
+    has a suffix array for each block of so many of them; what is repeated over the whole host (`host_wide`) is handed to each of them,
+    so blocks do not change the result. References are decoded, white space in a block (br too) is one space, blocks are joined by a line feed. Null or empty
+    html: empty text, 0 characters. Repeated rows: one result each, from one shared page, so they don't remove each other. Null url: a host of
+    its own. Empty table: no rows. Other columns are ignored."""
+    kind = df.schema[key].dataType
     pages = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
-    host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1), F.lit(""))
-    pages = pages.withColumn("rid", F.xxhash64("page_id", "url", "html")).withColumn("host", F.xxhash64(F.lower(host)))
-    one = cut(repeated_runs(pages.select("rid", "host", "html"), least))
-    # Only hosts of several blocks are broadcast, at most one in pages_per_block pages.
-    large = one.groupBy("host").agg(F.ceil(F.count("*") / pages_per_block).alias("n")).where("n > 1")
-    dealt = one.join(F.broadcast(large), "host", "left").withColumn("b", F.xxhash64("host", F.pmod(F.xxhash64("rid", F.lit(1)), F.coalesce("n", F.lit(1)))))
-    cleaned = cut(dealt.groupBy("b").applyInPandas(_unique_runs(least), "rid long, cleaned string").where("cleaned is not null"))
-    sieve = _sieve(cleaned)
-    inside, outside = [pages.select("page_id", "url", "rid", "html").mapInArrow(_texts(sieve, k), f"page_id {spark_type}, url string, rid long, text string") for k in (True, False)]
-    out = inside.join(cleaned, "rid", "left").select("page_id", "url", F.coalesce("cleaned", "text").alias("text")).unionByName(outside.select("page_id", "url", "text"))
+    host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1), F.lit(""))))
+    sizes = cut(pages.groupBy(host.alias("host")).agg(F.count("*").alias("n")))
+    most = max(pages_per_block, (sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // LARGE_HOSTS)
+    large = sizes.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    pages = pages.withColumn("rid", F.xxhash64("page_id", "url", "html")).withColumn("host", host).join(F.broadcast(large), "host", "left")
+    block = F.pmod(F.xxhash64("rid", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int")
+    pages = pages.withColumn("b", block)
+    names = ["page_id", "url", "rid", "host", "b", "body", "kinds", "places"]
+    id_kind = kind.simpleString()
+    streams = pages.mapInArrow(_parsed, f"page_id {id_kind}, url string, rid long, host long, b int, body string, kinds array<tinyint>, places array<int>")
+    if not large.isEmpty():
+        places = host_wide(pages.where("blocks is not null").select("rid", "host", "html"), least).join(F.broadcast(large), "host").withColumn("b", block)
+        none = {"page_id": F.lit(None).cast(kind), "url": F.lit(None).cast("string"), "body": F.lit(None).cast("string"), "kinds": F.lit(None).cast("array<tinyint>")}
+        streams = streams.unionByName(cut(places.select(*[none[c].alias(c) if c in none else F.col(c) for c in names])))
+    out = streams.groupBy("host", "b").applyInArrow(_unique_runs(least, to_arrow_type(kind)), f"page_id {id_kind}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -248,26 +248,80 @@ def test_every_exact_copy_of_an_item_is_a_leak(spark):
 
 @pytest.mark.parametrize("tag", ["div", "article"])
 def test_runs_are_repeated_over_the_whole_host(spark, tag):
+    """Without an article, runs repeated anywhere in the host go. What articles share is their text, wherever else it stands: contract op9 drops nothing else."""
     notice, ad, copy = "Please note that our offices are closed on all Mondays", "Buy two pairs of shoes and get the third one free", " ".join(f"copied{j}" for j in range(40))
     own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(450)]
-    rows = [(i, f"http://h.example/{i}", f"<{tag}><p>{own[i]}</p>" + (f"<p>{notice}</p>" if i in (3, 400) else "") + (f"<p>{ad}</p>" if i % 50 == 0 else "") + f"</{tag}>") for i in range(450)]
+    rows = [(i, f"http://h.example/{i}", f"<{tag}><p>{own[i]}</p>" + (f"<p>{notice}</p>" if i in (3, 400) else "") + (f"<p>{ad}</p>" if i % 50 == 0 else "") + f"</{tag}>" + f"<div class='ad'>{ad}</div>" * (i == 77)) for i in range(450)]
     rows += [(450 + i, f"http://h.example/{450 + i}", f"<{tag}><p>{copy}</p></{tag}>") for i in range(2)] + [(460, "http://other.example/", f"<{tag}><p>{own[0]}</p><p>{notice}</p></{tag}>")]
-    got = {r["page_id"]: r["text"] for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), pages_per_block=20).collect()}
-    assert got == {i: own[i] for i in range(450)} | {450: copy, 451: copy, 460: f"{own[0]}\n{notice}"}
-
-
-def test_repeated_runs_of_given_pages(spark):
+    every = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: own[i] for i in range(450)} | {450: copy, 451: copy, 460: f"{own[0]}\n{notice}"}
+    if tag == "article":
+        want |= {i: "\n".join([own[i], *[notice] * (i in (3, 400)), *[ad] * (i % 50 == 0)]) for i in (3, *range(0, 450, 50))}
+    for size in (20, 1000):
+        got = {r["page_id"]: r["text"] for r in main_text.main_text(every, pages_per_block=size).collect()}
+        assert got == want
+
+
+def brute_boilerplate(pages, least=8):
+    """{page: starts} for pages {page: (host, [(kind, text)])}, by the rules of main_text.boilerplate."""
+    inside, outside, runs = defaultdict(set), defaultdict(set), []
+    for p, (host, found) in pages.items():
+        stream = [(w, k == main_text.KEEP) for k, t in found for w in t.split()]
+        for j in range(len(stream) - least + 1):
+            run, keep = (host, tuple(w for w, _ in stream[j : j + least])), {k for _, k in stream[j : j + least]}
+            if len(keep) == 1:
+                (inside if keep == {True} else outside)[run].add(p)
+                runs.append((p, j, run, keep == {True}))
+    out = defaultdict(set)
+    for p, j, run, keep in runs:
+        if not keep and len(outside[run]) > 1:
+            out[p].add(j)
+    return out
+
+
+def test_boilerplate_of_given_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     host = {r["page_id"]: (r["url"] or "").split("/")[2].lower() for r in rows}
-    words = {r["page_id"]: [w for k, t in main_text.blocks(r["html"] or "") if k != main_text.DROP for w in t.split()] for r in rows}
-    pages = defaultdict(set)
-    for i, w in words.items():
-        for j in range(len(w) - 7):
-            pages[host[i], tuple(w[j : j + 8])].add(i)
-    want = sorted((j, len(w)) for i, w in words.items() for j in range(len(w) - 7) if len(pages[host[i], tuple(w[j : j + 8])]) > 1)
-    frame = spark.createDataFrame([(r["page_id"], hash(host[r["page_id"]]), r["html"] or "") for r in rows], "rid long, host long, html string")
-    got = main_text.repeated_runs(frame).collect()
-    assert want and sorted((p, len(r["body"].split())) for r in got for p in r["places"]) == want
+    want = brute_boilerplate({r["page_id"]: (host[r["page_id"]], main_text.blocks(r["html"] or "")) for r in rows})
+    number = {h: i for i, h in enumerate(sorted(set(host.values())))}
+    given = spark.createDataFrame([(r["page_id"], number[host[r["page_id"]]], r["html"] or "") for r in rows], "rid long, host long, html string")
+    assert want and {r["rid"]: set(r["places"]) for r in main_text.host_wide(given, 8).collect()} == want
+
+
+def test_boilerplate_of_one_array_is_what_a_scan_finds():
+    random = np.random.default_rng(8)
+    for _ in range(20):
+        pages = {p: ("h", [(int(random.integers(0, 3)), " ".join(f"t{x}" for x in random.integers(0, 3, random.integers(1, 12)))) for _ in range(random.integers(1, 5))]) for p in range(6)}
+        import pyarrow as pa
+
+        words, rows, _, inside = main_text._words(pa.array(["\n".join(t for _, t in f) for _, f in pages.values()]), pa.array([[k for k, _ in f] for _, f in pages.values()], pa.list_(pa.int8())))
+        for least in (2, 3, 5):
+            want = sorted((rows[p] + j) for p, starts in brute_boilerplate(pages, least).items() for j in starts)
+            assert sorted(main_text.boilerplate(words, rows, inside, least).tolist()) == want
+
+
+def test_text_of_given_pages_is_that_of_their_articles(spark):
+    """The given pages are made of the documents: their articles hold a headline and a document's text, and nothing else may be kept or lost."""
+    d = "/root/testdata/sf0.01"
+    squeeze = lambda t: " ".join((t or "").split())
+    texts = {squeeze(t) for _, t in pairs(spark.read.parquet(f"{d}/documents.parquet"))}
+    got = [squeeze(r["text"].partition("\n")[2]) for r in main_text.main_text(spark.read.parquet(f"{d}/pages.parquet")).collect()]
+    assert len(got) == 250 and all(t in texts for t in got)
+
+
+@pytest.mark.parametrize("page", ["<article class='notice'><p>Body</p></article>", "<article class='post related-topic'><p>Body</p></article>", "<main id='search'><p>Body</p></main>",
+                                  "<div class='share'><article><p>Body</p></article></div>", "<nav><article>No</article></nav><p>Body</p>", "<article>Body<div class='comments'><article class='comment'>No</article></div></article>",
+                                  "<article class='notice'>No</article><article>Body</article>"])
+def test_class_words_leave_an_article(page):
+    kinds = main_text.blocks(page)
+    kept = main_text._kept([k for k, _ in kinds])
+    assert [t for k, t in kinds if k == kept] == ["Body"]
+
+
+def test_pages_with_odd_columns(spark):
+    rows = [(1, None, "<p>a b</p>", "r", 1, 2), (None, "http://x.y/1", "<article>c</article>", "r", 1, 2), (None, "http://x.y/1", "<article>c</article>", "r", 1, 2), (3, "HTTP://X.Y/2", None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, rid string, host int, b int")
+    assert sorted(((r["page_id"], r["text"]) for r in main_text.main_text(df).collect()), key=repr) == sorted([(1, "a b"), (None, "c"), (None, "c"), (3, "")], key=repr)
 
 
 UNLIKE = [" ".join(f"{c}{i}" for i in range(30)) for c in "pqrst"]
