@@ -54,6 +54,32 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sieve(hashes: DataFrame):
+    """A broadcast bitmap in which each number of the one column has its bit: 16 MB at most, by 2 million rows at most. Of other numbers few
+    have theirs while there are fewer numbers than bits; with many more all have, so what comes through it is to be told apart exactly later."""
+    column, spark = F.col(hashes.columns[0]), hashes.sparkSession
+    bits = 1 << min(27, max(10, (hashes.count() * 16).bit_length()))
+    place = column.bitwiseAND(F.lit(bits - 1))
+    words = hashes.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(bitmap)
+
+
+def sifted(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the hashes have their bit in a sieve's bitmap."""
+    place = x & np.uint64(len(bitmap) * 64 - 1)
+    return bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, gram_hashes, mix, release, signed, slices, starts_of_grams, word_hashes
+from linref.llm._shared import cut, gram_hashes, mix, release, sieve, sifted, signed, slices, starts_of_grams, unused, word_hashes
 from linref.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -71,7 +71,9 @@ def _summaries(n: int):
     return run
 
 
-def _prefixes(n: int, percent: int, frequent):
+def _prefixes(n: int, percent: int, frequent, some=None):
+    """The prefix of each row's set; some: a sieve of the tokens that are wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = frequent.value
         seen = np.zeros(1 << 23, bool)  # whether any frequent shingle starts with these 23 bits
@@ -96,6 +98,8 @@ def _prefixes(n: int, percent: int, frequent):
             # A partner holds at least percent of this set, so with l matches wanted the prefix is l - 1 longer.
             least = -(-size * percent // 100)
             keep = place < (size - least + MOST_MATCHES)[row]
+            if some is not None:
+                keep &= sifted(some.value, values)
             own = np.bincount(row, order[sort] == 0, minlength=part.num_rows) / np.maximum(size, 1)  # a set of few rare shingles is in the middle of its copies
             yield pa.RecordBatch.from_arrays([signed(values[keep]), signed(key[row[keep]]), pa.array(size[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array((own[row[keep]] * 1000).astype(np.int16))],
                                              ["token", "k", "n", "place", "rare"])
@@ -103,6 +107,14 @@ def _prefixes(n: int, percent: int, frequent):
     return run
 
 
+def _of_rids(some):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sifted(some.value, batch.column("rid").to_numpy().view(np.uint64))))
+
+    return run
+
+
 def _full(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text"):
@@ -137,9 +149,10 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     by_value = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[by_value], (len(tokens) - by_value).astype(np.uint32)))
 
-    prefix = docs.select("text").mapInArrow(_prefixes(words, percent, frequent), "token long, k long, n int, place int, rare short")
-    counted = prefix.select("token").groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    kind = "token long, k long, n int, place int, rare short"
+    counted = docs.select("text").mapInArrow(_prefixes(words, percent, frequent), kind).groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     many = cut(counted)
+    prefix = docs.select("text").mapInArrow(_prefixes(words, percent, frequent, sieve(many)), kind)
     shared = cut(prefix.join(many, "token", "left_semi").distinct())
     release(many)
     postings = cut(shared.join(shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "token"))
@@ -147,10 +160,11 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "rid"), "k").select("rid", "k")
-        sets = cut(docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "rid"), "k").select("rid", "k"))
+        texts = docs.select("rid", "text").mapInArrow(_of_rids(sieve(wanted.select("rid"))), "rid long, text string")
+        sets = cut(texts.join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
         found = cut(_verify(pairs, sets, percent))
-        release(pairs, sets)
+        release(pairs, sets, wanted)
         return found
 
     # Each node of a token is paired with the token's hub alone, the set with the smallest share of rare shingles: copies that were each
@@ -241,12 +255,14 @@ def component_digest(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each component: the one of the least key, by its hash if that is repeated. Rows without words all stay."""
-    found = similar_components(df, key, text).withColumn("alone", F.when(F.col("n_shingles") == 0, F.col("rid")))
-    best = found.where("n_shingles > 0").groupBy("c").agg(F.min_by("rid", F.struct("doc_id", "rid")).alias("__rid")).select("__rid")
-    bare = found.where("n_shingles = 0").select(F.col("rid").alias("__rid")).distinct()
-    out = df.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))))
-    kept = out.join(best.withColumn("__one", F.lit(True)).unionByName(bare.withColumn("__one", F.lit(False))), "__rid")
+    """df with one row of each component: the one of the least key, by its hash if that is repeated, null keys first.
+
+    Rows without words (null, empty, blank) all stay. Of identical rows one stays. Empty table: no rows. Columns of any name are kept."""
+    rid, one = unused(df, "rid"), unused(df, "one")
+    found = cut(similar_components(df, key, text).select("doc_id", "rid", "n_shingles", "c"))
+    best = found.where("n_shingles > 0").groupBy("c").agg(F.min_by("rid", F.struct("doc_id", "rid")).alias(rid)).select(rid, F.lit(True).alias(one))
+    bare = found.where("n_shingles = 0").select(F.col("rid").alias(rid)).distinct().withColumn(one, F.lit(False))
+    kept = df.withColumn(rid, F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(best.unionByName(bare), rid)
     # Identical rows share a hash; of those one stays.
-    once = kept.where("__one").dropDuplicates(["__rid"])
-    return once.unionByName(kept.where("not __one")).select(*df.columns)
+    once = kept.where(F.col(one)).dropDuplicates([rid])
+    return once.unionByName(kept.where(~F.col(one))).select(*df.columns)
