@@ -10,31 +10,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, gram_hashes, signed, slices, sliding_min, starts_of_grams, word_hashes, word_spans
+from linref.llm._shared import cut, gram_hashes, release, sieve, sifted, signed, slices, sliding_min, starts_of_grams, unused, word_hashes, word_spans
 
-#: Words of a window, and of the seeds from which windows are extended.
+#: Words of a window.
 WINDOW = 13
+#: Levels start at so many words: of shorter windows nearly all are repeated in prose, so they would rule out nothing.
+START = 4
 
 
-def _short(window: int) -> int:
-    return (window + 1) // 2
+def lengths(window: int) -> list[int]:
+    """The levels' lengths: each twice the one before it, the last one overlapping itself where it would be longer than a window."""
+    out = [min(START, window)]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
+    return out
 
 
-def _seed_of_windows(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first word and row of each window, and its seed: the least hash among its grams of half the length."""
+def _seed_of_windows(words: np.ndarray, rows: np.ndarray, window: int, n: int, sieves: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first word and row of each window whose seeds of all levels so far are in those levels' sieves, and its seed of n words: the least
+    hash among its grams of n words. Equal windows have equal seeds, neighbouring ones mostly share theirs."""
     at, row = starts_of_grams(rows, window)
-    short = _short(window)
-    grams = gram_hashes(words, short)
-    least = sliding_min(grams, window - short + 1) if len(at) else grams
+    for length, kept in [*[(m, shared.value) for m, shared in sieves], (n, None)]:
+        grams = gram_hashes(words, length)
+        least = sliding_min(grams, window - length + 1) if len(at) else grams
+        if kept is not None:
+            some = sifted(kept, least[at])
+            at, row = at[some], row[some]
     return at, row, least[at]
 
 
-def _seeds(window: int):
+def _seeds(window: int, n: int, sieves: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices([batch], "text"):
                 words, rows = word_hashes(data, offsets)
-                _, row, seed = _seed_of_windows(words, rows, window)
+                _, row, seed = _seed_of_windows(words, rows, window, n, sieves)
                 new = np.ones(len(seed), bool)
                 new[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([signed(seed[new]), part.column("doc_id").take(pa.array(row[new]))], ["h", "doc_id"])
@@ -42,12 +52,12 @@ def _seeds(window: int):
     return run
 
 
-def _windows(window: int):
+def _windows(window: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices([batch], "text"):
                 words, rows = word_hashes(data, offsets)
-                at, row, seed = _seed_of_windows(words, rows, window)
+                at, row, seed = _seed_of_windows(words, rows, window, short, [])
                 wanted = part.column("seeds")
                 flat, owner = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])
                 # One sorted list of (row, seed) pairs, folded into single numbers.
@@ -86,7 +96,7 @@ def _kept(window: int, texts: bool):
                     stay = np.cumsum(steps[:-1]) == 0
                 raw = bytes(raw) if len(data) else b""
                 kept = b" ".join(w for w, k in zip(raw.split(), stay, strict=True) if k)
-                row = [batch.column("rid")[i].as_py(), len(starts), int((~stay).sum()), hashlib.sha256(kept).hexdigest()] + [kept.decode("utf-8")] * texts
+                row = [batch.column("rid")[i].as_py(), len(starts), int((~stay).sum()), hashlib.sha256(kept).hexdigest()] + ([cut_out(raw, starts, ends, stay).decode("utf-8")] if texts else [])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * texts
@@ -95,41 +105,69 @@ def _kept(window: int, texts: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """From docs (doc_id, rid, text): the documents with repeated seeds, with their texts; and (rid, pos) of each window whose
-    words also start in a document of smaller doc_id."""
-    short = _short(window)
-    # Level 1: of each window only the least gram of half the length, about a quarter of all grams; equal windows share it.
-    seeds = docs.select("doc_id", "text").mapInArrow(_seeds(window), "h long, doc_id long")
-    ends = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    repeated = cut(ends.where("a < b").select("h"))
+def cut_out(raw: bytes, starts: np.ndarray, ends: np.ndarray, stay: np.ndarray) -> bytes:
+    """The text without the words that don't stay: all white space between kept neighbours is kept, and where words go the white space
+    before them if that has a line feed, else that after them."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], stay.astype(np.int8), [0]]))).tolist()
+    out = []
+    for k, (a, b) in enumerate(zip(edges[::2], edges[1::2], strict=True)):
+        before = raw[ends[edges[2 * k - 1] - 1] : starts[edges[2 * k - 1]]] if k else raw[: starts[0]]
+        if k and b"\n" not in before:
+            before = raw[ends[a - 1] : starts[a]]
+        out += [before, raw[starts[a] : ends[b - 1]]]
+    return b"".join(out) + raw[ends[-1] :] if out else b""
+
+
+def extended(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """From docs (doc_id, rid, text): the documents with candidates at the last level but one, with their texts and seeds; and (g, doc_id,
+    rid, pos) of their windows of the whole length over those.
+
+    Level by level, a window is extended to twice the length only where its part at this length alone is repeated in another document. Of each window only its
+    seed is counted. What the first levels leave is handed on in a sieve of bounded size, what the last one leaves by a join."""
+    sieves: list = []
+    *early, short = lengths(window)[:-1] or [window]
+    for n in [*early, short]:
+        seeds = docs.select("doc_id", "text").mapInArrow(_seeds(window, n, list(sieves)), "h long, doc_id long")
+        repeated = cut(seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
+        if n != short:
+            sieves.append((n, sieve(repeated)))
+            release(repeated)
     own = cut(seeds.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")))
     texts = cut(docs.join(own, "doc_id"))
-    # Level 2: only windows over repeated seeds are extended to the whole length.
-    assert window <= 2 * short
-    whole = texts.select("doc_id", "rid", "text", "seeds").mapInArrow(_windows(window), "g long, doc_id long, rid long, pos int")
+    release(repeated, own)
+    return texts, texts.select("doc_id", "rid", "text", "seeds").mapInArrow(_windows(window, short), "g long, doc_id long, rid long, pos int")
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """From docs (doc_id, rid, text): the documents with candidates, with their texts; and (rid, at) of the windows whose words also
+    start in a document of smaller doc_id."""
+    texts, whole = extended(docs, window)
     ends = whole.groupBy("g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = cut(ends.where("first < last").select("g", "first"))
     later = whole.join(firsts, "g").where(F.col("doc_id") > F.col("first")).select("rid", "pos")
-    return texts, cut(later.groupBy("rid").agg(F.collect_set("pos").alias("at")))
+    at = cut(later.groupBy("rid").agg(F.collect_set("pos").alias("at")))
+    release(firsts)
+    return texts, at
 
 
 def longest_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Level by level, the documents' windows that are repeated in other documents: (level, words, windows, documents).
 
-    Windows repeated at one length alone are extended to twice that length, until none survives."""
-    docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out, level, alive = None, 0, docs.withColumn("starts", F.lit(None).cast("array<int>"))
+    The levels up to `window` words are those of the query; from there on, windows repeated at one length alone are extended to twice that length, until none
+    survives. Null keys are left out."""
+    docs = _prepared(df, key, text).where("doc_id is not null")
+    texts, grams = extended(docs, window)
+    out, level = None, 0
     while True:
-        grams = cut(alive.mapInArrow(_grams_at(window), "g long, doc_id long, pos int"))
-        again = grams.groupBy("g").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").select("g")
+        again = grams.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("g")
         found = cut(grams.join(again, "g", "left_semi"))
         row = found.agg(F.lit(level).alias("level"), F.lit(window).alias("words"), F.countDistinct("g").alias("windows"), F.countDistinct("doc_id").alias("documents"))
         out = row if out is None else out.unionByName(row)
-        if not found.limit(1).count():
+        if found.isEmpty():
             return out
-        alive = docs.join(found.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "doc_id")
         level, window = level + 1, window * 2
+        alive = texts.join(found.groupBy("rid").agg(F.collect_set("pos").alias("starts")), "rid")
+        grams = alive.select("doc_id", "rid", "text", "starts").mapInArrow(_grams_at(window), "g long, doc_id long, rid long, pos int")
 
 
 def _grams_at(n: int):
@@ -139,11 +177,11 @@ def _grams_at(n: int):
             grams = gram_hashes(words, n)
             at, row = starts_of_grams(rows, n)
             starts = part.column("starts")
-            if starts.null_count < len(starts):
-                lists = starts.to_pylist()
-                keep = np.concatenate([np.isin(at[row == i] - rows[i], lists[i]) for i in range(len(lists))]) if len(at) else np.zeros(0, bool)
-                at, row = at[keep], row[keep]
-            yield pa.RecordBatch.from_arrays([signed(grams[at]), part.column("doc_id").take(pa.array(row)), pa.array((at - rows[row]).astype(np.int32))], ["g", "doc_id", "pos"])
+            first = rows[:-1][np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy())] + starts.flatten().to_numpy()
+            keep = np.isin(at, first)
+            at, row = at[keep], row[keep]
+            owner = pa.array(row)
+            yield pa.RecordBatch.from_arrays([signed(grams[at]), part.column("doc_id").take(owner), part.column("rid").take(owner), pa.array((at - rows[row]).astype(np.int32))], ["g", "doc_id", "rid", "pos"])
 
     return run
 
@@ -181,13 +219,16 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """df with the words removed that dedup_digest counts as removed; rows without such words keep their text as it is.
 
-    length names a column to hold the new number of code points. A row whose words all go stays, with an empty text."""
+    Spans are cut out of the original text, so its line breaks stay (see cut_out). length names a column to hold the new number of code
+    points. A row whose words all go stays, with an empty text. Null and empty texts and rows of null keys stay as they are; repeated rows
+    stay and get the same text. Empty table: no rows. Columns of any name are kept."""
+    rid, kept = unused(df, "rid"), unused(df, "kept")
     docs = _prepared(df, key, text)
     texts, at = repeated_windows(docs.where("doc_id is not null"), window)
     schema = "rid long, n_words long, n_removed long, kept_sha256 string, kept string"
-    changed = texts.select("rid", "text").dropDuplicates(["rid"]).join(at, "rid").mapInArrow(_kept(window, True), schema).select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept"))
-    out = df.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(changed, "__rid", "left")
-    out = out.withColumn(text, F.coalesce("__kept", F.col(text)))
+    changed = texts.select("rid", "text").dropDuplicates(["rid"]).join(at, "rid").mapInArrow(_kept(window, True), schema).select(F.col("rid").alias(rid), F.col("kept").alias(kept))
+    out = df.withColumn(rid, F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(changed, rid, "left")
+    out = out.withColumn(text, F.coalesce(F.col(kept), F.col(text)))
     if length:
-        out = out.withColumn(length, F.when(F.col("__kept").isNotNull(), F.char_length(text).cast(df.schema[length].dataType)).otherwise(F.col(length)))
+        out = out.withColumn(length, F.when(F.col(kept).isNotNull(), F.char_length(text).cast(df.schema[length].dataType)).otherwise(F.col(length)))
     return out.select(*df.columns)
