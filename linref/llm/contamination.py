@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import IS_MARK, cut, gram_hashes, slices, text_buffers, word_hashes
+from linref.llm._shared import IS_MARK, cut, gram_hashes, slices, text_buffers, unused, word_hashes
 
 K1, B = 1.2, 0.75
 #: A passage is a candidate when it reaches this share of the item's own score, a leak when it holds these shares of the item's shingles.
@@ -18,8 +18,12 @@ SCORE, OVERLAP, SHINGLE = 0.6, 0.75, 5
 #: A part of fewer words has too few shingles of its own for a share of them; its words are looked for in the item's shingles that reach into it.
 SHORT = 8
 PASSAGE, POSTINGS = 128, 16
-#: Items of one index; more items are searched in blocks, each over all rows. It bounds what is broadcast.
-ITEMS = 20_000
+#: Bytes of item text in one index; more items are searched in blocks, each over all rows. It bounds what is broadcast.
+INDEX_BYTES = 4 << 20
+#: Passages that are searched at once.
+TOGETHER = 4096
+#: What IS_MARK holds, as a Java pattern.
+MARKS = r"[\t-\r -/:-@\[-`{-~]+"
 
 
 @dataclass
@@ -46,21 +50,23 @@ class Part:
 
 @dataclass
 class Index:
-    """An inverted index: postings by term and item, with the greatest weight of each term and of each POSTINGS postings."""
+    """An inverted index: postings by term and item, with the greatest weight of each term and of each POSTINGS postings, and their last items.
+
+    keys: term * number of items + item of each posting. The last term is none: it has no postings and weighs nothing."""
 
     terms: np.ndarray
     first: np.ndarray
     items: np.ndarray
     weights: np.ndarray
+    keys: np.ndarray
     most: np.ndarray
-    block_most: list[np.ndarray]
+    first_block: np.ndarray
+    block_most: np.ndarray
+    block_last: np.ndarray
     ids: list
     question: list[Part]
     answer: list[Part]
     folded: list[bytes]
-    passage: int
-    rare: np.ndarray
-    common: np.ndarray
 
 
 def _part(words: np.ndarray, a: int, b: int) -> Part:
@@ -84,10 +90,8 @@ def split_item(text: str) -> tuple[str, str]:
 def build_index(ids: list, texts: list[str], counts: dict[int, int], total: int, mean: float) -> Index:
     """counts: of how many items of the whole benchmark a term is in; total and mean: number and mean length of its items."""
     terms, items, weights, parts = [], [], [], []
-    longest = 1
     for i, text in enumerate(texts):
         words = _hashed(text)
-        longest = max(longest, len(words))
         term, tf = np.unique(words, return_counts=True)
         df = np.array([counts.get(int(t), 1) for t in term.view(np.int64)], float)
         w = np.log1p((total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
@@ -101,12 +105,16 @@ def build_index(ids: list, texts: list[str], counts: dict[int, int], total: int,
     term, item, weight = term[order].astype(np.uint64), item[order].astype(np.int64), weight[order]
     distinct, first = np.unique(term, return_index=True)
     first = np.append(first, len(term)).astype(np.int64)
-    block_most = [np.array([weight[a:b][j : j + POSTINGS].max() for j in range(0, b - a, POSTINGS)]) for a, b in zip(first[:-1], first[1:], strict=True)]
-    most = np.array([m.max() for m in block_most])
-    # Terms in more than a twentieth of the items are common; an item's common terms together weigh so much at most.
-    rare = np.diff(first) <= max(1, len(ids) // 20)
-    common = np.bincount(item, np.where(np.repeat(rare, np.diff(first)), 0.0, weight), minlength=len(ids))
-    return Index(distinct, first, item, weight, most, block_most, ids, [p[0] for p in parts], [p[1] for p in parts], [t.strip().encode().lower() for t in texts], max(PASSAGE, 2 * longest), rare, common)
+    sizes = np.diff(first)
+    blocks = -(-sizes // POSTINGS)
+    first_block = np.concatenate([[0], np.cumsum(blocks)])
+    start = np.repeat(first[:-1], blocks) + (np.arange(blocks.sum()) - np.repeat(first_block[:-1], blocks)) * POSTINGS
+    last = np.minimum(start + POSTINGS, np.repeat(first[1:], blocks)) - 1
+    block_most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+    most = np.maximum.reduceat(block_most, first_block[:-1]) if len(start) else np.zeros(0)
+    none = first[-1:]
+    return Index(distinct, np.concatenate([first, none]), item, weight, np.searchsorted(distinct, term) * max(len(ids), 1) + item, np.append(most, 0.0), np.append(first_block, first_block[-1:]), block_most, item[last],
+                 ids, [p[0] for p in parts], [p[1] for p in parts], [t.strip().encode().lower() for t in texts])
 
 
 def _hashed(text: str) -> np.ndarray:
@@ -116,103 +124,96 @@ def _hashed(text: str) -> np.ndarray:
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """All items whose summed weights over the terms (numbers in index.terms, distinct) reach the threshold."""
-    lists = [[index.items[index.first[t]], t, 0] for t in terms]  # the item it stands at, the term, the place in its postings
-    found = []
-
-    def seek(cursor: list, item: int) -> bool:
-        """Moves a cursor to the first posting of at least this item; False at its end."""
-        a, b = index.first[cursor[1]], index.first[cursor[1] + 1]
-        cursor[2] += int(np.searchsorted(index.items[a + cursor[2] : b], item))
-        if a + cursor[2] >= b:
-            return False
-        cursor[0] = index.items[a + cursor[2]]
-        return True
-
-    while lists:
-        lists.sort(key=lambda c: c[0])
-        bound, pivot = 0.0, None
-        for k, c in enumerate(lists):
-            bound += index.most[c[1]]
-            if bound >= threshold:
-                pivot = k
+    _, items, scores = wand_together(index, np.zeros(len(terms), np.int64), np.asarray(terms, np.int64), 1, threshold)
+    return sorted(zip(items.tolist(), scores.tolist(), strict=True))
+
+
+def wand_together(index: Index, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block-max WAND for n passages at once: (passage, item, score) of all items whose summed weights reach the threshold.
+
+    Pairs (passage, term) are distinct and sorted. Each passage has a cursor for each of its terms, at the first posting that may still count.
+    In each round every passage that is not done orders its cursors by item, takes for its pivot the first item up to which the terms' greatest
+    weights reach the threshold, and bounds the pivot's score by the greatest weights of the blocks that would hold it. Where those fall
+    short, the cursors up to the pivot skip to the end of the nearest such block or to the next cursor; else they move to the
+    pivot, or are scored there when they all stand at it. A passage is done when no pivot is left."""
+    items, none = max(len(index.ids), 1), len(index.terms)
+    size = np.bincount(passage, minlength=n)
+    live = np.flatnonzero(size)
+    if not len(live) or not len(index.items):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    width = int(size.max())
+    place = np.arange(len(passage)) - (np.cumsum(size) - size)[passage]
+    terms = np.full((n, width), none)
+    terms[passage, place] = term
+    terms = terms[live]
+    cursor = np.where(terms < none, index.items[np.minimum(index.first[terms], len(index.items) - 1)], items)
+    bits = width.bit_length()
+    column = np.arange(width)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(live):
+        key = cursor << bits | column
+        key.sort(axis=1)
+        at, here = key & ((1 << bits) - 1), key >> bits
+        own = np.take_along_axis(terms, at, 1)
+        reach = np.cumsum(index.most[own] * (here < items), axis=1) >= threshold
+        some = reach[:, -1]
+        if not some.all():
+            live, terms, cursor, at, here, own, reach = (x[some] for x in (live, terms, cursor, at, here, own, reach))
+            if not len(live):
                 break
-        if pivot is None:
-            return found
-        item = lists[pivot][0]
-        while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-            pivot += 1
-        # The blocks that would hold the pivot item: their greatest weights bound its score more tightly.
-        near, after = 0.0, None
-        for c in lists[: pivot + 1]:
-            a, b = index.first[c[1]], index.first[c[1] + 1]
-            place = c[2] + int(np.searchsorted(index.items[a + c[2] : b], item))
-            if a + place < b:
-                near += index.block_most[c[1]][place // POSTINGS]
-                last = index.items[min(a + (place // POSTINGS + 1) * POSTINGS, b) - 1]
-                after = last if after is None else min(after, last)
-        if near < threshold:
-            to = max(item, after if after is not None else item) + 1
-            if pivot + 1 < len(lists):
-                to = max(item + 1, min(to, lists[pivot + 1][0]))
-            lists = [c for k, c in enumerate(lists) if k > pivot or seek(c, to)]
-        elif lists[0][0] == item:
-            score = sum(index.weights[index.first[c[1]] + c[2]] for c in lists[: pivot + 1])
-            if score >= threshold:
-                found.append((int(item), float(score)))
-            lists = [c for k, c in enumerate(lists) if k > pivot or seek(c, item + 1)]
-        else:
-            lists = [c for k, c in enumerate(lists) if k >= pivot or c[0] == item or seek(c, item)]
-    return found
-
-
-def promising(index: Index, term: np.ndarray, known: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The passages that may reach the threshold for some item: their rare terms' weights and all of the item's common ones do."""
-    place = np.flatnonzero(known)
-    place = place[index.rare[term[place]]] if len(place) else place
-    lo, hi = np.searchsorted(place, start), np.searchsorted(place, end)
-    size = hi - lo
-    passage = np.repeat(np.arange(len(start)), size)
-    at = place[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(len(passage))]
-    pair = np.unique(passage * len(index.terms) + term[at])
-    passage, t = pair // max(len(index.terms), 1), pair % max(len(index.terms), 1)
-    n = index.first[t + 1] - index.first[t]
-    posting = np.repeat(index.first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    code, where = np.unique(np.repeat(passage, n) * len(index.ids) + index.items[posting], return_inverse=True)
-    score = np.bincount(where, index.weights[posting], minlength=len(code))
-    met = score + index.common[code % max(len(index.ids), 1)] >= SCORE - 1e-6 if len(code) else np.zeros(0, bool)
-    found = np.unique(code[met] // max(len(index.ids), 1))
-    if (index.common >= SCORE - 1e-6).any():  # an item of common terms alone can be met anywhere
-        found = np.arange(len(start))
-    return found
-
-
-def _search(shared):
+        rows = np.arange(len(live))
+        pivot = here[rows, reach.argmax(axis=1)]
+        upto = here <= pivot[:, None]
+        count = upto.sum(axis=1)
+        row = np.repeat(rows, count)
+        t, starts = own[upto], np.cumsum(count) - count
+        target = pivot[row]
+        posting = np.searchsorted(index.keys, t * items + target)
+        held = posting < index.first[t + 1]
+        block = np.where(held, index.first_block[t] + (posting - index.first[t]) // POSTINGS, 0)
+        near = np.add.reduceat(np.where(held, index.block_most[block], 0.0), starts)
+        after = np.minimum.reduceat(np.where(held, index.block_last[block], items), starts)
+        met, full = near >= threshold, here[:, 0] == pivot
+        scored = met & full
+        if scored.any():
+            score = np.add.reduceat(np.where(held & (index.items[np.minimum(posting, len(index.items) - 1)] == target), index.weights[np.minimum(posting, len(index.items) - 1)], 0.0), starts)
+            hit = scored & (score >= threshold)
+            found.append((live[hit], pivot[hit], score[hit]))
+        beyond = np.where(count < width, here[rows, np.minimum(count, width - 1)], items)
+        to = np.where(met, pivot + full, np.maximum(pivot + 1, np.minimum(after + 1, beyond)))
+        moved = np.searchsorted(index.keys, t * items + to[row])
+        cursor[row, at[upto]] = np.where(moved < index.first[t + 1], index.items[np.minimum(moved, len(index.items) - 1)], items)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _search(shared, passage: int):
+    """passage: words of a passage."""
+    stride = passage // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        stride = index.passage // 2
         for part, data, offsets in slices(batches, "text"):
             words, rows = word_hashes(data, offsets, True, IS_MARK)
             term = np.searchsorted(index.terms, words) if len(index.terms) else np.zeros(len(words), np.int64)
             term[term == len(index.terms)] = 0
-            known = index.terms[term] == words if len(index.terms) else np.zeros(len(words), bool)
+            place = np.flatnonzero(index.terms[term] == words) if len(index.terms) else np.zeros(0, np.int64)
             # Passages of all rows: where each starts and ends.
             n = np.diff(rows)
             number = np.where(n > 0, np.maximum(1, -(-(n - stride) // stride)), 0)
             row = np.repeat(np.arange(len(n)), number)
             start = rows[row] + (np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)) * stride
-            end = np.minimum(start + index.passage, rows[1:][row])
+            end = np.minimum(start + passage, rows[1:][row])
+            low, high = np.searchsorted(place, start), np.searchsorted(place, end)
             hits: dict[tuple[int, int], tuple] = {}
-            for p in promising(index, term, known, start, end):
-                own = slice(start[p], end[p])
-                terms = np.unique(term[own][known[own]])
-                if index.most[terms].sum() < SCORE - 1e-9:
-                    continue
-                for item, score in wand(index, terms, SCORE - 1e-9):
-                    shares = [p.share(gram_hashes(words[own], p.size)) for p in (index.question[item], index.answer[item])]
-                    if min(shares) < OVERLAP and index.folded[item] in data[offsets[row[p]] : offsets[row[p] + 1]].tobytes().lower():
-                        shares = [1.0, 1.0]  # a copy whose edge words go on as longer words of the document
-                    if min(shares) >= OVERLAP and (score, *shares) > hits.get((row[p], item), (0.0,))[:3]:
-                        hits[row[p], item] = (score, *shares, int(start[p] - rows[row[p]]))
+            for p, item, score in _candidates(index, term, place, low, high):
+                own = words[start[p] : end[p]]
+                shares = [x.share(gram_hashes(own, x.size)) for x in (index.question[item], index.answer[item])]
+                if min(shares) < OVERLAP and index.folded[item] in data[offsets[row[p]] : offsets[row[p] + 1]].tobytes().lower():
+                    shares = [1.0, 1.0]  # a copy whose edge words go on as longer words of the document
+                if min(shares) >= OVERLAP and (score, *shares) > hits.get((row[p], item), (0.0,))[:3]:
+                    hits[row[p], item] = (score, *shares, int(start[p] - rows[row[p]]))
             who = pa.array([r for r, _ in hits], pa.int64())
             values = list(hits.values())
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("rid").take(who), pa.array([i for _, i in hits], pa.int64()),
@@ -222,15 +223,30 @@ def _search(shared):
     return run
 
 
-def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = ITEMS) -> DataFrame:
+def _candidates(index: Index, term: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(passage, item, score) of every passage, with the known words place[low:high], and every item whose score it reaches.
+
+    Passages of about as many terms are searched together."""
+    order = np.argsort(high - low, kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        mine = order[at : at + TOGETHER]
+        size = (high - low)[mine]
+        passage = np.repeat(np.arange(len(mine)), size)
+        known = place[np.repeat(low[mine] - (np.cumsum(size) - size), size) + np.arange(len(passage))]
+        pair = np.unique(passage * (len(index.terms) + 1) + term[known])
+        found = wand_together(index, pair // (len(index.terms) + 1), pair % (len(index.terms) + 1), len(mine), SCORE - 1e-9)
+        yield from zip(mine[found[0]].tolist(), found[1].tolist(), found[2].tolist(), strict=True)
+
+
+def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, rid, item_id, score, question_overlap, answer_overlap, passage_start) of each document and item that it holds.
 
-    A document is cut into passages of 128 words, or twice the longest item, that overlap by half, so an item lies whole in one. Every
-    passage is a query; all items that reach SCORE of their own BM25 score are found, and stay when OVERLAP of the five-word shingles of
+    A document is cut into passages of PASSAGE words that overlap by half, so an item of up to half as many words lies whole in one; longer
+    items have an index of their own for each doubling of that length, with passages as much longer. Every passage is a query of each index; all items that reach SCORE of their own BM25 score are found, and stay when OVERLAP of the five-word shingles of
     both their question and their answer occur in the passage (of a part of fewer than SHORT words: OVERLAP of its words, in shingles of the
     item that reach into it), or when the document holds the item's very text. ASCII punctuation is in no word. The best passage of each document and item is given. Items without words
     match nothing; null or empty texts hold nothing. Repeated items or rows each give their own results. rid hashes key and text. Null
-    keys are kept. Empty tables: no rows. Other columns are ignored. Items are indexed in blocks of `block` items."""
+    keys are kept. Empty tables: no rows. Other columns are ignored. Items are indexed in blocks of about `block` bytes."""
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
@@ -239,16 +255,20 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
     terms = tests.select("text").mapInArrow(_terms, "term long, words long")
     counts = terms.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     total, mean = terms.where("term is null").agg(F.count("*"), F.avg("words")).first()
-    blocks = max(1, -(-(total or 0) // block))
-    tests = cut(tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))) if blocks > 1 else tests.withColumn("block", F.lit(0))
+    size = F.size(F.filter(F.split("text", MARKS), lambda w: w != ""))
+    tests = tests.withColumn("passage", F.when(size * 2 <= PASSAGE, PASSAGE).otherwise(PASSAGE * F.pow(2, F.ceil(F.log2(size * 2 / PASSAGE)))).cast("int"))
+    widths = tests.groupBy("passage").agg(F.sum(F.octet_length("text") + 16).alias("bytes")).orderBy("passage").collect()
+    if not widths:
+        widths = [{"passage": PASSAGE, "bytes": 1}]
+    tests = cut(tests)
     out = None
-    for b in range(blocks):
-        mine = tests.where(F.col("block") == b)
+    for passage, b, blocks in [(w["passage"], b, n) for w in widths for n in [-(-w["bytes"] // block)] for b in range(n)]:
+        mine = tests.where((F.col("passage") == passage) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
         rows = mine.select("item_id", "text").toPandas()
         own = mine.select("text").mapInArrow(_terms, "term long, words long").where("term is not null").select("term").distinct().join(counts, "term").toPandas()
         index = build_index(rows["item_id"].tolist(), rows["text"].tolist(), dict(zip(own["term"], own["df"], strict=True)), total or 0, mean or 1.0)
         shared = spark.sparkContext.broadcast(index)
-        found = docs.mapInArrow(_search(shared), "doc_id long, rid long, item long, score double, question_overlap double, answer_overlap double, passage_start long")
+        found = docs.mapInArrow(_search(shared, passage), "doc_id long, rid long, item long, score double, question_overlap double, answer_overlap double, passage_start long")
         names = spark.createDataFrame([(i, v) for i, v in enumerate(index.ids)], f"item long, item_id {kind}")
         found = found.join(F.broadcast(names), "item")
         found = found.select("doc_id", "rid", "item_id", "score", "question_overlap", "answer_overlap", "passage_start")
@@ -271,6 +291,9 @@ def leak_report(df: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows that hold an item."""
-    found = cut(leaks(df, items, key, text).select(F.col("rid").alias("__rid")).distinct())
-    return df.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(found, "__rid", "left_anti").select(*df.columns)
+    """df without the rows that hold an item; null and empty texts, null keys and repeated rows without one stay. Without items all stay.
+
+    Empty table: no rows. Columns of any name are kept."""
+    rid = unused(df, "rid")
+    found = cut(leaks(df, items, key, text).select(F.col("rid").alias(rid)).distinct())
+    return df.withColumn(rid, F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(found, rid, "left_anti").select(*df.columns)
