@@ -1,8 +1,9 @@
-"""A log-bilinear language model over word classes, trained with noise-contrastive estimation, and a unigram base."""
+"""A log-bilinear language model in two levels, classes and the words in them, trained with noise-contrastive estimation, and a unigram base."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from uuid import uuid4
 
 import numpy as np
@@ -15,23 +16,60 @@ from linref.llm._shared import cut, mix, signed, slices, span_hashes, word_spans
 
 #: Outputs of the model: the two ends of a text, the most frequent words, and classes of all other words by their last two bytes.
 CLASSES, SUFFIXES, BEGIN, STOP = 256, 96, 0, 1
+#: So many of the most frequent words that are no classes of their own have vectors within their class; what is left of a class shares one.
+VECTORS = 16_384
 #: Bounds the counts that are broadcast (16 bytes each); all counts are exact.
 BROADCAST_WORDS = 150_000
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
 
 
-#: The normalised table of the model that this worker last used, by the model's name.
-_tables: dict[str, np.ndarray] = {}
+#: The normalised tables of the model that this worker last used, by the model's name.
+_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _table(name: str, params: list[np.ndarray]) -> np.ndarray:
+def _table(name: str, params: list[np.ndarray], inner: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if name not in _tables:
         _tables.clear()
-        _tables[name] = normalised(params)
+        _tables[name] = normalised(params), normalised_inner(inner, first)
     return _tables[name]
 
 
+@dataclass
+class Vocabulary:
+    """words: the sorted hashes of the words that are classes. vocab: the sorted hashes of those with a vector in their class, at the columns
+    `place`. Each suffix class has the columns from its `first` on: its rest, then its words."""
+
+    words: np.ndarray
+    vocab: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+
+    @property
+    def columns(self) -> int:
+        return len(self.vocab) + SUFFIXES
+
+    def column(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The column of each word, -1 where it is a class of its own."""
+        at = np.searchsorted(self.vocab, hashes)
+        at[at == len(self.vocab)] = 0
+        rest = kinds - (CLASSES - SUFFIXES)
+        out = np.where(rest >= 0, self.first[np.maximum(rest, 0)], -1)
+        return np.where(self.vocab[at] == hashes, self.place[at], out) if len(self.vocab) else out
+
+
+def vocabulary(hashes: np.ndarray, suffix: np.ndarray) -> Vocabulary:
+    """From the most frequent words and their suffix classes, the most frequent one first."""
+    words = np.sort(hashes[: CLASSES - SUFFIXES - 2])
+    vocab, kinds = hashes[len(words) : len(words) + VECTORS], suffix[len(words) : len(words) + VECTORS] - (CLASSES - SUFFIXES)
+    first = np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=SUFFIXES) + 1)])[:-1]
+    place = np.empty(len(vocab), np.int64)
+    order = np.argsort(kinds, kind="stable")
+    place[order] = np.arange(len(vocab)) + kinds[order] + 1
+    order = np.argsort(vocab)
+    return Vocabulary(words, vocab[order], place[order], first)
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
@@ -80,37 +118,47 @@ def contexts(kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return full, one, two, np.repeat(np.arange(n), count + 1)
 
 
-def _triples(words: np.ndarray):
-    """How often each class comes after two others, over a partition."""
+def _counts_of(vocabulary: Vocabulary):
+    """How often each class comes after two others, and each column of the words in classes after one, over a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.uint32)
+        size = CLASSES**2 + vocabulary.columns
+        total = np.zeros(CLASSES * size, np.uint32)
         for _, data, offsets in slices(batches, "text", SLICE):
             hashes, suffix, rows = _words(data, offsets)
-            full, one, two, _ = contexts(classes(hashes, suffix, words), rows)
-            code, counts = np.unique((one * CLASSES + two) * CLASSES + full, return_counts=True)
+            kinds = classes(hashes, suffix, vocabulary.words)
+            full, one, two, owner = contexts(kinds, rows)
+            column = vocabulary.column(hashes, kinds)
+            some = column >= 0
+            before = one[np.arange(len(kinds)) + np.repeat(np.arange(len(rows) - 1), np.diff(rows))]
+            code, counts = np.unique(np.concatenate([one * size + two * CLASSES + full, before[some] * size + CLASSES**2 + column[some]]), return_counts=True)
             total[code] += counts.astype(np.uint32)
         code = np.flatnonzero(total)
         for at in range(0, len(code), 1 << 18):
             own = code[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array((own // CLASSES**2).astype(np.int32)), pa.array((own % CLASSES**2).astype(np.int32)), pa.array(total[own].astype(np.int64))], ["one", "rest", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((own // size).astype(np.int32)), pa.array((own % size).astype(np.int32)), pa.array(total[own].astype(np.int64))], ["one", "rest", "n"])
 
     return run
 
 
-def _dense(group: pd.DataFrame) -> pd.DataFrame:
-    counts = np.zeros(CLASSES**2, np.float32)
-    counts[group["rest"].to_numpy()] = group["n"].to_numpy()
-    return pd.DataFrame({"one": group["one"].iloc[:1], "counts": [counts.tobytes()]})
+def _dense(size: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(size, np.float32)
+        counts[group["rest"].to_numpy()] = group["n"].to_numpy()
+        return pd.DataFrame({"one": group["one"].iloc[:1], "counts": [counts.tobytes()]})
 
+    return run
 
-def triples(texts: DataFrame, words: np.ndarray) -> np.ndarray:
-    """counts[class before * CLASSES + the one before that, class] over all texts; 67 MB for any number of them."""
-    summed = texts.mapInArrow(_triples(words), "one int, rest int, n long").groupBy("one", "rest").agg(F.sum("n").alias("n"))
-    counts = np.zeros((CLASSES, CLASSES**2), np.float32)
-    for row in summed.groupBy("one").applyInPandas(_dense, "one int, counts binary").toLocalIterator():
-        counts[row["one"]] = np.frombuffer(row["counts"], np.float32)
-    return counts.reshape(CLASSES**2, CLASSES)
+
+def gathered(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """counts[class before * CLASSES + the one before that, class] and counts[class before, column] over all texts; 84 MB for any number of them."""
+    size = CLASSES**2 + vocabulary.columns
+    summed = texts.mapInArrow(_counts_of(vocabulary), "one int, rest int, n long").groupBy("one", "rest").agg(F.sum("n").alias("n"))
+    outer, inner = np.zeros((CLASSES, CLASSES**2), np.float32), np.zeros((CLASSES, vocabulary.columns), np.float32)
+    for row in summed.groupBy("one").applyInPandas(_dense(size), "one int, counts binary").toLocalIterator():
+        counts = np.frombuffer(row["counts"], np.float32)
+        outer[row["one"]], inner[row["one"]] = counts[: CLASSES**2], counts[CLASSES**2 :]
+    return outer.reshape(CLASSES**2, CLASSES), inner
 
 
 def train(sequences: list[np.ndarray], **settings) -> list[np.ndarray]:
@@ -122,6 +170,47 @@ def train(sequences: list[np.ndarray], **settings) -> list[np.ndarray]:
     return fit(counts, **settings)
 
 
+def fit_inner(counts: np.ndarray, first: np.ndarray, size: int = 16, noise: int = 8, epochs: int = 12, steps: int = 8, rate: float = 0.15, seed: int = 6) -> list[np.ndarray]:
+    """The parameters R, Q and b of the words in their classes, by noise-contrastive estimation over all counted pairs.
+
+    Score of column w of class c after class u: R[u] . Q[w] + b[w]. Each seen word is told from `noise` words of its class's unigram
+    distribution, by their expectation."""
+    random = np.random.default_rng(seed)
+    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, counts.shape[1])))
+    share = counts.sum(axis=0, dtype=float) + 0.5
+    share /= np.add.reduceat(share, first)[owner]
+    log_noise, expected = np.log(share * noise).astype(np.float32), (share * noise).astype(np.float32)
+    params = [random.normal(0, 0.1, (CLASSES, size)), random.normal(0, 0.1, (counts.shape[1], size)), np.log(share)]
+    squares = [np.full(p.shape, 1e-2) for p in params]
+    active = np.flatnonzero(counts.any(axis=1))
+    scale = np.float32(4096**0.5 * steps / max(counts.sum(dtype=float), 1.0))
+    for _ in range(epochs):
+        for u in np.array_split(random.permutation(active), steps):
+            if not len(u):
+                continue
+            r, q, b = params[0][u].astype(np.float32), params[1].astype(np.float32), params[2].astype(np.float32)
+            seen = counts[u]
+            g = 1 / (1 + np.exp(-np.clip(r @ q.T + b - log_noise, -30, 30)))
+            g = ((seen + np.add.reduceat(seen, first, axis=1)[:, owner] * expected) * g - seen) * scale
+            for k, at, grad in ((0, u, g @ q), (1, slice(None), g.T @ r), (2, slice(None), g.sum(axis=0))):
+                squares[k][at] += grad.astype(float) ** 2
+                params[k][at] -= rate * grad / np.sqrt(squares[k][at])
+    return params
+
+
+def normalised_inner(params: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """log10 p(column | its class, the class before), by batched matrix products: table[class before, column]; each class's columns sum to one."""
+    r, q, b = params
+    table = np.empty((CLASSES, len(q)), np.float32)
+    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(q))))
+    for at in range(0, CLASSES, 32):
+        scores = r[at : at + 32] @ q.T + b
+        top = np.maximum.reduceat(scores, first, axis=1)
+        scores -= top[:, owner]
+        table[at : at + 32] = (scores - np.log(np.add.reduceat(np.exp(scores), first, axis=1))[:, owner]) / np.log(10)
+    return table
+
+
 def fit(counts: np.ndarray, size: int = 24, noise: int = 12, epochs: int = 20, steps: int = 32, rate: float = 0.15, seed: int = 5) -> list[np.ndarray]:
     """The model's parameters R, Q, C and b after noise-contrastive estimation over all that is counted (see triples).
 
@@ -177,11 +266,11 @@ def _sum_by(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _summaries(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, name, params, hashes, logs, offset = shared.value
-        table = _table(name, params)
+        vocabulary, name, params, inner, hashes, logs, offset = shared.value
+        table, words = _table(name, params, inner, vocabulary.first)
         for part, data, offsets in slices(batches, "text", SLICE):
             h, suffix, rows = _words(data, offsets)
-            kinds = classes(h, suffix, words)
+            kinds = classes(h, suffix, vocabulary.words)
             n, count = part.num_rows, np.diff(rows)
             row = np.repeat(np.arange(n), count)
             at = np.searchsorted(hashes, h)
@@ -190,8 +279,12 @@ def _summaries(shared):
             log_c = np.where(found, logs[at] if len(logs) else 0.0, 0.0)
             full, one, two, owner = contexts(kinds, rows)
             lm = np.bincount(owner, table[one, two, full].astype(float), minlength=n)
-            in_suffix = kinds >= CLASSES - SUFFIXES
-            lm += np.bincount(row, np.where(in_suffix, log_c + offset[kinds], 0.0), minlength=n)
+            column = vocabulary.column(h, kinds)
+            some = column >= 0
+            lm += np.bincount(row[some], words[one[np.flatnonzero(some) + row[some]], column[some]].astype(float), minlength=n)
+            # What is left of a class is shared out by smoothed counts.
+            rest = some & (column == vocabulary.first[np.maximum(kinds - (CLASSES - SUFFIXES), 0)])
+            lm += np.bincount(row[rest], log_c[rest] + offset[kinds[rest]], minlength=n)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array((count + 1).astype(np.int64)), pa.array(np.bincount(row, found, minlength=n).astype(np.int64)),
                                               pa.array(np.bincount(row, log_c, minlength=n)), pa.array(lm)], ["doc_id", "rid", "n_tokens", "found", "log_c", "lm"])
 
@@ -200,7 +293,7 @@ def _summaries(shared):
 
 def _rare(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.value[3]
+        hashes = shared.value[4]
         for part, data, offsets in slices(batches, "text", SLICE):
             h, _, rows = _words(data, offsets)
             row = np.repeat(np.arange(part.num_rows), np.diff(rows))
@@ -227,9 +320,10 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: base_score by unigram counts with add-one smoothing, and score by the model; both log10 of the whole text's probability.
 
     Counts are learnt from all rows whose crc32(key as text) mod 7 is not 2. Tokens are words, A-Z lower-cased, and one end. The model,
-    fitted to the counts of all class triples of these rows,
-    gives a class after the two classes before it; a frequent word is a class of its own, another word has its smoothed share of its suffix
-    class, with one share more for all unseen words, so the probabilities of all words and the end sum to one. The counts of the
+    fitted to the counts of all class triples and of all words after classes in these rows, gives a class after the two classes before it, and
+    a word in its class after the class before it; the most frequent words are classes of their own, VECTORS more have vectors in their suffix class, any
+    other word has its smoothed share of what is left of the class, with one share more for all unseen words, so the probabilities of all
+    words and the end sum to one. The counts of the
     BROADCAST_WORDS most frequent words are broadcast; all other words get theirs by a join. Null or empty text: the end alone. Repeated rows:
     equal results, counted as often as they occur. A null key is not held out. Empty table: no rows. Other columns are ignored."""
     spark = df.sparkSession
@@ -239,18 +333,23 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     counts = cut(learnt.select("text").mapInArrow(_counted, "h long, suffix int, c long").groupBy("h").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c")))
     n_docs = learnt.count()
     top = _most_frequent(counts, BROADCAST_WORDS).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    frequent = CLASSES - SUFFIXES - 2
-    words = np.sort(top["h"].to_numpy(np.int64)[:frequent].view(np.uint64))
-    by_class = counts.where(~F.col("h").isin([int(x) for x in words.view(np.int64)])).groupBy("suffix").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    found = vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["suffix"].to_numpy(np.int64))
+    # What is left of each class: its words less those that are classes or have vectors.
+    by_class = counts.groupBy("suffix").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     n[by_class["suffix"]], v[by_class["suffix"]] = by_class["n"], by_class["v"]
+    own = top.iloc[: len(found.words) + len(found.vocab)]
+    n -= np.bincount(own["suffix"].to_numpy(np.int64), own["c"].to_numpy(float), minlength=CLASSES)
+    v -= np.bincount(own["suffix"].to_numpy(np.int64), minlength=CLASSES)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
 
-    params = fit(triples(learnt.select("text"), words))
+    outer, pairs = gathered(learnt.select("text"), found)
+    params, inner = fit(outer), fit_inner(pairs, found.first)
+    del outer, pairs
 
     order = np.argsort(h := top["h"].to_numpy(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast((words, uuid4().hex, params, h[order], np.log10(top["c"].to_numpy(float)[order] + 1), -np.log10(n + v + 1)))
+    shared = spark.sparkContext.broadcast((found, uuid4().hex, params, inner, h[order], np.log10(top["c"].to_numpy(float)[order] + 1), -np.log10(n + v + 1)))
     whole = docs.mapInArrow(_summaries(shared), "doc_id long, rid long, n_tokens long, found long, log_c double, lm double")
     rare = docs.mapInArrow(_rare(shared), "rid long, h long").groupBy("rid", "h").agg(F.count("*").alias("tf"))
     # Repeated rows are counted in rare as often as they occur; each has its share.
