@@ -21,17 +21,17 @@ def _lanes() -> list[str]:
 def lanes(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """One row per distinct key with the summed lanes of its text.
 
-    Identity lanes: each paragraph adds a 32-bit hash per lane, modulo 2^32 (256 bits in all, and equality is independent of the
+    Identity lanes: each paragraph adds its 32 bits of the paragraph's SHA-256 per lane, modulo 2^32 (256 bits in all, and equality is independent of the
     paragraphs' order). Likeness lanes: each run of words adds 0 or 1 per lane; two lanes of 32 bits share a long. Both are sums, so
     inserting or deleting a paragraph adds or subtracts its own lanes (add and subtract). A text that is empty has one
     empty paragraph and no runs."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(F.split(body, "\n", -1), lambda p: F.struct(F.lit(True).alias("whole"), p.alias("piece")))
     runs = F.transform(F.regexp_extract_all(body, F.lit(RUNS), F.lit(0)), lambda p: F.struct(F.lit(False).alias("whole"), F.rtrim(p).alias("piece")))
-    pieces = df.select(*key, F.explode(F.concat(lines, runs)).alias("p")).select(*key, "p.whole", F.xxhash64("p.piece").alias("p1"))
+    pieces = df.select(*key, F.explode(F.concat(lines, runs)).alias("p")).select(*key, "p.whole", F.xxhash64("p.piece").alias("p1"), F.when(F.col("p.whole"), F.sha2(F.encode("p.piece", "UTF-8"), 256)).alias("digest"))
     pieces = pieces.withColumn("p2", F.xxhash64("p1", F.lit(1)))
     mask = F.lit((1 << 32) + 1)
-    sums = [F.sum(F.when(F.col("whole"), F.xxhash64("p1", F.lit(100 + i)).bitwiseAND(F.lit(_LOW)))).alias(f"id{i}") for i in range(IDENTITY_LANES)]
+    sums = [F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"id{i}") for i in range(IDENTITY_LANES)]
     sums.append(F.sum(F.when(~F.col("whole"), F.lit(1))).alias("runs"))
     for i in range(PAIRS):
         bits = F.shiftrightunsigned(F.col("p1" if i < 32 else "p2"), i % 32).bitwiseAND(mask)
@@ -67,19 +67,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(same, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot)))
 
 
-def neighbours(ids: DataFrame, rows_per_bucket: int = 10_000) -> DataFrame:
+def neighbours(ids: DataFrame, rows_per_bucket: int = 10_000, most_buckets: int = 100_000) -> DataFrame:
     """Each distinct id with the next and the previous one in ascending order, the last followed by the first.
 
-    Ids are put into buckets of equal width, and lead and lag run within a bucket; what lies beyond its edge comes from the least and
-    greatest id of the neighbouring buckets, a table of one row per bucket. Rows are two numbers wide, so an uneven bucket is harmless."""
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (int(high or 0) - int(low or 0) + 1) * rows_per_bucket // max(n, 1))
-    bucketed = ids.withColumn("b", F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)))
+    Ids are dealt to ranges of about as many ids each, however they are spread, and lead and lag run within a range; what lies beyond its edge
+    comes from the least and greatest id of the neighbouring ranges, a table of one row per range."""
+    from linref.llm._shared import cut
+
+    n = ids.count()
+    ranges = min(most_buckets, max(1, n // rows_per_bucket))
+    bucketed = cut(ids.repartitionByRange(ranges, "doc_id").withColumn("b", F.spark_partition_id()))
     edges = bucketed.groupBy("b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    over = Window.orderBy("b")  # one row per bucket of 10,000 rows
+    low, high = bucketed.agg(F.min("doc_id"), F.max("doc_id")).first()
+    over = Window.orderBy("b")  # one row per range
     edges = edges.select("b", F.coalesce(F.lead("least").over(over), F.lit(low)).alias("edge_next"), F.coalesce(F.lag("most").over(over), F.lit(high)).alias("edge_previous"))
     within = Window.partitionBy("b").orderBy("doc_id")
-    return bucketed.withColumn("n", F.lead("doc_id").over(within)).withColumn("p", F.lag("doc_id").over(within)).join(edges, "b").select(
+    return bucketed.withColumn("n", F.lead("doc_id").over(within)).withColumn("p", F.lag("doc_id").over(within)).join(F.broadcast(edges), "b").select(
         "doc_id", F.coalesce("n", "edge_next").alias("next_id"), F.coalesce("p", "edge_previous").alias("previous_id"))
 
 
@@ -89,9 +92,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Edited: the last floor(n/2) code points give way to the first as many (or all) of the next text by ascending key, the first after
     the last. Null text: empty. Equal texts have equal fingerprints. Repeated keys: each distinct (key, text) has one result, the next
     text is that of the next key, by its least hash when that has several; repeated rows give repeated results. A single row is its
-    own next. Null key: no order, so it is left out. Empty table: no rows. Other columns are ignored."""
+    own next. Null key: no order, so there is a fingerprint but no edited text and no likeness (null). Empty table: no rows. Other columns
+    are ignored."""
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(key).alias("doc_id"), body.alias("text")).where(F.col("doc_id").isNotNull())
+    every = df.select(F.col(key).alias("doc_id"), body.alias("text"))
+    docs = every.where("doc_id is not null")
     light = docs.select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n_chars"))
     light = light.groupBy("doc_id", "h").agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("copies"))
     one = light.groupBy("doc_id").agg(F.min("h").alias("lead_h"), F.max("n_chars").alias("most_chars"))
@@ -117,6 +122,12 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = cut(rows)
     following = rows.join(one.select("doc_id", F.col("lead_h").alias("h")), ["doc_id", "h"]).select(F.col("doc_id").alias("next_id"), F.col("f").alias("next_f"))
     out = rows.join(order.select("doc_id", "next_id"), "doc_id").join(following, "next_id").join(light.select("doc_id", "h", "copies"), ["doc_id", "h"])
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("g")).alias("edited_fingerprint"),
+    loose = every.where("doc_id is null").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), "text")
+    unkeyed = lanes(loose.dropDuplicates(["h"]).select("h", F.char_length("text").cast("long").alias("n_chars"), "text"), ["h", "n_chars"], "text").join(loose.groupBy("h").agg(F.count("*").alias("copies")), "h")
+    none = F.lit(None)
+    unkeyed = unkeyed.select(none.cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_chars", none.cast("string").alias("edited_sha256"), as_text(F.struct(*_lanes())).alias("fingerprint"), none.cast("string").alias("edited_fingerprint"),
+                             none.cast("double").alias("near_edited"), none.cast("double").alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    out = out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("g")).alias("edited_fingerprint"),
                       likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
-                      F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+                      F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return out.unionByName(unkeyed)
