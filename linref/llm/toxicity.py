@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import IS_MARK, gram_hashes, mix, slices, word_hashes
+from linref.llm._shared import IS_MARK, cut, gram_hashes, mix, slices, unused, word_hashes
 
 BITS = 20
 #: At most so many labelled rows of each class are fitted on; the classes' true shares, over all labelled rows, set the intercept.
@@ -87,14 +87,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_cla
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not sum(counts.values()):
-        return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
+        return Model(np.zeros(0, np.int32), np.zeros(0), -1.0)  # nothing is called toxic
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(rows_per_class).unionByName(known.where("label = 0").orderBy(*order).limit(rows_per_class))
     # The choice is bounded, so it is sent to the texts rather than the texts to it.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(_examples, "label int, x array<int>").toPandas()
-    x = [np.asarray(v, np.int64) for v in rows["x"]]
-    order = np.lexsort(([len(v) for v in x], [int(v.sum()) for v in x], rows["label"]))  # one order, however tasks ended
-    return fit([x[i] for i in order], rows["label"].to_numpy(float)[order], counts.get(1, 0) / sum(counts.values()))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(_examples, "label int, x array<int>").toArrow().combine_chunks()
+    lists, y = rows["x"].combine_chunks(), rows["label"].to_numpy()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    ends = np.cumsum(size)
+    sums = np.array([flat[b - n : b].sum(dtype=np.int64) for b, n in zip(ends, size, strict=True)])
+    order = np.lexsort((size, sums, y))  # one order, however tasks ended
+    return fit([flat[ends[i] - size[i] : ends[i]] for i in order], y[order].astype(float), counts.get(1, 0) / sum(counts.values()))
 
 
 def _scores(shared):
@@ -117,7 +121,7 @@ def score(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     """(doc_id, rid, held_out, score, predicted) of every row, from its whole text alone.
 
     Rows whose crc32(key as text) mod 5 is 0 are held out: their labels are not learnt from. Null or empty texts have the score
-    of a text without features; without labels to learn from every score is 0.5. A null key is not held out. Repeated rows:
+    of a text without features; without labels to learn from every score is 1 / (1 + e), so nothing is called toxic. A null key is not held out. Repeated rows:
     the same score each. Empty table: no rows. Other columns are ignored. rid hashes key and text."""
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
@@ -132,8 +136,10 @@ def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows whose score is 0.5 or more."""
-    from linref.llm._shared import cut
+    """df without the rows whose score is 0.5 or more; all other rows stay as they are, repeated ones and those of null keys too.
 
-    bad = cut(score(df, labels, key=key, text=text).where("predicted = 1").select(F.col("rid").alias("__rid")).distinct())
-    return df.withColumn("__rid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(bad, "__rid", "left_anti").select(*df.columns)
+    Null, empty and blank texts have the score of a text without features. Without labels
+    nothing goes. Empty table: no rows. Columns of any name are kept."""
+    rid = unused(df, "rid")
+    bad = cut(score(df, labels, key=key, text=text).where("predicted = 1").select(F.col("rid").alias(rid)).distinct())
+    return df.withColumn(rid, F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(bad, rid, "left_anti").select(*df.columns)

@@ -183,6 +183,45 @@ def test_wand_finds_what_a_scan_finds():
             assert sorted(i for i, _ in contamination.wand(index, np.sort(query), threshold)) == np.flatnonzero(score >= threshold).tolist()
 
 
+def test_wand_of_many_passages_and_tied_items():
+    random = np.random.default_rng(9)
+    texts = [" ".join(f"t{x}" for x in random.zipf(1.2, 12) % 200) for _ in range(300)] + ["t1 t2 t3"] * 20 + ["", "only"]
+    counts = defaultdict(int)
+    for t in texts:
+        for x in set(contamination._hashed(t).view(np.int64).tolist()):
+            counts[x] += 1
+    index = contamination.build_index(list(range(len(texts))), texts, counts, len(texts), 12.0)
+    queries_of = [np.sort(random.choice(len(index.terms), k, replace=False)) for k in [0, 1, 2, 40, 80, 150] * 20]
+    passage, term = np.repeat(np.arange(len(queries_of)), [len(q) for q in queries_of]), np.concatenate(queries_of)
+    for threshold in (0.2, 0.6, 1.0 - 1e-9):
+        got = set(zip(*[x.tolist() for x in contamination.wand_together(index, passage, term, len(queries_of), threshold)[:2]]))
+        want = set()
+        for p, q in enumerate(queries_of):
+            score = np.zeros(len(texts))
+            for t in q:
+                np.add.at(score, index.items[index.first[t] : index.first[t + 1]], index.weights[index.first[t] : index.first[t + 1]])
+            want |= {(p, int(i)) for i in np.flatnonzero(score >= threshold)}
+        assert got == want
+
+
+def test_leaks_by_blocks_and_lengths_of_items(spark):
+    """Several blocks of items, very long ones, repeated, empty and null ones: all copies are found, edited ones by their share of shingles."""
+    random = np.random.default_rng(10)
+    text = lambda n: " ".join(f"v{x}" for x in random.integers(0, 3000, n)) + ". " + " ".join(f"a{x}" for x in random.integers(0, 3000, 8))
+    items = [(i, text(int(n))) for i, n in enumerate([20, 40, 55, 90, 200, 700, 30, 30])] + [(20, None), (21, ""), (22, " ")]
+    items += [(30, items[0][1]), (0, items[0][1])]
+    lead = [f"z{x}" for x in random.integers(0, 5000, 300)]
+    docs = [(i, " ".join(lead[: 37 * i % 250]) + " " + t + " " + " ".join(lead)) for i, (_, t) in enumerate(items[:8])]
+    edited = items[5][1].split()
+    docs += [(50, " ".join([*lead, *["edit" if j % 100 == 7 else w for j, w in enumerate(edited)], *lead])), (51, " ".join([*lead, *["edit" if j % 5 == 0 else w for j, w in enumerate(edited)]])), (52, None), (53, "")]
+    got = contamination.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = sorted([(i, i) for i in range(8)] + [(0, 0), (0, 30), (50, 5)])
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == want
+    few = contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=600)
+    assert sorted((r["doc_id"], r["item_id"]) for r in few.collect()) == want
+    assert not contamination.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).collect()
+
+
 def test_packs_hold_the_histogram():
     random = np.random.default_rng(1)
     histogram = {int(k): int(v) for k, v in zip(*np.unique(random.integers(1, 2049, 5000), return_counts=True))}
@@ -203,6 +242,39 @@ def test_spliced_counts():
             assert token_counts.count_spliced(encoder.ends, text, chunk, overlap) == len(encoder.slow.encode(text, add_special_tokens=False).ids)
 
 
+def test_spliced_counts_of_other_scripts():
+    encoder = token_counts.Encoder(*queries.byte_bpe())
+    random = np.random.default_rng(3)
+    for _ in range(15):
+        text = "".join(random.choice(["слово ", "λόγος ", "的一是", "🙂 ", "\u3000", "\xa0 ", " \u2003 ", "e\u0301 ", "the ", " \n", "<|endoftext|>", "٣٤ ", "x, ы "], 300))
+        for chunk, overlap in ((64, 8), (200, 16), (1000, 64)):
+            assert encoder.count(text, chunk, overlap) == len(encoder.slow.encode(text, add_special_tokens=False).ids)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    """Equal texts, whatever their keys, have equal fingerprints and others don't; edited texts and likeness are those of brute force; null keys have a fingerprint."""
+    rows = [(-5_000_000_000, "lead text\nof lines"), (1, "a b c d e f g h\ni j"), (2, "i j\na b c d e f g h"), (3, ""), (4, None), (5, "ü€🙂 " * 9), (6, "ü€🙂 " * 9), (10**15, LONG)]
+    loose = [(None, "a b c d e f g h\ni j"), (None, None), (None, "a b c d e f g h\ni j")]
+    got = fingerprint.fingerprints(frame(spark, rows + loose)).collect()
+    known = brute.op6_edit([(d, t or "") for d, t in rows])
+    keyed = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == 11 and {d: (r["n_chars"], r["edited_sha256"]) for d, r in keyed.items()} == known
+    text = dict(rows)
+    sets = {d: sorted((t or "").split("\n")) for d, t in text.items()}
+    for a in text:
+        for b in text:
+            assert (keyed[a]["fingerprint"] == keyed[b]["fingerprint"]) == (text[a] == text[b] or (text[a] or "") == (text[b] or "")) or sets[a] == sets[b]
+    unkeyed = sorted((r["n_chars"], r["fingerprint"], r["edited_sha256"], r["near_next"]) for r in got if r["doc_id"] is None)
+    assert unkeyed == sorted([(0, keyed[3]["fingerprint"], None, None)] + [(19, keyed[1]["fingerprint"], None, None)] * 2)
+    assert keyed[5]["near_next"] == 1.0 and keyed[3]["near_next"] == 1.0
+
+
+def test_neighbours_of_uneven_ids(spark):
+    ids = sorted({1, 2, 3, 10**15, -7, *range(500, 900, 3)})
+    found = {r["doc_id"]: (r["previous_id"], r["next_id"]) for r in fingerprint.neighbours(spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3), 10).collect()}
+    assert found == {d: (ids[i - 1], ids[(i + 1) % len(ids)]) for i, d in enumerate(ids)}
+
+
 def test_lanes_add_up(spark):
     texts = [(1, "one two three\nfour five six seven eight"), (2, "nine ten\n\neleven"), (3, "nine ten\n\neleven\none two three\nfour five six seven eight"), (4, "four five six seven eight\neleven\none two three\n\nnine ten")]
     rows = {r["doc_id"]: r.asDict() for r in fingerprint.lanes(spark.createDataFrame(texts, "doc_id long, text string"), ["doc_id"], "text").collect()}
@@ -223,6 +295,26 @@ def test_model_table_is_normalised():
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=2), 1, atol=1e-4)
 
 
+def test_words_of_classes_are_normalised():
+    random = np.random.default_rng(7)
+    hashes, suffix = random.integers(0, 1 << 63, 900, dtype=np.uint64), random.integers(language_model.CLASSES - language_model.SUFFIXES, language_model.CLASSES, 900)
+    found = language_model.vocabulary(hashes, suffix)
+    assert len(found.vocab) + len(found.words) == 900 and sorted([*found.place, *found.first]) == list(range(found.columns))
+    counts = random.poisson(0.3, (language_model.CLASSES, found.columns)).astype(np.float32)
+    table = language_model.normalised_inner(language_model.fit_inner(counts, found.first, epochs=1), found.first)
+    assert np.allclose(np.add.reduceat(10.0 ** table.astype(float), found.first, axis=1), 1, atol=1e-4)
+    kinds = language_model.classes(hashes, suffix, found.words)
+    column = found.column(hashes, kinds)
+    assert (column[kinds < language_model.CLASSES - language_model.SUFFIXES] == -1).all() and set(column[kinds >= language_model.CLASSES - language_model.SUFFIXES]) == set(found.place)
+
+
+def test_words_follow_classes(spark):
+    """Words of one class that come after different words: the model tells them apart, a unigram share cannot."""
+    rows = [(i, " ".join(["sun xab", "moon yab"][i % 2] for _ in range(30))) for i in range(400)]
+    got = {r["doc_id"]: r["score"] for r in language_model.scores(spark.createDataFrame([*rows, (10_001, "sun xab"), (10_002, "sun yab")], "doc_id long, text string")).collect()}
+    assert got[10_001] > got[10_002] + 0.5
+
+
 def test_longest_repeats(spark):
     rows = [(r["words"], r["windows"]) for r in substrings.longest_repeats(spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(60))), (2, "x " + " ".join(f"a{i}" for i in range(30)))], "doc_id long, text string")).collect()]
     assert sorted(rows) == [(13, 18), (26, 5), (52, 0)]
@@ -324,6 +416,19 @@ def test_pages_with_odd_columns(spark):
     assert sorted(((r["page_id"], r["text"]) for r in main_text.main_text(df).collect()), key=repr) == sorted([(1, "a b"), (None, "c"), (None, "c"), (3, "")], key=repr)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, SHARED + " alpha beta", "a", "b", 1, "d"), (2, SHARED + " gamma", "e", "f", 2, "h"), (None, None, None, None, None, None), (3, " ".join(f"q{i}" for i in range(20)), "i", "j", 3, "l"), (3, " ".join(f"q{i}" for i in range(20)) + " end", "m", "n", 4, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string, kept string, ONE int, c string")
+    items, labels = spark.createDataFrame([(1, "no such words anywhere here")], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    text = lambda f, t: sorted(map(tuple, f.collect()), key=repr) == sorted(t, key=repr)
+    assert text(toxicity.drop_toxic(df, labels), rows) and text(contamination.drop_leaks(df, items), rows)
+    assert text(jaccard.keep_one(df), [rows[0], rows[2], rows[3]]) or text(jaccard.keep_one(df), [rows[0], rows[2], rows[4]])
+    assert text(substrings.remove_repeats(df), [rows[0], (2, "gamma", *rows[1][2:]), *rows[2:]])
+    for stage in (lambda f: toxicity.drop_toxic(f, labels), jaccard.keep_one, substrings.remove_repeats, lambda f: contamination.drop_leaks(f, items)):
+        empty = stage(df.limit(0))
+        assert empty.columns == df.columns and not empty.collect()
+
+
 UNLIKE = [" ".join(f"{c}{i}" for i in range(30)) for c in "pqrst"]
 #: Null and repeated keys whose rows are not linked, a copy and a near copy, and texts without words.
 LOOSE = [(None, UNLIKE[0]), (None, UNLIKE[1]), (None, UNLIKE[1]), (1020, UNLIKE[2]), (1020, UNLIKE[3]), (1021, UNLIKE[3] + " end"), (None, None), (None, " ")]
@@ -358,6 +463,8 @@ def test_repeats_are_removed_from_texts(spark):
     import hashlib
     got = sorted((d, hashlib.sha256(" ".join(brute.words(t)).encode()).hexdigest()) for d, t in pairs(substrings.remove_repeats(frame(spark, rows))))
     assert got == digests
+    lines = [(1, "x\n\n" + SHARED + "\ny"), (2, "a  b\n" + SHARED + " c\td\n\ne"), (3, " " + SHARED + " end"), (4, "lead\t" + SHARED + " \n"), (5, SHARED)]
+    assert sorted(pairs(substrings.remove_repeats(frame(spark, lines)))) == [lines[0], (2, "a  b\nc\td\n\ne"), (3, " end"), (4, "lead \n"), (5, "")]
     loose = pairs(substrings.remove_repeats(frame(spark, LOOSE)).where("doc_id is null"))
     assert sorted(loose, key=repr) == sorted((r for r in LOOSE if r[0] is None), key=repr)
 
@@ -388,7 +495,7 @@ def test_model_is_fitted_to_all_learnt_rows(spark):
     rows = [(i, " ".join(["left right"] * 20 if i < 6 else ["right left left"] * 20)) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     words = np.unique(contamination._hashed("left right"))
-    counts = language_model.triples(df, words)
+    counts = language_model.gathered(df, language_model.Vocabulary(words, words[:0], np.zeros(0, int), np.arange(language_model.SUFFIXES)))[0]
     want = np.zeros_like(counts)
     kind = {w: int(language_model.classes(contamination._hashed(w), np.zeros(1, int), words)[0]) for w in ("left", "right")}
     for _, t in rows:
