@@ -12,27 +12,27 @@ from linref.llm.queries import tokenizer_path
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. Null and empty texts are scored as texts without features; an empty table stays empty."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays."""
+    """One document of each group of similar ones stays: the one of the least id, null first. Documents without words all stay."""
     return jaccard.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id has too are cut out of the texts."""
+    """Passages that a document with a smaller id has too are cut out of the texts. Null ids and null texts stay as they are; a text that is all repeated becomes empty."""
     return substrings.remove_repeats(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; without items all stay."""
     return contamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, packed into sequences."""
+    """The pieces of what is left, packed into sequences. A null or empty text is the one piece of its end token; an empty table gives no rows."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
