@@ -15,7 +15,7 @@ from linref.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Prefixes are built for up to so many required matches: 1, 2 or 4, as a node's estimated candidates exceed these numbers.
-MOST_MATCHES, COSTS = 4, (64, 512)
+MOST_MATCHES, COSTS = 4, (2, 16)
 #: A token of more nodes than this is split by the sizes of the sets that may meet at it, into bands that are so much wider each.
 HOT, BAND = 32, 1.1
 #: At most so many frequent shingles are ordered by their frequency, and so broadcast (16 bytes each); the rest is ordered by hash.
@@ -172,7 +172,9 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     # tokens of other hubs too may be missed here; it waits for the last step.
     hubs = postings.groupBy("token").agg(F.min(F.struct("rare", F.xxhash64("k").alias("r"), "k", "n", "place")).alias("hub"))
     near = postings.join(hubs, "token").select(F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("place").alias("place1"), F.col("hub.k").alias("k2"), F.col("hub.n").alias("n2"), F.col("hub.place").alias("place2"))
-    near = _enough(near.where("k1 != k2"), F.lit(MOST_MATCHES), percent)
+    near = _enough(near.where("k1 != k2"), F.lit(MOST_MATCHES), percent, keep=["k1", "k2", "m"])
+    # Of several hubs a node is paired with the one it shares most tokens with.
+    near = near.groupBy("k1").agg(F.max_by("k2", F.struct("m", "k2")).alias("k2")).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
     links = verified(near)
     comp = _labels(postings, links)
     links = cut(links.unionByName(verified(_open_pairs(postings, comp, percent))).distinct())
@@ -229,12 +231,14 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
     return _enough(met, F.least("l1", "l2"), percent)
 
 
-def _enough(met: DataFrame, matches, percent: int) -> DataFrame:
+def _enough(met: DataFrame, matches, percent: int, keep: list[str] | None = None) -> DataFrame:
     """The pairs (a, b), a < b, that share as many tokens as wanted, or all that a link needs, in the prefixes that count for that number.
 
-    met: (k1, n1, place1, k2, n2, place2) of each token that a pair shares."""
+    met: (k1, n1, place1, k2, n2, place2) of each token that a pair shares. keep: columns to return of the pairs (k1, k2) with their count m instead."""
     need = F.least(matches, F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent)).cast("int"))
     met = met.where((F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("place1") < _slack(F.col("n1"), F.col("n2"), percent) + need) & (F.col("place2") < _slack(F.col("n2"), F.col("n1"), percent) + need))
+    if keep:
+        return met.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.first(need).alias("need")).where("m >= need").select(*keep)
     found = met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need"))
     return found.where("m >= need").select("a", "b")
 
