@@ -17,11 +17,11 @@ K1, B = 1.2, 0.75
 SCORE, OVERLAP, SHINGLE = 0.6, 0.75, 5
 #: A part of fewer words has too few shingles of its own for a share of them; its words are looked for in the item's shingles that reach into it.
 SHORT = 8
-PASSAGE, POSTINGS = 128, 16
+PASSAGE, POSTINGS = 128, 8
 #: Bytes of item text in one index; more items are searched in blocks, each over all rows. It bounds what is broadcast.
 INDEX_BYTES = 4 << 20
 #: Passages that are searched at once.
-TOGETHER = 4096
+TOGETHER = 2048
 #: What IS_MARK holds, as a Java pattern.
 MARKS = r"[\t-\r -/:-@\[-`{-~]+"
 
@@ -135,54 +135,66 @@ def wand_together(index: Index, passage: np.ndarray, term: np.ndarray, n: int, t
     In each round every passage that is not done orders its cursors by item, takes for its pivot the first item up to which the terms' greatest
     weights reach the threshold, and bounds the pivot's score by the greatest weights of the blocks that would hold it. Where those fall
     short, the cursors up to the pivot skip to the end of the nearest such block or to the next cursor; else they move to the
-    pivot, or are scored there when they all stand at it. A passage is done when no pivot is left."""
+    pivot, where it is scored, and on to the next item. A passage is done when no pivot is left."""
     items, none = max(len(index.ids), 1), len(index.terms)
     size = np.bincount(passage, minlength=n)
     live = np.flatnonzero(size)
     if not len(live) or not len(index.items):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     width = int(size.max())
-    place = np.arange(len(passage)) - (np.cumsum(size) - size)[passage]
-    terms = np.full((n, width), none)
-    terms[passage, place] = term
-    terms = terms[live]
-    cursor = np.where(terms < none, index.items[np.minimum(index.first[terms], len(index.items) - 1)], items)
     bits = width.bit_length()
-    column = np.arange(width)
+    kind = np.int32 if max(int(index.keys[-1]) + 2 * items, (items + 1) << bits) < 1 << 31 else np.int64
+    keys, last = index.keys.astype(kind, copy=False), len(index.items) - 1
+    terms = np.full((n, width), none, kind)
+    terms[passage, np.arange(len(passage)) - (np.cumsum(size) - size)[passage]] = term
+    terms = terms[live]
+    cursor = np.where(terms < none, index.items[np.minimum(index.first[terms], last)], items).astype(kind)
+    most = index.most.astype(np.float32)[terms]
+    threshold -= 1e-6  # bounds are summed in single precision, scores are not
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(live):
-        key = cursor << bits | column
+        key = cursor << bits | np.arange(cursor.shape[1], dtype=kind)
         key.sort(axis=1)
-        at, here = key & ((1 << bits) - 1), key >> bits
-        own = np.take_along_axis(terms, at, 1)
-        reach = np.cumsum(index.most[own] * (here < items), axis=1) >= threshold
+        here = key >> bits
+        ahead = here < items
+        width = int(ahead.sum(axis=1).max())
+        if not width:
+            break
+        here, ahead, order = here[:, :width], ahead[:, :width], key[:, :width] & ((1 << bits) - 1)
+        terms, most = np.take_along_axis(terms, order, 1), np.take_along_axis(most, order, 1)
+        reach = np.cumsum(most * ahead, axis=1) >= threshold
         some = reach[:, -1]
         if not some.all():
-            live, terms, cursor, at, here, own, reach = (x[some] for x in (live, terms, cursor, at, here, own, reach))
+            live, terms, most, here, reach = live[some], terms[some], most[some], here[some], reach[some]
             if not len(live):
                 break
         rows = np.arange(len(live))
         pivot = here[rows, reach.argmax(axis=1)]
         upto = here <= pivot[:, None]
         count = upto.sum(axis=1)
-        row = np.repeat(rows, count)
-        t, starts = own[upto], np.cumsum(count) - count
-        target = pivot[row]
-        posting = np.searchsorted(index.keys, t * items + target)
-        held = posting < index.first[t + 1]
+        row, starts = np.repeat(rows, count), np.cumsum(count) - count
+        t = terms[upto]
+        target = t * kind(items) + pivot[row]
+        posting = np.searchsorted(keys, target)
+        end = index.first[t + 1]
+        held = posting < end
         block = np.where(held, index.first_block[t] + (posting - index.first[t]) // POSTINGS, 0)
         near = np.add.reduceat(np.where(held, index.block_most[block], 0.0), starts)
         after = np.minimum.reduceat(np.where(held, index.block_last[block], items), starts)
-        met, full = near >= threshold, here[:, 0] == pivot
-        scored = met & full
-        if scored.any():
-            score = np.add.reduceat(np.where(held & (index.items[np.minimum(posting, len(index.items) - 1)] == target), index.weights[np.minimum(posting, len(index.items) - 1)], 0.0), starts)
-            hit = scored & (score >= threshold)
+        met = near >= threshold
+        at_pivot = held & (keys[np.minimum(posting, last)] == target)
+        if met.any():
+            score = np.add.reduceat(np.where(at_pivot, index.weights[np.minimum(posting, last)], 0.0), starts)
+            hit = met & (score >= threshold + 1e-6)
             found.append((live[hit], pivot[hit], score[hit]))
         beyond = np.where(count < width, here[rows, np.minimum(count, width - 1)], items)
-        to = np.where(met, pivot + full, np.maximum(pivot + 1, np.minimum(after + 1, beyond)))
-        moved = np.searchsorted(index.keys, t * items + to[row])
-        cursor[row, at[upto]] = np.where(moved < index.first[t + 1], index.items[np.minimum(moved, len(index.items) - 1)], items)
+        to = np.where(met, pivot + 1, np.maximum(pivot + 1, np.minimum(after + 1, beyond))).astype(kind)
+        # The next item is one posting on at most, farther ones are looked up.
+        posting += at_pivot
+        far = (to > pivot + 1)[row]
+        posting[far] = np.searchsorted(keys, t[far] * kind(items) + to[row[far]])
+        cursor = here
+        cursor[upto] = np.where(posting < end, index.items[np.minimum(posting, last)], items)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
