@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,10 +141,10 @@ def _counts_of(vocabulary: Vocabulary):
 
 
 def _dense(size: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         counts = np.zeros(size, np.float32)
         counts[group["rest"].to_numpy()] = group["n"].to_numpy()
-        return pd.DataFrame({"one": group["one"].iloc[:1], "counts": [counts.tobytes()]})
+        return pa.table({"one": group["one"].slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     return run
 
@@ -155,7 +154,7 @@ def gathered(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     size = CLASSES**2 + vocabulary.columns
     summed = texts.mapInArrow(_counts_of(vocabulary), "one int, rest int, n long").groupBy("one", "rest").agg(F.sum("n").alias("n"))
     outer, inner = np.zeros((CLASSES, CLASSES**2), np.float32), np.zeros((CLASSES, vocabulary.columns), np.float32)
-    for row in summed.groupBy("one").applyInPandas(_dense(size), "one int, counts binary").toLocalIterator():
+    for row in summed.groupBy("one").applyInArrow(_dense(size), "one int, counts binary").toLocalIterator():
         counts = np.frombuffer(row["counts"], np.float32)
         outer[row["one"]], inner[row["one"]] = counts[: CLASSES**2], counts[CLASSES**2 :]
     return outer.reshape(CLASSES**2, CLASSES), inner
