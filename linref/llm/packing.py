@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -85,7 +84,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _separable(text: str, specials: list[str]) -> bool:
-    """Whether words can be encoded alone: no special token in the text, and no mark that composes with a preceding space."""
+    """Whether words can be encoded alone: no special token is in the text."""
     return not any(s in text for s in specials)
 
 
@@ -148,19 +147,21 @@ def shortest_pack_first(histogram: dict[int, int], limit: int) -> list[tuple[int
     return closed + [p for packs in open_packs.values() for p in packs]
 
 
-def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, key: str = "doc_id", text: str = "text", buckets: int = 256) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, key: str = "doc_id", text: str = "text", buckets: int = 256, rows_per_bucket: int = 500_000) -> DataFrame:
     """One row per piece of a document: where it is cut and where it lies in which sequence.
 
     A document's ids, with the end id, are cut into full sequences and a rest; rests are packed by their length. The histogram of lengths
     has at most `length` entries, so patterns are made on the driver; documents find their places in them by their rank among
-    equal lengths. Ranks are counted in `buckets` hash buckets of each length, so a frequent length is no single group.
+    equal lengths. Ranks are counted in `buckets` hash buckets of each length, of full pieces in as many as leave each about rows_per_bucket
+    rows at most, so a frequent length is no single group.
     Null text: empty, its end id alone. Repeated rows or keys: each row has its own pieces. Null key: as any. Empty table: no rows.
     Other columns are ignored. Sequences are filled from offset 0; what is left of one is padding."""
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = cut(docs.mapInArrow(_pieces(tokenizer, length, end), f"doc_id {kind}, rid long, start long, length long, ids_crc32 long, doc_tokens long"))
-    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("rid", "start"), F.lit(buckets)))
+    full = max(buckets, pieces.where(F.col("length") == length).count() // rows_per_bucket)
+    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("rid", "start"), F.when(F.col("length") == length, full).otherwise(buckets)))
     counts = cut(pieces.groupBy("length", "b").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # Each place of a pattern serves a run of ranks of its length: rank r lies in sequence base + (r - lo) at its offset.
