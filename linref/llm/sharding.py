@@ -35,12 +35,14 @@ def permute(x: np.ndarray, n: int, seed: int = 0, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
-def global_row_numbers(df: DataFrame, key: str, ties: list[Column], name: str, buckets: int = 4096) -> tuple[DataFrame, int]:
+def global_row_numbers(df: DataFrame, key: str, ties: list[Column], name: str, buckets: int = 4096, rows_per_bucket: int = 500_000) -> tuple[DataFrame, int]:
     """df with a row number from 0 without gaps, and the number of rows.
 
-    Rows are ordered by a bucket of the key's hash, then by key and ties: the order depends on the rows alone, not on files or
-    partitions. Each bucket is numbered by itself, and the bucket counts (at most `buckets` rows) give each bucket's first number."""
-    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
+    Rows are ordered by a bucket of the hash of key and ties, then by key and ties; a repeated or null key is spread over buckets: the order depends on the rows alone, not on files or
+    partitions. Each bucket is numbered by itself, and the bucket counts give each bucket's first number: `buckets` rows, or as many as leave
+    each bucket about rows_per_bucket rows."""
+    buckets = max(buckets, df.count() // rows_per_bucket)
+    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), *ties), F.lit(buckets)))
     counts = {r["__bucket"]: r["count"] for r in bucketed.groupBy("__bucket").count().collect()}
     first, total = [], 0
     for b in range(buckets):
