@@ -4,14 +4,35 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
     """df computed once into the shared checkpoint folder, so that the next round's plan starts from files that all executors see.
 
-    The folder is the one in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    The folder is the one in spark.checkpoint.dir; see shared_folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or the context's own; a temporary one only where the driver is the only machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def ranged(df: DataFrame, keys: list[str], name: str, rows_per_range: int = 100_000, most_ranges: int = 100_000) -> DataFrame:
+    """df settled in ranges of its keys of about as many rows each, with the number of the range: however the keys are spread, no range is large."""
+    df = settle(df)
+    ranges = min(most_ranges, max(1, df.count() // rows_per_range))
+    return settle(df.repartitionByRange(ranges, *keys).withColumn(name, F.spark_partition_id()))

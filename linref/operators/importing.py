@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linref.functions import geometry as g
+from linref.functions.lineage import ranged
 from linref.operators.references import edge_references
 from linref.operators.segments import road_segments
 
@@ -38,9 +39,9 @@ def nodes(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(pick(True).alias("starts"), pick(False).alias("ends"))
 
 
-def numbered(df: DataFrame, keys: list[str], name: str = "id", width: float = 4000.0) -> DataFrame:
-    """Ids from 1 in the order of the keys, the first a number: a row number within strips of the first key plus the count before each strip."""
-    strip = df.withColumn("__b", F.floor(F.col(keys[0]) / width))
+def numbered(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
+    """Ids from 1 in the order of the keys: a row number within ranges of the keys plus the count before each range, of which there are few."""
+    strip = ranged(df, keys, "__b")
     counts = strip.groupBy("__b").count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__b", "__before")
     return strip.withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(*keys))).join(before, "__b").withColumn(name, F.col("__n") + F.col("__before")).drop("__b", "__n", "__before")

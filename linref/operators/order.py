@@ -27,27 +27,51 @@ def ordered_edges(edges: DataFrame, near: float = NEAR) -> DataFrame:
 
     Each edge points 2^k steps back; an edge's order is its distance to the chain's head. In a ring, which has no head, the edge of
     the least id is made the head. Chains of one road follow each other by the id of their heads."""
+    return _chains(edges, near)[0].withColumn("edge_order", F.row_number().over(Window.partitionBy("road_code").orderBy("head", "steps", "id"))).select("road_code", "id", "edge_order")
+
+
+def edges_from(edges: DataFrame, starts: DataFrame, upstream: bool = False, near: float = NEAR) -> DataFrame:
+    """(start_id, id, edge_order): the edges from each start (id) on, itself the first, down to the end of its chain or up to its head; a ring is gone round once."""
+    chain, rings = _chains(edges, near)
+    own = chain.join(rings.withColumn("ring", F.lit(True)), ["road_code", "head"], "left") if rings is not None else chain.withColumn("ring", F.lit(None).cast("boolean")).withColumn("size", F.lit(None).cast("long"))
+    at = own.join(starts.select("id").distinct(), "id").select("road_code", "head", F.col("id").alias("start_id"), F.col("steps").alias("from"))
+    ahead = (F.col("from") - F.col("steps")) if upstream else (F.col("steps") - F.col("from"))
+    ahead = F.when(F.col("ring"), F.pmod(ahead, F.col("size"))).otherwise(ahead)
+    return own.join(at, ["road_code", "head"]).withColumn("ahead", ahead).where("ahead >= 0").select("start_id", "id", (F.col("ahead") + 1).cast("int").alias("edge_order"))
+
+
+def _chains(edges: DataFrame, near: float) -> tuple[DataFrame, DataFrame | None]:
+    """(id, road_code, head, steps) of all edges: the head of each one's chain and how far it is from it; and (road_code, head, size) of the rings."""
     link = successors(edges, near)
     back = link.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.min("id").alias("to"))
     first = settle(link.select("id", "road_code").join(back, "id", "left").select("id", "road_code", "to", F.when(F.col("to").isNull(), 0).otherwise(1).alias("steps"), F.least("id", F.coalesce("to", "id")).alias("low"), F.coalesce("to", "id").alias("head")))
     longest = first.groupBy("road_code").count().agg(F.max("count")).first()[0] or 1
     rounds = max(1, int(longest).bit_length())
-    walk = first
-    for _ in range(rounds):
-        walk = _doubled(walk)
+    done, live = _walked(first, rounds)
+    sizes = None
     # What still points somewhere is in a ring: cut it before its least id and walk again.
-    heads = walk.where("to is not null and id = low").select("id", F.lit(True).alias("h"))
-    if heads.limit(1).count():
-        walk = settle(first.join(heads, "id", "left").select("id", "road_code", F.when(F.col("h"), F.lit(None)).otherwise(F.col("to")).alias("to"), F.when(F.col("h"), 0).otherwise(F.col("steps")).alias("steps"), "low", F.when(F.col("h"), F.col("id")).otherwise(F.col("head")).alias("head")))
-        for _ in range(rounds):
-            walk = _doubled(walk)
-    return walk.withColumn("edge_order", F.row_number().over(Window.partitionBy("road_code").orderBy("head", "steps", "id"))).select("road_code", "id", "edge_order")
-
-
-def _doubled(s: DataFrame) -> DataFrame:
-    """Each pointer `to` led on to where the row it points at leads; steps and the least id on the way go along."""
-    o = s.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"), F.col("head").alias("head2"))
-    return settle(s.join(o, "to", "left").select("id", "road_code", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.coalesce("head2", "head").alias("head")))
+    if live is not None:
+        heads = live.where("id = low").select("id", F.lit(True).alias("h"))
+        rings = first.join(live.select("id"), "id", "left_semi").join(heads, "id", "left")
+        cut = settle(rings.select("id", "road_code", F.when(F.col("h"), F.lit(None)).otherwise(F.col("to")).alias("to"), F.when(F.col("h"), 0).otherwise(F.col("steps")).alias("steps"), "low", F.when(F.col("h"), F.col("id")).otherwise(F.col("head")).alias("head")))
+        ring = _walked(cut, rounds)[0]
+        done, sizes = done.unionByName(ring), ring.groupBy("road_code", "head").agg(F.count("*").alias("size"))
+    return done, sizes
+
+
+def _walked(first: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """Each pointer `to` led on to where the row it points at leads, that many times; steps and the least id on the way go along.
+
+    Rows that point nowhere any more are set aside; returns those, and what still points somewhere if anything does."""
+    done, live = first.where("to is null"), first.where("to is not null")
+    for _ in range(rounds):
+        o = done.unionByName(live).select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"), F.col("head").alias("head2"))
+        step = live.join(o, "to", "left").select("id", "road_code", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.coalesce("head2", "head").alias("head"))
+        step = settle(step)
+        done, live = done.unionByName(step.where("to is null")), step.where("to is not null")
+        if live.isEmpty():
+            return done, None
+    return done, live
 
 
 def neighbours(order: DataFrame) -> DataFrame:

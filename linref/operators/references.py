@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linref.functions import geometry as g
-from linref.operators.segments import locate
+from linref.functions.lineage import settle
+from linref.operators.segments import locate, numbered_parts
 
+#: Roads are joined by reaches of so many metres, so that a long road is many keys.
+REACH = 500.0
 REFERENCE = ["road_code", "marker_code", "abscissa", "cumulative", "offset", "side"]
 
 
@@ -27,23 +30,36 @@ def previous_marker(located: DataFrame, measures: DataFrame) -> DataFrame:
     p = located.where("mg is not null").select("road_code", "mg", F.lit(1).alias("k"), F.lit(None).cast(m.schema["marker"].dataType).alias("marker"), "pid", "mn")
     w = Window.partitionBy("road_code").orderBy("mg", "k", F.col("marker.code").asc_nulls_first(), F.col("marker.m_abscissa").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     found = m.unionByName(p).withColumn("last", F.last("marker", ignorenulls=True).over(w)).where("k = 1")
-    return found.select("pid", F.col("last.code").alias("marker_code"), (F.col("last.m_abscissa") + F.col("mn") - F.col("last.m_mn")).alias("abscissa"))
+    return found.select("pid", F.col("last.code").alias("marker_code"), (F.col("last.m_abscissa") + F.col("mn") - F.col("last.m_mn")).alias("abscissa"), F.col("last.m_mn").alias("marker_mn"), "road_code", "mn")
+
+
+def lines_to_points(points: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
+    """(pid, of, parts): for each located point its road's line from its marker to it (of `marker`) and from the road's start to it (`start`)."""
+    segments = settle(segments)
+    at = locate(points, segments).where("mg is not null")
+    at = settle(previous_marker(at, marker_measures(markers, segments)))
+    spans = at.where("marker_mn is not null").select("pid", "road_code", F.col("marker_mn").alias("lo"), F.col("mn").alias("hi"), F.lit("marker").alias("of"))
+    spans = spans.unionByName(at.select("pid", "road_code", F.lit(0.0).alias("lo"), F.col("mn").alias("hi"), F.lit("start").alias("of")))
+    spans = spans.withColumn("key", F.struct("pid", "of")).where("lo < hi").select("key", "road_code", "lo", "hi")
+    return _lines(_clipped(spans, segments, "key"), "key").select("key.pid", "key.of", "parts")
 
 
 def reference_from_point(points: DataFrame, segments: DataFrame, markers: DataFrame, any_road: bool = False, reach: float = 50.0) -> DataFrame:
     """points (pid, x, y[, road_code]) with their references, rounded to centimetres; null beyond reach."""
+    segments = settle(segments)  # for the points and for the markers
     at = locate(points, segments, reach, any_road)
-    ref = previous_marker(at, marker_measures(markers, segments))
+    ref = previous_marker(at, marker_measures(markers, segments)).select("pid", "marker_code", "abscissa")
     out = at.join(ref, "pid", "left")
     return out.select("pid", "road_code", "marker_code", F.round("abscissa", 2).alias("abscissa"), F.round("mn", 2).alias("cumulative"), F.round("offset", 2).alias("offset"), "side")
 
 
 def edge_references(edges: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """Markers, abscissas and cumulatives of the start and end of each edge, from the segments alone."""
+    segments = settle(segments)
     ends = segments.where("kind = 'edge'").groupBy("road_code", "edge_id").agg(F.min("mg1").alias("mg1"), F.min("mn1").alias("mn1"), F.max("mg2").alias("mg2"), F.max("mn2").alias("mn2"))
     pts = ends.select("road_code", F.explode(F.array(F.struct(F.struct("edge_id", F.lit(0).alias("end")).alias("pid"), F.col("mg1").alias("mg"), F.col("mn1").alias("mn")),
                                                     F.struct(F.struct("edge_id", F.lit(1).alias("end")).alias("pid"), F.col("mg2").alias("mg"), F.col("mn2").alias("mn")))).alias("p")).select("road_code", "p.*")
-    ref = pts.join(previous_marker(pts, marker_measures(markers, segments)), "pid", "left")
+    ref = previous_marker(pts, marker_measures(markers, segments))
 
     def side(e: int, name: str) -> list[Column]:
         at = lambda c: F.max(F.when(F.col("pid.end") == e, F.col(c)))
@@ -52,13 +68,17 @@ def edge_references(edges: DataFrame, segments: DataFrame, markers: DataFrame) -
     return ref.groupBy(F.col("pid.edge_id").alias("id"), "road_code").agg(*side(0, "start"), *side(1, "end"))
 
 
-def update_edge_references(edges: DataFrame, segments: DataFrame, markers: DataFrame, roads: DataFrame | None = None) -> DataFrame:
-    """edges with fresh references; only those of the given roads (road_code) are computed anew."""
+def update_edge_references(edges: DataFrame, segments: DataFrame, markers: DataFrame, roads: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """edges with fresh references; only those of the given roads (road_code) or edges (id) are computed anew."""
+    if ids is not None:
+        roads = edges.join(ids.select("id").distinct(), "id", "left_semi").select("road_code")
     names = ["start_marker", "start_abscissa", "start_cumulative", "end_marker", "end_abscissa", "end_cumulative"]
     if roads is not None:
         roads = roads.select("road_code").distinct()
         segments, markers = segments.join(roads, "road_code", "left_semi"), markers.join(roads, "road_code", "left_semi")
     new = edge_references(edges, segments, markers).drop("road_code").withColumn("__new", F.lit(True))
+    if ids is not None:
+        new = new.join(ids.select("id").distinct(), "id", "left_semi")
     fresh = new.select("id", "__new", *[F.col(n).alias(f"__{n}") for n in names])
     out = edges.join(fresh, "id", "left")
     old = lambda n: F.col(n) if n in edges.columns else F.lit(None)
@@ -77,9 +97,11 @@ def measures_of_references(refs: DataFrame, segments: DataFrame, markers: DataFr
 
 def point_from_reference(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """refs (rid, road_code, marker_code, abscissa, offset, side) with the point x, y they name; null where no marker is at or before."""
+    segments = settle(segments)
     at = measures_of_references(refs, segments, markers)
     seg = segments.where("kind = 'edge'").select("road_code", "edge_order", "edge_id", "seg_idx", "x1", "y1", "x2", "y2", "len", "mn1", "mn2")
-    on = at.where("mn is not null").select("rid", "road_code", "mn").join(seg, "road_code").where("mn1 <= mn and mn <= mn2")
+    seg = seg.withColumn("reach", F.explode(_reaches(F.col("mn1"), F.col("mn2"))))
+    on = at.where("mn is not null").select("rid", "road_code", "mn", F.floor(F.col("mn") / REACH).alias("reach")).join(seg, ["road_code", "reach"]).where("mn1 <= mn and mn <= mn2")
     best = on.groupBy("rid").agg(F.min(F.struct("edge_order", "edge_id", "seg_idx", "x1", "y1", "x2", "y2", "len", "mn1")).alias("s"))
     out = at.join(best, "rid", "left")
     t = F.when(F.col("s.len") > 0, (F.col("mn") - F.col("s.mn1")) / F.col("s.len")).otherwise(0.0)
@@ -88,12 +110,19 @@ def point_from_reference(refs: DataFrame, segments: DataFrame, markers: DataFram
     return out.select("rid", F.round(F.col("s.x1") + t * dx - move * dy / F.col("s.len"), 2).alias("x"), F.round(F.col("s.y1") + t * dy + move * dx / F.col("s.len"), 2).alias("y"))
 
 
+def _reaches(lo: Column, hi: Column) -> Column:
+    return F.sequence(F.floor(lo / REACH), F.floor(hi / REACH))
+
+
 def _clipped(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """The edge segments of each span (key, road_code, lo, hi) cut to it, with the part they belong to: a gap starts a new part."""
-    seg = segments.where("kind = 'edge'").select("road_code", "edge_order", "edge_id", "seg_idx", "x1", "y1", "x2", "y2", "len", "mg1", "mn1", "mn2")
-    gap = segments.where("kind = 'gap'").select("road_code", "edge_id", "seg_idx", F.lit(1).alias("gap"))
-    seg = seg.join(gap, ["road_code", "edge_id", "seg_idx"], "left").withColumn("part", F.sum(F.coalesce("gap", F.lit(0))).over(Window.partitionBy("road_code").orderBy("edge_order", "edge_id", "seg_idx")))
-    hit = spans.join(seg, "road_code").where("mn2 > lo and mn1 < hi")
+    seg = numbered_parts(segments).select("road_code", "edge_order", "edge_id", "seg_idx", "part", "x1", "y1", "x2", "y2", "len", "mn1", "mn2")
+    # Spans and segments meet in the first reach that both are in.
+    total = segments.groupBy("road_code").agg(F.max("mn2").alias("total"))
+    spans = spans.join(total, "road_code").withColumn("hi", F.least("hi", "total")).drop("total").where("lo < hi")
+    spans = spans.withColumn("reach", F.explode(_reaches(F.col("lo"), F.col("hi"))))
+    seg = seg.withColumn("reach", F.explode(_reaches(F.col("mn1"), F.col("mn2"))))
+    hit = spans.join(seg, ["road_code", "reach"]).where("mn2 > lo and mn1 < hi").where(F.col("reach") == F.floor(F.greatest("lo", "mn1") / REACH))
     a, b = F.greatest(F.col("lo"), F.col("mn1")), F.least(F.col("hi"), F.col("mn2"))
     t1, t2 = (a - F.col("mn1")) / F.col("len"), (b - F.col("mn1")) / F.col("len")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -111,7 +140,8 @@ def _lines(clipped: DataFrame, key: str) -> DataFrame:
 
 def downstream_line(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """(rid, parts): each reference's road from its marker on."""
-    m = measures_of_references(refs.withColumn("__a", F.col("abscissa")), segments, markers).where("mn is not null")
+    segments = settle(segments)
+    m = refs.select("rid", "road_code", "marker_code", "abscissa")
     start = marker_measures(markers, segments).select("road_code", F.col("code").alias("marker_code"), "m_abscissa", F.col("mn").alias("lo"))
     best = m.join(start, ["road_code", "marker_code"]).where("m_abscissa <= abscissa").groupBy("rid", "road_code").agg(F.max(F.struct("m_abscissa", "lo"))["lo"].alias("lo"))
     return _lines(_clipped(best.withColumn("hi", F.lit(float("inf"))), segments, "rid"), "rid")
@@ -119,16 +149,19 @@ def downstream_line(refs: DataFrame, segments: DataFrame, markers: DataFrame) ->
 
 def spans_of_references(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """refs (rid, road_code, start_marker_code, start_abscissa, end_marker_code, end_abscissa) with lo, hi and error."""
-    ends = [measures_of_references(refs.select("rid", "road_code", F.col(f"{e}_marker_code").alias("marker_code"), F.col(f"{e}_abscissa").alias("abscissa")), segments, markers).select("rid", F.col("mn").alias(n)) for e, n in (("start", "lo"), ("end", "hi"))]
+    end = lambda e: F.struct(F.lit(e).alias("end"), F.col(f"{e}_marker_code").alias("marker_code"), F.col(f"{e}_abscissa").alias("abscissa"))
+    both = refs.select("rid", "road_code", F.explode(F.array(end("start"), end("end"))).alias("e")).select(F.struct("rid", "e.end").alias("rid"), "road_code", "e.marker_code", "e.abscissa")
+    at = measures_of_references(both, segments, markers).groupBy(F.col("rid.rid").alias("rid")).agg(*[F.max(F.when(F.col("rid.end") == e, F.col("mn"))).alias(n) for e, n in (("start", "lo"), ("end", "hi"))])
     known = segments.select("road_code").distinct().withColumn("known", F.lit(True))
-    out = refs.join(ends[0], "rid", "left").join(ends[1], "rid", "left").join(known, "road_code", "left")
+    out = refs.join(at, "rid", "left").join(known, "road_code", "left")
     error = F.when(F.col("known").isNull(), "unknown road").when(F.col("lo").isNull(), "unknown start").when(F.col("hi").isNull(), "unknown end").when(F.col("lo") > F.col("hi"), "start after end")
     return out.withColumn("error", error).drop("known")
 
 
 def line_from_references(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """(rid, error, length, parts) of each span; with an offset column each part is moved sideways along its segments' normals."""
-    spans = spans_of_references(refs, segments, markers)
+    segments = settle(segments)
+    spans = settle(spans_of_references(refs, segments, markers))
     good = spans.where("error is null and lo < hi").select("rid", "road_code", "lo", "hi")
     clipped = _clipped(good, segments, "rid")
     if "offset" in refs.columns:
@@ -161,9 +194,12 @@ def parse_reference(df: DataFrame, text: str = "query") -> DataFrame:
 def search_roads(queries: DataFrame, roads: DataFrame, top: int = 5) -> DataFrame:
     """(query, road_code, priority, place): exact, prefix and contained matches without regard to case, the best `top` of each query.
 
-    The queries are what people type, so they are few: they are broadcast when Spark finds them small enough, and grouped by query."""
+    An equi-join on up to three first characters of the query, which are somewhere in a road code that contains it."""
     q, r = F.lower("query"), F.lower("road_code")
-    hit = roads.select("road_code").distinct().join(queries.select("query").distinct(), F.contains(r, q))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("road_code")), lambda i: F.substr(r, i, F.lit(n)))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), at(1), at(2), at(3)))
+    of_roads = roads.select("road_code").distinct().where("length(road_code) > 0").withColumn("gram", F.explode(grams))
+    hit = of_roads.join(queries.select("query").distinct().withColumn("gram", F.substring(q, 1, 3)), "gram").where(F.contains(r, q)).drop("gram")
     rank = F.when(q == r, 1).when(F.startswith(r, q), 2).otherwise(3)
     w = Window.partitionBy("query").orderBy("priority", F.length("road_code"), "road_code")
     return hit.withColumn("priority", rank).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)

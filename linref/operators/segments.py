@@ -38,12 +38,26 @@ def spatial_road(segments: DataFrame) -> DataFrame:
     return rows.select("road_code", points.alias("points"))
 
 
+def numbered_parts(segments: DataFrame) -> DataFrame:
+    """The edge segments with `part`: how many gaps of their road lie before them."""
+    w = Window.partitionBy("road_code").orderBy("edge_order", "edge_id", "seg_idx", F.desc("kind"))  # a gap comes before the segment that it leads to
+    return segments.withColumn("part", F.sum(F.when(F.col("kind") == "gap", 1).otherwise(0)).over(w)).where("kind = 'edge'")
+
+
+def spatial_parts(segments: DataFrame) -> DataFrame:
+    """(road_code, part, points): each road's line with measures, cut at its gaps: a row per part."""
+    rows = numbered_parts(segments).groupBy("road_code", "part").agg(F.sort_array(F.collect_list(F.struct("edge_order", "edge_id", "seg_idx", "x1", "y1", "mn1", "x2", "y2", "mn2"))).alias("s"))
+    first = F.element_at("s", 1)
+    points = F.concat(F.array(F.struct(first["x1"].alias("x"), first["y1"].alias("y"), first["mn1"].alias("m"))), F.transform("s", lambda p: F.struct(p["x2"].alias("x"), p["y2"].alias("y"), p["mn2"].alias("m"))))
+    return rows.select("road_code", F.col("part").cast("int").alias("part"), points.alias("points"))
+
+
 def locate(points: DataFrame, segments: DataFrame, reach: float = 50.0, any_road: bool = False, cell: float = 50.0) -> DataFrame:
     """Each point's nearest edge within reach and its place on the joined line (gaps included).
 
     points: pid, x, y and, unless any_road, road_code. A grid cell joins points and segments as an equi-join. Adds edge_id, road_code,
     offset, side, mg, mn; null where no edge is in reach."""
-    seg = segments.withColumn("c", F.explode(g.cells(*[F.col(n) for n in ("x1", "y1", "x2", "y2")], cell, reach)))
+    seg = segments.withColumn("c", F.explode(g.cells_along(*[F.col(n) for n in ("x1", "y1", "x2", "y2")], cell, reach)))
     seg = seg.select(F.col("road_code").alias("s_road"), "edge_id", "edge_order", "seg_idx", "kind", "x1", "y1", "x2", "y2", "len", "mg1", "mn1", "mn2", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
     pts = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     on = (pts.cx == seg.cx) & (pts.cy == seg.cy)
@@ -58,11 +72,10 @@ def locate(points: DataFrame, segments: DataFrame, reach: float = 50.0, any_road
     order = ["d", "s_road", "edge_order", "edge_id", "seg_idx"]
     is_gap = F.when(F.col("kind") == "edge", 0).otherwise(1).alias("gap")
     place = F.struct(*order, is_gap, (F.col("mg1") + F.col("t") * F.col("len")).alias("mg"), (F.col("mn1") + F.col("t") * (F.col("mn2") - F.col("mn1"))).alias("mn"))
-    found = pair.groupBy("pid").agg(F.min(F.when(F.col("kind") == "edge", F.struct(*order, "left"))).alias("e"), F.min(place).alias("l"))
+    keys = ["pid", "s_road"] if any_road else ["pid"]
+    found = pair.groupBy(*keys).agg(F.min(F.when(F.col("kind") == "edge", F.struct(*order, "left"))).alias("e"), F.min(place).alias("l"))
     if any_road:  # the joined line is the nearest edge's road
-        best = found.select("pid", F.col("e.s_road").alias("s_road"))
-        line = pair.join(best, ["pid", "s_road"]).groupBy("pid").agg(F.min(place).alias("l"))
-        found = found.drop("l").join(line, "pid")
+        found = found.where("e is not null").groupBy("pid").agg(F.min(F.struct("e", "l")).alias("b")).select("pid", "b.e", "b.l")
     found = found.where("e is not null").select("pid", F.col("e.edge_id").alias("edge_id"), F.col("e.s_road").alias("found_road"), F.col("e.d").alias("offset"), F.when(F.col("e.left"), "left").otherwise("right").alias("side"), F.col("l.mg").alias("mg"), F.col("l.mn").alias("mn"))
     out = points.join(found, "pid", "left")
     return out.withColumn("road_code", F.col("found_road")).drop("found_road") if any_road else out.drop("found_road")

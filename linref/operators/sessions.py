@@ -51,12 +51,26 @@ def drop_noop_changes(changes: DataFrame, base: DataFrame, key: str = "id") -> D
     return out.where(~((F.col("op") == "U") & F.struct(*cols).eqNullSafe(F.col("__old")))).drop("__old")
 
 
+def drop_reverted_changes(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """changes (id, op, the columns, and old: the row they had before as a struct) without the updates that leave the row as it was."""
+    return changes.where(~((F.col("op") == "U") & F.struct(*columns).eqNullSafe(F.struct(*[F.col("old")[c].alias(c) for c in columns]))))
+
+
 def area_violations(changes: DataFrame, ring: Column, points: bool = False) -> DataFrame:
     """Inserted, deleted and moved lines that do not meet the ring; moved points must lie in it."""
     ok = F.forall("geom", lambda p: g.inside(p["x"], p["y"], ring)) if points else _touches(F.col("geom"), ring)
     return changes.where(~ok)
 
 
+def edit_violations(changes: DataFrame, ring: Column, points: bool = False) -> DataFrame:
+    """(id, problem) of edits (id, op, old_geom, geom) that reach outside the ring: inserted and deleted geometries must meet it, moved points lie in
+    it, moved lines meet it. Updates that leave the geometry alone are free."""
+    meets = (lambda c: F.forall(c, lambda p: g.inside(p["x"], p["y"], ring))) if points else (lambda c: _touches(F.col(c), ring))
+    problem = F.when((F.col("op") == "I") & ~meets("geom"), "inserted outside").when((F.col("op") == "D") & ~meets("old_geom"), "deleted outside")
+    problem = problem.when((F.col("op") == "U") & ~F.col("geom").eqNullSafe(F.col("old_geom")) & ~meets("geom"), "moved outside")
+    return changes.select("id", problem.alias("problem")).where("problem is not null")
+
+
 def change_set(log: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, id, op, row): the compacted log with the values to apply, as a json text where tables differ in columns."""
     ops = compact_log(log)

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from linref.functions import geometry as g
 from linref.functions.lineage import settle
 from linref.operators.order import neighbours, ordered_edges
+from linref.operators.references import update_edge_references
+from linref.operators.segments import road_segments
 
 SNAP = 0.5
 
@@ -78,10 +80,30 @@ def move_edge_road(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return infer_neighbours(kept.unionByName(moved))
 
 
+def move_edges(edges: DataFrame, moves: DataFrame, markers: DataFrame) -> DataFrame:
+    """move_edge_road, with the order of the roads that edges left or came to, and the references of their edges, computed anew."""
+    moved = settle(move_edge_road(edges, moves))
+    roads = edges.join(moves.select("id"), "id", "left_semi").select("road_code").unionByName(moves.select(F.col("new_road").alias("road_code"))).distinct()
+    return with_references(moved, markers, roads)
+
+
+def with_references(edges: DataFrame, markers: DataFrame, roads: DataFrame) -> DataFrame:
+    """edges with the order and the references of the given roads' (road_code) edges computed anew, by their links."""
+    own = edges.join(roads.select("road_code").distinct(), "road_code", "left_semi")
+    order = ordered_edges(own)
+    segments = settle(road_segments(own.select("id", "road_code", "geom").join(order, ["road_code", "id"])))
+    return update_edge_references(edges, segments, markers, roads)
+
+
+def marker_change_references(edges: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """edges with the references of all roads of changed markers computed anew."""
+    return with_references(edges, new, settle(changed_marker_roads(old, new)))
+
+
 def intersections(edges: DataFrame, nodes: DataFrame, near: float = SNAP, cell: float = 100.0, ring=None) -> DataFrame:
     """(a, b, x, y): points where two edges cross, away from nodes by more than `near`, inside the ring if one is given."""
     seg = _flat(edges).select("id", "x1", "y1", "x2", "y2")
-    seg = seg.withColumn("c", F.explode(g.cells(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], cell, 0.0)))
+    seg = seg.withColumn("c", F.explode(g.cells_along(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], cell, 1e-6)))
     a, b = seg.toDF("a", "ax1", "ay1", "ax2", "ay2", "c"), seg.toDF("b", "bx1", "by1", "bx2", "by2", "c")
     pair = a.join(b, "c").where("a < b")
     of = lambda s: {k: F.col(s + k) for k in ("x1", "y1", "x2", "y2")}
@@ -97,7 +119,7 @@ def intersections(edges: DataFrame, nodes: DataFrame, near: float = SNAP, cell:
 
 def touching_nodes(edges: DataFrame, nodes: DataFrame, near: float = SNAP, cell: float = 50.0) -> DataFrame:
     """(edge_id, node_id, m): nodes within `near` of an edge's interior that are not its own, with the length at which they touch it."""
-    seg = _flat(edges, "start_node", "end_node").withColumn("c", F.explode(g.cells(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], cell, near)))
+    seg = _flat(edges, "start_node", "end_node").withColumn("c", F.explode(g.cells_along(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], cell, near)))
     n = nodes.select(F.col("id").alias("node_id"), "x", "y").withColumn("c", F.struct(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")))
     s = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     pair = seg.join(n, "c").where("node_id != coalesce(start_node, -1) and node_id != coalesce(end_node, -1)").withColumn("t", g.clamp(g.fraction(F.col("x"), F.col("y"), *s)))
@@ -121,6 +143,30 @@ def split_edges(edges: DataFrame, touching: DataFrame) -> DataFrame:
     return out.select("edge_id", "piece", "start_m", "end_m", geom.alias("geom"))
 
 
+def split_graph(edges: DataFrame, touching: DataFrame) -> DataFrame:
+    """edges after all splits at once, as edits of the graph: the first piece keeps the edge's id, the others get new ones above all ids, in the
+    order of edge and piece; pieces are linked to each other and to the neighbouring edges' nearest pieces, and meet at the touching nodes.
+
+    Adds edge_id, piece, and start_m and end_m along the old edge."""
+    pieces = settle(split_edges(edges, touching))
+    top = edges.agg(F.max("id")).first()[0] or 0
+    from linref.operators.importing import numbered
+
+    fresh = numbered(pieces.where("piece > 0").select("edge_id", "piece"), ["edge_id", "piece"], "new").withColumn("new", F.col("new") + top)
+    own = settle(pieces.join(fresh, ["edge_id", "piece"], "left").withColumn("id", F.coalesce("new", "edge_id")).drop("new"))
+    node = touching.groupBy("edge_id", F.col("m").alias("at")).agg(F.min("node_id").alias("node"))
+    last = own.groupBy("edge_id").agg(F.max_by("id", "piece").alias("last"), F.max("piece").alias("most"))
+    old = edges.select(F.col("id").alias("edge_id"), *[c for c in edges.columns if c not in ("id", "geom")]).join(last, "edge_id")
+    before = last.select(F.col("edge_id").alias("previous_edge_id"), F.col("last").alias("before"))
+    old = old.join(before, "previous_edge_id", "left")
+    w = Window.partitionBy("edge_id").orderBy("piece")
+    out = own.withColumn("p", F.lag("id").over(w)).withColumn("x", F.lead("id").over(w)).join(old, "edge_id")
+    out = out.join(node.select("edge_id", F.col("at").alias("start_m"), F.col("node").alias("n1")), ["edge_id", "start_m"], "left").join(node.select("edge_id", F.col("at").alias("end_m"), F.col("node").alias("n2")), ["edge_id", "end_m"], "left")
+    out = out.withColumns({"previous_edge_id": F.when(F.col("piece") == 0, F.coalesce("before", "previous_edge_id")).otherwise(F.col("p")), "next_edge_id": F.when(F.col("piece") < F.col("most"), F.col("x")).otherwise(F.col("next_edge_id")),
+                           "start_node": F.when(F.col("piece") == 0, F.col("start_node")).otherwise(F.col("n1")), "end_node": F.when(F.col("piece") < F.col("most"), F.col("n2")).otherwise(F.col("end_node"))})
+    return out.select(*edges.columns, "edge_id", "piece", "start_m", "end_m")
+
+
 def node_degree(edges: DataFrame) -> DataFrame:
     """(node, edges, roads, pass_through): how many edges and roads meet at each node; pass-through: two edges of one road."""
     both = edges.select(F.col("start_node").alias("node"), "id", "road_code").unionByName(edges.select(F.col("end_node").alias("node"), "id", "road_code")).where("node is not null")
@@ -137,10 +183,25 @@ def merge_pass_through(edges: DataFrame) -> DataFrame:
     w = Window.partitionBy("road_code").orderBy("edge_order")
     e = e.withColumn("run", F.sum(F.when(F.col("through").isNull(), 1).otherwise(0)).over(w))
     out = e.groupBy("road_code", "run").agg(F.min("id").alias("id"), F.count("*").alias("merged"), F.sort_array(F.collect_list(F.struct("edge_order", "geom"))).alias("s"))
-    geom = F.aggregate(F.slice("s", 2, 1_000_000), F.element_at("s", 1)["geom"], lambda a, p: F.concat(a, F.slice(p["geom"], 2, F.size(p["geom"]) - 1)))
+    geom = F.flatten(F.transform("s", lambda p, i: F.when(i == 0, p["geom"]).otherwise(F.slice(p["geom"], 2, F.size(p["geom"]) - 1))))
     return out.select("id", "road_code", "merged", geom.alias("geom"))
 
 
+def merge_graph(edges: DataFrame) -> DataFrame:
+    """edges after all merges at once, as edits of the graph: each run of edges joined at pass-through nodes is one edge with the least id of the
+    run, the first one's start node, the last one's end node, and links to the neighbouring runs."""
+    through = node_degree(edges).where("pass_through").select("node")
+    e = edges.join(ordered_edges(edges).withColumnRenamed("edge_order", "at"), ["road_code", "id"]).join(through.select(F.col("node").alias("start_node"), F.lit(1).alias("through")), "start_node", "left")
+    w = Window.partitionBy("road_code").orderBy("at")
+    e = settle(e.withColumn("run", F.sum(F.when(F.col("through").isNull(), 1).otherwise(0)).over(w)))
+    ends = e.groupBy("road_code", "run").agg(F.min("id").alias("id"), F.count("*").alias("merged"), F.min_by("start_node", "at").alias("start_node"), F.max_by("end_node", "at").alias("end_node"), F.min_by("previous_edge_id", "at").alias("p"), F.max_by("next_edge_id", "at").alias("x"),
+                                              F.sort_array(F.collect_list(F.struct("at", "geom"))).alias("s"))
+    run_of = e.join(ends.select("road_code", "run", F.col("id").alias("of")), ["road_code", "run"]).select("id", "of")
+    geom = F.flatten(F.transform("s", lambda p, i: F.when(i == 0, p["geom"]).otherwise(F.slice(p["geom"], 2, F.size(p["geom"]) - 1))))
+    out = ends.join(run_of.select(F.col("id").alias("p"), F.col("of").alias("previous_edge_id")), "p", "left").join(run_of.select(F.col("id").alias("x"), F.col("of").alias("next_edge_id")), "x", "left")
+    return out.select("id", "road_code", "merged", "start_node", "end_node", "previous_edge_id", "next_edge_id", geom.alias("geom"))
+
+
 def orphan_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     used = edges.select(F.col("start_node").alias("id")).unionByName(edges.select(F.col("end_node").alias("id")))
     return nodes.join(used, "id", "left_anti")
@@ -154,6 +215,16 @@ def propagate_node_moves(edges: DataFrame, moved: DataFrame) -> DataFrame:
     return out.withColumn("geom", geom).withColumn("geom", F.when(F.col("__e").isNotNull(), g.set_end(F.col("geom"), F.col("__e"))).otherwise(F.col("geom"))).select(*edges.columns)
 
 
+def moved_nodes(nodes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, x, y) of the nodes that the ends of changed edges have moved to: an edge whose end vertex is elsewhere takes its node along, the edge of the least id where several do."""
+    def at(df: DataFrame, name: str) -> DataFrame:
+        return df.select("id", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("start_node").alias("node"), g.start_point(F.col("geom")).alias("p")), F.struct(F.lit(1).alias("end"), F.col("end_node").alias("node"), g.end_point(F.col("geom")).alias("p")))).alias("e")).select("id", "e.end", "e.node", F.col("e.p").alias(name))
+
+    moved = at(new, "p").join(at(old, "was").drop("node"), ["id", "end"]).where("p != was and node is not null")
+    to = moved.groupBy(F.col("node").alias("id")).agg(F.min_by("p", F.struct("id", "end")).alias("p")).select("id", "p.x", "p.y")
+    return to.join(nodes.select("id"), "id", "left_semi")
+
+
 def marker_zero_upkeep(edges: DataFrame, markers: DataFrame) -> DataFrame:
     """markers with marker 0 at the start of each road's first edge: moved there, or made."""
     w = Window.partitionBy("road_code").orderBy("edge_order", "id")
@@ -181,10 +252,15 @@ def ring_marker_check(markers: DataFrame, edges: DataFrame, roads: DataFrame, ne
     return m.where("code != 0").select("road_code", "code", F.lit("not marker 0").alias("problem")).unionByName(far)
 
 
-def ring_neighbours(edges: DataFrame) -> DataFrame:
-    """Links of ring edges from their geometric order alone."""
-    bare = edges.withColumn("next_edge_id", F.lit(None).cast("long"))
-    return neighbours(ordered_edges(bare))
+def ring_neighbours(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Links of ring edges from their geometric order alone; starts (road_code, node): the ring's order begins at the edge that leaves the node."""
+    order = ordered_edges(edges.withColumn("next_edge_id", F.lit(None).cast("long")))
+    if starts is not None:
+        first = edges.select("road_code", "id", F.col("start_node").alias("node")).join(starts, ["road_code", "node"]).join(order, ["road_code", "id"]).groupBy("road_code").agg(F.min("edge_order").alias("first"))
+        n = order.groupBy("road_code").agg(F.count("*").alias("n"))
+        turned = (F.pmod(F.col("edge_order") - F.col("first"), F.col("n")) + 1).cast("int")
+        order = order.join(first, "road_code", "left").join(n, "road_code").withColumn("edge_order", F.coalesce(turned, F.col("edge_order"))).drop("first", "n")
+    return neighbours(order)
 
 
 def orient_rings(edges: DataFrame) -> DataFrame:
@@ -208,7 +284,37 @@ def clean_roundabouts(ring_edges: DataFrame, other: DataFrame, cell: float = 200
     rings = rings.withColumn("c", F.explode(g.cells(box("x", F.array_min), box("y", F.array_min), box("x", F.array_max), box("y", F.array_max), cell, 0.1)))
     p = g.start_point(F.col("geom"))
     e = other.withColumn("c", F.struct(F.floor(p["x"] / cell).alias("cx"), F.floor(p["y"] / cell).alias("cy")))
-    return e.join(rings, "c").where("road_code != ring_road").where(F.forall("geom", lambda q: g.inside(q["x"], q["y"], F.col("ring")))).select("id", "road_code", "ring_road")
+    return e.join(rings, "c").where("road_code != ring_road").where(F.forall("geom", lambda q: g.inside(q["x"], q["y"], F.col("ring")))).select("id", "road_code", "ring_road").distinct()
+
+
+def clean_roundabout_graph(edges: DataFrame, roads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges after cleaning of all roundabouts at once, and marker 0 of each at its leftmost start node.
+
+    Edges of other roads inside a ring go, and links lead past them; at a ring's top node, where that is only its own (ring_top_node), the two
+    edges become one with the lesser id."""
+    rings = roads.where("road_type = 'roundabout'").select("road_code")
+    ring, other = edges.join(rings, "road_code", "left_semi"), edges.join(rings, "road_code", "left_anti")
+    left = settle(bridge_deleted(edges, clean_roundabouts(ring, other)))
+    ring = left.join(rings, "road_code", "left_semi")
+    top = ring_top_node(ring, left.join(rings, "road_code", "left_anti"))
+    into, out_of = ring.join(top.withColumnRenamed("node", "end_node"), ["road_code", "end_node"]), ring.join(top.withColumnRenamed("node", "start_node"), ["road_code", "start_node"])
+    pair = settle(into.select("road_code", F.struct(*into.columns).alias("a")).join(out_of.select("road_code", F.struct(*out_of.columns).alias("b")), "road_code").where("a.id != b.id"))
+    kept = pair.select(F.explode(F.array("a.id", "b.id")).alias("was"), F.least("a.id", "b.id").alias("is"))
+    joined = {"id": F.least("a.id", "b.id"), "previous_edge_id": F.col("a.previous_edge_id"), "start_node": F.col("a.start_node"), "geom": F.concat("a.geom", F.slice("b.geom", 2, F.size("b.geom") - 1))}
+    made = pair.select(*[joined.get(c, F.col(f"b.{c}")).alias(c) for c in edges.columns])
+    every = left.join(kept.select(F.col("was").alias("id")), "id", "left_anti").select(*edges.columns).unionByName(made)
+    for link in ("previous_edge_id", "next_edge_id"):
+        every = every.join(kept.select(F.col("was").alias(link), "is"), link, "left").withColumn(link, F.coalesce("is", link)).drop("is")
+    start = g.start_point(F.col("geom"))
+    zero = made.unionByName(ring.join(kept.select(F.col("was").alias("id")), "id", "left_anti").select(*edges.columns)).groupBy("road_code").agg(F.min_by(start, F.struct(start["x"], start["y"])).alias("geom"))
+    return every.select(*edges.columns), zero.select("road_code", F.lit(0).alias("code"), F.lit(0.0).alias("abscissa"), "geom")
+
+
+def ring_starts(markers: DataFrame, edges: DataFrame, roads: DataFrame, near: float = SNAP) -> DataFrame:
+    """(road_code, node): of each roundabout the node at its marker 0, from which its order is to start (see ring_neighbours)."""
+    m = markers.where("code = 0").join(roads.where("road_type = 'roundabout'").select("road_code"), "road_code", "left_semi").select("road_code", F.col("geom.x").alias("mx"), F.col("geom.y").alias("my"))
+    at = edges.select("road_code", "start_node", g.start_point(F.col("geom")).alias("p")).join(m, "road_code").withColumn("d", g.distance(F.col("p.x"), F.col("p.y"), F.col("mx"), F.col("my"))).where(F.col("d") <= near)
+    return at.groupBy("road_code").agg(F.min_by("start_node", F.struct("d", "start_node")).alias("node"))
 
 
 def ring_top_node(ring_edges: DataFrame, other: DataFrame) -> DataFrame:

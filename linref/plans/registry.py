@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from linref.functions import geometry as g
+from linref.functions.lineage import settle, shared_folder
 from linref.operators import assets, importing, order, quality, references, segments, sessions, topology
 from linref.sources import network as io
 from linref.sources.derived import EDGES_SQL, LOG_SQL, MARKS_SQL, POINTS_SQL, Network
@@ -81,7 +84,7 @@ def import_nodes(n):
     return importing.nodes(n.edges).select("x", "y", F.array_join("starts", ",").alias("starts"), F.array_join("ends", ",").alias("ends"))
 
 
-@query("import_edges", f"WITH {E}, {NODES}, i AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS id FROM nd) SELECT e.id, a.id AS start_node, b.id AS end_node FROM e JOIN i a ON a.x = x1 AND a.y = y1 JOIN i b ON b.x = x2 AND b.y = y2")
+@query("import_edges", f"WITH {E}, i AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS id FROM (SELECT x1 AS x, y1 AS y FROM e UNION SELECT x2, y2 FROM e)) SELECT e.id, a.id AS start_node, b.id AS end_node FROM e JOIN i a ON a.x = x1 AND a.y = y1 JOIN i b ON b.x = x2 AND b.y = y2")
 def import_edges(n):
     return importing.with_nodes(n.edges, importing.numbered(importing.nodes(n.edges).select("x", "y"), ["x", "y"])).select("id", "start_node", "end_node")
 
@@ -129,9 +132,10 @@ def reduce_precision(n):
     return p.select("id", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"))
 
 
-@query("stamped")
+@query("stamped", f"WITH {E} SELECT id, CASE WHEN id % 2 = 0 THEN '2020-01-01' END AS kept, id % 2 = 1 AS same FROM e")
 def stamped(n):
-    return importing.stamp(n.edges.select("id", "road_code"), n.flat.where("id % 2 = 0").select("id", F.to_timestamp(F.lit("2020-01-01")).alias("created_at"))).select("id", F.year("created_at").alias("year"))
+    out = importing.stamp(n.edges.select("id", "road_code"), n.flat.where("id % 2 = 0").select("id", F.to_timestamp(F.lit("2020-01-01")).alias("created_at")))
+    return out.select("id", F.when(F.col("created_at") < "2021-01-01", F.date_format("created_at", "yyyy-MM-dd")).alias("kept"), (F.col("created_at") == F.col("updated_at")).alias("same"))
 
 
 @query("wkt_out", f"WITH {E} SELECT id, {wkt_sql('x1,y1', 'x2,y2')} AS wkt FROM e")
@@ -139,6 +143,23 @@ def wkt_out(n):
     return n.edges.select("id", g.wkt(F.col("geom")).alias("wkt"))
 
 
+@query("geojson_out", f"""WITH {E} SELECT id, concat('{{"type":"LineString","coordinates":[[', CAST(x1 AS VARCHAR), ',', CAST(y1 AS VARCHAR), '],[', CAST(x2 AS VARCHAR), ',', CAST(y2 AS VARCHAR), ']]}}') AS geojson FROM e""")
+def geojson_out(n):
+    return n.edges.select("id", g.geojson(F.col("geom")).alias("geojson"))
+
+
+@query("lines_written_and_read", f"WITH {E} SELECT id, road_code, x1, y1, x2, y2 FROM e")
+def lines_written_and_read(n):
+    """Through the text sink and back through the source, as WKT for even ids and as GeoJSON for odd ones."""
+    at, rows = f"{shared_folder(n.spark)}/lines-{uuid4().hex}", None
+    for kind, part in (("wkt", 0), ("geojson", 1)):
+        io.write_lines(n.edges.where(F.col("id") % 2 == part).select("id", "road_code", "geom"), f"{at}/{kind}", kind)
+        back = io.with_line(io.read(n.spark, f"{at}/{kind}"), kind=kind)
+        rows = back if rows is None else rows.unionByName(back)
+    s, t = g.start_point(F.col("geom")), g.end_point(F.col("geom"))
+    return rows.select("id", "road_code", s["x"].alias("x1"), s["y"].alias("y1"), t["x"].alias("x2"), t["y"].alias("y2"))
+
+
 # Linear referencing
 
 
@@ -147,6 +168,13 @@ def ordered_edges(n):
     return order.ordered_edges(order.neighbours(n.edges).drop("edge_order"))
 
 
+@query("edges_from", f"WITH {E} SELECT 'down' AS direction, s.id AS start_id, e.id, CAST(e.edge_order - 1 AS INT) AS edge_order FROM e JOIN e s ON s.road_code = e.road_code AND s.edge_order = 2 WHERE e.edge_order >= 2 UNION ALL SELECT 'up', s.id, e.id, CAST(3 - e.edge_order AS INT) FROM e JOIN e s ON s.road_code = e.road_code AND s.edge_order = 2 WHERE e.edge_order <= 2")
+def edges_from(n):
+    linked, starts = settle(order.neighbours(n.edges).drop("edge_order")), n.flat.where("edge_order = 2").select("id")
+    rows = [order.edges_from(linked, starts, up).withColumn("direction", F.lit(name)) for up, name in ((False, "down"), (True, "up"))]
+    return rows[0].unionByName(rows[1])
+
+
 @query("road_segments", f"WITH {E}, {S} SELECT road_code, edge_id, edge_order, CASE gap WHEN 1 THEN 'gap' ELSE 'edge' END AS kind, x1, y1, x2, y2, len, mg1, mg2, mn1, mn2 FROM s")
 def road_segments(n):
     return n.segments.drop("seg_idx")
@@ -157,6 +185,19 @@ def spatial_road(n):
     return segments.spatial_road(n.segments).select("road_code", F.size("points").alias("n_points"), F.element_at("points", -1)["m"].alias("length"))
 
 
+@query("spatial_parts", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS part FROM e) SELECT road_code, CAST(part AS INT) AS part, CAST(count(*) + 1 AS INT) AS n_points, min(mn1) AS m1, max(mn2) AS m2, min(CASE WHEN gap > 0 OR edge_order = 1 THEN x1 END) AS x, max(x2) AS x2 FROM z GROUP BY road_code, part")
+def spatial_parts(n):
+    first, last = F.element_at("points", 1), F.element_at("points", -1)
+    return segments.spatial_parts(n.segments).select("road_code", "part", F.size("points").alias("n_points"), first["m"].alias("m1"), last["m"].alias("m2"), first["x"].alias("x"), last["x"].alias("x2"))
+
+
+@query("lines_to_points", f"WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid, 'marker' AS of, abscissa AS length FROM r WHERE side IS NOT NULL AND abscissa > 0 UNION ALL SELECT pid, 'start', cumulative FROM r WHERE side IS NOT NULL AND cumulative > 0")
+def lines_to_points(n):
+    lines = references.lines_to_points(n.points, n.segments, n.markers)
+    long = F.round(F.aggregate(F.transform("parts", g.length), F.lit(0.0), lambda a, b: a + b), 2)
+    return lines.select("pid", "of", long.alias("length")).where("length > 0")
+
+
 @query("previous_marker", f"WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid, marker_code, abscissa FROM r WHERE side IS NOT NULL")
 def previous_marker(n):
     at = segments.locate(n.points, n.segments)
@@ -173,8 +214,7 @@ def reference_any_road(n):
     return references.reference_from_point(n.points.drop("road_code"), n.segments, n.markers, any_road=True)
 
 
-REFS = """ee AS (SELECT e.id, e.road_code, e.mg1 AS g1, e.mg2 AS g2, e.mn1 AS n1, e.mn2 AS n2 FROM e), pr AS (SELECT id, k, code, n - mn AS a, n FROM (SELECT x.id, x.k, x.n, m.code, m.mn, row_number() OVER (PARTITION BY x.id, x.k ORDER BY m.mg DESC, m.code DESC) AS z
- FROM (SELECT id, road_code, 0 AS k, g1 AS gg, n1 AS n FROM ee UNION ALL SELECT id, road_code, 1, g2, n2 FROM ee) x JOIN m ON m.road_code = x.road_code AND m.mg <= x.gg) WHERE z = 1),
+REFS = """ee AS (SELECT e.id, e.road_code, e.mg1 AS g1, e.mg2 AS g2, e.mn1 AS n1, e.mn2 AS n2 FROM e), xx AS (SELECT id, road_code, 0 AS k, g1 AS gg, n1 AS n FROM ee UNION ALL SELECT id, road_code, 1, g2, n2 FROM ee), pr AS (SELECT xx.id, xx.k, m.code, xx.n - m.mn AS a, xx.n FROM xx ASOF JOIN m ON m.road_code = xx.road_code AND xx.gg >= m.mg),
 er AS (SELECT e.id, e.road_code, e.okey, a.code AS start_marker, round(a.a, 2) AS start_abscissa, round(e.mn1, 2) AS start_cumulative, b.code AS end_marker, round(b.a, 2) AS end_abscissa, round(e.mn2, 2) AS end_cumulative FROM e LEFT JOIN pr a ON a.id = e.id AND a.k = 0 LEFT JOIN pr b ON b.id = e.id AND b.k = 1)"""
 REF_COLS = "start_marker, start_abscissa, start_cumulative, end_marker, end_abscissa, end_cumulative"
 
@@ -190,6 +230,12 @@ def update_edge_references(n):
     return out.select("id", *REF_COLS.split(", "))
 
 
+@query("update_references_of_edges", f"WITH {E}, {M}, {REFS} SELECT id, " + ", ".join(f"CASE WHEN id % 100 = 2 AND okey % 10 = 0 THEN {c} END AS {c}" for c in REF_COLS.split(", ")) + " FROM er")
+def update_references_of_edges(n):
+    out = references.update_edge_references(n.edges.select("id", "road_code", "edge_order"), n.segments, n.markers, ids=n.flat.where("okey % 10 = 0 and edge_order = 2").select("id"))
+    return out.select("id", *REF_COLS.split(", "))
+
+
 REQUESTS = "q AS (SELECT o_orderkey AS rid, concat('D', CAST(o_orderkey AS VARCHAR(20))) AS road_code, CAST(0 AS INT) AS marker_code, CAST(o_custkey % 200 AS DOUBLE) AS abscissa, CAST(o_custkey % 11 AS DOUBLE) AS off, CASE WHEN o_custkey % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM orders)"
 
 
@@ -218,10 +264,11 @@ def line_from_references(n):
     return references.line_from_references(q, n.segments, n.markers).select("rid", "error", "length")
 
 
-@query("line_with_offset")
+@query("line_with_offset", f"WITH {E}, {REQUESTS}, z AS (SELECT q.*, t.total, least(t.total, abscissa) AS hi, off * CASE side WHEN 'left' THEN 1.0 ELSE -1.0 END AS mv FROM q LEFT JOIN (SELECT road_code, max(mn2) AS total FROM e GROUP BY road_code) t ON t.road_code = q.road_code), c AS (SELECT z.rid, count(*) FILTER (WHERE e.gap > 0) + 1 AS n, max(CASE WHEN edge_order = 1 THEN x1 - mv * uy / 5 END) AS x, max(CASE WHEN edge_order = 1 THEN y1 + mv * ux / 5 END) AS y FROM z JOIN e ON e.road_code = z.road_code AND e.mn1 < z.hi GROUP BY z.rid) SELECT z.rid, CASE WHEN total IS NULL THEN 'unknown road' END AS error, CASE WHEN total IS NOT NULL AND hi > 0 THEN round(hi, 2) END AS length, CAST(c.n AS INT) AS n_parts, round(c.x, 2) AS x, round(c.y, 2) AS y FROM z LEFT JOIN c ON c.rid = z.rid")
 def line_with_offset(n):
     q = requests(n).select("rid", "road_code", F.col("marker_code").alias("start_marker_code"), F.lit(0.0).alias("start_abscissa"), F.col("marker_code").alias("end_marker_code"), F.col("abscissa").alias("end_abscissa"), F.col("off").alias("offset"), "side")
-    return references.line_from_references(q, n.segments, n.markers).select("rid", "error", "length", F.size("parts").alias("n_parts"))
+    first = F.element_at(F.element_at("parts", 1), 1)
+    return references.line_from_references(q, n.segments, n.markers).select("rid", "error", "length", F.size("parts").alias("n_parts"), F.round(first["x"], 2).alias("x"), F.round(first["y"], 2).alias("y"))
 
 
 @query("reorder_parts", f"WITH {E} SELECT road_code AS pid, string_agg(CAST(k AS VARCHAR), ',' ORDER BY edge_order) AS part_order FROM (SELECT road_code, edge_order, row_number() OVER (PARTITION BY road_code ORDER BY edge_order DESC) - 1 AS k FROM e) GROUP BY road_code")
@@ -249,6 +296,28 @@ def order_rings(n):
     return topology.ring_neighbours(rings(n))
 
 
+@query("ring_neighbours_from", "SELECT s_suppkey * 10 + k AS id, CASE WHEN k <> 2 THEN s_suppkey * 10 + (k + 3) % 4 END AS previous_edge_id, CASE WHEN k <> 1 THEN s_suppkey * 10 + (k + 1) % 4 END AS next_edge_id FROM supplier, (VALUES (0), (1), (2), (3)) v(k)")
+def ring_neighbours_from(n):
+    starts = n.table("supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("road_code"), (F.col("s_suppkey") * 10 + 2).alias("node"))
+    return topology.ring_neighbours(rings(n), starts).select("id", "previous_edge_id", "next_edge_id")
+
+
+@query("line_assets_references", f"WITH {E}, {M}, {REFS} SELECT id, start_marker AS start_marker_code, start_abscissa, end_marker AS end_marker_code, end_abscissa, TRUE AS changed FROM er")
+def line_assets_references(n):
+    none = {"start_marker_code": "int", "start_abscissa": "double", "end_marker_code": "int", "end_abscissa": "double"}
+    a = n.edges.select("id", "road_code", F.array("geom").alias("parts"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    return assets.references_from_lines(a, n.segments, n.markers).select("id", *none, "changed")
+
+
+@query("line_assets_geometry", f"WITH {E}, {REQUESTS}, z AS (SELECT q.rid, q.road_code, least(t.total, abscissa) AS lo, least(t.total, abscissa + 40) AS hi FROM q JOIN (SELECT road_code, max(mn2) AS total FROM e GROUP BY road_code) t ON t.road_code = q.road_code), h AS (SELECT z.rid, round(max(CASE WHEN e.mn1 <= lo AND lo < e.mn2 THEN x1 + (lo - e.mn1) / (e.mn2 - e.mn1) * (x2 - x1) END), 2) AS x1, round(max(CASE WHEN e.mn1 < hi AND hi <= e.mn2 THEN x1 + (hi - e.mn1) / (e.mn2 - e.mn1) * (x2 - x1) END), 2) AS x2 FROM z JOIN e ON e.road_code = z.road_code AND e.mn2 > lo AND e.mn1 < hi WHERE lo < hi GROUP BY z.rid) SELECT q.rid AS id, h.x1, h.x2, h.rid IS NOT NULL AS changed FROM q LEFT JOIN h ON h.rid = q.rid")
+def line_assets_geometry(n):
+    q = requests(n).select(F.col("rid").alias("id"), "road_code", F.col("marker_code").alias("start_marker_code"), F.col("abscissa").alias("start_abscissa"), F.col("marker_code").alias("end_marker_code"), (F.col("abscissa") + 40).alias("end_abscissa"),
+                           F.lit(0.0).alias("offset"), F.lit(None).cast("string").alias("side"), F.lit(None).cast(f"array<{g.LINE}>").alias("parts"))
+    out = assets.lines_from_references(q, n.segments, n.markers)
+    end = lambda i: F.round(F.element_at(F.element_at("parts", i), i)["x"], 2)
+    return out.select("id", end(1).alias("x1"), end(-1).alias("x2"), "changed")
+
+
 @query("layer_references", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid AS id, marker_code, abscissa, "offset", side, side IS NOT NULL AS changed FROM r')
 def layer_references(n):
     a = n.points.select(F.col("pid").alias("id"), "road_code", "x", "y", F.lit(None).cast("int").alias("marker_code"), F.lit(None).cast("double").alias("abscissa"), F.lit(None).cast("double").alias("offset"), F.lit(None).cast("string").alias("side"))
@@ -294,6 +363,13 @@ def move_edge_road(n):
     return topology.move_edge_road(n.linked, moves).select("id", "road_code", "previous_edge_id", "next_edge_id")
 
 
+@query("move_edges", f"WITH {E}, {M}, {REFS}, l AS (SELECT max(id) AS id FROM e WHERE okey % 5 = 0 GROUP BY road_code) SELECT e.id, CASE WHEN l.id IS NOT NULL THEN concat('N', CAST(e.okey AS VARCHAR)) ELSE e.road_code END AS road_code, CASE WHEN e.okey % 5 = 0 AND l.id IS NULL THEN er.start_marker END AS start_marker, CASE WHEN l.id IS NOT NULL THEN 0.0 WHEN e.okey % 5 = 0 THEN er.start_cumulative END AS start_cumulative, CASE WHEN l.id IS NOT NULL THEN e.mn2 - e.mn1 WHEN e.okey % 5 = 0 THEN er.end_cumulative END AS end_cumulative FROM e JOIN er ON er.id = e.id LEFT JOIN l ON l.id = e.id")
+def move_edges(n):
+    """The last edge of every fifth road becomes a road of its own."""
+    moves = n.flat.where("okey % 5 = 0").groupBy("okey").agg(F.max("id").alias("id")).select("id", F.concat(F.lit("N"), "okey").alias("new_road"))
+    return topology.move_edges(n.linked, moves, n.markers).select("id", "road_code", "start_marker", "start_cumulative", "end_cumulative")
+
+
 CROSS = "cr AS (SELECT e.id AS a, e.id + 90 AS b, (x1+x2)/2 AS x, (y1+y2)/2 AS y FROM e WHERE edge_order = 1 AND q > 2)"
 
 
@@ -321,6 +397,18 @@ def split_edges(n):
     return topology.split_edges(n.linked, touching_nodes(n)).select("edge_id", "piece", "start_m", "end_m")
 
 
+@query("split_graph", f"WITH {E}, pc AS (SELECT e.*, k AS piece, edge_order = 1 AND q > 2 AS cut FROM e, (VALUES (0), (1)) v(k) WHERE k = 0 OR (edge_order = 1 AND q > 2)), nw AS (SELECT *, CASE WHEN piece = 0 THEN id ELSE (SELECT max(id) FROM e) + row_number() OVER (PARTITION BY piece ORDER BY id) END AS new_id FROM pc) SELECT new_id AS id, id AS edge_id, piece, lag(new_id) OVER w AS previous_edge_id, lead(new_id) OVER w AS next_edge_id, CASE WHEN cut AND piece = 1 THEN id END AS cut_start, CASE WHEN cut AND piece = 0 THEN id END AS cut_end, CASE WHEN cut THEN q*2.5 ELSE q*5.0 END AS length FROM nw WINDOW w AS (PARTITION BY road_code ORDER BY edge_order, piece)")
+def split_graph(n):
+    out = topology.split_graph(settle(n.linked), settle(touching_nodes(n)))
+    cut = F.col("edge_id")
+    return out.select("id", "edge_id", "piece", "previous_edge_id", "next_edge_id", F.when(F.col("start_node") == cut, cut).alias("cut_start"), F.when(F.col("end_node") == cut, cut).alias("cut_end"), (F.col("end_m") - F.col("start_m")).alias("length"))
+
+
+@query("merge_graph", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 OR edge_order = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS run FROM e), y AS (SELECT min(id) AS id, road_code, run, count(*) AS merged, min(edge_order) AS a, max(edge_order) AS b FROM z GROUP BY road_code, run) SELECT y.id, y.road_code, y.merged, lag(y.id) OVER w AS previous_edge_id, lead(y.id) OVER w AS next_edge_id, CAST(f.x1 AS BIGINT) * 1000000000 + CAST(f.y1 AS BIGINT) AS start_node, CAST(t.x2 AS BIGINT) * 1000000000 + CAST(t.y2 AS BIGINT) AS end_node FROM y JOIN e f ON f.road_code = y.road_code AND f.edge_order = y.a JOIN e t ON t.road_code = y.road_code AND t.edge_order = y.b WINDOW w AS (PARTITION BY y.road_code ORDER BY run)")
+def merge_graph(n):
+    return topology.merge_graph(settle(n.linked)).drop("geom")
+
+
 @query("merge_pass_through", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 OR edge_order = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS run FROM e) SELECT min(id) AS id, road_code, count(*) AS merged, CAST(count(*) + 1 AS INT) AS n_points FROM z GROUP BY road_code, run")
 def merge_pass_through(n):
     return topology.merge_pass_through(n.linked).select("id", "road_code", "merged", F.size("geom").alias("n_points"))
@@ -355,6 +443,22 @@ def marker_change_refs(n):
     return topology.changed_marker_roads(n.markers, new)
 
 
+@query("marker_change_references", f"WITH {E}, m0 AS ({MARKS_SQL}), m AS (SELECT road_code, code, abscissa, CASE WHEN code = 2 THEN mg + 1 ELSE mg END AS mg, CASE WHEN code = 2 THEN mn + 1 ELSE mn END AS mn FROM m0), {REFS}, ch AS (SELECT DISTINCT road_code FROM m0 WHERE code = 2) SELECT er.id, " + ", ".join(f"CASE WHEN ch.road_code IS NOT NULL THEN {c} END AS {c}" for c in REF_COLS.split(", ")) + " FROM er LEFT JOIN ch ON ch.road_code = er.road_code")
+def marker_change_references(n):
+    """Each road's marker 2 moves a metre along its edge."""
+    step = n.flat.select("road_code", g.point("x1", "y1").alias("geom"), (F.col("ux") / 5).alias("dx"), (F.col("uy") / 5).alias("dy"))
+    new = n.markers.join(step, ["road_code", "geom"]).select("road_code", "code", "abscissa", F.when(F.col("code") == 2, g.point(F.col("geom.x") + F.col("dx"), F.col("geom.y") + F.col("dy"))).otherwise(F.col("geom")).alias("geom"))
+    return topology.marker_change_references(settle(n.linked), n.markers, settle(new)).select("id", *REF_COLS.split(", "))
+
+
+@query("moved_nodes", f"WITH {E} SELECT x1 + 1 AS x, y1 AS y FROM e WHERE edge_order = 1")
+def moved_nodes(n):
+    old = settle(n.linked)
+    shifted = g.set_start(F.col("geom"), g.point(g.start_point(F.col("geom"))["x"] + 1, g.start_point(F.col("geom"))["y"]))
+    new = old.withColumn("geom", F.when(F.col("edge_order") == 1, shifted).otherwise(F.col("geom")))
+    return topology.moved_nodes(n.nodes, old, new).select("x", "y")
+
+
 @query("ring_marker_check", "SELECT concat('G', CAST(s_suppkey AS VARCHAR)) AS road_code, CAST(s_suppkey % 3 AS INT) AS code, 'not marker 0' AS problem FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT concat('G', CAST(s_suppkey AS VARCHAR)), CAST(s_suppkey % 3 AS INT), 'away from ring nodes' FROM supplier WHERE s_suppkey % 2 = 0")
 def ring_marker_check(n):
     r = rings(n)
@@ -362,6 +466,34 @@ def ring_marker_check(n):
     return topology.ring_marker_check(m, r, r.select("road_code").distinct().withColumn("road_type", F.lit("roundabout")))
 
 
+@query("ring_order_from_marker", "SELECT s_suppkey * 10 + k AS id, CASE WHEN k <> 2 THEN s_suppkey * 10 + (k + 3) % 4 END AS previous_edge_id, CASE WHEN k <> 1 THEN s_suppkey * 10 + (k + 1) % 4 END AS next_edge_id FROM supplier, (VALUES (0), (1), (2), (3)) v(k)")
+def ring_order_from_marker(n):
+    r = rings(n)
+    m = n.table("supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("road_code"), F.lit(0).alias("code"), g.point(F.expr("s_suppkey % 100 * 100 + 20"), F.expr("floor(s_suppkey / 100) * 100 + 10.1")).alias("geom"))
+    starts = topology.ring_starts(m, r, r.select("road_code").distinct().withColumn("road_type", F.lit("roundabout")))
+    return topology.ring_neighbours(r, settle(starts)).select("id", "previous_edge_id", "next_edge_id")
+
+
+def digitized(n):
+    """Closed rings and an edge of another road near each: inside it for even suppliers."""
+    x, y = F.expr("s_suppkey % 100 * 100"), F.expr("floor(s_suppkey / 100) * 100")
+    far, none = F.when(F.col("s_suppkey") % 2 == 0, 12).otherwise(40), F.lit(None).cast("long")
+    other = n.table("supplier").select((-1 - F.col("s_suppkey")).alias("id"), F.concat(F.lit("C"), "s_suppkey").alias("road_code"), none.alias("start_node"), none.alias("end_node"), g.line(g.point(x + 9, y + 9), g.point(x + far, y + 11)).alias("geom"), none.alias("next_edge_id"), none.alias("previous_edge_id"))
+    k, at = F.col("id") % 10, F.col("id") - F.col("id") % 10
+    ring = rings(n).withColumn("next_edge_id", at + (k + 1) % 4).withColumn("previous_edge_id", at + (k + 3) % 4)
+    return settle(ring.unionByName(other)), ring.select("road_code", F.lit("roundabout").alias("road_type")).distinct()
+
+
+@query("clean_roundabout_edges", "SELECT s_suppkey * 10 + k AS id, concat('G', CAST(s_suppkey AS VARCHAR)) AS road_code, s_suppkey * 10 + (k + 2) % 3 AS previous_edge_id, s_suppkey * 10 + (k + 1) % 3 AS next_edge_id, s_suppkey * 10 + k AS start_node, s_suppkey * 10 + (k + 1) % 3 AS end_node, CAST(CASE k WHEN 2 THEN 3 ELSE 2 END AS INT) AS n_points FROM supplier, (VALUES (0), (1), (2)) v(k) UNION ALL SELECT -1 - s_suppkey, concat('C', CAST(s_suppkey AS VARCHAR)), NULL, NULL, NULL, NULL, 2 FROM supplier WHERE s_suppkey % 2 = 1")
+def clean_roundabout_edges(n):
+    return topology.clean_roundabout_graph(*digitized(n))[0].select("id", "road_code", "previous_edge_id", "next_edge_id", "start_node", "end_node", F.size("geom").alias("n_points"))
+
+
+@query("clean_roundabout_markers", "SELECT concat('G', CAST(s_suppkey AS VARCHAR)) AS road_code, CAST(0 AS INT) AS code, CAST(s_suppkey % 100 * 100 AS DOUBLE) AS x, CAST(floor(s_suppkey / 100) * 100 + 10 AS DOUBLE) AS y FROM supplier")
+def clean_roundabout_markers(n):
+    return topology.clean_roundabout_graph(*digitized(n))[1].select("road_code", "code", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
 @query("orient_rings", "SELECT s_suppkey AS id, CAST(s_suppkey % 100 * 100 AS DOUBLE) AS x, CAST(floor(s_suppkey / 100) * 100 AS DOUBLE) + 20 AS y FROM supplier")
 def orient_rings(n):
     x, y = F.expr("s_suppkey % 100 * 100"), F.expr("floor(s_suppkey / 100) * 100")
@@ -420,14 +552,9 @@ def compact_log(n):
 @query("stream_compact_log", f"WITH {COMPACT} SELECT * FROM co WHERE op IS NOT NULL")
 def stream_compact_log(n):
     """The stateful operator on the events as one stream, read to its end."""
-    import tempfile
-
     from linref.streaming.streams import stream_compact_log as op
 
-    base = n.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    from uuid import uuid4
-
-    at = f"{base}/stream-{uuid4().hex}"
+    at = f"{shared_folder(n.spark)}/stream-{uuid4().hex}"
     src = n.spark.readStream.schema(n.table("events").schema).parquet(f"{n.sf_dir}/events.parquet*")
     src.createOrReplaceTempView("event_stream")
     log = n.spark.sql(LOG_SQL.replace("FROM events", "FROM event_stream"))
@@ -436,8 +563,14 @@ def stream_compact_log(n):
     def batch(df, k):
         df.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
 
-    n.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = n.spark.conf.get(name)
+    n.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        started = out.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        started.awaitTermination()
+    finally:
+        n.spark.conf.set(name, before)
     done = n.spark.read.parquet(f"{at}/out")
     last = done.groupBy("table_name", "id").agg(F.max_by("op", "batch").alias("op"))
     return last.where("op is not null")
@@ -450,15 +583,29 @@ def drop_noop_changes(n):
     return sessions.drop_noop_changes(changes, base).select("id", "op")
 
 
+@query("drop_reverted_changes", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'D' ELSE 'U' END AS op FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def drop_reverted_changes(n):
+    old = n.table("orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus", F.struct("o_totalprice", "o_orderstatus").alias("old"))
+    changes = old.withColumn("o_totalprice", F.when(F.col("id") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).withColumn("op", F.when(F.col("id") % 5 == 0, "D").otherwise("U"))
+    return sessions.drop_reverted_changes(changes, ["o_totalprice", "o_orderstatus"]).select("id", "op")
+
+
 @query("area_violations", f"WITH {E} SELECT id FROM e WHERE NOT (({INSIDE}) OR (x2 < 900999.5 AND y2 < 90999.5))")
 def area_violations(n):
     return sessions.area_violations(n.edges, area()).select("id")
 
 
-@query("change_set", f"WITH {COMPACT} SELECT co.table_name, co.id, co.op, c.c_custkey IS NOT NULL AS has_row FROM co LEFT JOIN customer c ON c.c_custkey = co.id WHERE op IS NOT NULL")
+@query("edit_violations", f"WITH {E} SELECT id, CASE id % 3 WHEN 0 THEN 'inserted outside' ELSE 'deleted outside' END AS problem FROM e WHERE id % 3 < 2 AND NOT (({INSIDE}) OR (x2 < 900999.5 AND y2 < 90999.5)) UNION ALL SELECT id, 'moved outside' FROM e WHERE id % 3 = 2 AND id % 2 = 0")
+def edit_violations(n):
+    far = F.transform("geom", lambda p: g.point(p["x"] + 9e8, p["y"]))
+    changes = n.edges.select("id", F.expr("CASE id % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'D' ELSE 'U' END").alias("op"), F.expr("CASE WHEN id % 3 <> 0 THEN geom END").alias("old_geom"), F.when((F.col("id") % 3 == 2) & (F.col("id") % 2 == 0), far).when(F.col("id") % 3 != 1, F.col("geom")).alias("geom"))
+    return sessions.edit_violations(changes, area())
+
+
+@query("change_set", f"WITH {COMPACT} SELECT co.table_name, co.id, co.op, c.c_custkey IS NOT NULL AS has_row, CAST(c.c_acctbal AS DOUBLE) AS balance, c.c_name AS name FROM co LEFT JOIN customer c ON c.c_custkey = co.id WHERE op IS NOT NULL")
 def change_set(n):
     out = sessions.change_set(n.log, {"edges": n.table("customer").withColumnRenamed("c_custkey", "id")})
-    return out.select("table_name", "id", "op", F.col("row").isNotNull().alias("has_row"))
+    return out.select("table_name", "id", "op", F.col("row").isNotNull().alias("has_row"), F.get_json_object("row", "$.c_acctbal").cast("double").alias("balance"), F.get_json_object("row", "$.c_name").alias("name"))
 
 
 @query("apply_changes", f"WITH {COMPACT} SELECT coalesce(c.c_custkey, co.id) AS id, CASE WHEN co.op = 'U' OR c.c_custkey IS NULL THEN -1.0 ELSE c_acctbal END AS c_acctbal FROM customer c FULL JOIN (SELECT * FROM co WHERE op IS NOT NULL) co ON c.c_custkey = co.id WHERE coalesce(co.op, '') <> 'D' AND (c.c_custkey IS NOT NULL OR co.op = 'I')")
@@ -527,11 +674,19 @@ def changed_area(n):
     return assets.changed_area("points", n.points)
 
 
-@query("update_all_assets")
+@query("update_all_assets", f"WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT CASE WHEN pid % 2 = 0 THEN 'trees' ELSE 'lamps' END AS table_name, pid AS id, marker_code, abscissa FROM r WHERE side IS NOT NULL")
 def update_all_assets(n):
     a = n.points.select(F.col("pid").alias("id"), "road_code", "x", "y", F.lit(None).cast("int").alias("marker_code"), F.lit(None).cast("double").alias("abscissa"))
-    _, report = assets.update_all([("trees", "references"), ("lamps", "references")], {"trees": a.where("id % 2 = 0"), "lamps": a.where("id % 2 = 1")}, n.segments, n.markers, n.edges.select("road_code"))
-    return report.select("table_name", "changed")
+    done, report = assets.update_all([("trees", "references"), ("lamps", "references")], {"trees": a.where("id % 2 = 0"), "lamps": a.where("id % 2 = 1")}, n.segments, n.markers, n.edges.select("road_code"))
+    rows = [report.where(F.col("table_name") == name).join(df.select("id", "marker_code", "abscissa"), "id").select("table_name", "id", "marker_code", "abscissa") for name, df in done.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query("stamped_registry", f"WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT 'trees' AS table_name, count(*) > 0 AS stamped FROM r WHERE side IS NOT NULL AND pid % 2 = 0 UNION ALL SELECT 'lamps', count(*) > 0 FROM r WHERE side IS NOT NULL AND pid % 2 = 1 UNION ALL SELECT 'signs', FALSE")
+def stamped_registry(n):
+    changed = update_all_assets(n).select("table_name", F.current_timestamp().alias("last_update"))
+    registry = n.spark.createDataFrame([("trees", "references"), ("lamps", "references"), ("signs", "geometry")], "table_name string, policy string").withColumn("last_update", F.to_timestamp(F.lit("2020-01-01")))
+    return assets.stamped_registry(registry, changed).select("table_name", (F.col("last_update") > "2021-01-01").alias("stamped"))
 
 
 # Quality
@@ -570,12 +725,9 @@ def duplicate_edges(n):
 @query("stream_references", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid, road_code, marker_code, abscissa, cumulative, "offset", side FROM r')
 def stream_references(n):
     """Positions as a stream read to its end; the result is the union of its batches."""
-    import tempfile
-    from uuid import uuid4
-
     from linref.streaming.streams import stream_references as op
 
-    at = f"{n.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-checkpoint-')}/stream-{uuid4().hex}"
+    at = f"{shared_folder(n.spark)}/stream-{uuid4().hex}"
     n.points.write.parquet(f"{at}/in")
     src = n.spark.readStream.schema(n.points.schema).parquet(f"{at}/in")
     op(src, n.segments, n.markers, f"{at}/out", f"{at}/state").awaitTermination()
