@@ -20,7 +20,9 @@ MOST_MATCHES, COSTS = 4, (2, 16)
 HOT, BAND = 32, 1.1
 #: At most so many frequent shingles are ordered by their frequency, and so broadcast (16 bytes each); the rest is ordered by hash.
 ORDERED = 500_000
-#: What the first pass over the texts gives: of each row its key and set (df null), and the counts of shingles that are frequent in a batch.
+#: Shingles are counted so many at a time.
+COUNTED = 2_000_000
+#: What the first pass over the texts gives: of each row its key and set (df null), and the counts of shingles that are frequent among some thousand rows.
 NAMES = ["doc_id", "rid", "n_shingles", "k", "token", "df"]
 
 
@@ -54,19 +56,25 @@ def _keys(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 def _summaries(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for part, data, offsets in slices([batch], "text"):
-                values, row = _sets(data, offsets, n)
-                found.append(values)
-                size, key = _keys(values, row, part.num_rows)
-                none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(size.astype(np.int64)), signed(key), none, none], NAMES)
-            # Counts of whole batches: a frequent shingle is in several documents of most of them.
+        found: list[np.ndarray] = []
+
+        def frequent() -> pa.RecordBatch:
+            """Counts of some thousand documents at once: a frequent shingle is in several of most of them."""
             values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            found.clear()
             keep = counts >= 4
             none = pa.nulls(int(keep.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, signed(values[keep]), pa.array(counts[keep].astype(np.int64))], NAMES)
+            return pa.RecordBatch.from_arrays([none, none, none, none, signed(values[keep]), pa.array(counts[keep].astype(np.int64))], NAMES)
+
+        for part, data, offsets in slices(batches, "text"):
+            values, row = _sets(data, offsets, n)
+            found.append(values)
+            size, key = _keys(values, row, part.num_rows)
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(size.astype(np.int64)), signed(key), none, none], NAMES)
+            if sum(map(len, found)) > COUNTED:
+                yield frequent()
+        yield frequent()
 
     return run
 
