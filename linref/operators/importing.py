@@ -15,6 +15,11 @@ from linref.operators.segments import road_segments
 EDGE_COLUMNS = ["edge_order", "road_code", "road_class", "road_type", "road_class_code", "is_active", "road_topic", "is_access_road", "geom"]
 MARKER_COLUMNS = ["road_code", "code", "abscissa", "is_virtual", "geom"]
 ROAD_TYPES = ["road", "roundabout"]
+# The natures of roads, as whole names and by their beginnings, and the classes they stand for.
+NATURES = {"AUT": "Autoroute", "RN": "Nationale", "SEMOP": "Départementale", "Vprivée": "Voie privée"}
+NATURE_STARTS = {"RD": "Départementale", "VCdC": "Intercommunale", "VC": "Communale"}
+OTHER = "Autre"
+INACTIVE = ["Détruite", "PROG"]
 
 
 def require(df: DataFrame, columns: list[str]) -> None:
@@ -90,10 +95,15 @@ def import_network(edges: DataFrame, markers: DataFrame, classes: DataFrame) ->
 
 
 def classify_roads(df: DataFrame, code: str, nature: str) -> DataFrame:
-    """Road attributes from a nature code: type, class, class code, activity, topic and access flag."""
-    n = F.upper(F.col(nature))
-    return df.select("*", F.when(n.like("GIR%"), "roundabout").otherwise("road").alias("road_type"), F.when(F.col(code).like("A%"), "A").when(F.col(code).like("D%"), "D").otherwise("C").alias("road_class"),
-                     F.regexp_replace(code, "^[A-Z]+", "").alias("road_class_code"), (~n.like("%OLD%")).alias("is_active"), F.when(n.like("%BIKE%"), "bike").otherwise("car").alias("road_topic"), n.like("BRET%").alias("is_access_road"))
+    """Road attributes from a road's code and nature: type, class, class code, activity, topic and access flag.
+
+    Without a nature a road is of the other class, inactive and an access road."""
+    n = F.col(nature)
+    whole = [F.when(n == k, v) for k, v in NATURES.items()]
+    starts = [F.when(F.startswith(n, F.lit(k)), v) for k, v in sorted(NATURE_STARTS.items(), key=lambda i: -len(i[0]))]
+    return df.select("*", F.when(F.startswith(F.upper(F.col(code)), F.lit("GIR")), "roundabout").otherwise("road").alias("road_type"), F.coalesce(*whole, *starts, F.lit(OTHER)).alias("road_class"),
+                     F.when(F.startswith(n, F.lit("RD")), F.regexp_replace(n, "RD|_VDess|_Port", "")).alias("road_class_code"), F.coalesce(~n.isin(INACTIVE), F.lit(False)).alias("is_active"),
+                     F.when(F.contains(n, F.lit("Port")), "Port").alias("road_topic"), F.coalesce(F.contains(n, F.lit("VDess")), F.lit(True)).alias("is_access_road"))
 
 
 def stamp(df: DataFrame, old: DataFrame | None = None, key: str = "id") -> DataFrame:

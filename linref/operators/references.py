@@ -159,7 +159,7 @@ def spans_of_references(refs: DataFrame, segments: DataFrame, markers: DataFrame
 
 
 def line_from_references(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
-    """(rid, error, length, parts) of each span; with an offset column each part is moved sideways along its segments' normals."""
+    """(rid, error, length, parts) of each span; with an offset column each part is moved sideways, its bends to where its moved segments meet."""
     segments = settle(segments)
     spans = settle(spans_of_references(refs, segments, markers))
     good = spans.where("error is null and lo < hi").select("rid", "road_code", "lo", "hi")
@@ -167,8 +167,13 @@ def line_from_references(refs: DataFrame, segments: DataFrame, markers: DataFram
     if "offset" in refs.columns:
         by = refs.select("rid", (F.coalesce("offset", F.lit(0.0)) * F.when(F.col("side") == "left", 1.0).otherwise(-1.0)).alias("move"))
         clipped = clipped.join(by, "rid")
-        nx, ny = -(F.col("y2") - F.col("y1")) / F.col("len") * F.col("move"), (F.col("x2") - F.col("x1")) / F.col("len") * F.col("move")
-        clipped = clipped.withColumns({"x1": F.col("x1") + nx, "x2": F.col("x2") + nx, "y1": F.col("y1") + ny, "y2": F.col("y2") + ny})
+        clipped = clipped.withColumn("nx", -(F.col("y2") - F.col("y1")) / F.col("len")).withColumn("ny", (F.col("x2") - F.col("x1")) / F.col("len"))
+        w = Window.partitionBy("rid", "part").orderBy("edge_order", "edge_id", "seg_idx")
+        clipped = clipped.withColumn("px", F.lag("nx").over(w)).withColumn("py", F.lag("ny").over(w))
+        # At a bend the moved segments' lines meet along the sum of both normals; where the line nearly turns back they don't, and the next normal counts.
+        turn = 1 + F.col("nx") * F.col("px") + F.col("ny") * F.col("py")
+        at = lambda n, p: F.when(turn > 0.1, (F.col(n) + F.col(p)) / turn).otherwise(F.col(n)) * F.col("move")
+        clipped = clipped.withColumns({"x1": F.col("x1") + at("nx", "px"), "y1": F.col("y1") + at("ny", "py"), "x2": F.col("x2") + F.col("nx") * F.col("move"), "y2": F.col("y2") + F.col("ny") * F.col("move")})
     lengths = clipped.groupBy("rid").agg(F.round(F.sum("len"), 2).alias("length"))
     return spans.select("rid", "error").join(lengths, "rid", "left").join(_lines(clipped, "rid"), "rid", "left")
 

@@ -117,11 +117,14 @@ def import_summary(n):
     return rows
 
 
-@query("classify_roads", """SELECT p_partkey, CASE WHEN upper(p_type) LIKE 'GIR%' THEN 'roundabout' ELSE 'road' END AS road_type, CASE WHEN p_name LIKE 'A%' THEN 'A' WHEN p_name LIKE 'D%' THEN 'D' ELSE 'C' END AS road_class,
- regexp_replace(p_name, '^[A-Z]+', '') AS road_class_code, NOT upper(p_type) LIKE '%OLD%' AS is_active, CASE WHEN upper(p_type) LIKE '%BIKE%' THEN 'bike' ELSE 'car' END AS road_topic, upper(p_type) LIKE 'BRET%' AS is_access_road
- FROM (SELECT p_partkey, concat(CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'VC' END, CAST(p_size AS VARCHAR)) AS p_name, concat(CASE p_size % 5 WHEN 0 THEN 'gir ' WHEN 1 THEN 'bret ' WHEN 2 THEN 'bike ' ELSE 'old ' END, p_type) AS p_type FROM part)""")
+NATURE = "CASE p_size % 11 WHEN 0 THEN 'AUT' WHEN 1 THEN 'RN' WHEN 2 THEN 'RD12' WHEN 3 THEN 'SEMOP' WHEN 4 THEN 'VCdC3' WHEN 5 THEN 'VC4' WHEN 6 THEN 'Vprivée' WHEN 7 THEN 'RD7_VDess' WHEN 8 THEN 'RD9_Port' WHEN 9 THEN 'Détruite' END"
+
+
+@query("classify_roads", f"""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'roundabout' ELSE 'road' END AS road_type, CASE p_size % 11 WHEN 0 THEN 'Autoroute' WHEN 1 THEN 'Nationale' WHEN 2 THEN 'Départementale' WHEN 3 THEN 'Départementale' WHEN 4 THEN 'Intercommunale'
+ WHEN 5 THEN 'Communale' WHEN 6 THEN 'Voie privée' WHEN 7 THEN 'Départementale' WHEN 8 THEN 'Départementale' ELSE 'Autre' END AS road_class, CASE p_size % 11 WHEN 2 THEN '12' WHEN 7 THEN '7' WHEN 8 THEN '9' END AS road_class_code,
+ p_size % 11 < 9 AS is_active, CASE WHEN p_size % 11 = 8 THEN 'Port' END AS road_topic, p_size % 11 IN (7, 10) AS is_access_road FROM part""")
 def classify_roads(n):
-    p = n.table("part").select("p_partkey", F.expr("concat(CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'VC' END, p_size)").alias("c"), F.expr("concat(CASE p_size % 5 WHEN 0 THEN 'gir ' WHEN 1 THEN 'bret ' WHEN 2 THEN 'bike ' ELSE 'old ' END, p_type)").alias("t"))
+    p = n.table("part").select("p_partkey", F.expr("concat(CASE WHEN p_size % 4 = 0 THEN 'Gir' ELSE 'D' END, p_size)").alias("c"), F.expr(NATURE).alias("t"))
     return importing.classify_roads(p, "c", "t").drop("c", "t")
 
 

@@ -116,6 +116,14 @@ def test_line_assets_follow_their_references(spark):
     assert {r["id"]: (r["start_abscissa"], r["end_abscissa"], r["offset"], r["side"], r["changed"]) for r in again} == {1: (20.0, 150.0, 2.0, "right", True), 2: (0.0, 5.0, 0.0, "left", False)}
 
 
+def test_moved_lines_meet_at_bends(spark):
+    edges = spark.createDataFrame([(1, "A", 1, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]), (2, "A", 2, [(10.0, 10.0), (20.0, 10.0)])], f"id long, road_code string, edge_order int, geom {g.LINE}")
+    markers = spark.createDataFrame([("A", 0, 0.0, (0.0, 0.0))], f"road_code string, code int, abscissa double, geom {g.POINT}")
+    refs = spark.createDataFrame([(1, "A", 0, 0.0, 0, 30.0, 1.0, "left"), (2, "A", 0, 5.0, 0, 25.0, 2.0, "right")], "rid long, road_code string, start_marker_code int, start_abscissa double, end_marker_code int, end_abscissa double, offset double, side string")
+    got = {r["rid"]: [[tuple(p) for p in line] for line in r["parts"]] for r in references.line_from_references(refs, segments.road_segments(edges), markers).collect()}
+    assert got == {1: [[(0.0, 1.0), (9.0, 1.0), (9.0, 11.0), (20.0, 11.0)]], 2: [[(5.0, -2.0), (12.0, -2.0), (12.0, 8.0), (15.0, 8.0)]]}
+
+
 def test_reverted_updates_go(spark):
     rows = [(1, "U", 5, None, (5, None)), (2, "U", 6, "x", (5, "x")), (3, "D", 5, "x", (5, "x")), (4, "I", 1, None, None), (5, "U", 1, None, None)]
     changes = spark.createDataFrame(rows, "id long, op string, a int, b string, old struct<a:int,b:string>")
