@@ -15,11 +15,13 @@ from linref.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Prefixes are built for up to so many required matches: 1, 2 or 4, as a node's estimated candidates exceed these numbers.
-MOST_MATCHES, COSTS = 4, (2, 16)
+MOST_MATCHES, COSTS = 4, (64, 512)
 #: A token of more nodes than this is split by the sizes of the sets that may meet at it, into bands that are so much wider each.
-HOT, BAND = 32, 1.1
+HOT, BAND = 64, 1.2
 #: At most so many frequent shingles are ordered by their frequency, and so broadcast (16 bytes each); the rest is ordered by hash.
 ORDERED = 500_000
+#: Buckets by which a pair's overlap is bounded.
+BUCKETS = 256
 #: Shingles are counted so many at a time.
 COUNTED = 2_000_000
 #: What the first pass over the texts gives: of each row its key and set (df null), and the counts of shingles that are frequent among some thousand rows.
@@ -133,6 +135,27 @@ def _full(n: int):
     return run
 
 
+def _bucket_counts(n: int):
+    """How many of a set's shingles fall into each of BUCKETS by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches, "text"):
+            values, row = _sets(data, offsets, n)
+            counts = np.bincount(row * BUCKETS + (values % np.uint64(BUCKETS)).astype(np.int64), minlength=part.num_rows * BUCKETS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("k"), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BUCKETS), pa.array(counts))], ["k", "h"])
+
+    return run
+
+
+def _possible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets can be similar enough: two sets share no more than the lesser count of each bucket. That is a small part of the
+    sets, so pairs that share a phrase by chance go before whole sets are shuffled."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    both = pairs.join(counts.select(F.col("k").alias("a"), F.col("h").alias("h1")), "a").join(counts.select(F.col("k").alias("b"), F.col("h").alias("h2")), "b")
+    both = both.select("a", "b", total(F.zip_with("h1", "h2", lambda x, y: F.least(x, y))).alias("o"), total("h1").alias("x"), total("h2").alias("y"))
+    return both.where(F.lit(100) * F.col("o") >= percent * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. Each pair fetches a's set, then b's; a hot b is split by Spark's skew join."""
     left = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("s1")), "a")
@@ -166,13 +189,21 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     postings = cut(shared.join(shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "token"))
     release(shared)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
+    def of_nodes(pairs: DataFrame, made, kind: str) -> DataFrame:
+        """What a function makes of the texts of all nodes in the pairs."""
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "rid"), "k").select("rid", "k"))
         texts = docs.select("rid", "text").mapInArrow(_of_rids(sieve(wanted.select("rid"))), "rid long, text string")
-        sets = cut(texts.join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(_full(words), "k long, s array<long>"))
-        found = cut(_verify(pairs, sets, percent))
-        release(pairs, sets, wanted)
+        out = cut(texts.join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(made, kind))
+        release(wanted)
+        return out
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        counts = of_nodes(pairs, _bucket_counts(words), "k long, h array<int>")
+        possible = cut(_possible(pairs, counts, percent))
+        sets = of_nodes(possible, _full(words), "k long, s array<long>")
+        found = cut(_verify(possible, sets, percent))
+        release(pairs, counts, possible, sets)
         return found
 
     # Each node of a token is paired with the token's hub alone, the set with the smallest share of rare shingles: copies that were each
@@ -208,7 +239,11 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
     therefore dealt to the bands of partner sizes that its place allows, and does not occur where all its partners would have to be
     smaller than linked sets are: what shares nothing but the common core of a group of copies is never paired there. Within a token and
     its bands, nodes of the component that most of them are in are paired with the others only."""
-    at = postings.join(comp, "k")
+    # Only tokens at which nodes of different components meet are left.
+    at = cut(postings.join(comp, "k"))
+    mixed = at.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
+    every, at = at, cut(at.join(mixed, "token"))
+    release(every)
     band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
     least = F.ceil(F.col("n") * percent / 100).cast("int")
 
@@ -222,7 +257,6 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
         return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     key = ["token", "lo", "hi"]
-    # Only keys where nodes of different components meet are left.
     one = dealt(at, F.lit(1))
     mixed = one.groupBy(*key).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("rows")).where("c1 != c2")
     # Estimated candidate cost of each node at one match: where it is high, more matches are asked of a longer prefix.
