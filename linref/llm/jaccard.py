@@ -61,10 +61,10 @@ def _summaries(n: int):
         found: list[np.ndarray] = []
 
         def frequent() -> pa.RecordBatch:
-            """Counts of some thousand documents at once: a frequent shingle is in several of most of them."""
+            """Counts of some thousand documents at once: a frequent shingle is in two of them at least."""
             values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             found.clear()
-            keep = counts >= 4
+            keep = counts >= 2
             none = pa.nulls(int(keep.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, none, signed(values[keep]), pa.array(counts[keep].astype(np.int64))], NAMES)
 
