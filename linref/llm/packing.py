@@ -23,7 +23,7 @@ class WordEncoder:
 
     The memory of words is cleared when it holds `most` words; a word then is encoded again when it is met again."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -74,6 +74,15 @@ class WordEncoder:
             self.most = most
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _separable(text: str, specials: list[str]) -> bool:
     """Whether words can be encoded alone: no special token is in the text."""
     return not any(s in text for s in specials)
@@ -81,7 +90,7 @@ def _separable(text: str, specials: list[str]) -> bool:
 
 def _pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(path)  # of this task alone, so that a worker that goes on to other work holds no vocabulary
+        enc = encoder(path)
         for part, data, offsets in slices(batches, "text", 2 << 20):
             ids, ends = enc.encode(data, offsets)
             raw = data.tobytes()
