@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linref.llm import contamination, fingerprint, jaccard, language_model, main_text, packing, sharding, substrings, token_counts, toxicity
+from linref.llm import contamination, fingerprint, jaccard, language_model, main_text, manifest, negatives, packing, personal_data, sharding, substrings, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,20 @@ def op10_sharding(spark, d):
     return sharding.shard(_read(spark, d, "documents"))
 
 
+def op11_hard_negatives(spark, d):
+    """Where vec_id is a multiple of 7 the label is the next one of ten."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_read(spark, d, "embeddings").withColumn("label", label))
+
+
+def op12_merkle_manifest(spark, d):
+    return manifest.manifest(_read(spark, d, "documents"), manifest.lowered_every_third())
+
+
+def op13_personal_data(spark, d):
+    return personal_data.digest(_read(spark, d, "documents"))
+
+
 def pipeline(spark, d):
     import corpus_pipeline
 
@@ -70,5 +85,5 @@ def pipeline(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_packing, op4_toxicity, op5_token_counts, op6_fingerprints, op7_jaccard_join,
-                                   op8_lm_scoring, op9_html_extraction, op10_sharding, pipeline)}
+                                   op8_lm_scoring, op9_html_extraction, op10_sharding, op11_hard_negatives, op12_merkle_manifest, op13_personal_data, pipeline)}
 ORACLES: dict[str, str] = {}
