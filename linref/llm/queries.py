@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linref.llm import contamination, fingerprint, jaccard, language_model, main_text, manifest, negatives, packing, personal_data, sharding, substrings, token_counts, toxicity
+from linref.llm import contamination, fingerprint, jaccard, language_model, main_text, manifest, negatives, packing, personal_data, sharding, sql, substrings, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,4 @@ def pipeline(spark, d):
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_packing, op4_toxicity, op5_token_counts, op6_fingerprints, op7_jaccard_join,
                                    op8_lm_scoring, op9_html_extraction, op10_sharding, op11_hard_negatives, op12_merkle_manifest, op13_personal_data, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
