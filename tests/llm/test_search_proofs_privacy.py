@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,9 @@ def test_negatives_of_given_rows(spark):
     rows = [(r["vec_id"], r["embedding"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = queries.op11_hard_negatives(spark, SF).collect()
     assert sorted(tuple(r) for r in got) == brute_negatives(rows) and len(got) > 20
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    assert sorted(db.execute(queries.ORACLES["op11_hard_negatives"]).fetchall()) == sorted(tuple(r) for r in got)
 
 
 @pytest.mark.parametrize("dim", [1, 3, 64, 70, 200])
@@ -161,6 +165,10 @@ def manifest_rows(df):
 def test_manifest_of_given_rows(spark):
     rows = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = manifest_rows(queries.op12_merkle_manifest(spark, SF))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = db.execute(queries.ORACLES["op12_merkle_manifest"]).df()
+    assert sorted((tuple(r[c] for c in ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")) for r in want.to_dict("records")), key=repr) == got
     assert got == brute_manifest(rows, third) and 0.6 < sum(r[-1] for r in got) / len(got) < 0.8
 
 
@@ -192,11 +200,11 @@ def test_manifest_of_ranges_and_other_fans(spark, monkeypatch):
 def test_proofs_of_a_few_leaves(spark):
     """Requests of some leaves read the nodes on their ways alone, and their paths fold to the root."""
     leaves = spark.range(1000).select(F.lit(0).cast("long").alias("tree"), F.col("id").alias("at"), F.lit(1000).cast("long").alias("n"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("h"))
-    levels, tops = manifest.build(leaves)
+    levels, tops = manifest.build(leaves, 1000)
     assert [lv.count() for lv in levels] == [125, 16, 2, 1]
     heads = tops.withColumn("path", F.array().cast("array<struct<left:array<binary>,right:array<binary>>>"))
     want = spark.createDataFrame([(0, 0), (0, 7), (0, 999)], "tree long, at long")
-    got = manifest.descend(heads, manifest.store(levels), want, len(levels)).withColumn("root", manifest._folded(F.col("path"), F.col("h"))).collect()
+    got = manifest.descend(heads, [manifest.records(level) for level in levels], len(levels), want).withColumn("root", manifest._folded(F.col("path"), F.col("h"))).collect()
     assert sorted(r["at"] for r in got) == [0, 7, 999] and {bytes(r["root"]) for r in got} == {bytes(tops.first()["h"])}
 
 
