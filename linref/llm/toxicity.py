@@ -1,4 +1,4 @@
-"""Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams."""
+"""Toxicity by FTRL-proximal logistic regression over hashed word n-grams, skip-grams and word beginnings."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import IS_MARK, cut, gram_hashes, mix, slices, unused, word_hashes
+from linref.llm._shared import IS_MARK, cut, gram_hashes, mix, slices, span_hashes, unused, word_spans
 
 BITS = 20
+#: Bytes at which longer words count by their beginnings too, so that new compounds of a known stem are told.
+BEGINNINGS = (5, 7)
 #: At most so many labelled rows of each class are fitted on; the classes' true shares, over all labelled rows, set the intercept.
 ROWS_PER_CLASS = 3000
 
@@ -26,10 +28,16 @@ class Model:
     intercept: float
 
 
-def features(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, word pairs and pairs around one word, with their rows."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, beginnings of longer words, word pairs and pairs around one word, with their rows."""
+    starts, ends, rows = word_spans(data, offsets, IS_MARK)
+    words = span_hashes(data, starts, ends, fold=True)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     out, owners = [words], [row]
+    for n in BEGINNINGS:
+        longer = ends - starts > n
+        out.append(mix(span_hashes(data, starts[longer], starts[longer] + n, fold=True) + np.uint64(n)))
+        owners.append(row[longer])
     if len(words) > 1:
         same = row[1:] == row[:-1]
         out.append(gram_hashes(words, 2)[same])
@@ -43,7 +51,7 @@ def features(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in slices(batches, "text"):
-        index, row = features(*word_hashes(data, offsets, fold=True, between=IS_MARK))
+        index, row = features(data, offsets)
         lists = [np.unique(index[row == i]) for i in range(part.num_rows)] if part.num_rows < 8 else _split(index, row, part.num_rows)
         yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["label", "x"])
 
@@ -108,7 +116,7 @@ def _scores(shared):
         weights[model.index] = model.weight
         live = weights != 0
         for part, data, offsets in slices(batches, "text"):
-            index, row = features(*word_hashes(data, offsets, fold=True, between=IS_MARK))
+            index, row = features(data, offsets)
             keep = live[index]
             pairs = np.unique(row[keep].astype(np.int64) << 32 | index[keep])
             sums = np.bincount(pairs >> 32, weights[pairs & 0xFFFFFFFF], minlength=part.num_rows) + model.intercept
