@@ -128,18 +128,18 @@ class TestAgainstBruteForce:
 
     def test_toxicity(self, spark, docs, kind):
         df = self.table(spark, docs, kind)
-        labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+        labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
         if kind == "given":
-            df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+            df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
         rows = toxicity.toxicity(df, labels).collect()
         assert len(rows) == df.count()
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
         if kind == "given":
             label = {r["doc_id"]: r["toxic"] for r in labels.collect()}
             held = [(r["predicted"], label[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in label]
-            assert np.mean([p == y for p, y in held]) > 0.93
+            assert np.mean([p == y for p, y in held]) > 0.97
             # Both classes are told apart: most toxic texts are found, and few others are called so.
-            assert np.mean([p for p, y in held if y]) > 0.6 and np.mean([p for p, y in held if not y]) < 0.03
+            assert np.mean([p for p, y in held if y]) > 0.85 and np.mean([p for p, y in held if not y]) < 0.005
 
     def test_contamination(self, spark, docs, kind):
         df = self.table(spark, docs, kind)
