@@ -44,34 +44,43 @@ def _chains(edges: DataFrame, near: float) -> tuple[DataFrame, DataFrame | None]
     """(id, road_code, head, steps) of all edges: the head of each one's chain and how far it is from it; and (road_code, head, size) of the rings."""
     link = successors(edges, near)
     back = link.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.min("id").alias("to"))
-    first = settle(link.select("id", "road_code").join(back, "id", "left").select("id", "road_code", "to", F.when(F.col("to").isNull(), 0).otherwise(1).alias("steps"), F.least("id", F.coalesce("to", "id")).alias("low"), F.coalesce("to", "id").alias("head")))
-    longest = first.groupBy("road_code").count().agg(F.max("count")).first()[0] or 1
-    rounds = max(1, int(longest).bit_length())
-    done, live = _walked(first, rounds)
+    return walked(link.select("id", "road_code").join(back, "id", "left"))
+
+
+def walked(back: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, road_code, head, steps) of rows (id, road_code, to) that each point at the row before them, or nowhere: the head of each row's chain and how far it
+    is from it; and (road_code, head, size) of the rings, None if there are none. A ring is cut before its least id."""
+    first = settle(back.select("id", "road_code", "to", F.when(F.col("to").isNull(), 0).otherwise(1).alias("steps"), F.least("id", F.coalesce("to", "id")).alias("low"), F.coalesce("to", "id").alias("head")))
+    done, live = _walked(first)
     sizes = None
     # What still points somewhere is in a ring: cut it before its least id and walk again.
     if live is not None:
         heads = live.where("id = low").select("id", F.lit(True).alias("h"))
         rings = first.join(live.select("id"), "id", "left_semi").join(heads, "id", "left")
         cut = settle(rings.select("id", "road_code", F.when(F.col("h"), F.lit(None)).otherwise(F.col("to")).alias("to"), F.when(F.col("h"), 0).otherwise(F.col("steps")).alias("steps"), "low", F.when(F.col("h"), F.col("id")).otherwise(F.col("head")).alias("head")))
-        ring = _walked(cut, rounds)[0]
+        ring = _walked(cut)[0]
         done, sizes = done.unionByName(ring), ring.groupBy("road_code", "head").agg(F.count("*").alias("size"))
     return done, sizes
 
 
-def _walked(first: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
-    """Each pointer `to` led on to where the row it points at leads, that many times; steps and the least id on the way go along.
+def _walked(first: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Each pointer `to` led on to where the row it points at leads, until none points anywhere or only rings are left; steps and the least id on the way go along.
 
-    Rows that point nowhere any more are set aside; returns those, and what still points somewhere if anything does."""
+    Rows that point nowhere any more are set aside; returns those, and what still points somewhere if anything does. Where a round changes no
+    row's least id and sets none aside, every row has seen its whole ring."""
     done, live = first.where("to is null"), first.where("to is not null")
-    for _ in range(rounds):
+    while True:
+        if live.isEmpty():
+            return done, None
         o = done.unionByName(live).select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"), F.col("head").alias("head2"))
-        step = live.join(o, "to", "left").select("id", "road_code", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.coalesce("head2", "head").alias("head"))
+        low = F.least("low", F.coalesce("low2", "low"))
+        step = live.join(o, "to", "left").select("id", "road_code", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), low.alias("low"), F.coalesce("head2", "head").alias("head"), ((low != F.col("low")) | F.col("to2").isNull()).alias("news"))
         step = settle(step)
+        news = not step.where("news").isEmpty()
+        step = step.drop("news")
         done, live = done.unionByName(step.where("to is null")), step.where("to is not null")
-        if live.isEmpty():
-            return done, None
-    return done, live
+        if not news:
+            return done, live
 
 
 def neighbours(order: DataFrame) -> DataFrame:

@@ -12,11 +12,18 @@ from linref.operators.segments import locate, numbered_parts
 
 #: Roads are joined by reaches of so many metres, so that a long road is many keys.
 REACH = 500.0
+SLIVER = 0.01
 REFERENCE = ["road_code", "marker_code", "abscissa", "cumulative", "offset", "side"]
 
 
+def _of_roads(df: DataFrame, roads: DataFrame) -> DataFrame:
+    return df.join(roads.select("road_code").distinct(), "road_code", "left_semi")
+
+
 def marker_measures(markers: DataFrame, segments: DataFrame) -> DataFrame:
-    """Markers with their place on their road's joined line: (road_code, code, m_abscissa, mg, mn)."""
+    """Markers with their place on their road's joined line: (road_code, code, m_abscissa, mg, mn).
+
+    They change seldom: settle them once, next to the segments, and hand them to the functions that take `measures`."""
     pts = markers.select(F.struct("road_code", "code", "abscissa").alias("pid"), "road_code", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
     at = locate(pts, segments).where("mg is not null")
     return at.select("road_code", F.col("pid.code").alias("code"), F.col("pid.abscissa").alias("m_abscissa"), "mg", "mn")
@@ -25,30 +32,44 @@ def marker_measures(markers: DataFrame, segments: DataFrame) -> DataFrame:
 def previous_marker(located: DataFrame, measures: DataFrame) -> DataFrame:
     """As-of join: each located point (pid, road_code, mg, mn) with the last marker at or before it; ties go to the larger code, then abscissa.
 
-    Markers and points are one sorted stream per road, so it is one shuffle and one window."""
-    m = measures.select("road_code", "mg", F.lit(0).alias("k"), F.struct("code", "m_abscissa", F.col("mn").alias("m_mn")).alias("marker"), F.lit(None).cast(located.schema["pid"].dataType).alias("pid"), F.lit(None).cast("double").alias("mn"))
-    p = located.where("mg is not null").select("road_code", "mg", F.lit(1).alias("k"), F.lit(None).cast(m.schema["marker"].dataType).alias("marker"), "pid", "mn")
-    w = Window.partitionBy("road_code").orderBy("mg", "k", F.col("marker.code").asc_nulls_first(), F.col("marker.m_abscissa").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = m.unionByName(p).withColumn("last", F.last("marker", ignorenulls=True).over(w)).where("k = 1")
+    Markers are gathered by reach of their road, a few each; the last marker of a reach is carried on into the reaches that have points, one row
+    per reach. A point then meets its reach's markers in an equi-join, so neither a long road nor a crowd of points at one place is a single task."""
+    reach = F.floor(F.col("mg") / REACH).alias("reach")
+    kind = "struct<mg:double,code:int,m_abscissa:double,m_mn:double>"
+    marker = F.struct(F.col("mg").cast("double").alias("mg"), F.col("code").cast("int").alias("code"), F.col("m_abscissa").cast("double").alias("m_abscissa"), F.col("mn").cast("double").alias("m_mn")).cast(kind)
+    held = measures.groupBy("road_code", reach).agg(F.array_sort(F.collect_list(marker)).alias("held"))
+    points = located.where("mg is not null").select("pid", "road_code", "mg", "mn", reach)
+    asked = points.select("road_code", "reach").distinct()
+    every = asked.join(held, ["road_code", "reach"], "full_outer")
+    before = Window.partitionBy("road_code").orderBy("reach").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("carried", F.last(F.element_at("held", -1), ignorenulls=True).over(before))
+    known = every.select("road_code", "reach", F.concat(F.when(F.col("carried").isNotNull(), F.array("carried")).otherwise(F.array().cast(f"array<{kind}>")), F.coalesce("held", F.array().cast(f"array<{kind}>"))).alias("markers"))
+    found = points.join(known, ["road_code", "reach"]).withColumn("last", F.get(F.filter("markers", lambda m: m["mg"] <= F.col("mg")), F.size(F.filter("markers", lambda m: m["mg"] <= F.col("mg"))) - 1))
     return found.select("pid", F.col("last.code").alias("marker_code"), (F.col("last.m_abscissa") + F.col("mn") - F.col("last.m_mn")).alias("abscissa"), F.col("last.m_mn").alias("marker_mn"), "road_code", "mn")
 
 
 def lines_to_points(points: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """(pid, of, parts): for each located point its road's line from its marker to it (of `marker`) and from the road's start to it (`start`)."""
-    segments = settle(segments)
-    at = locate(points, segments).where("mg is not null")
-    at = settle(previous_marker(at, marker_measures(markers, segments)))
+    segments = settle(_of_roads(segments, points))
+    at = settle(locate(points, segments).where("mg is not null"))
+    at = settle(previous_marker(at, marker_measures(_of_roads(markers, at), segments)))
     spans = at.where("marker_mn is not null").select("pid", "road_code", F.col("marker_mn").alias("lo"), F.col("mn").alias("hi"), F.lit("marker").alias("of"))
     spans = spans.unionByName(at.select("pid", "road_code", F.lit(0.0).alias("lo"), F.col("mn").alias("hi"), F.lit("start").alias("of")))
     spans = spans.withColumn("key", F.struct("pid", "of")).where("lo < hi").select("key", "road_code", "lo", "hi")
     return _lines(_clipped(spans, segments, "key"), "key").select("key.pid", "key.of", "parts")
 
 
-def reference_from_point(points: DataFrame, segments: DataFrame, markers: DataFrame, any_road: bool = False, reach: float = 50.0) -> DataFrame:
-    """points (pid, x, y[, road_code]) with their references, rounded to centimetres; null beyond reach."""
-    segments = settle(segments)  # for the points and for the markers
-    at = locate(points, segments, reach, any_road)
-    ref = previous_marker(at, marker_measures(markers, segments)).select("pid", "marker_code", "abscissa")
+def reference_from_point(points: DataFrame, segments: DataFrame, markers: DataFrame, any_road: bool = False, reach: float = 50.0, measures: DataFrame | None = None) -> DataFrame:
+    """points (pid, x, y[, road_code]) with their references, rounded to centimetres; null beyond reach.
+
+    Markers are located on the roads of the points alone, unless their places are given as measures (marker_measures)."""
+    if measures is None:
+        segments = settle(segments if any_road else _of_roads(segments, points))  # for the points and for the markers
+    at = settle(locate(points, segments, reach, any_road))
+    if measures is None:
+        found = at.where("mg is not null")
+        measures = marker_measures(_of_roads(markers, found), _of_roads(segments, found))
+    ref = previous_marker(at, measures).select("pid", "marker_code", "abscissa")
     out = at.join(ref, "pid", "left")
     return out.select("pid", "road_code", "marker_code", F.round("abscissa", 2).alias("abscissa"), F.round("mn", 2).alias("cumulative"), F.round("offset", 2).alias("offset"), "side")
 
@@ -85,10 +106,15 @@ def update_edge_references(edges: DataFrame, segments: DataFrame, markers: DataF
     return out.withColumns({n: F.when(F.col("__new"), F.col(f"__{n}")).otherwise(old(n)) for n in names}).select(*[c for c in edges.columns if c not in names], *names)
 
 
+def _named(markers: DataFrame, refs: DataFrame) -> DataFrame:
+    """The markers that references (road_code, marker_code) name."""
+    return markers.join(refs.select("road_code", F.col("marker_code").alias("code")).distinct(), ["road_code", "code"], "left_semi")
+
+
 def measures_of_references(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """refs (rid, road_code, marker_code, abscissa) with the length mn they stand for, clamped to the road; the marker row is the one
     of the code with the largest abscissa not above the given one; null where there is none."""
-    m = marker_measures(markers, segments).select("road_code", F.col("code").alias("marker_code"), "m_abscissa", F.col("mn").alias("m_mn"))
+    m = marker_measures(_named(markers, refs), segments).select("road_code", F.col("code").alias("marker_code"), "m_abscissa", F.col("mn").alias("m_mn"))
     best = refs.join(m, ["road_code", "marker_code"]).where("m_abscissa <= abscissa").groupBy("rid").agg(F.max(F.struct("m_abscissa", "m_mn")).alias("b"))
     total = segments.groupBy("road_code").agg(F.max("mn2").alias("total"))
     out = refs.join(best, "rid", "left").join(total, "road_code", "left")
@@ -97,17 +123,19 @@ def measures_of_references(refs: DataFrame, segments: DataFrame, markers: DataFr
 
 def point_from_reference(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """refs (rid, road_code, marker_code, abscissa, offset, side) with the point x, y they name; null where no marker is at or before."""
-    segments = settle(segments)
+    segments = settle(_of_roads(segments, refs))
     at = measures_of_references(refs, segments, markers)
     seg = segments.where("kind = 'edge'").select("road_code", "edge_order", "edge_id", "seg_idx", "x1", "y1", "x2", "y2", "len", "mn1", "mn2")
     seg = seg.withColumn("reach", F.explode(_reaches(F.col("mn1"), F.col("mn2"))))
     on = at.where("mn is not null").select("rid", "road_code", "mn", F.floor(F.col("mn") / REACH).alias("reach")).join(seg, ["road_code", "reach"]).where("mn1 <= mn and mn <= mn2")
-    best = on.groupBy("rid").agg(F.min(F.struct("edge_order", "edge_id", "seg_idx", "x1", "y1", "x2", "y2", "len", "mn1")).alias("s"))
+    # A segment without a length has no side to go to, so one with a length next to it comes first.
+    best = on.groupBy("rid").agg(F.min(F.struct((F.col("len") == 0).alias("none"), "edge_order", "edge_id", "seg_idx", "x1", "y1", "x2", "y2", "len", "mn1")).alias("s"))
     out = at.join(best, "rid", "left")
-    t = F.when(F.col("s.len") > 0, (F.col("mn") - F.col("s.mn1")) / F.col("s.len")).otherwise(0.0)
+    per = lambda v: F.when(F.col("s.len") > 0, v / F.nullif(F.col("s.len"), F.lit(0.0))).otherwise(0.0)
+    t = per(F.col("mn") - F.col("s.mn1"))
     dx, dy = F.col("s.x2") - F.col("s.x1"), F.col("s.y2") - F.col("s.y1")
     move = F.coalesce(F.col("offset"), F.lit(0.0)) * F.when(F.col("side") == "left", 1.0).otherwise(-1.0)
-    return out.select("rid", F.round(F.col("s.x1") + t * dx - move * dy / F.col("s.len"), 2).alias("x"), F.round(F.col("s.y1") + t * dy + move * dx / F.col("s.len"), 2).alias("y"))
+    return out.select("rid", F.round(F.col("s.x1") + t * dx - move * per(dy), 2).alias("x"), F.round(F.col("s.y1") + t * dy + move * per(dx), 2).alias("y"))
 
 
 def _reaches(lo: Column, hi: Column) -> Column:
@@ -116,7 +144,7 @@ def _reaches(lo: Column, hi: Column) -> Column:
 
 def _clipped(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """The edge segments of each span (key, road_code, lo, hi) cut to it, with the part they belong to: a gap starts a new part."""
-    seg = numbered_parts(segments).select("road_code", "edge_order", "edge_id", "seg_idx", "part", "x1", "y1", "x2", "y2", "len", "mn1", "mn2")
+    seg = numbered_parts(segments).where("len > 0").select("road_code", "edge_order", "edge_id", "seg_idx", "part", "x1", "y1", "x2", "y2", "len", "mn1", "mn2")
     # Spans and segments meet in the first reach that both are in.
     total = segments.groupBy("road_code").agg(F.max("mn2").alias("total"))
     spans = spans.join(total, "road_code").withColumn("hi", F.least("hi", "total")).drop("total").where("lo < hi")
@@ -124,6 +152,8 @@ def _clipped(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     seg = seg.withColumn("reach", F.explode(_reaches(F.col("mn1"), F.col("mn2"))))
     hit = spans.join(seg, ["road_code", "reach"]).where("mn2 > lo and mn1 < hi").where(F.col("reach") == F.floor(F.greatest("lo", "mn1") / REACH))
     a, b = F.greatest(F.col("lo"), F.col("mn1")), F.least(F.col("hi"), F.col("mn2"))
+    # Slivers of a segment at either end of a span are what rounding of references leaves beyond a vertex or a gap.
+    hit = hit.where((b - a >= SLIVER) | (b - a >= F.col("len")) | (F.col("hi") - F.col("lo") < 2 * SLIVER))
     t1, t2 = (a - F.col("mn1")) / F.col("len"), (b - F.col("mn1")) / F.col("len")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return hit.select(key, "road_code", "part", "edge_order", "edge_id", "seg_idx", (F.col("x1") + t1 * dx).alias("x1"), (F.col("y1") + t1 * dy).alias("y1"), (F.col("x1") + t2 * dx).alias("x2"), (F.col("y1") + t2 * dy).alias("y2"), (b - a).alias("len"))
@@ -140,9 +170,9 @@ def _lines(clipped: DataFrame, key: str) -> DataFrame:
 
 def downstream_line(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """(rid, parts): each reference's road from its marker on."""
-    segments = settle(segments)
+    segments = settle(_of_roads(segments, refs))
     m = refs.select("rid", "road_code", "marker_code", "abscissa")
-    start = marker_measures(markers, segments).select("road_code", F.col("code").alias("marker_code"), "m_abscissa", F.col("mn").alias("lo"))
+    start = marker_measures(_named(markers, refs), segments).select("road_code", F.col("code").alias("marker_code"), "m_abscissa", F.col("mn").alias("lo"))
     best = m.join(start, ["road_code", "marker_code"]).where("m_abscissa <= abscissa").groupBy("rid", "road_code").agg(F.max(F.struct("m_abscissa", "lo"))["lo"].alias("lo"))
     return _lines(_clipped(best.withColumn("hi", F.lit(float("inf"))), segments, "rid"), "rid")
 
@@ -160,7 +190,7 @@ def spans_of_references(refs: DataFrame, segments: DataFrame, markers: DataFrame
 
 def line_from_references(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
     """(rid, error, length, parts) of each span; with an offset column each part is moved sideways, its bends to where its moved segments meet."""
-    segments = settle(segments)
+    segments = settle(_of_roads(segments, refs))
     spans = settle(spans_of_references(refs, segments, markers))
     good = spans.where("error is null and lo < hi").select("rid", "road_code", "lo", "hi")
     clipped = _clipped(good, segments, "rid")

@@ -11,17 +11,34 @@ from linref.functions import geometry as g
 SEGMENT = ["road_code", "edge_id", "edge_order", "seg_idx", "kind", "x1", "y1", "x2", "y2", "len", "mg1", "mg2", "mn1", "mn2"]
 
 
+#: So many edges of a road are measured in one task; see road_segments.
+BLOCK = 4096
+
+
 def road_segments(edges: DataFrame) -> DataFrame:
     """One row per segment of each road, in order of its edges, and one per gap between an edge's end and the next edge's start.
 
-    edges: id, road_code, edge_order, geom. mg1, mg2: running length with gaps; mn1, mn2: without. One shuffle, by road."""
+    edges: id, road_code, edge_order, geom. mg1, mg2: running length with gaps; mn1, mn2: without. Running lengths are taken within blocks of a road's
+    edges; then the blocks' totals are summed up along the road, one row per block, and carried into each block. So a road is as many tasks as it has blocks."""
     parts = edges.select("road_code", F.col("id").alias("edge_id"), "edge_order", F.posexplode(g.pieces(F.col("geom"))).alias("seg_idx", "p")).select(
         "road_code", "edge_id", "edge_order", "seg_idx", F.col("p.a.x").alias("x1"), F.col("p.a.y").alias("y1"), F.col("p.b.x").alias("x2"), F.col("p.b.y").alias("y2"))
-    w = Window.partitionBy("road_code").orderBy("edge_order", "edge_id", "seg_idx")
+    parts = parts.withColumn("block", F.floor(F.col("edge_order") / BLOCK))
+    order = ["edge_order", "edge_id", "seg_idx"]
+    w = Window.partitionBy("road_code", "block").orderBy(*order)
     c = {n: F.col(n) for n in ("x1", "y1", "x2", "y2")}
     parts = parts.withColumn("len", g.distance(**c)).withColumn("px", F.lag("x2").over(w)).withColumn("py", F.lag("y2").over(w))
     parts = parts.withColumn("gap", F.coalesce(g.distance(F.col("px"), F.col("py"), c["x1"], c["y1"]), F.lit(0.0)))
     parts = parts.withColumn("mg2", F.sum(F.col("len") + F.col("gap")).over(w)).withColumn("mn2", F.sum("len").over(w))
+    # The blocks: how long each is, where it begins and ends, and what comes before it.
+    at = F.struct(*order)
+    blocks = parts.groupBy("road_code", "block").agg(F.max("mg2").alias("bg"), F.max("mn2").alias("bn"), F.min_by(F.struct("x1", "y1"), at).alias("first"), F.max_by(F.struct("x2", "y2"), at).alias("last"))
+    along = Window.partitionBy("road_code").orderBy("block")
+    blocks = blocks.withColumn("prev", F.lag("last").over(along)).withColumn("gap0", F.coalesce(g.distance(F.col("prev.x2"), F.col("prev.y2"), F.col("first.x1"), F.col("first.y1")), F.lit(0.0)))
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("road_code", "block", "prev", "gap0", (F.coalesce(F.sum(F.col("bg") + F.col("gap0")).over(before), F.lit(0.0)) + F.col("gap0")).alias("g0"), F.coalesce(F.sum("bn").over(before), F.lit(0.0)).alias("n0"))
+    parts = parts.join(blocks, ["road_code", "block"])
+    opens = F.col("px").isNull()
+    parts = parts.withColumns({"px": F.when(opens, F.col("prev.x2")).otherwise(F.col("px")), "py": F.when(opens, F.col("prev.y2")).otherwise(F.col("py")), "gap": F.when(opens, F.col("gap0")).otherwise(F.col("gap")), "mg2": F.col("mg2") + F.col("g0"), "mn2": F.col("mn2") + F.col("n0")})
     mg1, mn1 = F.col("mg2") - F.col("len"), F.col("mn2") - F.col("len")
     own = F.struct(F.lit("edge").alias("kind"), c["x1"], c["y1"], c["x2"], c["y2"], F.col("len"), mg1.alias("mg1"), F.col("mg2"), mn1.alias("mn1"), F.col("mn2"))
     gap = F.struct(F.lit("gap").alias("kind"), F.col("px").alias("x1"), F.col("py").alias("y1"), c["x1"].alias("x2"), c["y1"].alias("y2"), F.col("gap").alias("len"), (mg1 - F.col("gap")).alias("mg1"), mg1.alias("mg2"), mn1.alias("mn1"), mn1.alias("mn2"))
@@ -39,9 +56,14 @@ def spatial_road(segments: DataFrame) -> DataFrame:
 
 
 def numbered_parts(segments: DataFrame) -> DataFrame:
-    """The edge segments with `part`: how many gaps of their road lie before them."""
-    w = Window.partitionBy("road_code").orderBy("edge_order", "edge_id", "seg_idx", F.desc("kind"))  # a gap comes before the segment that it leads to
-    return segments.withColumn("part", F.sum(F.when(F.col("kind") == "gap", 1).otherwise(0)).over(w)).where("kind = 'edge'")
+    """The edge segments with `part`: how many gaps of their road lie before them, counted within blocks of edges first, see road_segments."""
+    rows = segments.withColumn("block", F.floor(F.col("edge_order") / BLOCK))
+    gap = F.when(F.col("kind") == "gap", 1).otherwise(0)
+    w = Window.partitionBy("road_code", "block").orderBy("edge_order", "edge_id", "seg_idx", F.desc("kind"))  # a gap comes before the segment that it leads to
+    blocks = rows.groupBy("road_code", "block").agg(F.sum(gap).alias("n"))
+    before = Window.partitionBy("road_code").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("road_code", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.withColumn("part", F.sum(gap).over(w)).where("kind = 'edge'").join(blocks, ["road_code", "block"]).withColumn("part", F.col("part") + F.col("before")).drop("block", "before")
 
 
 def spatial_parts(segments: DataFrame) -> DataFrame:
@@ -52,30 +74,39 @@ def spatial_parts(segments: DataFrame) -> DataFrame:
     return rows.select("road_code", F.col("part").cast("int").alias("part"), points.alias("points"))
 
 
-def locate(points: DataFrame, segments: DataFrame, reach: float = 50.0, any_road: bool = False, cell: float = 50.0) -> DataFrame:
-    """Each point's nearest edge within reach and its place on the joined line (gaps included).
+def candidates(points: DataFrame, segments: DataFrame, reach: float = 50.0, own_road: bool = False) -> DataFrame:
+    """(pid, road_code, e, l) of each road within reach of each point: e, its nearest edge (d, road_code, edge_order, edge_id, seg_idx, left), and l, the nearest place on its
+    joined line (..., mg, mn), gaps included; with own_road of the point's own road alone.
 
-    points: pid, x, y and, unless any_road, road_code. A grid cell joins points and segments as an equi-join. Adds edge_id, road_code,
-    offset, side, mg, mn; null where no edge is in reach."""
-    seg = segments.withColumn("c", F.explode(g.cells_along(*[F.col(n) for n in ("x1", "y1", "x2", "y2")], cell, reach)))
-    seg = seg.select(F.col("road_code").alias("s_road"), "edge_id", "edge_order", "seg_idx", "kind", "x1", "y1", "x2", "y2", "len", "mg1", "mn1", "mn2", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
-    pts = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    on = (pts.cx == seg.cx) & (pts.cy == seg.cy)
-    if not any_road:
+    A grid cell joins points and segments as an equi-join: cells are twice the reach wide, so a point looks into four at most, and a segment is
+    only in those that it runs through."""
+    cell = 2 * reach
+    seg = segments.withColumn("c", F.explode(g.cells_along(*[F.col(n) for n in ("x1", "y1", "x2", "y2")], cell, 1e-6)))
+    seg = seg.select(F.col("road_code").alias("s_road"), "edge_id", "edge_order", "seg_idx", "kind", "x1", "y1", "x2", "y2", "len", "mg1", "mn1", "mn2", "c")
+    own = ["road_code"] if own_road else []
+    pts = points.select("pid", *own, "x", "y", F.explode(g.cells(F.col("x"), F.col("y"), F.col("x"), F.col("y"), cell, reach)).alias("c"))
+    on = pts.c == seg.c
+    if own_road:
         on = on & (pts.road_code == seg.s_road)
-    pair = pts.join(seg, on).drop(seg.cx, seg.cy)
+    pair = pts.join(seg, on).drop(seg.c, pts.c)
     p, s = (F.col("x"), F.col("y")), [F.col(n) for n in ("x1", "y1", "x2", "y2")]
-    raw = g.fraction(*p, *s)
-    pair = pair.withColumn("raw", raw).withColumn("t", g.clamp(F.col("raw")))
+    pair = pair.withColumn("raw", g.fraction(*p, *s)).withColumn("t", g.clamp(F.col("raw")))
     pair = pair.withColumn("d", g.distance(*p, s[0] + F.col("t") * (s[2] - s[0]), s[1] + F.col("t") * (s[3] - s[1]))).where(F.col("d") <= reach)
     pair = pair.withColumn("left", (g.cross(*p, *s) > 0) & (F.col("raw") >= 0) & (F.col("raw") <= 1))
     order = ["d", "s_road", "edge_order", "edge_id", "seg_idx"]
     is_gap = F.when(F.col("kind") == "edge", 0).otherwise(1).alias("gap")
     place = F.struct(*order, is_gap, (F.col("mg1") + F.col("t") * F.col("len")).alias("mg"), (F.col("mn1") + F.col("t") * (F.col("mn2") - F.col("mn1"))).alias("mn"))
-    keys = ["pid", "s_road"] if any_road else ["pid"]
-    found = pair.groupBy(*keys).agg(F.min(F.when(F.col("kind") == "edge", F.struct(*order, "left"))).alias("e"), F.min(place).alias("l"))
+    found = pair.groupBy("pid", F.col("s_road").alias("road_code")).agg(F.min(F.when(F.col("kind") == "edge", F.struct(*order, "left"))).alias("e"), F.min(place).alias("l"))
+    return found.where("e is not null")
+
+
+def locate(points: DataFrame, segments: DataFrame, reach: float = 50.0, any_road: bool = False) -> DataFrame:
+    """Each point's nearest edge within reach and its place on the joined line (gaps included).
+
+    points: pid, x, y and, unless any_road, road_code. Adds edge_id, road_code, offset, side, mg, mn; null where no edge is in reach."""
+    found = candidates(points, segments, reach, own_road=not any_road)
     if any_road:  # the joined line is the nearest edge's road
-        found = found.where("e is not null").groupBy("pid").agg(F.min(F.struct("e", "l")).alias("b")).select("pid", "b.e", "b.l")
-    found = found.where("e is not null").select("pid", F.col("e.edge_id").alias("edge_id"), F.col("e.s_road").alias("found_road"), F.col("e.d").alias("offset"), F.when(F.col("e.left"), "left").otherwise("right").alias("side"), F.col("l.mg").alias("mg"), F.col("l.mn").alias("mn"))
+        found = found.groupBy("pid").agg(F.min(F.struct("e", "l")).alias("b")).select("pid", "b.e", "b.l")
+    found = found.select("pid", F.col("e.edge_id").alias("edge_id"), F.col("e.s_road").alias("found_road"), F.col("e.d").alias("offset"), F.when(F.col("e.left"), "left").otherwise("right").alias("side"), F.col("l.mg").alias("mg"), F.col("l.mn").alias("mn"))
     out = points.join(found, "pid", "left")
     return out.withColumn("road_code", F.col("found_road")).drop("found_road") if any_road else out.drop("found_road")

@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 from linref.functions import geometry as g
 from linref.functions.lineage import settle
+from linref.operators.chains import merge_graph, merge_with_markers
+from linref.operators.clusters import nearest_nodes, with_new_nodes
 from linref.operators.order import neighbours, ordered_edges
+from linref.operators.planar import exterior_rings, lines_in_rings
 from linref.operators.references import update_edge_references
 from linref.operators.segments import road_segments
 
@@ -29,21 +32,18 @@ def _flat(edges: DataFrame, *more: str) -> DataFrame:
 
 
 def snap_ends(edges: DataFrame, nodes: DataFrame, near: float = SNAP) -> tuple[DataFrame, DataFrame]:
-    """edges whose ends lie on nodes, and the nodes with those that were missing: of the nodes in reach the one of the least id."""
-    ends = _ends(edges)
-    near_nodes = nodes.select(F.col("id").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny")).withColumn("c", F.explode(g.cells(F.col("nx"), F.col("ny"), F.col("nx"), F.col("ny"), 1.0, near)))
-    at = ends.withColumn("c", F.struct(F.floor("x").alias("cx"), F.floor("y").alias("cy")))
-    hit = at.join(near_nodes, "c").where(g.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")) <= near)
-    found = hit.groupBy("id", "end").agg(F.min(F.struct("node", "nx", "ny")).alias("n"))
-    ends = ends.join(found, ["id", "end"], "left").select("id", "end", F.coalesce("n.nx", "x").alias("x"), F.coalesce("n.ny", "y").alias("y"), F.col("n").isNull().alias("new"))
-    top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = ends.where("new").select("x", "y").distinct()
-    from linref.operators.importing import numbered
+    """edges whose ends lie on nodes, with start_node and end_node, and nodes (id, x, y) with those that were missing.
 
-    added = numbered(fresh, ["x", "y"]).crossJoin(F.broadcast(top)).select((F.col("id") + F.col("top")).alias("id"), "x", "y")  # top is one row
-    moved = ends.groupBy("id").agg(*[F.max(F.when(F.col("end") == e, F.struct("x", "y"))).alias(n) for e, n in ((0, "s"), (1, "e"))])
-    out = edges.join(moved, "id").withColumn("geom", g.set_end(g.set_start(F.col("geom"), F.col("s")), F.col("e"))).select(*edges.columns)
-    return out, nodes.select("id", "x", "y").unionByName(added)
+    As if the edges came one after the other by id, start before end: an end takes of the nodes in reach the one of the least id, one made for an end
+    before it too; where none is in reach it becomes a node itself, numbered on."""
+    ends = settle(_ends(edges).select("id", "end", (F.col("id") * 2 + F.col("end")).alias("rank"), "x", "y"))
+    every = with_new_nodes(ends, nodes, near)
+    # New ids grow with the rank of the end that made the node, so the least id in reach is the first node there was.
+    at = ends.join(nearest_nodes(ends, every, near, ["rank"]), "rank")
+    pick = lambda e, name: F.max(F.when(F.col("end") == e, F.struct(F.col("node"), F.struct(F.col("nx").alias("x"), F.col("ny").alias("y")).alias("p")))).alias(name)
+    moved = at.groupBy("id").agg(pick(0, "__s"), pick(1, "__e"))
+    out = edges.join(moved, "id").withColumns({"geom": g.set_end(g.set_start(F.col("geom"), F.col("__s.p")), F.col("__e.p")), "start_node": F.col("__s.node"), "end_node": F.col("__e.node")})
+    return out.select(*edges.columns, *[c for c in ("start_node", "end_node") if c not in edges.columns]), every
 
 
 def infer_neighbours(edges: DataFrame) -> DataFrame:
@@ -134,8 +134,10 @@ def split_edges(edges: DataFrame, touching: DataFrame) -> DataFrame:
     seg = _flat(edges).join(cuts, "id", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
     bounds = F.concat(F.array(F.lit(0.0)), F.col("cuts"), F.array(F.col("total")))
     spans = F.zip_with(F.slice(bounds, 1, F.size(bounds) - 1), F.slice(bounds, 2, F.size(bounds) - 1), lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
-    part = seg.select("id", "seg_idx", "x1", "y1", "x2", "y2", "len", "m1", "m2", F.posexplode(spans).alias("piece", "s")).where("s.lo < m2 and s.hi > m1")
-    t1, t2 = (F.greatest("s.lo", "m1") - F.col("m1")) / F.col("len"), (F.least("s.hi", "m2") - F.col("m1")) / F.col("len")
+    # Segments without a length are in no piece, but for an edge that has none at all.
+    part = seg.select("id", "seg_idx", "x1", "y1", "x2", "y2", "len", "m1", "m2", "total", F.posexplode(spans).alias("piece", "s")).where("len > 0 and s.lo < m2 and s.hi > m1 or total = 0")
+    share = lambda m: F.coalesce((m - F.col("m1")) / F.nullif(F.col("len"), F.lit(0.0)), F.lit(0.0))
+    t1, t2 = share(F.greatest("s.lo", "m1")), share(F.least("s.hi", "m2"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     row = F.struct("seg_idx", (F.col("x1") + t1 * dx).alias("x1"), (F.col("y1") + t1 * dy).alias("y1"), (F.col("x1") + t2 * dx).alias("x2"), (F.col("y1") + t2 * dy).alias("y2"))
     out = part.groupBy(F.col("id").alias("edge_id"), "piece", F.col("s.lo").alias("start_m"), F.col("s.hi").alias("end_m")).agg(F.sort_array(F.collect_list(row)).alias("r"))
@@ -175,31 +177,22 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 def merge_pass_through(edges: DataFrame) -> DataFrame:
-    """(id, road_code, merged, geom): runs of edges joined at pass-through nodes, under the least id of each run."""
-    through = node_degree(edges).where("pass_through").select("node")
-    order = ordered_edges(edges)
-    e = edges.select("id", "road_code", "start_node", "geom").join(order, ["road_code", "id"])
-    e = e.join(through.select(F.col("node").alias("start_node"), F.lit(1).alias("through")), "start_node", "left")
-    w = Window.partitionBy("road_code").orderBy("edge_order")
-    e = e.withColumn("run", F.sum(F.when(F.col("through").isNull(), 1).otherwise(0)).over(w))
-    out = e.groupBy("road_code", "run").agg(F.min("id").alias("id"), F.count("*").alias("merged"), F.sort_array(F.collect_list(F.struct("edge_order", "geom"))).alias("s"))
-    geom = F.flatten(F.transform("s", lambda p, i: F.when(i == 0, p["geom"]).otherwise(F.slice(p["geom"], 2, F.size(p["geom"]) - 1))))
-    return out.select("id", "road_code", "merged", geom.alias("geom"))
-
-
-def merge_graph(edges: DataFrame) -> DataFrame:
-    """edges after all merges at once, as edits of the graph: each run of edges joined at pass-through nodes is one edge with the least id of the
-    run, the first one's start node, the last one's end node, and links to the neighbouring runs."""
-    through = node_degree(edges).where("pass_through").select("node")
-    e = edges.join(ordered_edges(edges).withColumnRenamed("edge_order", "at"), ["road_code", "id"]).join(through.select(F.col("node").alias("start_node"), F.lit(1).alias("through")), "start_node", "left")
-    w = Window.partitionBy("road_code").orderBy("at")
-    e = settle(e.withColumn("run", F.sum(F.when(F.col("through").isNull(), 1).otherwise(0)).over(w)))
-    ends = e.groupBy("road_code", "run").agg(F.min("id").alias("id"), F.count("*").alias("merged"), F.min_by("start_node", "at").alias("start_node"), F.max_by("end_node", "at").alias("end_node"), F.min_by("previous_edge_id", "at").alias("p"), F.max_by("next_edge_id", "at").alias("x"),
-                                              F.sort_array(F.collect_list(F.struct("at", "geom"))).alias("s"))
-    run_of = e.join(ends.select("road_code", "run", F.col("id").alias("of")), ["road_code", "run"]).select("id", "of")
-    geom = F.flatten(F.transform("s", lambda p, i: F.when(i == 0, p["geom"]).otherwise(F.slice(p["geom"], 2, F.size(p["geom"]) - 1))))
-    out = ends.join(run_of.select(F.col("id").alias("p"), F.col("of").alias("previous_edge_id")), "p", "left").join(run_of.select(F.col("id").alias("x"), F.col("of").alias("next_edge_id")), "x", "left")
-    return out.select("id", "road_code", "merged", "start_node", "end_node", "previous_edge_id", "next_edge_id", geom.alias("geom"))
+    """(id, road_code, merged, geom): runs of edges joined at pass-through nodes, under the least id of each run; see chains.merge_graph."""
+    return merge_graph(edges).select("id", "road_code", "merged", "geom")
+
+
+def merge_and_reference(edges: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges after all merges, with the references of the roads that have merged edges computed anew, and markers of which each marker 0 on a lost node
+    lies at its merged edge's start."""
+    merged, moved = merge_with_markers(edges, markers)
+    moved = settle(moved)
+    return with_references(merged, moved, merged.where("merged > 1").select("road_code").distinct()), moved
+
+
+def split_and_reference(edges: DataFrame, touching: DataFrame, markers: DataFrame) -> DataFrame:
+    """split_graph, with the order and the references of the roads that have split edges computed anew."""
+    pieces = settle(split_graph(edges, touching))
+    return with_references(pieces, markers, pieces.where("piece > 0").select("road_code").distinct())
 
 
 def orphan_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -270,25 +263,17 @@ def orient_rings(edges: DataFrame) -> DataFrame:
 
 
 def ring_lines(edges: DataFrame) -> DataFrame:
-    """(road_code, ring): the closed line of each roundabout's edges in order."""
-    e = edges.select("id", "road_code", "geom").join(ordered_edges(edges), ["road_code", "id"])
-    s = e.groupBy("road_code").agg(F.sort_array(F.collect_list(F.struct("edge_order", "geom"))).alias("s"))
-    ring = F.flatten(F.transform("s", lambda p: F.slice(p["geom"], 1, F.size(p["geom"]) - 1)))
-    return s.select("road_code", F.concat(ring, F.array(F.element_at("s", 1)["geom"][0])).alias("ring"))
+    """(road_code, ring): the closed line around each roundabout's edges, whatever their order and direction, counterclockwise."""
+    return exterior_rings(edges, ["road_code"])
 
 
-def clean_roundabouts(ring_edges: DataFrame, other: DataFrame, cell: float = 200.0) -> DataFrame:
-    """(id, road_code, ring_road): edges of other roads of which all vertices lie inside a ring."""
-    rings = ring_lines(ring_edges).withColumnRenamed("road_code", "ring_road")
-    box = lambda c, f: f(F.transform("ring", lambda p: p[c]))
-    rings = rings.withColumn("c", F.explode(g.cells(box("x", F.array_min), box("y", F.array_min), box("x", F.array_max), box("y", F.array_max), cell, 0.1)))
-    p = g.start_point(F.col("geom"))
-    e = other.withColumn("c", F.struct(F.floor(p["x"] / cell).alias("cx"), F.floor(p["y"] / cell).alias("cy")))
-    return e.join(rings, "c").where("road_code != ring_road").where(F.forall("geom", lambda q: g.inside(q["x"], q["y"], F.col("ring")))).select("id", "road_code", "ring_road").distinct()
+def clean_roundabouts(ring_edges: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, road_code, ring_road): edges of other roads that lie inside a ring grown by 0.1 m, so chords between its nodes too; see planar.lines_in_rings."""
+    return lines_in_rings(other, ring_edges)
 
 
-def clean_roundabout_graph(edges: DataFrame, roads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges after cleaning of all roundabouts at once, and marker 0 of each at its leftmost start node.
+def clean_roundabout_graph(edges: DataFrame, roads: DataFrame, markers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """edges after cleaning of all roundabouts at once, and marker 0 at the leftmost start node of each that has none in markers.
 
     Edges of other roads inside a ring go, and links lead past them; at a ring's top node, where that is only its own (ring_top_node), the two
     edges become one with the lesser id."""
@@ -307,6 +292,8 @@ def clean_roundabout_graph(edges: DataFrame, roads: DataFrame) -> tuple[DataFram
         every = every.join(kept.select(F.col("was").alias(link), "is"), link, "left").withColumn(link, F.coalesce("is", link)).drop("is")
     start = g.start_point(F.col("geom"))
     zero = made.unionByName(ring.join(kept.select(F.col("was").alias("id")), "id", "left_anti").select(*edges.columns)).groupBy("road_code").agg(F.min_by(start, F.struct(start["x"], start["y"])).alias("geom"))
+    if markers is not None:
+        zero = zero.join(markers.where("code = 0").select("road_code"), "road_code", "left_anti")
     return every.select(*edges.columns), zero.select("road_code", F.lit(0).alias("code"), F.lit(0.0).alias("abscissa"), "geom")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linref.functions import geometry as g
 from linref.functions.lineage import settle, shared_folder
-from linref.operators import assets, importing, order, quality, references, segments, sessions, topology
+from linref.operators import assets, importing, order, planar, quality, references, segments, sessions, topology
 from linref.sources import network as io
 from linref.sources.derived import EDGES_SQL, LOG_SQL, MARKS_SQL, POINTS_SQL, Network
 
@@ -84,7 +84,7 @@ def import_nodes(n):
     return importing.nodes(n.edges).select("x", "y", F.array_join("starts", ",").alias("starts"), F.array_join("ends", ",").alias("ends"))
 
 
-@query("import_edges", f"WITH {E}, i AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS id FROM (SELECT x1 AS x, y1 AS y FROM e UNION SELECT x2, y2 FROM e)) SELECT e.id, a.id AS start_node, b.id AS end_node FROM e JOIN i a ON a.x = x1 AND a.y = y1 JOIN i b ON b.x = x2 AND b.y = y2")
+@query("import_edges", f"WITH {E}, i AS (SELECT id, s, dense_rank() OVER (ORDER BY x, y) AS n FROM (SELECT id, 1 AS s, x1 AS x, y1 AS y FROM e UNION ALL SELECT id, 0, x2, y2 FROM e)) SELECT id, max(CASE WHEN s = 1 THEN n END) AS start_node, max(CASE WHEN s = 0 THEN n END) AS end_node FROM i GROUP BY id")
 def import_edges(n):
     return importing.with_nodes(n.edges, importing.numbered(importing.nodes(n.edges).select("x", "y"), ["x", "y"])).select("id", "start_node", "end_node")
 
@@ -321,6 +321,31 @@ def line_assets_geometry(n):
     return out.select("id", end(1).alias("x1"), end(-1).alias("x2"), "changed")
 
 
+@query("line_assets_on_change", f"WITH {E}, m0 AS ({MARKS_SQL}), m AS (SELECT road_code, code, abscissa, CASE WHEN code = 2 THEN mg + 1 ELSE mg END AS mg, CASE WHEN code = 2 THEN mn + 1 ELSE mn END AS mn FROM m0), {REFS} SELECT er.id, start_marker AS start_marker_code, start_abscissa, end_marker AS end_marker_code, end_abscissa, e.x1, e.y1, e.x2, e.y2, TRUE AS changed FROM er JOIN e ON e.id = er.id")
+def line_assets_on_change(n):
+    """Each edge as a barrier of policy `geometry` after each road's marker 2 has moved a metre along its edge: new references, from them the same line."""
+    none = {"start_marker_code": "int", "start_abscissa": "double", "end_marker_code": "int", "end_abscissa": "double", "offset": "double", "side": "string"}
+    a = n.edges.select("id", "road_code", F.array("geom").alias("parts"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    step = n.flat.select("road_code", g.point("x1", "y1").alias("geom"), (F.col("ux") / 5).alias("dx"), (F.col("uy") / 5).alias("dy"))
+    moved = n.markers.join(step, ["road_code", "geom"]).select("road_code", "code", "abscissa", F.when(F.col("code") == 2, g.point(F.col("geom.x") + F.col("dx"), F.col("geom.y") + F.col("dy"))).otherwise(F.col("geom")).alias("geom"))
+    out = assets.on_graph_change(a, settle(n.segments), settle(moved), "geometry")
+    end = lambda i, c: F.round(F.element_at(F.element_at("parts", i), i)[c], 2)
+    return out.select("id", "start_marker_code", "start_abscissa", "end_marker_code", "end_abscissa", end(1, "x").alias("x1"), end(1, "y").alias("y1"), end(-1, "x").alias("x2"), end(-1, "y").alias("y2"), "changed")
+
+
+@query("layer_lines", f"WITH {E}, t AS (SELECT id FROM e WHERE edge_order = 1) SELECT t.id, e.road_code, e.mn1 AS start_cumulative, e.mn2 AS end_cumulative, TRUE AS changed FROM t JOIN e ON e.id = t.id")
+def layer_lines(n):
+    """Lines along each road's first edge, with a second road 3 m from their start alone: both ends choose the road together."""
+    first = n.flat.where("edge_order = 1")
+    near = first.select((F.col("id") + 90).alias("id"), F.concat(F.lit("X"), "road_code").alias("road_code"), F.lit(1).alias("edge_order"), g.line(g.point(F.expr("x1 - 80 - uy*0.6"), F.expr("y1 + ux*0.6")), g.point(F.expr("x1 - uy*0.6"), F.expr("y1 + ux*0.6"))).alias("geom"))
+    far = n.edges.select("id", "road_code", "edge_order", "geom").unionByName(near)
+    # Nearer to the other road at the start; the sum over both ends is less for its own.
+    lines = first.select("id", F.array(g.line(g.point(F.expr("x1 - uy*0.4"), F.expr("y1 + ux*0.4")), g.point("x2", "y2"))).alias("parts"))
+    none = {"road_code": "string", "start_marker_code": "int", "start_abscissa": "double", "start_cumulative": "double", "end_marker_code": "int", "end_abscissa": "double", "end_cumulative": "double"}
+    out = assets.layer_references(settle(lines.select("*", *[F.lit(None).cast(k).alias(c) for c, k in none.items()])), segments.road_segments(far), settle(n.markers))
+    return out.select("id", "road_code", "start_cumulative", "end_cumulative", "changed")
+
+
 @query("layer_references", f'WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT pid AS id, marker_code, abscissa, "offset", side, side IS NOT NULL AS changed FROM r')
 def layer_references(n):
     a = n.points.select(F.col("pid").alias("id"), "road_code", "x", "y", F.lit(None).cast("int").alias("marker_code"), F.lit(None).cast("double").alias("abscissa"), F.lit(None).cast("double").alias("offset"), F.lit(None).cast("string").alias("side"))
@@ -409,7 +434,7 @@ def split_graph(n):
 
 @query("merge_graph", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 OR edge_order = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS run FROM e), y AS (SELECT min(id) AS id, road_code, run, count(*) AS merged, min(edge_order) AS a, max(edge_order) AS b FROM z GROUP BY road_code, run) SELECT y.id, y.road_code, y.merged, lag(y.id) OVER w AS previous_edge_id, lead(y.id) OVER w AS next_edge_id, CAST(f.x1 AS BIGINT) * 1000000000 + CAST(f.y1 AS BIGINT) AS start_node, CAST(t.x2 AS BIGINT) * 1000000000 + CAST(t.y2 AS BIGINT) AS end_node FROM y JOIN e f ON f.road_code = y.road_code AND f.edge_order = y.a JOIN e t ON t.road_code = y.road_code AND t.edge_order = y.b WINDOW w AS (PARTITION BY y.road_code ORDER BY run)")
 def merge_graph(n):
-    return topology.merge_graph(settle(n.linked)).drop("geom")
+    return topology.merge_graph(settle(n.linked)).select("id", "road_code", "merged", "previous_edge_id", "next_edge_id", "start_node", "end_node")
 
 
 @query("merge_pass_through", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 OR edge_order = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS run FROM e) SELECT min(id) AS id, road_code, count(*) AS merged, CAST(count(*) + 1 AS INT) AS n_points FROM z GROUP BY road_code, run")
@@ -417,6 +442,98 @@ def merge_pass_through(n):
     return topology.merge_pass_through(n.linked).select("id", "road_code", "merged", F.size("geom").alias("n_points"))
 
 
+def reversed_at_odds(n):
+    """The derived edges with their nodes, those of odd order drawn the other way."""
+    odd = F.col("edge_order") % 2 == 1
+    turn = lambda a, b: F.when(odd, F.col(b)).otherwise(F.col(a))
+    return n.linked.withColumns({"start_node": turn("start_node", "end_node"), "end_node": turn("end_node", "start_node"), "geom": F.when(odd, F.reverse("geom")).otherwise(F.col("geom"))})
+
+
+@query("merge_reversed", f"""WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 OR edge_order = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS run FROM e),
+ f AS (SELECT road_code, run, min(id) AS id, min(edge_order) AS lo, count(*) AS merged FROM z GROUP BY road_code, run),
+ v AS (SELECT z.road_code, z.run, z.edge_order AS k, x2 AS x, y2 AS y FROM z UNION ALL SELECT z.road_code, z.run, z.edge_order - 1, x1, y1 FROM z JOIN f ON f.id = z.id),
+ t AS (SELECT f.id, f.road_code, f.merged, CASE WHEN f.lo % 2 = 1 THEN -k ELSE k END AS o, concat(CAST(CAST(x AS BIGINT) AS VARCHAR), ' ', CAST(CAST(y AS BIGINT) AS VARCHAR)) AS p FROM v JOIN f ON f.road_code = v.road_code AND f.run = v.run)
+ SELECT id, road_code, merged, concat('LINESTRING(', string_agg(p, ',' ORDER BY o), ')') AS wkt FROM t GROUP BY id, road_code, merged""")
+def merge_reversed(n):
+    """Edges that leave or come to a node together become one line, in the direction of the least of them."""
+    return topology.merge_graph(settle(reversed_at_odds(n))).select("id", "road_code", "merged", g.wkt(F.col("geom")).alias("wkt"))
+
+
+@query("merge_markers", f"WITH {E}, s AS (SELECT road_code FROM e WHERE edge_order = 2 AND gap = 0) SELECT e.road_code, CASE WHEN s.road_code IS NULL THEN x2 ELSE x1 END AS x, CASE WHEN s.road_code IS NULL THEN y2 ELSE y1 END AS y FROM e LEFT JOIN s ON s.road_code = e.road_code WHERE edge_order = 1")
+def merge_markers(n):
+    """Marker 0 at each first edge's end goes to the merged edge's start, unless a gap follows."""
+    end = n.edges.where("edge_order = 1").select("road_code", F.lit(0).alias("code"), F.lit(0.0).alias("abscissa"), g.end_point(F.col("geom")).alias("geom"))
+    return topology.merge_with_markers(settle(n.linked), settle(end))[1].select("road_code", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
+@query("merge_references", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 OR edge_order = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS run FROM e), y AS (SELECT min(id) AS id, road_code, min(mn1) AS a, max(mn2) AS b, count(*) AS merged FROM z GROUP BY road_code, run), w AS (SELECT road_code, max(merged) > 1 AS any_merged FROM y GROUP BY road_code) SELECT y.id, CASE WHEN any_merged THEN 0 END AS start_marker, CASE WHEN any_merged THEN a END AS start_cumulative, CASE WHEN any_merged THEN b END AS end_cumulative FROM y JOIN w ON w.road_code = y.road_code")
+def merge_references(n):
+    return topology.merge_and_reference(settle(n.linked.drop("edge_order")), settle(n.markers.where("code = 0")))[0].select("id", "start_marker", "start_cumulative", "end_cumulative")
+
+
+@query("split_references", f"WITH {E}, {M}, {REFS}, pc AS (SELECT e.*, k AS piece, edge_order = 1 AND q > 2 AS cut FROM e, (VALUES (0), (1)) v(k) WHERE k = 0 OR (edge_order = 1 AND q > 2)), rd AS (SELECT road_code FROM e WHERE edge_order = 1 AND q > 2) SELECT pc.id AS edge_id, piece, CASE WHEN rd.road_code IS NULL THEN NULL WHEN piece = 1 THEN 0 ELSE er.start_marker END AS start_marker, CASE WHEN rd.road_code IS NULL THEN NULL WHEN piece = 1 THEN q*2.5 ELSE er.start_cumulative END AS start_cumulative, CASE WHEN rd.road_code IS NULL THEN NULL WHEN cut AND piece = 0 THEN q*2.5 ELSE er.end_abscissa END AS end_abscissa, CASE WHEN rd.road_code IS NULL THEN NULL WHEN cut AND piece = 0 THEN q*2.5 ELSE er.end_cumulative END AS end_cumulative FROM pc JOIN er ON er.id = pc.id LEFT JOIN rd ON rd.road_code = pc.road_code")
+def split_references(n):
+    out = topology.split_and_reference(settle(n.linked.drop("edge_order")), settle(touching_nodes(n)), settle(n.markers))
+    return out.select("edge_id", "piece", "start_marker", "start_cumulative", "end_abscissa", "end_cumulative")
+
+
+JITTER = "j AS (SELECT id * 2 AS rank, id, 0 AS k, x1 AS x, y1 AS y, x1 + (id % 5 - 2) * 0.1 AS jx FROM e UNION ALL SELECT id * 2 + 1, id, 1, x2, y2, x2 + (id % 3 - 1) * 0.1 FROM e), f AS (SELECT *, min(rank) OVER (PARTITION BY x, y) AS r FROM j), nn AS (SELECT f.rank, f.id, f.k, h.jx AS nx, h.y AS ny, dense_rank() OVER (ORDER BY f.r) AS node FROM f JOIN j h ON h.rank = f.r)"
+
+
+@query("snap_new_nodes", f"WITH {E}, {JITTER} SELECT a.id, a.node AS start_node, round(a.nx, 3) AS x1, a.ny AS y1, b.node AS end_node, round(b.nx, 3) AS x2, b.ny AS y2 FROM nn a JOIN nn b ON b.id = a.id AND a.k = 0 AND b.k = 1")
+def snap_new_nodes(n):
+    """Without known nodes the first end of each place becomes one, and those after it take it."""
+    off = n.flat.select("id", "road_code", g.line(g.point(F.expr("x1 + (id % 5 - 2) * 0.1D"), "y1"), g.point(F.expr("x2 + (id % 3 - 1) * 0.1D"), "y2")).alias("geom"))
+    e, _ = topology.snap_ends(settle(off), n.nodes.limit(0))
+    s, t = g.start_point(F.col("geom")), g.end_point(F.col("geom"))
+    return e.select("id", "start_node", F.round(s["x"], 3).alias("x1"), s["y"].alias("y1"), "end_node", F.round(t["x"], 3).alias("x2"), t["y"].alias("y2"))
+
+
+@query("snapped_nodes", f"WITH {E}, {JITTER} SELECT DISTINCT node AS id, round(nx, 3) AS x, ny AS y FROM nn")
+def snapped_nodes(n):
+    off = n.flat.select("id", "road_code", g.line(g.point(F.expr("x1 + (id % 5 - 2) * 0.1D"), "y1"), g.point(F.expr("x2 + (id % 3 - 1) * 0.1D"), "y2")).alias("geom"))
+    return topology.snap_ends(settle(off), n.nodes.limit(0))[1].select("id", F.round("x", 3).alias("x"), "y")
+
+
+@query("chords_in_rings", "SELECT s_suppkey * 4 + k AS id, concat('G', CAST(s_suppkey AS VARCHAR)) AS ring_road FROM supplier, (VALUES (0), (1), (2), (3)) v(k) WHERE k < 2 OR (k = 2 AND s_suppkey % 2 = 0)")
+def chords_in_rings(n):
+    """Both chords of each ring; a line that ends 0.05 m outside of one for even suppliers and 1 m for odd ones; and one that leaves between its vertices."""
+    x, y = F.expr("s_suppkey % 100 * 100"), F.expr("floor(s_suppkey / 100) * 100")
+    far = F.when(F.col("s_suppkey") % 2 == 0, 0.05).otherwise(1.0)
+    shapes = [g.line(g.point(x, y + 10), g.point(x + 20, y + 10)), g.line(g.point(x + 10, y), g.point(x + 10, y + 20)), g.line(g.point(x + 10, y + 10), g.point(x + 20 + far, y + 10)), g.line(g.point(x + 9, y + 2), g.point(x + 3, y + 3), g.point(x + 2, y + 9))]
+    other = n.table("supplier").select("s_suppkey", F.posexplode(F.array(*shapes)).alias("k", "geom")).select((F.col("s_suppkey") * 4 + F.col("k")).alias("id"), F.lit("C").alias("road_code"), "geom")
+    return topology.clean_roundabouts(rings(n), other).select("id", "ring_road")
+
+
+@query("network_faces", "SELECT s_suppkey, f.k AS n_points, f.s * (10 + s_suppkey % 7) * (10 + s_suppkey % 7) AS area FROM supplier, (VALUES (3, 0.5), (3, 0.5), (4, -1.0)) f(k, s)")
+def network_faces(n):
+    """A square with a diagonal and a dangling edge per supplier, drawn in no order: two triangles, and the square from outside."""
+    x, y, s = F.expr("s_suppkey % 100 * 100"), F.expr("floor(s_suppkey / 100) * 100"), F.expr("10 + s_suppkey % 7")
+    at = lambda dx, dy: g.point(x + dx * s, y + dy * s)
+    shapes = [g.line(at(0, 0), at(1, 0)), g.line(at(1, 1), at(1, 0)), g.line(at(0, 0), at(1, 1)), g.line(at(0, 1), at(0, 0)), g.line(at(0, 1), at(1, 1)), g.line(at(1, 0), g.point(x + 5, y + 1))]
+    e = n.table("supplier").select("s_suppkey", F.posexplode(F.array(*shapes)).alias("k", "geom")).select((F.col("s_suppkey") * 10 + F.col("k")).alias("id"), "s_suppkey", "geom")
+    return planar.faces(e, ["s_suppkey"]).select("s_suppkey", "n_points", F.round("area", 6).alias("area"))
+
+
+@query("overlay_pieces", f"""WITH {E}, zz AS (SELECT id, q, x1, y1, ux, uy, sqrt(q*1.25*q*1.25 + 25.0) AS leg FROM e WHERE edge_order = 1), k AS (SELECT * FROM (VALUES (0), (1), (2), (3)) v(k))
+ SELECT id AS edge_id, k AS piece, x1 + ux*q*k/4.0 AS x1, y1 + uy*q*k/4.0 AS y1, x1 + ux*q*(k+1)/4.0 AS x2, y1 + uy*q*(k+1)/4.0 AS y2, round(q*1.25, 3) AS length FROM zz, k
+ UNION ALL SELECT id + 90, k, x1 + ux*q*(CASE k WHEN 0 THEN 0.125 ELSE k/4.0 END) + CASE k WHEN 0 THEN uy*0.5 ELSE 0 END, y1 + uy*q*(CASE k WHEN 0 THEN 0.125 ELSE k/4.0 END) - CASE k WHEN 0 THEN ux*0.5 ELSE 0 END,
+ x1 + ux*q*(CASE k WHEN 3 THEN 0.875 ELSE (k+1)/4.0 END) - CASE k WHEN 3 THEN uy*0.5 ELSE 0 END, y1 + uy*q*(CASE k WHEN 3 THEN 0.875 ELSE (k+1)/4.0 END) + CASE k WHEN 3 THEN ux*0.5 ELSE 0 END, round(CASE WHEN k IN (0, 3) THEN leg/2 ELSE leg END, 3) FROM zz, k""")
+def overlay_pieces(n):
+    """Each road's first edge and a zigzag across it: three crossings, all in one pass; every piece ends in a shared node."""
+    c = n.flat.where("edge_order = 1")
+    at = lambda f, side: g.point(F.expr(f"x1 + ux*q*{f} - uy*0.5*{side}"), F.expr(f"y1 + uy*q*{f} + ux*0.5*{side}"))
+    none = F.lit(None).cast("long")
+    zig = c.select((F.col("id") + 90).alias("id"), F.concat(F.lit("Z"), "road_code").alias("road_code"), g.line(at(0.125, -1), at(0.375, 1), at(0.625, -1), at(0.875, 1)).alias("geom"))
+    road = n.edges.where("edge_order = 1").select("id", "road_code", "geom")
+    e = settle(road.unionByName(zig).withColumns({"start_node": none, "end_node": none, "previous_edge_id": none, "next_edge_id": none}))
+    e, nodes = topology.snap_ends(e, n.nodes.limit(0))
+    out, every = planar.overlay(settle(e), nodes)
+    place = lambda name, k: every.select(F.col("id").alias(name), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    out = out.join(place("start_node", 1), "start_node").join(place("end_node", 2), "end_node")
+    return out.select("edge_id", "piece", "x1", "y1", "x2", "y2", F.round(g.length(F.col("geom")), 3).alias("length"))
+
+
 @query("node_degree", f"WITH {E} SELECT x, y, count(DISTINCT id) AS edges, count(DISTINCT road_code) AS roads, count(DISTINCT id) = 2 AND count(DISTINCT road_code) = 1 AS pass_through FROM (SELECT id, road_code, x1 AS x, y1 AS y FROM e UNION ALL SELECT id, road_code, x2, y2 FROM e) GROUP BY x, y")
 def node_degree(n):
     return topology.node_degree(n.linked).join(n.nodes.withColumnRenamed("id", "node"), "node").select("x", "y", "edges", "roads", "pass_through")

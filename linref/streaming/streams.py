@@ -8,14 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
-from linref.operators.references import reference_from_point
+from linref.functions.lineage import settle
+from linref.operators.references import marker_measures, reference_from_point
 
 
 def stream_references(points: DataFrame, segments: DataFrame, markers: DataFrame, path: str, checkpoint: str, **trigger):
     """References of a stream of positions (pid, road_code, x, y) as Parquet under path, one folder per batch, so a batch that is run
-    again replaces itself."""
+    again replaces itself. The network does not change meanwhile: its segments and the places of its markers are computed once."""
+    segments = settle(segments)
+    measures = settle(marker_measures(markers, segments))
+
     def batch(df: DataFrame, n: int) -> None:
-        reference_from_point(df, segments, markers).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        reference_from_point(df, segments, markers, measures=measures).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
