@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
@@ -126,6 +126,19 @@ def cells_along(x1: Column, y1: Column, x2: Column, y2: Column, size: float, mar
     return F.when(parts <= 1, cells(x1, y1, x2, y2, size, margin)).otherwise(F.array_distinct(F.flatten(along)))
 
 
+def in_cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, size: float, margin: float, step: float = 200.0) -> DataFrame:
+    """df with a row for each cell (cx, cy) that a segment, grown by a margin, may meet: of one longer than `step` those near its parts of at most
+    that length, some of them twice. The same as cells_along, as plain sequences, which compile."""
+    a, b, c, d = (F.col(n) for n in (x1, y1, x2, y2))
+    span = lambda p, q: F.explode(F.sequence(F.floor((F.least(p, q) - margin) / size), F.floor((F.greatest(p, q) + margin) / size)))
+    if (x1, y1) == (x2, y2):
+        return df.withColumn("cx", span(a, a)).withColumn("cy", span(b, b))
+    parts = df.withColumn("__n", F.greatest(F.ceil(distance(a, b, c, d) / step), F.lit(1))).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    at = lambda p, q, i: p + (q - p) * ((F.col("__i") + i) / F.col("__n"))
+    parts = parts.withColumn("cx", span(at(a, c, 0), at(a, c, 1))).withColumn("cy", span(at(b, d, 0), at(b, d, 1)))
+    return parts.drop("__n", "__i")
+
+
 def crossing(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column, Column]:
     """Whether two segments cross in one point, and its coordinates. Each is x1, y1, x2, y2."""
     dx1, dy1, dx2, dy2 = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]

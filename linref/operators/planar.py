@@ -111,7 +111,8 @@ def _covered(pairs: DataFrame, near: float, *keys: str) -> DataFrame:
         p = p.withColumns({f"from{n}": F.when(c(f"s{n}").isNotNull(), F.least(f"s{n}", f"t{n}")).when(c(f"in{n}"), F.lit(0.0)), f"to{n}": F.when(c(f"s{n}").isNotNull(), F.greatest(f"s{n}", f"t{n}")).when(c(f"in{n}"), F.lit(1.0))})
     p = p.withColumn("side", (c("len") > 0) & c("from1").isNotNull() & c("from2").isNotNull() & (F.greatest("from1", "from2") <= F.least("to1", "to2")))
     p = p.withColumns({"lo3": F.when(c("side"), F.greatest("from1", "from2")), "hi3": F.when(c("side"), F.least("to1", "to2"))})
-    out = p.select(*keys, F.least("lo1", "lo2", "lo3").alias("lo"), F.greatest("hi1", "hi2", "hi3").alias("hi"))
+    # Settled, as a filter on lo would be pushed down through all of the above and take a copy of it for each time that it is used.
+    out = settle(p.select(*keys, F.least("lo1", "lo2", "lo3").alias("lo"), F.greatest("hi1", "hi2", "hi3").alias("hi")))
     return out.where("lo is not null").select(*keys, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", F.lit(1.0)).alias("hi")).where("lo <= hi")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from linref.functions import geometry as g
 from linref.functions.lineage import settle
-from linref.operators.segments import locate, numbered_parts
+from linref.operators.offsets import offset_lines
+from linref.operators.segments import locate, numbered_parts, spatial_road
 
 #: Roads are joined by reaches of so many metres, so that a long road is many keys.
 REACH = 500.0
@@ -189,23 +190,21 @@ def spans_of_references(refs: DataFrame, segments: DataFrame, markers: DataFrame
 
 
 def line_from_references(refs: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
-    """(rid, error, length, parts) of each span; with an offset column each part is moved sideways, its bends to where its moved segments meet."""
+    """(rid, error, length, parts) of each span; length is along the road. With an offset column each part is moved sideways, round at outer bends and
+    without loops, see offset_lines."""
     segments = settle(_of_roads(segments, refs))
     spans = settle(spans_of_references(refs, segments, markers))
     good = spans.where("error is null and lo < hi").select("rid", "road_code", "lo", "hi")
-    clipped = _clipped(good, segments, "rid")
-    if "offset" in refs.columns:
-        by = refs.select("rid", (F.coalesce("offset", F.lit(0.0)) * F.when(F.col("side") == "left", 1.0).otherwise(-1.0)).alias("move"))
-        clipped = clipped.join(by, "rid")
-        clipped = clipped.withColumn("nx", -(F.col("y2") - F.col("y1")) / F.col("len")).withColumn("ny", (F.col("x2") - F.col("x1")) / F.col("len"))
-        w = Window.partitionBy("rid", "part").orderBy("edge_order", "edge_id", "seg_idx")
-        clipped = clipped.withColumn("px", F.lag("nx").over(w)).withColumn("py", F.lag("ny").over(w))
-        # At a bend the moved segments' lines meet along the sum of both normals; where the line nearly turns back they don't, and the next normal counts.
-        turn = 1 + F.col("nx") * F.col("px") + F.col("ny") * F.col("py")
-        at = lambda n, p: F.when(turn > 0.1, (F.col(n) + F.col(p)) / turn).otherwise(F.col(n)) * F.col("move")
-        clipped = clipped.withColumns({"x1": F.col("x1") + at("nx", "px"), "y1": F.col("y1") + at("ny", "py"), "x2": F.col("x2") + F.col("nx") * F.col("move"), "y2": F.col("y2") + F.col("ny") * F.col("move")})
+    clipped = settle(_clipped(good, segments, "rid"))
     lengths = clipped.groupBy("rid").agg(F.round(F.sum("len"), 2).alias("length"))
-    return spans.select("rid", "error").join(lengths, "rid", "left").join(_lines(clipped, "rid"), "rid", "left")
+    out = spans.select("rid", "error").join(lengths, "rid", "left")
+    if "offset" not in refs.columns:
+        return out.join(_lines(clipped, "rid"), "rid", "left")
+    by = refs.select("rid", (F.coalesce("offset", F.lit(0.0)) * F.when(F.col("side") == "left", 1.0).otherwise(-1.0)).alias("move"))
+    clipped = clipped.join(by, "rid")
+    moved = clipped.where("move != 0").select(F.col("rid").alias("key"), "part", F.struct("edge_order", "edge_id", "seg_idx").alias("k"), "x1", "y1", "x2", "y2", "move")
+    lines = _lines(clipped.where("move = 0"), "rid").unionByName(offset_lines(moved).withColumnRenamed("key", "rid"))
+    return out.join(lines, "rid", "left")
 
 
 def reorder_parts(lines: DataFrame, segments: DataFrame, markers: DataFrame) -> DataFrame:
@@ -238,3 +237,9 @@ def search_roads(queries: DataFrame, roads: DataFrame, top: int = 5) -> DataFram
     rank = F.when(q == r, 1).when(F.startswith(r, q), 2).otherwise(3)
     w = Window.partitionBy("query").orderBy("priority", F.length("road_code"), "road_code")
     return hit.withColumn("priority", rank).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def search_road_lines(queries: DataFrame, segments: DataFrame, top: int = 5) -> DataFrame:
+    """search_roads over the roads that have segments, each found road with its line with measures (parts, see spatial_road)."""
+    found = settle(search_roads(queries, segments, top))
+    return found.join(spatial_road(_of_roads(segments, found)), "road_code")

@@ -47,12 +47,9 @@ def road_segments(edges: DataFrame) -> DataFrame:
 
 
 def spatial_road(segments: DataFrame) -> DataFrame:
-    """Each road's line with measures: its parts between gaps, points with the length so far."""
-    rows = segments.where("kind = 'edge'").groupBy("road_code").agg(
-        F.sort_array(F.collect_list(F.struct("edge_order", "seg_idx", "x1", "y1", "mn1", "x2", "y2", "mn2"))).alias("s"))
-    first = F.element_at("s", 1)
-    points = F.concat(F.array(F.struct(first["x1"].alias("x"), first["y1"].alias("y"), first["mn1"].alias("m"))), F.transform("s", lambda p: F.struct(p["x2"].alias("x"), p["y2"].alias("y"), p["mn2"].alias("m"))))
-    return rows.select("road_code", points.alias("points"))
+    """(road_code, parts): each road's line with measures, its parts between gaps in order, of points with the length so far."""
+    rows = spatial_parts(segments).groupBy("road_code").agg(F.sort_array(F.collect_list(F.struct("part", "points"))).alias("p"))
+    return rows.select("road_code", F.transform("p", lambda p: p["points"]).alias("parts"))
 
 
 def numbered_parts(segments: DataFrame) -> DataFrame:
@@ -81,14 +78,11 @@ def candidates(points: DataFrame, segments: DataFrame, reach: float = 50.0, own_
     A grid cell joins points and segments as an equi-join: cells are twice the reach wide, so a point looks into four at most, and a segment is
     only in those that it runs through."""
     cell = 2 * reach
-    seg = segments.withColumn("c", F.explode(g.cells_along(*[F.col(n) for n in ("x1", "y1", "x2", "y2")], cell, 1e-6)))
-    seg = seg.select(F.col("road_code").alias("s_road"), "edge_id", "edge_order", "seg_idx", "kind", "x1", "y1", "x2", "y2", "len", "mg1", "mn1", "mn2", "c")
-    own = ["road_code"] if own_road else []
-    pts = points.select("pid", *own, "x", "y", F.explode(g.cells(F.col("x"), F.col("y"), F.col("x"), F.col("y"), cell, reach)).alias("c"))
-    on = pts.c == seg.c
-    if own_road:
-        on = on & (pts.road_code == seg.s_road)
-    pair = pts.join(seg, on).drop(seg.c, pts.c)
+    seg = segments.select(F.col("road_code").alias("s_road"), "edge_id", "edge_order", "seg_idx", "kind", "x1", "y1", "x2", "y2", "len", "mg1", "mn1", "mn2")
+    seg = g.in_cells(seg, "x1", "y1", "x2", "y2", cell, 1e-6, step=2 * cell)
+    own = [F.col("road_code").alias("s_road")] if own_road else []
+    pts = g.in_cells(points.select("pid", *own, "x", "y"), "x", "y", "x", "y", cell, reach)
+    pair = pts.join(seg, ["cx", "cy", *(["s_road"] if own_road else [])])
     p, s = (F.col("x"), F.col("y")), [F.col(n) for n in ("x1", "y1", "x2", "y2")]
     pair = pair.withColumn("raw", g.fraction(*p, *s)).withColumn("t", g.clamp(F.col("raw")))
     pair = pair.withColumn("d", g.distance(*p, s[0] + F.col("t") * (s[2] - s[0]), s[1] + F.col("t") * (s[3] - s[1]))).where(F.col("d") <= reach)

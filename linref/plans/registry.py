@@ -183,9 +183,10 @@ def road_segments(n):
     return n.segments.drop("seg_idx")
 
 
-@query("spatial_road", f"WITH {E} SELECT road_code, CAST(count(*) + 1 AS INT) AS n_points, max(mn2) AS length FROM e GROUP BY road_code")
+@query("spatial_road", f"WITH {E} SELECT road_code, CAST(count(*) FILTER (WHERE gap > 0) + 1 AS INT) AS n_parts, CAST(count(*) + count(*) FILTER (WHERE gap > 0) + 1 AS INT) AS n_points, max(mn2) AS length FROM e GROUP BY road_code")
 def spatial_road(n):
-    return segments.spatial_road(n.segments).select("road_code", F.size("points").alias("n_points"), F.element_at("points", -1)["m"].alias("length"))
+    parts = segments.spatial_road(n.segments)
+    return parts.select("road_code", F.size("parts").alias("n_parts"), F.size(F.flatten("parts")).alias("n_points"), F.element_at(F.element_at("parts", -1), -1)["m"].alias("length"))
 
 
 @query("spatial_parts", f"WITH {E}, z AS (SELECT *, sum(CASE WHEN gap > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY road_code ORDER BY edge_order) AS part FROM e) SELECT road_code, CAST(part AS INT) AS part, CAST(count(*) + 1 AS INT) AS n_points, min(mn1) AS m1, max(mn2) AS m2, min(CASE WHEN gap > 0 OR edge_order = 1 THEN x1 END) AS x, max(x2) AS x2 FROM z GROUP BY road_code, part")
@@ -363,6 +364,12 @@ def search_roads(n):
     return references.search_roads(n.table("nation").select(F.concat(F.lit("d"), F.col("n_nationkey")).alias("query")), n.edges).select("query", "road_code", "priority", "place")
 
 
+@query("search_road_lines", f"WITH {E}, qs AS (SELECT DISTINCT concat('D', CAST(n_nationkey * 7 AS VARCHAR)) AS query FROM nation), rd AS (SELECT road_code, max(mn2) AS length, CAST(count(*) FILTER (WHERE gap > 0) + 1 AS INT) AS n_parts FROM e GROUP BY road_code), h AS (SELECT query, rd.*, CASE WHEN road_code = query THEN 1 WHEN starts_with(road_code, query) THEN 2 ELSE 3 END AS priority FROM qs JOIN rd ON contains(road_code, query)) SELECT query, road_code, place, length, n_parts FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY priority, length(road_code), road_code) AS INT) AS place FROM h) WHERE place <= 5")
+def search_road_lines(n):
+    found = references.search_road_lines(n.table("nation").select(F.concat(F.lit("D"), F.col("n_nationkey") * 7).alias("query")), settle(n.segments))
+    return found.select("query", "road_code", "place", F.element_at(F.element_at("parts", -1), -1)["m"].alias("length"), F.size("parts").alias("n_parts"))
+
+
 # Topology
 
 
@@ -676,9 +683,7 @@ def stream_compact_log(n):
 
     at = f"{shared_folder(n.spark)}/stream-{uuid4().hex}"
     src = n.spark.readStream.schema(n.table("events").schema).parquet(f"{n.sf_dir}/events.parquet*")
-    src.createOrReplaceTempView("event_stream")
-    log = n.spark.sql(LOG_SQL.replace("FROM events", "FROM event_stream"))
-    out = op(log)
+    out = op(n.sql(LOG_SQL, events=src))
 
     def batch(df, k):
         df.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
@@ -761,12 +766,12 @@ def session_violations(n):
     return sessions.session_violations(old, new, old.where("id % 5 = 0").select("id"), old.where("id % 7 = 0").select("id"))
 
 
-@query("compare_tables", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'only A' WHEN o_orderkey % 4 = 1 THEN 'only B' ELSE 'differs' END AS status, CAST(CASE WHEN o_orderkey % 4 < 2 THEN 2 ELSE 1 END AS INT) AS n_values FROM orders WHERE o_orderkey % 4 < 3")
+@query("compare_tables", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'only A' WHEN o_orderkey % 4 = 1 THEN 'only B' ELSE 'differs' END AS status, CASE WHEN o_orderkey % 4 = 1 THEN NULL WHEN o_orderkey % 4 = 2 THEN concat('o_orderstatus=', o_orderstatus) ELSE concat('o_orderpriority=', o_orderpriority, ',o_orderstatus=', o_orderstatus) END AS a_values, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 2 THEN 'o_orderstatus=?' ELSE concat('o_orderpriority=', o_orderpriority, ',o_orderstatus=', o_orderstatus) END AS b_values FROM orders WHERE o_orderkey % 4 < 3")
 def compare_tables(n):
     o = n.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority", "o_custkey")
     a, b = o.where("id % 4 != 1"), o.where("id % 4 != 0").withColumn("o_orderstatus", F.when(F.col("id") % 4 == 2, "?").otherwise(F.col("o_orderstatus")))
-    out = sessions.compare_tables(a, b, "id", ("o_custkey",))
-    return out.select("id", "status", F.size(F.coalesce("a_values", "b_values")).alias("n_values"))
+    text = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias(c)
+    return sessions.compare_tables(a, b, "id", ("o_custkey",)).select("id", "status", text("a_values"), text("b_values"))
 
 
 # Assets
@@ -836,6 +841,23 @@ def constraint_report(n):
     return quality.constraint_report(e, n.nodes, m, n.edges.select("road_code").distinct().withColumn("road_type", F.lit("road")))
 
 
+@query("constraint_rules", f"""WITH {E}, {M}, rd AS (SELECT DISTINCT road_code, okey FROM e), mk AS (SELECT m.*, rd.okey FROM m JOIN rd ON rd.road_code = m.road_code), f AS (
+ SELECT 'edges.id is unique' AS rule, count(*) AS n FROM e WHERE q = 3 UNION ALL SELECT 'nodes.geom is unique', count(*) FROM rd WHERE okey % 3 = 0 UNION ALL SELECT 'markers key is unique', count(*) FROM mk WHERE code = 1
+ UNION ALL SELECT 'roads.road_code is unique', count(*) FROM rd WHERE okey % 13 = 0 AND okey % 11 <> 0 UNION ALL SELECT 'edges.start_node is known', count(*) FROM e WHERE q = 7 UNION ALL SELECT 'edges.end_node is known', count(*) FROM e WHERE q = 8
+ UNION ALL SELECT 'edges.road_code is known', sum(CASE WHEN q = 3 THEN 2 ELSE 1 END) FROM e WHERE okey % 11 = 0 UNION ALL SELECT 'markers.road_code is known', sum(CASE WHEN code = 1 THEN 2 ELSE 1 END) FROM mk WHERE okey % 11 = 0 UNION ALL SELECT 'markers are not negative', count(*) FROM mk WHERE code = 4
+ UNION ALL SELECT 'road_type is known', sum(CASE WHEN okey % 13 = 0 THEN 2 ELSE 1 END) FROM rd WHERE okey % 17 = 0 AND okey % 11 <> 0 UNION ALL SELECT 'roads.road_class is known', sum(CASE WHEN okey % 13 = 0 THEN 2 ELSE 1 END) FROM rd WHERE okey % 19 = 0 AND okey % 11 <> 0)
+ SELECT rule, CAST(n AS BIGINT) AS n FROM f WHERE n > 0""")
+def constraint_rules(n):
+    """Every rule broken on rows of its own."""
+    n.markers  # computes the edges once
+    e = n.linked.join(n.flat.select("id", "q"), "id").withColumns({"start_node": F.when(F.col("q") == 7, F.lit(-1)).otherwise(F.col("start_node")), "end_node": F.when(F.col("q") == 8, F.lit(-1)).otherwise(F.col("end_node"))})
+    m = n.markers.withColumn("abscissa", F.when(F.col("code") == 4, F.lit(-1.0)).otherwise(F.col("abscissa")))
+    every = n.flat.select("road_code", "okey").distinct()
+    r = every.where("okey % 11 != 0").select("road_code", "okey", F.when(F.col("okey") % 17 == 0, "path").otherwise("road").alias("road_type"), F.when(F.col("okey") % 19 == 0, "Z").otherwise("D").alias("road_class"))
+    again = n.nodes.join(n.flat.where("edge_order = 1 and okey % 3 = 0").select(F.col("x1").alias("x"), F.col("y1").alias("y")), ["x", "y"], "left_semi").select((-F.col("id")).alias("id"), "x", "y")
+    return quality.constraint_report(e.unionByName(e.where("q = 3")), n.nodes.unionByName(again), m.unionByName(m.where("code = 1")), r.unionByName(r.where("okey % 13 = 0")), n.spark.createDataFrame([("D",)], "code string"))
+
+
 @query("duplicate_edges", f"WITH {E} SELECT CAST(2 AS BIGINT) AS n, id AS least, id + 50 AS most FROM e WHERE q = 5")
 def duplicate_edges(n):
     again = n.flat.where("q = 5").select((F.col("id") + 50).alias("id"), g.line(g.point(F.col("x1") + 0.01, "y1"), g.point("x2", "y2")).alias("geom"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linref.functions import geometry as g
+from linref.functions.lineage import settle
 
 #: Accepted by Spark and by ANSI engines alike. Directions are 3-4-5 triangles, so lengths are whole; return flag A leaves a 10 m gap.
 EDGES_SQL = """
@@ -32,16 +36,29 @@ class Network:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.flat = self.sql(EDGES_SQL, "lineitem")
+        self._settled = False
+
+    def _edges_once(self) -> DataFrame:
+        """The edges, computed once for all that is made from them: points, markers and segments are mostly wanted together."""
+        if not self._settled:
+            self.flat, self._settled = settle(self.flat), True
+        return self.flat
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str, *tables: str, **views: DataFrame) -> DataFrame:
-        for t in tables:
-            self.table(t).createOrReplaceTempView(t)
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        """text over tables of the folder and other views by their names; the caller's views stay as they are."""
+        named = {t: self.table(t) for t in tables} | views
+        tag = uuid4().hex
+        for name, df in named.items():
+            df.createOrReplaceTempView(f"{name}_{tag}")
+            # The table keeps its name in the text, but for `events v`, which has one already.
+            text = re.sub(rf"\b(FROM|JOIN) {name}\b( v\b)?", lambda m, n=name: f"{m[1]} {n}_{tag}{m[2] or f' AS {n}'}", text)
+        out = self.spark.sql(text)
+        for name in named:
+            self.spark.catalog.dropTempView(f"{name}_{tag}")
+        return out
 
     @property
     def edges(self) -> DataFrame:
@@ -65,17 +82,18 @@ class Network:
 
     @property
     def markers(self) -> DataFrame:
-        m = self.sql(MARKS_SQL, e=self.flat)
+        m = self.sql(MARKS_SQL, e=self._edges_once())
         return m.select("road_code", "code", "abscissa", g.point("x", "y").alias("geom"))
 
     @property
     def points(self) -> DataFrame:
-        return self.sql(POINTS_SQL, "events", e=self.flat)
+        return self.sql(POINTS_SQL, "events", e=self._edges_once())
 
     @property
     def segments(self) -> DataFrame:
         from linref.operators.segments import road_segments
 
+        self._edges_once()
         return road_segments(self.edges)
 
     @property

@@ -25,31 +25,34 @@ def stream_references(points: DataFrame, segments: DataFrame, markers: DataFrame
 
 
 class CompactLog(StatefulProcessor):
-    """State of one object: its last two ops that are no U, and whether a U followed the last."""
+    """State of one object, whatever order its ops come in: its last two ops that are no U, each with its place in the log, and the place of its last U.
+
+    That is all the compacted op depends on, and it can be brought up to date with any op at any time: so no op is too late, none has to be
+    waited for, and one that is delivered twice changes nothing."""
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("ops", "x string, y string, u boolean, seq long, late long")
+        self.state = handle.getValueState("ops", "x string, xs long, y string, ys long, u long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        x, y, u, last, late = self.state.get() if self.state.exists() else (None, None, False, -1, 0)
-        log = pd.concat(list(rows)).sort_values("seq")
-        for op, seq in zip(log["op"], log["seq"], strict=True):
-            if seq <= last:
-                late += 1  # an op older than what has been folded in is dropped, and counted
-                continue
-            last = int(seq)
-            if op == "U":
-                u = True
-            else:
-                x, y, u = op, x, False
-        self.state.update((x, y, bool(u), last, int(late)))
-        op = "U" if x is None else "I" if x == "I" else "U" if u else None if y == "I" else "D"
-        yield pd.DataFrame({"table_name": [key[0]], "id": [key[1]], "op": [op], "late": [int(late)]})
+        x, xs, y, ys, u = self.state.get() if self.state.exists() else (None, -1, None, -1, -1)
+        others = {s: op for s, op in ((xs, x), (ys, y)) if op is not None}
+        for log in rows:
+            ups = log.loc[log["op"] == "U", "seq"]
+            u = max(u, int(ups.max())) if len(ups) else u
+            rest = log[log["op"] != "U"].drop_duplicates("seq").nlargest(2, "seq")
+            others |= dict(zip((int(s) for s in rest["seq"]), rest["op"], strict=True))
+            others = dict(sorted(others.items())[-2:])
+        last = sorted(others.items(), reverse=True)
+        (xs, x), (ys, y) = (last + [(-1, None)] * 2)[:2]
+        self.state.update((x, xs, y, ys, u))
+        op = "U" if x is None else "I" if x == "I" else "U" if u > xs else None if y == "I" else "D"
+        yield pd.DataFrame({"table_name": [key[0]], "id": [key[1]], "op": [op]})
 
     def close(self) -> None:
         pass
 
 
 def stream_compact_log(log: DataFrame) -> DataFrame:
-    """The compacted op of each object (table_name, id) after each batch of its log (seq, op); a null op means that its ops cancel out."""
-    return log.groupBy("table_name", "id").transformWithStateInPandas(CompactLog(), "table_name string, id long, op string, late long", "Update", "None")
+    """The compacted op of each object (table_name, id) after each batch of its log (seq, op), which may come in any order; a null op means that its ops
+    cancel out. seq is a place in the log, from 0, each op's own."""
+    return log.groupBy("table_name", "id").transformWithStateInPandas(CompactLog(), "table_name string, id long, op string", "Update", "None")

@@ -255,3 +255,29 @@ def test_a_chain_that_is_a_ring_and_one_that_is_not(spark):
     done, rings = order.walked(back)
     assert {r["id"]: (r["head"], r["steps"]) for r in done.collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 10: (10, 0), 11: (10, 1), 12: (10, 2), 20: (20, 0)}
     assert [(r["head"], r["size"]) for r in rings.collect()] == [(10, 3)] and chains.SNAP == 0.5
+
+
+def test_the_streamed_log_does_not_depend_on_the_order_of_its_batches(spark, tmp_path):
+    """Batches with crossed sequence numbers, some ops twice, give what the whole log in order gives."""
+    from linref.operators import sessions
+    from linref.streaming.streams import stream_compact_log
+
+    turn = np.random.default_rng(2)
+    ops = [(int(s), "edges", int(turn.integers(25)), str(turn.choice(["I", "U", "U", "D"]))) for s in range(200)]
+    mixed = [ops[i] for i in turn.permutation(200)] + ops[:20]
+    schema = "seq long, table_name string, id long, op string"
+    for k in range(4):
+        spark.createDataFrame(mixed[k * 55 : k * 55 + 55], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream = stream_compact_log(log).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        stream.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    done = spark.read.parquet(str(tmp_path / "out")).groupBy("id").agg(F.max_by("op", "n").alias("op")).where("op is not null")
+    want = sessions.compact_log(spark.createDataFrame(ops, schema))
+    assert sorted((r["id"], r["op"]) for r in done.collect()) == sorted((r["id"], r["op"]) for r in want.collect())
+    assert spark.read.parquet(str(tmp_path / "out")).select("n").distinct().count() == 4

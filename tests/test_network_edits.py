@@ -1,10 +1,13 @@
 """Edits of a small road with known lengths, a very long road, and cases that the derived network does not have."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linref.functions import geometry as g
-from linref.operators import assets, importing, order, references, segments, sessions, topology
+from linref.operators import assets, importing, offsets, order, references, segments, sessions, topology
 
 EDGE = f"id long, road_code string, start_node long, end_node long, previous_edge_id long, next_edge_id long, geom {g.LINE}"
 BENDS = [(475154.0, 6895454.0), (475114.0, 6895374.0), (475085.0, 6895256.0), (475031.0, 6895181.0), (474873.0, 6895084.0), (474792.0, 6894903.0), (474709.0, 6894739.0)]
@@ -117,11 +120,36 @@ def test_line_assets_follow_their_references(spark):
 
 
 def test_moved_lines_meet_at_bends(spark):
+    """Left: an inner bend, then an outer one with an arc around (10, 10); right: the other way round."""
     edges = spark.createDataFrame([(1, "A", 1, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]), (2, "A", 2, [(10.0, 10.0), (20.0, 10.0)])], f"id long, road_code string, edge_order int, geom {g.LINE}")
     markers = spark.createDataFrame([("A", 0, 0.0, (0.0, 0.0))], f"road_code string, code int, abscissa double, geom {g.POINT}")
-    refs = spark.createDataFrame([(1, "A", 0, 0.0, 0, 30.0, 1.0, "left"), (2, "A", 0, 5.0, 0, 25.0, 2.0, "right")], "rid long, road_code string, start_marker_code int, start_abscissa double, end_marker_code int, end_abscissa double, offset double, side string")
-    got = {r["rid"]: [[tuple(p) for p in line] for line in r["parts"]] for r in references.line_from_references(refs, segments.road_segments(edges), markers).collect()}
-    assert got == {1: [[(0.0, 1.0), (9.0, 1.0), (9.0, 11.0), (20.0, 11.0)]], 2: [[(5.0, -2.0), (12.0, -2.0), (12.0, 8.0), (15.0, 8.0)]]}
+    refs = spark.createDataFrame([(1, "A", 0, 0.0, 0, 30.0, 1.0, "left"), (2, "A", 0, 5.0, 0, 25.0, 2.0, "right"), (3, "A", 0, 5.0, 0, 25.0, 0.0, "right")], "rid long, road_code string, start_marker_code int, start_abscissa double, end_marker_code int, end_abscissa double, offset double, side string")
+    got = {r["rid"]: [[(round(p["x"], 6), round(p["y"], 6)) for p in line] for line in r["parts"]] for r in references.line_from_references(refs, segments.road_segments(edges), markers).collect()}
+    arc = lambda x, y, r, a, n: [(round(x + r * math.cos(math.pi / 2 * (a + k / n)), 6), round(y + r * math.sin(math.pi / 2 * (a + k / n)), 6)) for k in range(n + 1)]
+    assert got == {1: [[(0.0, 1.0), (9.0, 1.0), *arc(10, 10, 1, 1, 8)[::-1], (20.0, 11.0)]], 2: [[(5.0, -2.0), *arc(10, 0, 2, 3, 8), (12.0, 8.0), (15.0, 8.0)]], 3: [[(5.0, 0.0), (10.0, 0.0), (10.0, 10.0), (15.0, 10.0)]]}
+
+
+@pytest.mark.parametrize("by", [3.0, -3.0, 12.0])
+def test_moved_lines_keep_their_distance(spark, by):
+    """Zigzags and hooks with offsets above their radii: every vertex and middle of the moved line is as far from the line as asked."""
+    turn = np.random.default_rng(8)
+    shapes = [np.cumsum(turn.random((9, 2)) * [14, 20] - [0, 10], 0).tolist() for _ in range(12)] + [[[0, 0], [40, 0], [40, 6], [0, 6]], [[0, 0], [20, 0], [22, 1], [20, 2], [0, 2]]]
+    rows = [(i, 0, k, *map(float, a), *map(float, b), by) for i, line in enumerate(shapes) for k, (a, b) in enumerate(zip(line, line[1:]))]
+    got = {r["key"]: [[(p["x"], p["y"]) for p in line] for line in r["parts"]] for r in offsets.offset_lines(spark.createDataFrame(rows, "key long, part long, k long, x1 double, y1 double, x2 double, y2 double, move double")).collect()}
+
+    def far(p, line):
+        def one(a, b):
+            d = (b[0] - a[0], b[1] - a[1])
+            t = max(0.0, min(1.0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / (d[0] ** 2 + d[1] ** 2)))
+            return math.hypot(a[0] + t * d[0] - p[0], a[1] + t * d[1] - p[1])
+
+        return min(one(a, b) for a, b in zip(line, line[1:]))
+
+    assert len(got) >= 12
+    for i, parts in got.items():
+        for line in parts:
+            assert all(abs(far(p, shapes[i]) - abs(by)) <= 1e-4 + 0.01 * abs(by) for p in line)
+            assert all(far(((p[0] + q[0]) / 2, (p[1] + q[1]) / 2), shapes[i]) >= 0.985 * abs(by) for p, q in zip(line, line[1:]))
 
 
 def test_reverted_updates_go(spark):
