@@ -89,11 +89,11 @@ def points_inside(points: DataFrame, rings: DataFrame) -> DataFrame:
     return points.join(odd, ["pid", "ring"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def _covered(pairs: DataFrame, near: float, *keys: str) -> DataFrame:
-    """(keys, lo, hi): the part of segment x1 to y2 (0 at its start, 1 at its end) that is within `near` of segment bx1 to by2; no row where there is none.
+def covered(pairs: DataFrame, near: float | str, *keys: str) -> DataFrame:
+    """(keys, lo, hi): the part of segment x1 to y2 (0 at its start, 1 at its end) that is within `near` (metres, or a column) of segment bx1 to by2; no row where there is none.
 
     What is near a segment is convex, so the part is one: from the first to the last point near either end or near the side."""
-    c = F.col
+    c, near = F.col, F.col(near) if isinstance(near, str) else F.lit(near)
     p = pairs.withColumns({"dx": c("x2") - c("x1"), "dy": c("y2") - c("y1"), "bx": c("bx2") - c("bx1"), "by": c("by2") - c("by1")})
     p = p.withColumns({"l2": c("dx") * c("dx") + c("dy") * c("dy"), "len": F.sqrt(c("bx") * c("bx") + c("by") * c("by"))})
     # Near an end: where a circle is met. a: the point's place along the segment, k: how far outside the circle the segment's start is, squared.
@@ -106,7 +106,7 @@ def _covered(pairs: DataFrame, near: float, *keys: str) -> DataFrame:
     unit = lambda n: F.coalesce(c(n) / F.nullif("len", F.lit(0.0)), F.lit(0.0))
     p = p.withColumns({"ux": unit("bx"), "uy": unit("by")})
     p = p.withColumns({"u1": (c("x1") - c("bx1")) * c("ux") + (c("y1") - c("by1")) * c("uy"), "v1": c("dx") * c("ux") + c("dy") * c("uy"), "u2": (c("y1") - c("by1")) * c("ux") - (c("x1") - c("bx1")) * c("uy"), "v2": c("dy") * c("ux") - c("dx") * c("uy")})
-    for n, least, most in (("1", F.lit(0.0), c("len")), ("2", F.lit(-near), F.lit(near))):
+    for n, least, most in (("1", F.lit(0.0), c("len")), ("2", -near, near)):
         p = p.withColumns({f"s{n}": (least - c(f"u{n}")) / F.nullif(c(f"v{n}"), F.lit(0.0)), f"t{n}": (most - c(f"u{n}")) / F.nullif(c(f"v{n}"), F.lit(0.0)), f"in{n}": (c(f"u{n}") >= least) & (c(f"u{n}") <= most)})
         p = p.withColumns({f"from{n}": F.when(c(f"s{n}").isNotNull(), F.least(f"s{n}", f"t{n}")).when(c(f"in{n}"), F.lit(0.0)), f"to{n}": F.when(c(f"s{n}").isNotNull(), F.greatest(f"s{n}", f"t{n}")).when(c(f"in{n}"), F.lit(1.0))})
     p = p.withColumn("side", (c("len") > 0) & c("from1").isNotNull() & c("from2").isNotNull() & (F.greatest("from1", "from2") <= F.least("to1", "to2")))
@@ -116,6 +116,15 @@ def _covered(pairs: DataFrame, near: float, *keys: str) -> DataFrame:
     return out.where("lo is not null").select(*keys, F.greatest("lo", F.lit(0.0)).alias("lo"), F.least("hi", F.lit(1.0)).alias("hi")).where("lo <= hi")
 
 
+def stretches_between(parts: DataFrame, segments: DataFrame, key: list[str]) -> DataFrame:
+    """(key, t1, t2): what the parts (key, lo, hi) of segments (key) leave of each, from 0 to 1: before the first part, after the last, and where a part begins
+    beyond all that began earlier."""
+    end = lambda v: F.struct(F.lit(v).alias("lo"), F.lit(v).alias("hi"))
+    ends = segments.select(*key, F.explode(F.array(end(0.0), end(1.0))).alias("e")).select(*key, "e.lo", "e.hi")
+    w = Window.partitionBy(*key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.unionByName(ends).withColumn("past", F.max("hi").over(w)).where("lo > past + 1e-9").select(*key, F.col("past").alias("t1"), F.col("lo").alias("t2"))
+
+
 def lines_in_rings(edges: DataFrame, ring_edges: DataFrame, near: float = 0.1, cell: float = 200.0) -> DataFrame:
     """(id, road_code, ring_road): edges of which every point lies inside a ring of another road or within `near` of it.
 
@@ -141,12 +150,9 @@ def lines_in_rings(edges: DataFrame, ring_edges: DataFrame, near: float = 0.1, c
     grid = 20.0
     s, b = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(c) for c in ("bx1", "by1", "bx2", "by2")]
     border = segs.toDF("ring", "bx1", "by1", "bx2", "by2").withColumn("c", F.explode(g.cells_along(*b, grid, near)))
-    near_by = _covered(mine.withColumn("c", F.explode(g.cells_along(*s, grid, near))).join(border, ["ring", "c"]), near, "id", "ring", "seg").distinct()
-    # Stretches between: before the first covered part, after the last, and where a part begins beyond all that began earlier.
+    near_by = covered(mine.withColumn("c", F.explode(g.cells_along(*s, grid, near))).join(border, ["ring", "c"]), near, "id", "ring", "seg").distinct()
     key = ["id", "ring", "seg"]
-    ends = mine.select(*key, F.explode(F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")), F.struct(F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi")))).alias("e")).select(*key, "e.lo", "e.hi")
-    w = Window.partitionBy(*key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = near_by.unionByName(ends).withColumn("past", F.max("hi").over(w)).where("lo > past + 1e-9").select(*key, ((F.col("lo") + F.col("past")) / 2).alias("t"))
+    gaps = stretches_between(near_by, mine, key).select(*key, ((F.col("t1") + F.col("t2")) / 2).alias("t"))
     at = gaps.join(mine, key).select(F.struct("id", "seg", "t").alias("pid"), "ring", (s[0] + F.col("t") * (s[2] - s[0])).alias("x"), (s[1] + F.col("t") * (s[3] - s[1])).alias("y"))
     out = points_inside(at, segs).where("not inside").select(F.col("pid.id").alias("id"), "ring").distinct()
     return pair.join(out, ["id", "ring"], "left_anti").select("id", "road_code", F.col("ring").alias("ring_road"))
