@@ -241,7 +241,7 @@ def test_repeated_vertices(spark):
     parts = segments.road_segments(edges)
     markers = spark.createDataFrame([("A", 0, 0.0, (0.0, 0.0))], MARKER)
     spans = spark.createDataFrame([(1, "A", 0, 2.0, 0, 15.0, 1.0, "left"), (2, "A", 0, 5.0, 0, 5.0, 0.0, "left")], "rid long, road_code string, start_marker_code int, start_abscissa double, end_marker_code int, end_abscissa double, offset double, side string")
-    got = {r["rid"]: (r["error"], r["length"], r["parts"] and [[tuple(p) for p in line] for line in r["parts"]]) for r in references.line_from_references(spans, parts, markers).collect()}
+    got = {r["rid"]: (r["error"], r["length"], r["parts"] and [[(round(p["x"], 3), round(p["y"], 3)) for p in line] for line in r["parts"]]) for r in references.line_from_references(spans, parts, markers).collect()}
     assert got == {1: (None, 13.0, [[(2.0, 1.0), (5.0, 1.0), (9.0, 1.0), (9.0, 5.0)]]), 2: (None, None, None)}
     refs = spark.createDataFrame([(1, "A", 0, 5.0, 2.0, "left"), (2, "A", 0, 10.0, 2.0, "right")], "rid long, road_code string, marker_code int, abscissa double, offset double, side string")
     assert {r["rid"]: (r["x"], r["y"]) for r in references.point_from_reference(refs, parts, markers).collect()} == {1: (5.0, 2.0), 2: (10.0, -2.0)}
