@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linref.functions import geometry as g
 from linref.functions.lineage import settle, shared_folder
-from linref.operators import assets, importing, order, planar, quality, references, segments, sessions, topology
+from linref.operators import areas, assets, importing, order, planar, quality, references, segments, sessions, topology
 from linref.sources import network as io
 from linref.sources.derived import EDGES_SQL, LOG_SQL, MARKS_SQL, POINTS_SQL, Network
 
@@ -117,6 +117,30 @@ def import_summary(n):
     return rows
 
 
+def imported(n, markers):
+    """The tables of a whole import of the derived network."""
+    e = n.edges.select("*", F.lit("D").alias("road_class"), F.lit("road").alias("road_type"), F.lit("1").alias("road_class_code"), F.lit(True).alias("is_active"), F.lit("car").alias("road_topic"), F.lit(False).alias("is_access_road"))
+    return importing.import_network(e, markers.withColumn("is_virtual", F.lit(False)), n.spark.createDataFrame([("D",)], "code string"))
+
+
+@query("imported_edges", f"WITH {E}, {M}, ee AS (SELECT e.id, e.road_code, e.mg1 AS g1, e.mg2 AS g2, e.mn1 AS n1, e.mn2 AS n2 FROM e), xx AS (SELECT id, road_code, 0 AS k, g1 AS gg, n1 AS n FROM ee UNION ALL SELECT id, road_code, 1, g2, n2 FROM ee), pr AS (SELECT xx.id, xx.k, m.code, xx.n - m.mn AS a FROM xx ASOF JOIN m ON m.road_code = xx.road_code AND xx.gg >= m.mg), i AS (SELECT id, s, dense_rank() OVER (ORDER BY x, y) AS n FROM (SELECT id, 1 AS s, x1 AS x, y1 AS y FROM e UNION ALL SELECT id, 0, x2, y2 FROM e)), nn AS (SELECT id, max(CASE WHEN s = 1 THEN n END) AS start_node, max(CASE WHEN s = 0 THEN n END) AS end_node FROM i GROUP BY id), l AS (SELECT id, lag(id) OVER w AS previous_edge_id, lead(id) OVER w AS next_edge_id FROM e WINDOW w AS (PARTITION BY road_code ORDER BY edge_order)) SELECT e.id, e.road_code, nn.start_node, nn.end_node, l.previous_edge_id, l.next_edge_id, a.code AS start_marker, round(a.a, 2) AS start_abscissa, e.mn1 AS start_cumulative, b.code AS end_marker, round(b.a, 2) AS end_abscissa, e.mn2 AS end_cumulative FROM e JOIN nn ON nn.id = e.id JOIN l ON l.id = e.id JOIN pr a ON a.id = e.id AND a.k = 0 JOIN pr b ON b.id = e.id AND b.k = 1")
+def imported_edges(n):
+    cols = ["start_node", "end_node", "previous_edge_id", "next_edge_id", "start_marker", "start_abscissa", "start_cumulative", "end_marker", "end_abscissa", "end_cumulative"]
+    return imported(n, n.markers)["edges"].select("id", "road_code", *cols)
+
+
+@query("imported_markers", f"WITH {E}, {M} SELECT road_code, code, abscissa, x, y FROM m")
+def imported_markers(n):
+    """Marker 0 of every fourth road is not given, and made."""
+    known = n.markers.join(n.flat.where("okey % 4 = 0").select("road_code").distinct().withColumn("code", F.lit(0)), ["road_code", "code"], "left_anti")
+    return imported(n, known)["markers"].select("road_code", "code", "abscissa", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
+@query("imported_roads", f"WITH {E} SELECT DISTINCT road_code, 'road' AS road_type, 'D' AS road_class, '1' AS road_class_code, TRUE AS is_active, 'car' AS road_topic, FALSE AS is_access_road FROM e")
+def imported_roads(n):
+    return imported(n, n.markers)["roads"]
+
+
 NATURE = "CASE p_size % 11 WHEN 0 THEN 'AUT' WHEN 1 THEN 'RN' WHEN 2 THEN 'RD12' WHEN 3 THEN 'SEMOP' WHEN 4 THEN 'VCdC3' WHEN 5 THEN 'VC4' WHEN 6 THEN 'Vprivée' WHEN 7 THEN 'RD7_VDess' WHEN 8 THEN 'RD9_Port' WHEN 9 THEN 'Détruite' END"
 
 
@@ -799,6 +823,16 @@ def changed_area(n):
     return assets.changed_area("points", n.points)
 
 
+@query("changed_outline", "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS table_name, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS arcs, round(CASE WHEN s_suppkey % 2 = 0 THEN 2 * pi() * 100 - (200 * acos(s_suppkey % 9 * 0.1 + 0.05) - (s_suppkey % 9 + 0.5) * sqrt(400 - (s_suppkey % 9 * 2 + 1) * (s_suppkey % 9 * 2 + 1))) ELSE pi() * 100 END, 3) AS area FROM supplier")
+def changed_outline(n):
+    """Two discs of 10 m per even supplier, up to 17 m from each other, and one per odd supplier: outlines as rings with their areas."""
+    x, y = F.expr("s_suppkey % 100 * 100D"), F.expr("floor(s_suppkey / 100) * 100D")
+    s = n.table("supplier").withColumn("table_name", F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd"))
+    pts = s.select("table_name", x.alias("x"), y.alias("y")).unionByName(s.where("s_suppkey % 2 = 0").select("table_name", (x + F.expr("s_suppkey % 9 * 2 + 1")).alias("x"), y.alias("y")))
+    # A circle's arc that runs over the angle 0 is two, so the second disc of a pair has two.
+    return areas.outline_rings(areas.outline(pts)).select("table_name", "arcs", F.round("area", 3).alias("area"))
+
+
 @query("update_all_assets", f"WITH {E}, {M}, {P}, {S}, {LOCATED} SELECT CASE WHEN pid % 2 = 0 THEN 'trees' ELSE 'lamps' END AS table_name, pid AS id, marker_code, abscissa FROM r WHERE side IS NOT NULL")
 def update_all_assets(n):
     a = n.points.select(F.col("pid").alias("id"), "road_code", "x", "y", F.lit(None).cast("int").alias("marker_code"), F.lit(None).cast("double").alias("abscissa"))

@@ -281,3 +281,29 @@ def test_the_streamed_log_does_not_depend_on_the_order_of_its_batches(spark, tmp
     want = sessions.compact_log(spark.createDataFrame(ops, schema))
     assert sorted((r["id"], r["op"]) for r in done.collect()) == sorted((r["id"], r["op"]) for r in want.collect())
     assert spark.read.parquet(str(tmp_path / "out")).select("n").distinct().count() == 4
+
+
+# Outlines of changed objects
+
+
+def test_outlines_against_a_raster(spark):
+    """A crowd, a ring of discs around a hole, single discs and repeated points: areas by table and by ring."""
+    from linref.operators import areas
+
+    turn = np.random.default_rng(6)
+    crowd = (turn.random((400, 2)) * [30, 12]).tolist()
+    around = [(100 + 25 * math.cos(k * math.pi / 8), 25 * math.sin(k * math.pi / 8)) for k in range(16)]
+    rows = [("a", float(x), float(y)) for x, y in [*crowd, *around, *crowd[:50]]] + [("b", 7e6, 7e6), ("b", 7e6 + 5, 7e6), ("b", None, 1.0), ("c", 0.0, 0.0)]
+    arcs = areas.outline(spark.createDataFrame(rows, "table_name string, x double, y double").repartition(3))
+    got = [(r["table_name"], r["arcs"], r["length"], r["area"]) for r in areas.outline_rings(arcs).collect()]
+    step = 0.05
+    gx, gy = np.meshgrid(np.arange(-11, 136, step) + step / 2, np.arange(-36, 36, step) + step / 2)
+    inside = np.zeros(gx.shape, bool)
+    for x, y in [*crowd, *around]:
+        inside |= (gx - x) ** 2 + (gy - y) ** 2 <= 100
+    a = [r for r in got if r[0] == "a"]
+    assert len(a) == 3 and sum(r[3] < 0 for r in a) == 1 and abs(sum(r[3] for r in a) - inside.sum() * step * step) < 2.0
+    lens = 200 * math.acos(0.25) - 2.5 * math.sqrt(400 - 25)
+    assert [round(r[3], 4) for r in got if r[0] == "b"] == [round(200 * math.pi - lens, 4)]
+    assert [(r[1], round(r[2], 6), round(r[3], 6)) for r in got if r[0] == "c"] == [(1, round(20 * math.pi, 6), round(100 * math.pi, 6))]
+    assert areas.outline_rings(areas.outline(spark.createDataFrame([], "table_name string, x double, y double"))).isEmpty()
