@@ -38,7 +38,7 @@ def _boundaries(halves: DataFrame, keys: list[str]) -> DataFrame:
     every = Window.partitionBy(*keys, "leaves")
     turn = halves.withColumn("after", F.coalesce(F.lead("half").over(w), F.min_by("half", F.struct(-F.col("angle"), "half")).over(every)))
     # turn: after each way out the next one clockwise. A half is followed by the one after its own way back.
-    follows = turn.select(F.when(F.col("half") % 2 == 1, F.col("half") - 1).otherwise(F.col("half") + 1).alias("to"), F.col("after").alias("id"), F.lit("").alias("road_code"))
+    follows = turn.select(F.when(F.pmod("half", F.lit(2)) == 1, F.col("half") - 1).otherwise(F.col("half") + 1).alias("to"), F.col("after").alias("id"), F.lit("").alias("road_code"))
     done, _ = walked(follows.select("id", "road_code", "to"))
     return settle(done.select(F.col("id").alias("half"), F.col("head").alias("face"), F.col("steps").alias("at")))
 

@@ -28,6 +28,8 @@ def lines(df, *names):
 def test_edges_that_leave_the_same_node_become_one_proper_line(spark):
     rows = [edge(1, "A", 1, 2, [(0, 0), (10, 0)], note="a"), edge(2, "A", 1, 3, [(0, 0), (0, 10)], note="b")]
     assert lines(topology.merge_graph(spark.createDataFrame(rows, EDGE)), "start_node", "end_node", "merged", "note") == {1: (3, 2, 2, "a", [(0, 10), (0, 0), (10, 0)])}
+    rows = [(-r[0], *r[1:]) for r in rows]  # ids below 0 as well
+    assert lines(topology.merge_graph(spark.createDataFrame(rows, EDGE)), "start_node", "end_node", "merged", "note") == {-2: (2, 3, 2, "b", [(10, 0), (0, 0), (0, 10)])}
 
 
 def test_runs_turn_to_their_least_edge_and_rings_close_there(spark):
