@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -56,6 +58,20 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def tidy(run):
+    """An Arrow function after whose last batch its worker gives the memory that it has freed back to the machine.
+
+    Workers live on for later tasks, and what their allocators keep for themselves would add up to the largest that any task needed."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like this one that df doesn't have."""
     taken = {c.lower() for c in df.columns}

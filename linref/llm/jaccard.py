@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, gram_hashes, mix, release, sieve, sifted, signed, slices, starts_of_grams, unused, word_hashes
+from linref.llm._shared import cut, gram_hashes, mix, release, sieve, sifted, signed, slices, starts_of_grams, tidy, unused, word_hashes
 from linref.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -171,7 +171,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
-    first = cut(docs.mapInArrow(_summaries(words), ", ".join(f"{c} long" for c in NAMES)))
+    first = cut(docs.mapInArrow(tidy(_summaries(words)), ", ".join(f"{c} long" for c in NAMES)))
     light = first.where("df is null").select(*NAMES[:4])
     # Equal sets are one node; its copies are never paired.
     nodes = light.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("label"), F.min("rid").alias("rid"))
@@ -181,9 +181,9 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     frequent = spark.sparkContext.broadcast((tokens[by_value], (len(tokens) - by_value).astype(np.uint32)))
 
     kind = "token long, k long, n int, place int, rare short"
-    counted = docs.select("text").mapInArrow(_prefixes(words, percent, frequent), kind).groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    counted = docs.select("text").mapInArrow(tidy(_prefixes(words, percent, frequent)), kind).groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     many = cut(counted)
-    prefix = docs.select("text").mapInArrow(_prefixes(words, percent, frequent, sieve(many)), kind)
+    prefix = docs.select("text").mapInArrow(tidy(_prefixes(words, percent, frequent, sieve(many))), kind)
     shared = cut(prefix.join(many, "token", "left_semi").distinct())
     release(many)
     postings = cut(shared.join(shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "token"))
@@ -192,8 +192,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     def of_nodes(pairs: DataFrame, made, kind: str) -> DataFrame:
         """What a function makes of the texts of all nodes in the pairs."""
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "rid"), "k").select("rid", "k"))
-        texts = docs.select("rid", "text").mapInArrow(_of_rids(sieve(wanted.select("rid"))), "rid long, text string")
-        out = cut(texts.join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(made, kind))
+        texts = docs.select("rid", "text").mapInArrow(tidy(_of_rids(sieve(wanted.select("rid")))), "rid long, text string")
+        out = cut(texts.join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(tidy(made), kind))
         release(wanted)
         return out
 

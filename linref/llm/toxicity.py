@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import IS_MARK, cut, gram_hashes, mix, slices, span_hashes, unused, word_spans
+from linref.llm._shared import IS_MARK, cut, gram_hashes, mix, slices, span_hashes, tidy, unused, word_spans
 
 BITS = 20
 #: Bytes at which longer words count by their beginnings too, so that new compounds of a known stem are told.
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_cla
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(rows_per_class).unionByName(known.where("label = 0").orderBy(*order).limit(rows_per_class))
     # The choice is bounded, so it is sent to the texts rather than the texts to it.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(_examples, "label int, x array<int>").toArrow().combine_chunks()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(tidy(_examples), "label int, x array<int>").toArrow().combine_chunks()
     lists, y = rows["x"].combine_chunks(), rows["label"].to_numpy()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
@@ -135,7 +135,7 @@ def score(df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
     model = train(docs.select("doc_id", "text"), labels, label, rows_per_class)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    out = docs.mapInArrow(_scores(shared), "doc_id long, rid long, score double")
+    out = docs.mapInArrow(tidy(_scores(shared)), "doc_id long, rid long, score double")
     return out.select("doc_id", "rid", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
