@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
+    trim()
     time.sleep(0.1)
     spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(schema).parquet(path)
@@ -58,16 +58,21 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """An Arrow function after whose last batch its worker gives the memory that it has freed back to the machine.
 
     Workers live on for later tasks, and what their allocators keep for themselves would add up to the largest that any task needed."""
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return tidied
 

@@ -175,26 +175,31 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     light = first.where("df is null").select(*NAMES[:4])
     # Equal sets are one node; its copies are never paired.
     nodes = light.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("label"), F.min("rid").alias("rid"))
-    top = first.where("df is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(ORDERED).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    top = first.where("df is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(ORDERED).toArrow()
+    tokens = top["token"].to_numpy().view(np.uint64)
     by_value = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[by_value], (len(tokens) - by_value).astype(np.uint32)))
 
     kind = "token long, k long, n int, place int, rare short"
     counted = docs.select("text").mapInArrow(tidy(_prefixes(words, percent, frequent)), kind).groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     many = cut(counted)
-    prefix = docs.select("text").mapInArrow(tidy(_prefixes(words, percent, frequent, sieve(many))), kind)
+    some = sieve(many)
+    prefix = docs.select("text").mapInArrow(tidy(_prefixes(words, percent, frequent, some)), kind)
     shared = cut(prefix.join(many, "token", "left_semi").distinct())
     release(many)
+    frequent.destroy()
+    some.destroy()
     postings = cut(shared.join(shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "token"))
     release(shared)
 
     def of_nodes(pairs: DataFrame, made, kind: str) -> DataFrame:
         """What a function makes of the texts of all nodes in the pairs."""
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(nodes.select("k", "rid"), "k").select("rid", "k"))
-        texts = docs.select("rid", "text").mapInArrow(tidy(_of_rids(sieve(wanted.select("rid")))), "rid long, text string")
+        some = sieve(wanted.select("rid"))
+        texts = docs.select("rid", "text").mapInArrow(tidy(_of_rids(some)), "rid long, text string")
         out = cut(texts.join(wanted, "rid").dropDuplicates(["k"]).select("k", "text").mapInArrow(tidy(made), kind))
         release(wanted)
+        some.destroy()
         return out
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -237,10 +242,13 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
     therefore dealt to the bands of partner sizes that its place allows, and does not occur where all its partners would have to be
     smaller than linked sets are: what shares nothing but the common core of a group of copies is never paired there. Within a token and
     its bands, nodes of the component that most of them are in are paired with the others only."""
-    # Only tokens at which nodes of different components meet are left.
-    at = cut(postings.join(comp, "k"))
-    mixed = at.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
-    every, at = at, cut(at.join(mixed, "token"))
+    # Only tokens at which nodes of different components meet are left. Those that the very same nodes hold (the shingles of one passage,
+    # mostly) are one group, at which a pair meets once, with the places of all its tokens in their order.
+    every = cut(postings.join(comp, "k"))
+    nodes = F.xxhash64(F.bit_xor(F.xxhash64("k")), F.bit_xor(F.xxhash64("k", F.lit(1))), F.count("*"))
+    mixed = every.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), nodes.alias("g")).where("c1 != c2").select("token", "g")
+    held = every.join(mixed, "token").groupBy("g", "k", "n", "c", "df").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("held"))
+    at = cut(held.withColumn("places", F.col("held.place")).withColumn("place", F.array_min("places")).drop("held"))
     release(every)
     band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
     least = F.ceil(F.col("n") * percent / 100).cast("int")
@@ -254,17 +262,19 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
         rows = rows.withColumn("other", F.explode(meets)).withColumn("own", F.when(F.col("df") > HOT, band(F.col("n"))).otherwise(-1))
         return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
-    key = ["token", "lo", "hi"]
+    key = ["g", "lo", "hi"]
     one = dealt(at, F.lit(1))
     mixed = one.groupBy(*key).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("rows")).where("c1 != c2")
     # Estimated candidate cost of each node at one match: where it is high, more matches are asked of a longer prefix.
-    costs = one.join(mixed.select(*key, "rows"), key).groupBy("k").agg(F.sum(F.col("rows") - 1).alias("cost"))
+    costs = one.join(mixed.select(*key, "rows"), key).groupBy("k").agg(F.sum((F.col("rows") - 1) * F.size("places")).alias("cost"))
     level = F.when(F.col("cost") < COSTS[0], 1).when(F.col("cost") < COSTS[1], 2).otherwise(MOST_MATCHES)
-    at = cut(dealt(at.join(costs.select("k", level.alias("l")), "k"), F.col("l")).select(*key, "own", "k", "n", "place", "l", "c"))
+    groups, at = at, cut(dealt(at.join(costs.select("k", level.alias("l")), "k"), F.col("l")).select(*key, "own", "k", "n", "place", "places", "l", "c"))
+    release(groups)
     of_component = at.groupBy(*key, "c").agg(F.count("*").alias("rows"))
     major = of_component.groupBy(*key).agg(F.max_by("c", F.struct("rows", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select(*key, "major")
-    at = cut(at.join(major, key).withColumn("rest", F.col("c") != F.col("major")).drop("major"))
-    names = ["k", "n", "place", "l", "c", "own"]
+    met_at, at = at, cut(at.join(major, key).withColumn("rest", F.col("c") != F.col("major")).drop("major"))
+    release(met_at)
+    names = ["k", "n", "place", "places", "l", "c", "own"]
     rest = at.where("rest").select(*key, *[F.col(x).alias(f"{x}1") for x in names])
     others = at.select(*key, "rest", *[F.col(x).alias(f"{x}2") for x in names])
     met = rest.join(others, key).where((F.col("c1") != F.col("c2")) & (~F.col("rest") | (F.col("k1") < F.col("k2"))) & (F.least("own1", "own2") == F.col("lo")) & (F.greatest("own1", "own2") == F.col("hi")))
@@ -274,10 +284,15 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
 def _enough(met: DataFrame, matches, percent: int) -> DataFrame:
     """The pairs (a, b), a < b, that share as many tokens as wanted, or all that a link needs, in the prefixes that count for that number.
 
-    met: (k1, n1, place1, k2, n2, place2) of each token that a pair shares."""
+    met: (k1, n1, place1, k2, n2, place2) of each token that a pair shares; or of each group of tokens, with the least places and all, in
+    the same order, as arrays places1 and places2."""
     need = F.least(matches, F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent)).cast("int"))
-    met = met.where((F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("place1") < _slack(F.col("n1"), F.col("n2"), percent) + need) & (F.col("place2") < _slack(F.col("n2"), F.col("n1"), percent) + need))
-    found = met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("need").alias("need"))
+    to1, to2 = _slack(F.col("n1"), F.col("n2"), percent) + need, _slack(F.col("n2"), F.col("n1"), percent) + need
+    m = F.lit(1)
+    if "places1" in met.columns:
+        m = F.aggregate(F.zip_with("places1", "places2", lambda x, y: ((x < to1) & (y < to2)).cast("int")), F.lit(0), lambda s, x: s + x)
+    met = met.where((F.lit(100) * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("place1") < to1) & (F.col("place2") < to2) & (m > 0))
+    found = met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), need.alias("need"), m.alias("m")).groupBy("a", "b").agg(F.sum("m").alias("m"), F.first("need").alias("need"))
     return found.where("m >= need").select("a", "b")
 
 
