@@ -66,11 +66,29 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run):
+#: What workers keep from task to task, by the operator that it is of.
+_kept: dict[str, dict] = {}
+
+
+def keep(operator: str, store: dict) -> dict:
+    """The store, which is emptied in a worker that turns to another operator."""
+    _kept[operator] = store
+    return store
+
+
+def drop_others(operator: str | None) -> None:
+    for name, store in _kept.items():
+        if name != operator:
+            store.clear()
+
+
+def tidy(run, operator: str | None = None):
     """An Arrow function after whose last batch its worker gives the memory that it has freed back to the machine.
 
-    Workers live on for later tasks, and what their allocators keep for themselves would add up to the largest that any task needed."""
+    Workers live on for later tasks, and what their allocators keep for themselves would add up to the largest that any task needed.
+    Of what they keep on purpose, a task begins with this operator's own alone."""
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(operator)
         yield from run(batches)
         trim()
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linref.llm._shared import cut, slices, span_hashes, tidy, word_spans
+from linref.llm._shared import cut, keep, slices, span_hashes, tidy, word_spans
 
 LENGTH, END = 2048, 1
 
@@ -74,7 +74,7 @@ class WordEncoder:
             self.most = most
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = keep("packing", {})
 
 
 def encoder(path: str) -> WordEncoder:
@@ -159,7 +159,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, ke
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = cut(docs.mapInArrow(tidy(_pieces(tokenizer, length, end)), f"doc_id {kind}, rid long, start long, length long, ids_crc32 long, doc_tokens long"))
+    pieces = cut(docs.mapInArrow(tidy(_pieces(tokenizer, length, end), "packing"), f"doc_id {kind}, rid long, start long, length long, ids_crc32 long, doc_tokens long"))
     full = max(buckets, pieces.where(F.col("length") == length).count() // rows_per_bucket)
     pieces = pieces.withColumn("b", F.pmod(F.xxhash64("rid", "start"), F.when(F.col("length") == length, full).otherwise(buckets)))
     counts = cut(pieces.groupBy("length", "b").agg(F.count("*").alias("n")))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linref.llm import contamination, fingerprint, jaccard, language_model, main_text, packing, queries, sharding, substrings, token_counts, toxicity
+from linref.llm import _shared, contamination, fingerprint, jaccard, language_model, main_text, packing, queries, sharding, substrings, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, rid int, k string, label string"
@@ -224,6 +224,12 @@ def test_leaks_by_blocks_and_lengths_of_items(spark):
     assert not contamination.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).collect()
 
 
+def test_workers_keep_one_operators_store():
+    mine, other = _shared.keep("mine", {1: 2}), _shared.keep("other", {3: 4})
+    assert list(_shared.tidy(iter, "mine")(iter([5]))) == [5] and mine == {1: 2} and other == {}
+    assert list(_shared.tidy(iter)(iter([]))) == [] and mine == {}
+
+
 def test_packs_hold_the_histogram():
     random = np.random.default_rng(1)
     histogram = {int(k): int(v) for k, v in zip(*np.unique(random.integers(1, 2049, 5000), return_counts=True))}
