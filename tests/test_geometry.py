@@ -19,6 +19,13 @@ def test_text_forms(spark):
     assert one(spark, g.geojson(g.line_from_geojson(F.lit('{"type":"LineString","coordinates":[[0,0],[3,4]]}')))) == '{"type":"LineString","coordinates":[[0.0,0.0],[3.0,4.0]]}'
 
 
+def test_large_coordinates_have_no_exponent(spark):
+    far = lit_line((12_000_000, 10_000_000.25), (-72_003_999, 0.5), (9_999_999.5, 123_456_789_012))
+    assert one(spark, g.geojson(far)) == '{"type":"LineString","coordinates":[[12000000.0,10000000.25],[-72003999.0,0.5],[9999999.5,123456789012.0]]}'
+    assert one(spark, g.wkt(far)) == "LINESTRING(12000000 10000000.25,-72003999 0.5,9999999.5 123456789012)"
+    assert one(spark, F.to_json(F.struct(g.line_from_geojson(g.geojson(far)).alias("p")))) == one(spark, F.to_json(F.struct(far.alias("p"))))
+
+
 def test_measures(spark):
     assert one(spark, g.length(lit_line((0, 0), (3, 4), (3, 10)))) == 11.0
     assert one(spark, g.twice_area(lit_line((0, 0), (1, 0), (1, 1), (0, 0)))) == 1.0
