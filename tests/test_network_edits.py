@@ -160,3 +160,15 @@ def test_reverted_updates_go(spark):
     rows = [(1, "U", 5, None, (5, None)), (2, "U", 6, "x", (5, "x")), (3, "D", 5, "x", (5, "x")), (4, "I", 1, None, None), (5, "U", 1, None, None)]
     changes = spark.createDataFrame(rows, "id long, op string, a int, b string, old struct<a:int,b:string>")
     assert sorted(r["id"] for r in sessions.drop_reverted_changes(changes, ["a", "b"]).collect()) == [2, 3, 4, 5]
+
+
+def test_cells_of_a_changed_area(spark):
+    """Cells 10,000 km apart are two, but for a query that numbers them as its SQL does."""
+    from pyspark.sql import functions as F
+
+    from linref.operators import assets
+
+    pts = spark.createDataFrame([(5.0, 10_000_005.0), (15.0, 5.0), (16.0, 6.0)], "x double, y double")
+    by = F.floor(F.col("x") / 10) * 1000000 + F.floor(F.col("y") / 10)
+    count = lambda **k: assets.changed_area("p", pts, **k).where("n > 0").first()["cells"]
+    assert (count(), count(cell=by)) == (2, 1)
