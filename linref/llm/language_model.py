@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linref.llm._shared import cut, mix, signed, slices, span_hashes, word_spans
+from linref.llm._shared import cut, keep, mix, signed, slices, span_hashes, tidy, word_spans
 
 #: Outputs of the model: the two ends of a text, the most frequent words, and classes of all other words by their last two bytes.
 CLASSES, SUFFIXES, BEGIN, STOP = 256, 96, 0, 1
@@ -24,7 +24,7 @@ SLICE = 1 << 20
 
 
 #: The normalised tables of the model that this worker last used, by the model's name.
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[str, tuple[np.ndarray, np.ndarray]] = keep("language model", {})
 
 
 def _table(name: str, params: list[np.ndarray], inner: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def _dense(size: int):
 def gathered(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """counts[class before * CLASSES + the one before that, class] and counts[class before, column] over all texts; 84 MB for any number of them."""
     size = CLASSES**2 + vocabulary.columns
-    summed = texts.mapInArrow(_counts_of(vocabulary), "one int, rest int, n long").groupBy("one", "rest").agg(F.sum("n").alias("n"))
+    summed = texts.mapInArrow(tidy(_counts_of(vocabulary)), "one int, rest int, n long").groupBy("one", "rest").agg(F.sum("n").alias("n"))
     outer, inner = np.zeros((CLASSES, CLASSES**2), np.float32), np.zeros((CLASSES, vocabulary.columns), np.float32)
     for row in summed.groupBy("one").applyInArrow(_dense(size), "one int, counts binary").toLocalIterator():
         counts = np.frombuffer(row["counts"], np.float32)
@@ -329,7 +329,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
     learnt = docs.where(~held_out(F.col("doc_id")))
-    counts = cut(learnt.select("text").mapInArrow(_counted, "h long, suffix int, c long").groupBy("h").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c")))
+    counts = cut(learnt.select("text").mapInArrow(tidy(_counted), "h long, suffix int, c long").groupBy("h").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c")))
     n_docs = learnt.count()
     top = _most_frequent(counts, BROADCAST_WORDS).toPandas().sort_values(["c", "h"], ascending=[False, True])
     found = vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["suffix"].to_numpy(np.int64))
@@ -349,8 +349,8 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     order = np.argsort(h := top["h"].to_numpy(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast((found, uuid4().hex, params, inner, h[order], np.log10(top["c"].to_numpy(float)[order] + 1), -np.log10(n + v + 1)))
-    whole = docs.mapInArrow(_summaries(shared), "doc_id long, rid long, n_tokens long, found long, log_c double, lm double")
-    rare = docs.mapInArrow(_rare(shared), "rid long, h long").groupBy("rid", "h").agg(F.count("*").alias("tf"))
+    whole = docs.mapInArrow(tidy(_summaries(shared), "language model"), "doc_id long, rid long, n_tokens long, found long, log_c double, lm double")
+    rare = docs.mapInArrow(tidy(_rare(shared), "language model"), "rid long, h long").groupBy("rid", "h").agg(F.count("*").alias("tf"))
     # Repeated rows are counted in rare as often as they occur; each has its share.
     copies = docs.groupBy("rid").agg(F.count("*").alias("copies")).where("copies > 1")
     added = rare.join(counts.select("h", "c"), "h", "left").groupBy("rid").agg(

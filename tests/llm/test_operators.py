@@ -525,3 +525,14 @@ def test_large_group_of_near_copies(spark):
     rows += [(1000 + i, " ".join(f"s{j}" for j in range(i % 3, 6 + i % 5))) for i in range(30)] + [(2000 + i, f"t{i % 4} u") for i in range(9)]
     df = frame(spark, rows)
     same(jaccard.component_digest(df), ["doc_id", "n_shingles", "component_id"], brute.op7(rows))
+
+
+def test_a_worker_drops_the_language_models_tables_when_it_turns_to_other_work():
+    from linref.llm import language_model
+    from linref.llm._shared import tidy
+
+    language_model._tables["m"] = ()
+    list(tidy(lambda batches: batches, "language model")(iter(())))
+    assert "m" in language_model._tables
+    list(tidy(lambda batches: batches)(iter(())))
+    assert not language_model._tables
