@@ -26,6 +26,11 @@ def test_large_coordinates_have_no_exponent(spark):
     assert one(spark, F.to_json(F.struct(g.line_from_geojson(g.geojson(far)).alias("p")))) == one(spark, F.to_json(F.struct(far.alias("p"))))
 
 
+def test_numbers_that_are_none_stay_json(spark):
+    odd = F.array(g.point(F.lit(float("nan")), F.lit(float("inf"))), g.point(F.lit(None), F.lit(-0.5)), g.point(F.lit(1e-5), F.lit(1e15)))
+    assert one(spark, g.geojson(odd)) == '{"type":"LineString","coordinates":[["NaN","Infinity"],[null,-0.5],[1.0E-5,1.0E15]]}'
+
+
 def test_measures(spark):
     assert one(spark, g.length(lit_line((0, 0), (3, 4), (3, 10)))) == 11.0
     assert one(spark, g.twice_area(lit_line((0, 0), (1, 0), (1, 1), (0, 0)))) == 1.0
