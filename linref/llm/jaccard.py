@@ -26,6 +26,8 @@ BUCKETS = 256
 COUNTED = 2_000_000
 #: What the first pass over the texts gives: of each row its key and set (df null), and the counts of shingles that are frequent among some thousand rows.
 NAMES = ["doc_id", "rid", "n_shingles", "k", "token", "df"]
+#: Bits of a set's sketch, 64 to a column.
+SKETCH = [f"s{i}" for i in range(8)]
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +58,14 @@ def _keys(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return size, mix(sums[ends] - sums[ends - size] + size.astype(np.uint64))
 
 
+def _sketches(values: np.ndarray, row: np.ndarray, n: int) -> list[pa.Array]:
+    """Of each row's set whether an odd number of its shingles falls on each bit: two sketches differ in no more bits than their sets in shingles."""
+    bits = 64 * len(SKETCH)
+    odd = np.bincount(row * bits + (mix(values) % np.uint64(bits)).astype(np.int64), minlength=n * bits).astype(np.uint8) & 1
+    packed = np.packbits(odd).view(np.uint64).reshape(n, len(SKETCH))
+    return [signed(np.ascontiguousarray(packed[:, i])) for i in range(len(SKETCH))]
+
+
 def _summaries(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -66,14 +76,14 @@ def _summaries(n: int):
             found.clear()
             keep = counts >= 2
             none = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, signed(values[keep]), pa.array(counts[keep].astype(np.int64))], NAMES)
+            return pa.RecordBatch.from_arrays([none, none, none, none, signed(values[keep]), pa.array(counts[keep].astype(np.int64)), *[none] * len(SKETCH)], NAMES + SKETCH)
 
         for part, data, offsets in slices(batches, "text"):
             values, row = _sets(data, offsets, n)
             found.append(values)
             size, key = _keys(values, row, part.num_rows)
             none = pa.nulls(part.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(size.astype(np.int64)), signed(key), none, none], NAMES)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(size.astype(np.int64)), signed(key), none, none, *_sketches(values, row, part.num_rows)], NAMES + SKETCH)
             if sum(map(len, found)) > COUNTED:
                 yield frequent()
         yield frequent()
@@ -171,10 +181,11 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
-    first = cut(docs.mapInArrow(tidy(_summaries(words)), ", ".join(f"{c} long" for c in NAMES)))
+    first = cut(docs.mapInArrow(tidy(_summaries(words)), ", ".join(f"{c} long" for c in NAMES + SKETCH)))
     light = first.where("df is null").select(*NAMES[:4])
     # Equal sets are one node; its copies are never paired.
     nodes = light.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("label"), F.min("rid").alias("rid"))
+    sketches = first.where("df is null and n_shingles > 0").select("k", *SKETCH).dropDuplicates(["k"])
     top = first.where("df is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(ORDERED).toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
     by_value = np.argsort(tokens)
@@ -219,7 +230,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     near = _enough(near.where("k1 != k2"), F.lit(MOST_MATCHES), percent)
     links = verified(near)
     comp = _labels(postings, links)
-    links = cut(links.unionByName(verified(_open_pairs(postings, comp, percent))).distinct())
+    links = cut(links.unionByName(verified(_open_pairs(postings, comp, sketches, percent))).distinct())
     release(postings, comp)
     comp = components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
 
@@ -235,13 +246,14 @@ def _slack(n1, n2, percent: int):
     return n1 - F.ceil((n1 + n2) * percent / (100 + percent)).cast("int")
 
 
-def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(postings: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of nodes of different components that share as many prefix tokens as the pair needs.
 
     A place p in a's prefix can only meet sets up to a size at which the pair's own prefix still reaches p. At a hot token a node is
     therefore dealt to the bands of partner sizes that its place allows, and does not occur where all its partners would have to be
     smaller than linked sets are: what shares nothing but the common core of a group of copies is never paired there. Within a token and
-    its bands, nodes of the component that most of them are in are paired with the others only."""
+    its bands, nodes of the component that most of them are in are paired with the others only. Copies of
+    one text that were each changed elsewhere share its tokens without being linked; their sketches keep such a pair from becoming a row."""
     # Only tokens at which nodes of different components meet are left. Those that the very same nodes hold (the shingles of one passage,
     # mostly) are one group, at which a pair meets once, with the places of all its tokens in their order.
     every = cut(postings.join(comp, "k"))
@@ -268,16 +280,19 @@ def _open_pairs(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame
     # Estimated candidate cost of each node at one match: where it is high, more matches are asked of a longer prefix.
     costs = one.join(mixed.select(*key, "rows"), key).groupBy("k").agg(F.sum((F.col("rows") - 1) * F.size("places")).alias("cost"))
     level = F.when(F.col("cost") < COSTS[0], 1).when(F.col("cost") < COSTS[1], 2).otherwise(MOST_MATCHES)
-    groups, at = at, cut(dealt(at.join(costs.select("k", level.alias("l")), "k"), F.col("l")).select(*key, "own", "k", "n", "place", "places", "l", "c"))
+    groups, at = at, cut(dealt(at.join(costs.select("k", level.alias("l")).join(sketches, "k"), "k"), F.col("l")).select(*key, "own", "k", "n", "place", "places", "l", "c", *SKETCH))
     release(groups)
     of_component = at.groupBy(*key, "c").agg(F.count("*").alias("rows"))
     major = of_component.groupBy(*key).agg(F.max_by("c", F.struct("rows", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select(*key, "major")
     met_at, at = at, cut(at.join(major, key).withColumn("rest", F.col("c") != F.col("major")).drop("major"))
     release(met_at)
-    names = ["k", "n", "place", "places", "l", "c", "own"]
+    names = ["k", "n", "place", "places", "l", "c", "own", *SKETCH]
+    # Sets of n1 and n2 that are linked differ in so many shingles at most.
+    differ = sum(F.bit_count(F.col(f"{s}1").bitwiseXOR(F.col(f"{s}2"))) for s in SKETCH)
+    alike = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n1") + F.col("n2"))
     rest = at.where("rest").select(*key, *[F.col(x).alias(f"{x}1") for x in names])
     others = at.select(*key, "rest", *[F.col(x).alias(f"{x}2") for x in names])
-    met = rest.join(others, key).where((F.col("c1") != F.col("c2")) & (~F.col("rest") | (F.col("k1") < F.col("k2"))) & (F.least("own1", "own2") == F.col("lo")) & (F.greatest("own1", "own2") == F.col("hi")))
+    met = rest.join(others, key).where((F.col("c1") != F.col("c2")) & (~F.col("rest") | (F.col("k1") < F.col("k2"))) & (F.least("own1", "own2") == F.col("lo")) & (F.greatest("own1", "own2") == F.col("hi")) & alike)
     return _enough(met, F.least("l1", "l2"), percent)
 
 
