@@ -52,3 +52,13 @@ def test_leaders_are_those_of_points_one_after_the_other(spark):
 def test_few_points_are_looked_for_in_a_second_cell(spark):
     points = spark.range(1000).selectExpr("id AS rank", "id * 1.37D AS x", "id * 0.91D AS y")
     assert points.select(clusters._around("x", "y", clusters.WIDE * 0.5, 0.5)).count() < 2000
+
+
+def test_a_condition_on_what_is_found_does_not_search_again(spark):
+    from linref.operators import segments
+
+    edges = spark.createDataFrame([(1, "A", 1, [(0.0, 0.0), (10.0, 0.0)])], f"id long, road_code string, edge_order int, geom {g.LINE}")
+    points = spark.createDataFrame([(1, "A", 4.0, 1.0), (2, "A", 4.0, 900.0)], "pid long, road_code string, x double, y double")
+    found = segments.locate(points, segments.road_segments(edges)).where("mg is not null")
+    assert not any("Filter" in line and "array_min" in line for line in plan(found).splitlines())
+    assert [(r["pid"], r["edge_id"], r["offset"], r["side"], r["mg"]) for r in found.collect()] == [(1, 1, 1.0, "left", 4.0)]
