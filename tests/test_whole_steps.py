@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from linref.operators import references
 from linref.plans import registry
 from linref.sources.derived import Network
 
@@ -18,3 +19,13 @@ def test_a_layer_finds_its_roads(spark):
     n = Astray(spark, SF)
     got, want = registry.layer_references(n).drop("changed").collect(), registry.assets_references(Network(spark, SF)).collect()
     assert sorted(got) == sorted(want) and any(r["side"] for r in got)
+
+
+def test_lines_from_references_are_moved(spark):
+    """A line begins at the point that its start names with its offset, but for what an inner bend takes."""
+    n = Network(spark, SF)
+    lines = {r["rid"]: r for r in registry.line_from_references(n).where("length is not null").collect()}
+    at = {r["rid"]: r for r in references.point_from_reference(registry.requests(n).withColumnRenamed("off", "offset"), n.segments, n.markers).collect()}
+    far = [max(abs(r["x"] - at[i]["x"]), abs(r["y"] - at[i]["y"])) for i, r in lines.items()]
+    # Where a span starts at a vertex, the point is on the edge before it and the line on the one after, beyond a gap of 10 m at most.
+    assert len(far) > 100 and max(far) < 15 and sum(d <= 0.51 for d in far) > 0.9 * len(far)
