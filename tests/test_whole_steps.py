@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from linref.operators import references
+from linref.functions import geometry as g
+from linref.operators import clusters, importing, planar, references, topology
 from linref.plans import registry
 from linref.sources.derived import Network
 
@@ -29,3 +30,15 @@ def test_lines_from_references_are_moved(spark):
     far = [max(abs(r["x"] - at[i]["x"]), abs(r["y"] - at[i]["y"])) for i, r in lines.items()]
     # Where a span starts at a vertex, the point is on the edge before it and the line on the one after, beyond a gap of 10 m at most.
     assert len(far) > 100 and max(far) < 15 and sum(d <= 0.51 for d in far) > 0.9 * len(far)
+
+
+def test_tables_that_grow_are_not_sent_whole(spark):
+    """Ends and nodes, however few, are joined by a shuffle: how large they are is not known from the files that they are made of."""
+    edges = spark.createDataFrame([(1, "A", [(0.0, 0.0), (10.0, 0.0)], 1, 2), (2, "B", [(5.0, -5.0), (5.0, 5.0)], 3, 4)], f"id long, road_code string, geom {g.LINE}, start_node long, end_node long")
+    nodes = spark.createDataFrame([(1, 0.1, 0.0)], "id long, x double, y double")
+    snapped = topology.snap_ends(edges, nodes)[0]
+    for df in (topology.intersections(edges, nodes), topology.touching_nodes(edges, nodes), clusters.nodes_in_reach(nodes, nodes, 0.5, ["id"]), snapped, planar.crossings(edges), importing.with_nodes(edges, nodes)):
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Broadcast" in line and "Join" in line]
+        assert all("__b#" in line for line in joins)  # numbered() sends its counts of ranges
+    assert [tuple(r) for r in topology.intersections(edges, nodes).collect()] == [(1, 2, 5.0, 0.0)]
+    assert {r["id"]: (r["start_node"], r["end_node"]) for r in snapped.collect()} == {1: (1, 2), 2: (3, 4)}
