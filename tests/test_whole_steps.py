@@ -42,3 +42,15 @@ def test_tables_that_grow_are_not_sent_whole(spark):
         assert all("__b#" in line for line in joins)  # numbered() sends its counts of ranges
     assert [tuple(r) for r in topology.intersections(edges, nodes).collect()] == [(1, 2, 5.0, 0.0)]
     assert {r["id"]: (r["start_node"], r["end_node"]) for r in snapped.collect()} == {1: (1, 2), 2: (3, 4)}
+
+
+def test_pieces_are_dealt_out_by_their_edge_alone(spark):
+    """Nodes are found by the place of a cut among its edge's, two nodes at one place too, so no row goes along with a length as its key."""
+    edge = lambda i, p, n, x: (i, "A", p, n, i * 10, i * 10 + 10, [(x, 0.0), (x + 10.0, 0.0)])
+    edges = spark.createDataFrame([edge(1, None, 2, 0.0), edge(2, 1, None, 10.0)], f"id long, road_code string, previous_edge_id long, next_edge_id long, start_node long, end_node long, geom {g.LINE}")
+    cut = spark.createDataFrame([(1, 7, 6.0), (1, 9, 2.0), (1, 8, 2.0), (2, 5, 0.0)], "edge_id long, node_id long, m double")
+    out = topology.split_graph(edges, cut)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and ("start_m" in line or "end_m" in line) for line in plan.splitlines())
+    got = {(r["edge_id"], r["piece"]): (r["id"], r["previous_edge_id"], r["next_edge_id"], r["start_node"], r["end_node"], r["start_m"], r["end_m"]) for r in out.collect()}
+    assert got == {(1, 0): (1, None, 3, 10, 8, 0.0, 2.0), (1, 1): (3, 1, 4, 8, 7, 2.0, 6.0), (1, 2): (4, 3, 2, 7, 20, 6.0, 10.0), (2, 1): (5, None, None, 5, 30, 0.0, 10.0)}
