@@ -54,3 +54,14 @@ def test_pieces_are_dealt_out_by_their_edge_alone(spark):
     assert not any("Exchange" in line and ("start_m" in line or "end_m" in line) for line in plan.splitlines())
     got = {(r["edge_id"], r["piece"]): (r["id"], r["previous_edge_id"], r["next_edge_id"], r["start_node"], r["end_node"], r["start_m"], r["end_m"]) for r in out.collect()}
     assert got == {(1, 0): (1, None, 3, 10, 8, 0.0, 2.0), (1, 1): (3, 1, 4, 8, 7, 2.0, 6.0), (1, 2): (4, 3, 2, 7, 20, 6.0, 10.0), (2, 1): (5, None, None, 5, 30, 0.0, 10.0)}
+
+
+def test_lines_do_not_go_along_links(spark):
+    """Chains of moved edges are led past and links of the new road found, while lines are dealt out by the edge's id alone."""
+    edge = lambda i, road, p, n, s: (i, road, p, n, s, s + 1, [(float(s), 0.0), (s + 1.0, 0.0)])
+    edges = spark.createDataFrame([edge(1, "A", None, 2, 0), edge(2, "A", 1, 3, 1), edge(3, "A", 2, 4, 2), edge(4, "A", 3, None, 3), edge(5, "B", None, None, 3)], f"id long, road_code string, previous_edge_id long, next_edge_id long, start_node long, end_node long, geom {g.LINE}")
+    out = topology.move_edge_road(edges, spark.createDataFrame([(2, "B"), (3, "B")], "id long, new_road string"))
+    for df in (out, topology.infer_neighbours(edges)):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not any("Exchange hashpartitioning(" in a and "Exchange hashpartitioning(id#" not in a and "geom" in b for a, b in zip(lines, lines[1:]))
+    assert {r["id"]: (r["road_code"], r["previous_edge_id"], r["next_edge_id"], len(r["geom"])) for r in out.collect()} == {1: ("A", None, 4, 2), 2: ("B", None, 3, 2), 3: ("B", 2, 5, 2), 4: ("A", 1, None, 2), 5: ("B", 3, None, 2)}
