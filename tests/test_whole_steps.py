@@ -34,8 +34,10 @@ def test_lines_from_references_are_moved(spark):
 
 def test_tables_that_grow_are_not_sent_whole(spark):
     """Ends and nodes, however few, are joined by a shuffle: how large they are is not known from the files that they are made of."""
-    edges = spark.createDataFrame([(1, "A", [(0.0, 0.0), (10.0, 0.0)], 1, 2), (2, "B", [(5.0, -5.0), (5.0, 5.0)], 3, 4)], f"id long, road_code string, geom {g.LINE}, start_node long, end_node long")
-    nodes = spark.createDataFrame([(1, 0.1, 0.0)], "id long, x double, y double")
+    # Rows of a text, of which Spark knows that they are few.
+    p = lambda x, y: f"named_struct('x', {x}D, 'y', {y}D)"
+    edges = spark.sql(f"SELECT * FROM VALUES (1L, 'A', array({p(0, 0)}, {p(10, 0)}), 1L, 2L), (2L, 'B', array({p(5, -5)}, {p(5, 5)}), 3L, 4L) AS t(id, road_code, geom, start_node, end_node)")
+    nodes = spark.sql("SELECT * FROM VALUES (1L, 0.1D, 0D) AS t(id, x, y)")
     snapped = topology.snap_ends(edges, nodes)[0]
     for df in (topology.intersections(edges, nodes), topology.touching_nodes(edges, nodes), clusters.nodes_in_reach(nodes, nodes, 0.5, ["id"]), snapped, planar.crossings(edges), importing.with_nodes(edges, nodes)):
         joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Broadcast" in line and "Join" in line]
